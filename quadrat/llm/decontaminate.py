@@ -30,15 +30,17 @@ def _slots(last: Column) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
-def _grams(w: Column) -> Column:
-    """Of each gram its hash without the low bits, which hold its place."""
-    return F.transform(_slots(F.size(w) - GRAM), lambda i: F.shiftleft(F.shiftright(F.xxhash64(F.slice(w, i + 1, GRAM)), PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("bigint")))
+def _with_kept(rows: DataFrame, w: str) -> DataFrame:
+    """Adds ``kept``: the gram that each window of the word array ``w`` keeps; neighbours mostly keep the same one.
 
-
-def _kept(grams: Column) -> Column:
-    """The gram that each window keeps; neighbours mostly keep the same one."""
+    A gram is its hash with the place in the low bits. Step by step, since an array that
+    is an expression would be computed anew for each of its elements.
+    """
     span = WINDOW - GRAM + 1
-    return F.array_distinct(F.transform(_slots(F.size(grams) - span), lambda i: F.array_min(F.slice(grams, i + 1, span))))
+    gram = lambda i: F.xxhash64(*[F.get(F.col(w), i + k) for k in range(GRAM)])
+    grams = F.transform(_slots(F.size(w) - GRAM), lambda i: F.shiftleft(F.shiftright(gram(i), PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("bigint")))
+    kept = F.transform(_slots(F.size("grams") - span), lambda i: F.least(*[F.get(F.col("grams"), i + k) for k in range(span)]))
+    return rows.withColumn("grams", grams).withColumn("kept", F.array_distinct(kept)).drop("grams")
 
 
 def _hash_of(kept: Column) -> Column:
@@ -63,11 +65,10 @@ def window_hits(docs: DataFrame, windows: DataFrame, broadcast_rows: int = 500_0
     side = F.broadcast if small else (lambda x: x)
     split = docs.select("doc_id", text_key().alias("text_key"), words(F.col("text")).alias("w"))
     full = windows.where(F.col("length") == WINDOW).select("window", F.split("window", " ").alias("v"))
-    grams = full.select("window", _grams(F.col("v")).alias("g"))
-    prints = grams.select("window", F.array_min("g").alias("kept")).select("window", _hash_of(F.col("kept")).alias("print"), _place_of(F.col("kept")).alias("offset"))
+    prints = _with_kept(full, "v").select("window", F.array_min("kept").alias("kept")).select("window", _hash_of(F.col("kept")).alias("print"), _place_of(F.col("kept")).alias("offset"))
     prints = materialize(prints, "window-prints")
     known = prints.select("print").distinct()
-    kept = split.select("doc_id", "text_key", "w", _kept(_grams(F.col("w"))).alias("kept"))
+    kept = _with_kept(split, "w")
     # The words around each gram suffice to extend it. explode_outer: a plain one would compute the array twice to test it.
     each = kept.select("doc_id", "text_key", "w", F.explode_outer("kept").alias("kept")).withColumns({"print": _hash_of(F.col("kept")), "place": _place_of(F.col("kept"))})
     first = F.greatest(F.col("place") - (WINDOW - GRAM), F.lit(0))
@@ -86,7 +87,7 @@ def window_hits(docs: DataFrame, windows: DataFrame, broadcast_rows: int = 500_0
     lengths = sorted(r[0] for r in windows.where(F.col("length") < WINDOW).select("length").distinct().collect())  # nine at most
     for n in lengths:
         short = windows.where(F.col("length") == n).select("window", F.xxhash64("window").alias("print"))
-        grams = split.select("doc_id", "text_key", F.explode_outer(F.transform(_slots(F.size("w") - n), lambda i, n=n: F.struct(i.alias("start"), F.array_join(F.slice("w", i + 1, n), " ").alias("words")))).alias("g"))
+        grams = split.select("doc_id", "text_key", F.explode_outer(F.transform(_slots(F.size("w") - n), lambda i, n=n: F.struct(i.alias("start"), F.concat_ws(" ", *[F.get("w", i + k) for k in range(n)]).alias("words")))).alias("g"))
         found = grams.select("doc_id", "text_key", "g.*").where("words is not null").join(side(short), (F.xxhash64("words") == F.col("print")) & (F.col("words") == F.col("window")))
         long = long.unionByName(found.select("doc_id", "text_key", "start", F.lit(n).alias("length"), "window"))
     return long.distinct()
