@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, sharding, simhash, tokenstore, warc
+from . import annindex, bpe, common, decontaminate, pii, sharding, simhash, tokenstore, toxicity, warc
 
 
 def tokenizer_file(name: str) -> tuple[str, str]:
@@ -26,6 +26,22 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.token_round_trip(common.table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")[0])
 
 
+#: A key for runs on synthetic tables; production keys come from the caller.
+DEMO_SECRET = pii.Secret("quadrat-demo-key")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(common.table(spark, sf_dir, "documents"), DEMO_SECRET)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annindex.nearest_of_every_fiftieth(common.table(spark, sf_dir, "embeddings"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(common.table(spark, sf_dir, "documents"))
 
@@ -38,5 +54,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(common.table(spark, sf_dir, "documents"), *tokenizer_file("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_token_ids, op7_sharding, op9_simhash, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_token_ids, op4_pii, op5_toxicity, op6_nearest, op7_sharding, op9_simhash, op10_byte_bpe)}
 SQL: dict[str, str] = {}

@@ -141,15 +141,14 @@ def table_rows(prints: DataFrame, scheme: Scheme, ball: bool, *carried: Column)
     Of two values that differ in one bit, one has that bit clear, so flipping clear bits finds every such pair.
     """
     bits = scheme.segment_bits
-    keys = []
-    for t, (w, shift) in enumerate(scheme.segments):
-        value = _segment(F.col(f"w{w}"), shift, bits)
-        keys.append(_key(t, value, bits))
-        if ball:
-            for b in range(bits):
-                keys.append(F.when(value.bitwiseAND(F.lit(1 << b)) == 0, _key(t, value.bitwiseOR(F.lit(1 << b)), bits)))
-    rows = prints.select(*carried, F.explode(F.array(*keys)).alias("key"))
-    return rows.where("key is not null") if ball else rows
+    own = [_key(t, _segment(F.col(f"w{w}"), shift, bits), bits) for t, (w, shift) in enumerate(scheme.segments)]
+    rows = prints.select(*carried, F.explode(F.array(*own)).alias("key"))
+    if not ball:
+        return rows
+    flips = [0, *(1 << b for b in range(bits))]
+    each = rows.withColumn("flip", F.explode(F.array(*[F.lit(f).cast("bigint") for f in flips])))
+    fresh = each.where(F.col("key").bitwiseAND(F.col("flip")) == 0)
+    return fresh.withColumn("key", F.col("key").bitwiseOR(F.col("flip"))).drop("flip")
 
 
 def _distance(a: str, b: str, words: int) -> Column:
