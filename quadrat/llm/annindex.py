@@ -25,7 +25,7 @@ CODEWORDS = 256
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 512
 RERANK = 200
-SHARE = 0.2
+SHARE = 0.5
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annindex, bpe, common, decontaminate, pii, sharding, simhash, tokenstore, toxicity, warc
+from . import annindex, bpe, common, decontaminate, longrepeats, pii, sharding, simhash, tokenstore, toxicity, warc
 
 
 def tokenizer_file(name: str) -> tuple[str, str]:
@@ -46,6 +46,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(common.table(spark, sf_dir, "documents"))
 
 
+def op8_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longrepeats.remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(common.table(spark, sf_dir, "documents"))
 
@@ -54,5 +58,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(common.table(spark, sf_dir, "documents"), *tokenizer_file("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_token_ids, op4_pii, op5_toxicity, op6_nearest, op7_sharding, op9_simhash, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_token_ids, op4_pii, op5_toxicity, op6_nearest, op7_sharding, op8_long_repeats, op9_simhash, op10_byte_bpe)}
 SQL: dict[str, str] = {}
