@@ -7,9 +7,10 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_tail2(z: pd.Series) -> pd.Series:
     """Two-sided tail of the normal distribution."""
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x == x else None)

@@ -1,6 +1,9 @@
-"""The registered queries and their SQL."""
+"""All registered queries of the study operators, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import ecology, relational, statistics
+
+_ALL = [relational.query, ecology.query, statistics.query]
+QUERIES = {name: f for r in _ALL for name, f in r.queries.items()}
+SQL = {name: s for r in _ALL for name, s in r.sql.items()}
