@@ -1,0 +1,64 @@
+"""Ordination and outlier votes. Small dense problems (one matrix of samples) run as one grouped task each."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def _gower(pairs: pd.DataFrame) -> tuple[list, np.ndarray]:
+    ids = sorted(set(pairs["id1"]) | set(pairs["id2"]))
+    place = {x: i for i, x in enumerate(ids)}
+    d = np.zeros((len(ids), len(ids)))
+    i, j = pairs["id1"].map(place).to_numpy(), pairs["id2"].map(place).to_numpy()
+    d[i, j] = d[j, i] = pairs["dist"].to_numpy()
+    a = -0.5 * d * d
+    return ids, a - a.mean(0)[None, :] - a.mean(1)[:, None] + a.mean()
+
+
+def pcoa(pairs: DataFrame, group: str, axes: int = 2) -> DataFrame:
+    """(group, id, axis, value, explained) from pair distances, one matrix for each group. Signs: largest value positive."""
+
+    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, g = _gower(pdf)
+        values, vectors = np.linalg.eigh(g)
+        order = np.argsort(values)[::-1][:axes]
+        total = values[values > 0].sum() or 1.0
+        out = []
+        for n, k in enumerate(order, 1):
+            x = vectors[:, k] * np.sqrt(max(values[k], 0))
+            x = x if not len(x) or x[np.argmax(np.abs(x))] >= 0 else -x
+            out.append(pd.DataFrame({group: key[0], "id": ids, "axis": n, "value": x, "explained": max(values[k], 0) / total}))
+        return pd.concat(out)
+
+    kind = dict(pairs.dtypes)
+    return pairs.groupBy(group).applyInPandas(fit, f"{group} {kind[group]}, id {kind['id1']}, axis int, value double, explained double")
+
+
+def dispersion(points: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(label, n, mean_distance) of points (id, axis, value) to their group's mean point."""
+    rows = points.join(F.broadcast(labels), "id")
+    centre = rows.groupBy(label, "axis").agg(F.avg("value").alias("c"))
+    far = rows.join(F.broadcast(centre), [label, "axis"]).groupBy(label, "id").agg(F.sqrt(F.sum((F.col("value") - F.col("c")) * (F.col("value") - F.col("c")))).alias("r"))
+    return far.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_distance"))
+
+
+def outlier_votes(rows: DataFrame, group: str, columns: list[str], sd: float = 3.0, fence: float = 1.5, mad: float = 3.5) -> DataFrame:
+    """(row columns, votes, is_outlier): three rules vote on every row within its group, two make an outlier.
+
+    Stands in for an ensemble of learned detectors: any column beyond ``sd`` deviations, beyond the
+    quartile fences, or beyond ``mad`` scaled median deviations.
+    """
+    stats = rows.groupBy(group).agg(*[x for c in columns for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}"))])
+    joined = rows.join(F.broadcast(stats), group)
+    away = joined.groupBy(group).agg(*[F.median(F.abs(F.col(c) - F.col(f"_q_{c}")[1])).alias(f"_d_{c}") for c in columns])
+    joined = joined.join(F.broadcast(away), group)
+    any_ = lambda test: F.greatest(*[F.when(test(c), 1).otherwise(0) for c in columns], F.lit(0))
+    q = lambda c, i: F.col(f"_q_{c}")[i]
+    one = any_(lambda c: F.abs(F.col(c) - F.col(f"_m_{c}")) > sd * F.col(f"_s_{c}"))
+    two = any_(lambda c: (F.col(c) < q(c, 0) - fence * (q(c, 2) - q(c, 0))) | (F.col(c) > q(c, 2) + fence * (q(c, 2) - q(c, 0))))
+    three = any_(lambda c: (F.col(f"_d_{c}") > 0) & (0.6745 * F.abs(F.col(c) - q(c, 1)) > mad * F.col(f"_d_{c}")))
+    votes = one + two + three
+    return joined.select(*rows.columns, votes.alias("votes"), (votes >= 2).alias("is_outlier"))

@@ -1,0 +1,42 @@
+"""Operators on sequences: quality, dereplication, near matches and consensus taxonomy."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def expected_errors(quality: Column, offset: int = 33) -> Column:
+    """Sum of 10^(-Q/10) over a quality string."""
+    return F.aggregate(F.split(quality, ""), F.lit(0.0), lambda acc, c: acc + F.when(c == "", 0.0).otherwise(F.pow(F.lit(10.0), -(F.ascii(c) - offset) / 10.0)))
+
+
+def pass_filter(reads: DataFrame, most_errors: float, shortest: int, longest: int) -> DataFrame:
+    return reads.where((expected_errors(F.col("quality")) <= most_errors) & F.length("seq").between(shortest, longest))
+
+
+def dereplicated(reads: DataFrame, least: int = 1) -> DataFrame:
+    """(seq, size): distinct sequences that occur at least ``least`` times."""
+    return reads.groupBy("seq").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
+
+
+def one_edit_pairs(seqs: DataFrame) -> DataFrame:
+    """(a, b): pairs of ids (a < b) whose sequences differ by at most one substitution, insertion or deletion.
+
+    Every sequence is filed under itself and under each of its texts with one character
+    left out; two sequences within one edit share such a key, so no pair is missed and
+    unrelated ones don't meet. Matches are verified.
+    """
+    place = F.explode(F.sequence(F.lit(1), F.length("seq")))
+    cut = seqs.select("id", "seq", place.alias("i")).select("id", "seq", F.concat(F.substring("seq", F.lit(1), F.col("i") - 1), F.substring("seq", F.col("i") + 1, F.length("seq"))).alias("key"))
+    keys = cut.union(seqs.select("id", "seq", F.col("seq").alias("key"))).distinct()
+    a, b = keys.toDF("a", "sa", "key"), keys.toDF("b", "sb", "key")
+    return a.join(b, "key").where((F.col("a") < F.col("b")) & (F.levenshtein("sa", "sb", 1) >= 0)).select("a", "b").distinct()
+
+
+def consensus_taxonomy(hits: DataFrame, least: float = 0.51) -> DataFrame:
+    """(query, taxon, consensus) from hits (query, taxon): the commonest name if its share reaches ``least``, else Unassigned."""
+    votes = hits.groupBy("query", "taxon").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("query").agg(F.max(F.struct("n", "taxon")).alias("b"), F.sum("n").alias("m"))
+    share = F.col("b.n") / F.col("m")
+    return best.select("query", F.when(share >= least, F.col("b.taxon")).otherwise("Unassigned").alias("taxon"), share.alias("consensus"))

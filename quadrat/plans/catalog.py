@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import ecology, relational, statistics
+from . import ecology, networks, relational, statistics
 
-_ALL = [relational.query, ecology.query, statistics.query]
+_ALL = [relational.query, ecology.query, statistics.query, networks.query]
 QUERIES = {name: f for r in _ALL for name, f in r.queries.items()}
 SQL = {name: s for r in _ALL for name, s in r.sql.items()}
