@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-CACHED = 1_500_000
+CACHED = 400_000
 
 
 def split_units(text: str) -> list[str]:
