@@ -44,8 +44,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quadrat_path = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote, once nothing reads it any more."""
+    for df in written:
+        spark, path = df.sparkSession, df._quadrat_path
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def is_small(df: DataFrame, rows: int) -> bool:

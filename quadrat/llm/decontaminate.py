@@ -59,6 +59,11 @@ def item_windows(items: DataFrame) -> DataFrame:
     return starts.select("item_id", "length", F.array_join(F.slice("w", F.col("i") + 1, F.col("length")), " ").alias("window")).distinct()
 
 
+def _stretches(w: str, n: int) -> Column:
+    """(start, words) of every run of ``n`` words."""
+    return F.transform(_slots(F.size(w) - n), lambda i: F.struct(i.alias("start"), F.concat_ws(" ", *[F.get(F.col(w), i + k) for k in range(n)]).alias("words")))
+
+
 def window_hits(docs: DataFrame, windows: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, text_key, start, length, window) of every occurrence of a window in a document."""
     small = is_small(windows, broadcast_rows)
@@ -87,7 +92,7 @@ def window_hits(docs: DataFrame, windows: DataFrame, broadcast_rows: int = 500_0
     lengths = sorted(r[0] for r in windows.where(F.col("length") < WINDOW).select("length").distinct().collect())  # nine at most
     for n in lengths:
         short = windows.where(F.col("length") == n).select("window", F.xxhash64("window").alias("print"))
-        grams = split.select("doc_id", "text_key", F.explode_outer(F.transform(_slots(F.size("w") - n), lambda i, n=n: F.struct(i.alias("start"), F.concat_ws(" ", *[F.get("w", i + k) for k in range(n)]).alias("words")))).alias("g"))
+        grams = split.select("doc_id", "text_key", F.explode_outer(_stretches("w", n)).alias("g"))
         found = grams.select("doc_id", "text_key", "g.*").where("words is not null").join(side(short), (F.xxhash64("words") == F.col("print")) & (F.col("words") == F.col("window")))
         long = long.unionByName(found.select("doc_id", "text_key", "start", F.lit(n).alias("length"), "window"))
     return long.distinct()
