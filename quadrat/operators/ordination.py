@@ -21,7 +21,7 @@ def _gower(pairs: pd.DataFrame) -> tuple[list, np.ndarray]:
 def pcoa(pairs: DataFrame, group: str, axes: int = 2) -> DataFrame:
     """(group, id, axis, value, explained) from pair distances, one matrix for each group. Signs: largest value positive."""
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids, g = _gower(pdf)
         values, vectors = np.linalg.eigh(g)
         order = np.argsort(values)[::-1][:axes]

@@ -177,7 +177,7 @@ def res4_res6_spike_in_totals(spark, d):
     return out.groupBy("sample").agg(F.sum("count").alias("total"), F.sum("spiked_count").alias("spiked_total"), F.bool_and(F.col("spiked_count") >= 0).alias("kept"))
 
 
-@query(f"WITH {PATIENTS_SQL}, {_SH}, g AS (SELECT unnest([5, 8, 12])::INTEGER AS size), {boot_sql(40, 12)}, x AS (SELECT size, rep, grp, v + CASE WHEN grp = 'Cancer' THEN 0.0005 ELSE 0 END AS v FROM bt JOIN sh USING (patient), g WHERE slot < size), t AS (SELECT size, rep, abs(avg(v) FILTER (WHERE grp = 'Cancer') - avg(v) FILTER (WHERE grp <> 'Cancer')) / sqrt(((size - 1) * var_samp(v) FILTER (WHERE grp = 'Cancer') + (size - 1) * var_samp(v) FILTER (WHERE grp <> 'Cancer')) / (2 * size - 2) * (2.0::DOUBLE / size)) AS t FROM x GROUP BY ALL), w AS (SELECT size, avg(CASE WHEN exp(-t) < 0.1 THEN 1.0::DOUBLE ELSE 0 END) AS power, count(*) AS reps FROM t GROUP BY 1) SELECT size, round(power, 6) AS power, reps FROM w")
+@query(f"WITH {PATIENTS_SQL}, {_SH}, g AS (SELECT unnest([5, 8, 12])::INTEGER AS size), {boot_sql(40, 12)}, x AS (SELECT size, rep, grp, v + CASE WHEN grp = 'Cancer' THEN 0.0005 ELSE 0 END AS v FROM bt JOIN sh USING (patient), g WHERE slot < size), t AS (SELECT size, rep, abs(avg(v) FILTER (WHERE grp = 'Cancer') - avg(v) FILTER (WHERE grp <> 'Cancer')) / sqrt((var_samp(v) FILTER (WHERE grp = 'Cancer') + var_samp(v) FILTER (WHERE grp <> 'Cancer')) / 2 * (2.0::DOUBLE / max(size))) AS t FROM x GROUP BY size, rep), w AS (SELECT size, avg(CASE WHEN exp(-t) < 0.1 THEN 1.0::DOUBLE ELSE 0 END) AS power, count(*) AS reps FROM t GROUP BY 1) SELECT size, round(power, 6) AS power, reps FROM w")
 def pwr3_shannon_power_curve(spark, d):
     """Power of a shifted diversity over sample sizes: all sizes and repetitions in one plan."""
     from ..operators.diversity import shannon
@@ -230,7 +230,7 @@ def seq10_consensus_taxonomy(spark, d):
     return _rounded(sequences.consensus_taxonomy(load(spark, d, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderstatus").alias("taxon"))))
 
 
-@query("SELECT page_id, round(list_sum(list_transform(string_split(left(url, 40), ''), c -> pow(10.0::DOUBLE, -(ascii(c) - 33) / 10.0::DOUBLE))), 8) AS ee FROM pages")
+@query("SELECT page_id, round(list_sum(list_transform(string_split(left(url, 40), ''), lambda c: pow(10.0::DOUBLE, -(ascii(c) - 33) / 10.0::DOUBLE))), 8) AS ee FROM pages")
 def seq3_expected_errors(spark, d):
     return load(spark, d, "pages").select("page_id", F.round(sequences.expected_errors(F.substring("url", 1, 40)), 8).alias("ee"))
 
