@@ -115,7 +115,7 @@ def benjamini_hochberg(df: DataFrame, p: str, family: list[str], order: list[str
     raw = F.col(p) * F.count(p).over(w) / place
     ranked = df.withColumn("_raw", raw).withColumn("_place", place)
     down = w.orderBy(F.desc("_place")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn(name, F.least(F.min("_raw").over(down), F.lit(1.0))).drop("_raw", "_place")
+    return ranked.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.min("_raw").over(down), F.lit(1.0)))).drop("_raw", "_place")
 
 
 def spearman(a: DataFrame, b: DataFrame) -> DataFrame:
