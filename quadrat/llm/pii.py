@@ -22,7 +22,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 EMAIL = r"[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 CARD = r"(?<![\w.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\w\-])"
 SSN = r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])"
-PHONE = r"(?<![\w+])(?:\+?1[ .\-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}(?![\w\-])"
+PHONE = r"(?<![\w+])(?:\+?1[ .\-]?)?(?:\([1-9][0-9]{2}\) ?|[1-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}(?![\w\-])"
 IP = r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"
 DATE = r"(?<![\w\-/.])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w\-/])"
 SECRET = r"(?<=\b(?:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,256}"
@@ -39,15 +39,6 @@ class Secret:
     key: str
 
 
-def _stream(secret: Secret, kind: str, step: int, other: Column, j: Column) -> Column:
-    """28 bits for position ``j`` of one half, from the key, the round and the other half.
-
-    A digest holds eight such numbers; further positions take further digests.
-    """
-    said = F.concat_ws("|", F.lit(f"{secret.key}|{kind}|{step}"), F.floor(j / 8).cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ","))
-    return F.conv(F.substring(F.sha2(said, 256), (j % 8) * 8 + 1, 7), 16, 10).cast("bigint")
-
-
 def feistel(symbols: Column, radices: Column, secret: Secret, kind: str, undo: bool = False) -> Column:
     """Permutes an array of ints, each below the radix at its place; ``undo`` inverts it.
 
@@ -139,13 +130,13 @@ def is_ssn(m: Column) -> Column:
 
 
 def _phone(m: Column, secret: Secret, undo: bool) -> Column:
-    """Area and exchange codes still begin with 2 to 9; a country code stays."""
+    """Area codes still begin with 1 to 9 and exchange codes with 2 to 9; a country code stays."""
     digits = _digits(m)
     own = F.substring(digits, F.length(digits) - 9, F.lit(10))
-    low = lambda d, i: F.when((i == 0) | (i == 3), d - 2).otherwise(d)
-    radices = F.array(*[F.lit(8 if i in (0, 3) else 10) for i in range(10)])
-    moved = feistel(F.transform(_symbols(own), low), radices, secret, "phone", undo)
-    back = _joined(F.transform(moved, lambda d, i: F.when((i == 0) | (i == 3), d + 2).otherwise(d)))
+    least = lambda i: F.when(i == 0, 1).when(i == 3, 2).otherwise(0)
+    radices = F.array(*[F.lit({0: 9, 3: 8}.get(i, 10)) for i in range(10)])
+    moved = feistel(F.transform(_symbols(own), lambda d, i: d - least(i)), radices, secret, "phone", undo)
+    back = _joined(F.transform(moved, lambda d, i: d + least(i)))
     return _refill(m, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), back))
 
 
@@ -194,7 +185,7 @@ def kind_of(m: Column) -> Column:
         .when(whole(r"[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.when(is_date(m), F.lit("date")))
         .when(whole(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), F.when(is_ssn(m), F.lit("ssn")))
         .when(whole(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), F.when(is_ip(m), F.lit("ip")))
-        .when(whole(r"(?:\+?1[ .\-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}"), F.lit("phone"))
+        .when(whole(r"(?:\+?1[ .\-]?)?(?:\([1-9][0-9]{2}\) ?|[1-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}"), F.lit("phone"))
         .when(whole(r"[0-9](?:[ \-]?[0-9]){12,18}") & is_card(m), F.lit("card"))
         .when(whole(r"[0-9](?:[ \-]?[0-9]){12,18}") & m.rlike("[ ]"), F.lit(None).cast("string"))
         .when(whole(r"[A-Za-z0-9+/_\-]{8,256}") & ~whole(r"[0-9 \-]{13,}"), F.lit("secret"))
