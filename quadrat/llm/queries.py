@@ -59,4 +59,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_token_ids, op4_pii, op5_toxicity, op6_nearest, op7_sharding, op8_long_repeats, op9_simhash, op10_byte_bpe)}
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL: dict[str, str] = {
+    "op1_decontamination": f"""WITH dw AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ win AS (SELECT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1:i + least(len(w), 10)], ' ') AS v FROM (SELECT *, unnest(range(len(w) - least(len(w), 10) + 1)) AS i FROM iw WHERE len(w) > 0)),
+ ns AS (SELECT DISTINCT n FROM win), dg AS (SELECT r, n, i, array_to_string(w[i + 1:i + n], ' ') AS v FROM (SELECT r, w, n, unnest(range(len(w) - n + 1)) AS i FROM dw, ns WHERE len(w) >= n)),
+ hit AS (SELECT DISTINCT r, i, dg.n, item_id FROM dg JOIN win ON dg.n = win.n AND dg.v = win.v),
+ pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, i + unnest(range(n)) AS p FROM hit) GROUP BY 1),
+ ids AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM hit WHERE item_id IS NOT NULL) GROUP BY 1)
+ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN pos USING (r) LEFT JOIN ids USING (r)""",
+    "op2_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), m AS (SELECT html, max(page_id) AS top FROM p WHERE strlen(html) >= 1000 GROUP BY 1)
+ SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest, CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to FROM p LEFT JOIN m ON p.html = m.html""",
+}

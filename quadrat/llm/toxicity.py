@@ -16,7 +16,7 @@ of doc_id); every document is scored.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 12_000
+SAMPLE = 4_000
 FEATURES = 4096
 PREFIXES = (3, 4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
@@ -78,57 +78,88 @@ class OrdinalModel:
         return scores
 
 
-def draw_grades(words: list[set[str]], toxic: np.ndarray, least: int = 5, purity: float = 0.98) -> np.ndarray:
+@dataclass(frozen=True)
+class Corpus:
+    """The sample in numbers: for each text the ids of its distinct words and features (flat, with lengths)."""
+
+    names: list[str]
+    features_of: list[np.ndarray]
+    words: np.ndarray
+    word_counts: np.ndarray
+    features: np.ndarray
+    feature_counts: np.ndarray
+
+
+def numbered(words: Iterable[set[str]]) -> Corpus:
+    """Numbers words and features in order of their first use; words of a text are taken in sorted order."""
+    word_ids: dict[str, int] = {}
+    ids: dict[str, int] = {}
+    features_of: list[np.ndarray] = []
+    flat, lengths, per_text, counts = [], [], [], []
+    for found in words:
+        own = []
+        for w in sorted(found):
+            k = word_ids.get(w)
+            if k is None:
+                k = word_ids[w] = len(features_of)
+                features_of.append(np.array([ids.setdefault(f, len(ids)) for f in word_features(w)], np.int32))
+            own.append(k)
+        flat.append(np.array(own, np.int32))
+        lengths.append(len(own))
+        every = np.unique(np.concatenate([features_of[k] for k in own])) if own else np.zeros(0, np.int32)
+        per_text.append(every)
+        counts.append(len(every))
+    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return Corpus(list(ids), features_of, join(flat), np.array(lengths, np.int64), join(per_text), np.array(counts, np.int64))
+
+
+def _totals(corpus: Corpus, chosen: np.ndarray) -> np.ndarray:
+    """In how many of the chosen texts each feature occurs."""
+    return np.bincount(corpus.features[np.repeat(chosen, corpus.feature_counts)], minlength=len(corpus.names))
+
+
+def draw_grades(corpus: Corpus, toxic: np.ndarray, least: int = 5, purity: float = 0.98) -> np.ndarray:
     """Grades 0, 1 and 2 as said above; only 0 and 1 if no word is indicative."""
-    all_, bad = Counter(), Counter()
-    for found, t in zip(words, toxic, strict=True):
-        features = {f for w in found for f in word_features(w)}
-        all_.update(features)
-        if t:
-            bad.update(features)
-    telling = {f for f, n in bad.items() if n >= least and n >= purity * all_[f]}
-    hits = np.array([sum(any(f in telling for f in word_features(w)) for w in found) for found in words])
+    bad = _totals(corpus, toxic == 1)
+    telling = (bad >= least) & (bad >= purity * _totals(corpus, toxic >= 0))
+    word_tells = np.array([telling[f].any() for f in corpus.features_of], bool)
+    text_of = np.repeat(np.arange(len(toxic)), corpus.word_counts)
+    hits = np.bincount(text_of, word_tells[corpus.words], len(toxic)) if len(corpus.words) else np.zeros(len(toxic))
     median = np.median(hits[toxic == 1]) if (toxic == 1).any() else 0
     return np.where(toxic == 1, 1 + (hits > median), 0)
 
 
-def choose_features(features: list[set[str]], grades: np.ndarray, most: int = FEATURES, least: int = 5) -> list[str]:
+def choose_features(corpus: Corpus, grades: np.ndarray, most: int = FEATURES, least: int = 5) -> list[int]:
     """Up to ``most`` features of largest |z| in a comparison of their rates among grade 0 and above; ties by name."""
-    n1 = int((grades > 0).sum())
-    n0 = len(grades) - n1
-    c0, c1 = Counter(), Counter()
-    for found, g in zip(features, grades, strict=True):
-        (c1 if g > 0 else c0).update(found)
-
-    def z(f: str) -> float:
-        a, b = c1[f], c0[f]
-        p = (a + b) / (n0 + n1)
-        return abs(a / max(n1, 1) - b / max(n0, 1)) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / max(n0, 1) + 1 / max(n1, 1)))
-
-    scored = [(-z(f), f) for f in set(c0) | set(c1) if c0[f] + c1[f] >= least]
-    return [f for s, f in sorted(scored) if s < -4][:most]
+    n1 = max(int((grades > 0).sum()), 1)
+    n0 = max(len(grades) - n1, 1)
+    high, low = _totals(corpus, grades > 0), _totals(corpus, grades == 0)
+    p = (high + low) / (n0 + n1)
+    z = np.abs(high / n1 - low / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+    good = np.flatnonzero((high + low >= least) & (z > 4))
+    return sorted(good.tolist(), key=lambda i: (-z[i], corpus.names[i]))[:most]
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 400, ridge: float = 1e-3) -> OrdinalModel:
+def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> OrdinalModel:
     """Fits by full-gradient steps with momentum (Adam) on the mean log-likelihood with a ridge penalty."""
-    words = [text_words(t) for t in texts]
-    return fit_grades(words, draw_grades(words, np.asarray(toxic)), rounds, ridge)
+    corpus = numbered(map(text_words, texts))
+    return fit_grades(corpus, draw_grades(corpus, np.asarray(toxic)), rounds, ridge)
 
 
-def fit_grades(words: list[set[str]], grades: np.ndarray, rounds: int = 400, ridge: float = 1e-3) -> OrdinalModel:
+def fit_grades(corpus: Corpus, grades: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> OrdinalModel:
     """``grades``: 0 to K. The first threshold is free, each further one adds exp(step), so they stay ordered."""
     top = int(grades.max()) if len(grades) else 0
     if top == 0:
         return OrdinalModel({}, (20.0,))
-    features = [{f for w in found for f in word_features(w)} for found in words]
-    names = choose_features(features, grades)
-    index = {f: i for i, f in enumerate(names)}
-    pairs = [(r, index[f]) for r, found in enumerate(features) for f in found if f in index]
-    row, col = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-    n, m = len(grades), len(names)
+    chosen = choose_features(corpus, grades)
+    place = np.full(len(corpus.names), -1)
+    place[chosen] = np.arange(len(chosen))
+    col = place[corpus.features]
+    row = np.repeat(np.arange(len(grades)), corpus.feature_counts)[col >= 0]
+    col = col[col >= 0]
+    n, m = len(grades), len(chosen)
     w, free = np.zeros(m), np.concatenate(([2.0], np.zeros(top - 1)))
     state = [np.zeros(m + top), np.zeros(m + top)]
-    at = np.arange(n)
     for t in range(1, rounds + 1):
         theta = np.cumsum(np.concatenate((free[:1], np.exp(free[1:]))))
         score = np.bincount(row, w[col], n) if m else np.zeros(n)
@@ -150,7 +181,7 @@ def fit_grades(words: list[set[str]], grades: np.ndarray, rounds: int = 400, rid
         move = 0.05 * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.999**t)) + 1e-8)
         w, free = w - move[:m], free - move[m:]
     theta = np.cumsum(np.concatenate((free[:1], np.exp(free[1:]))))
-    kept = {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-6}
+    kept = {corpus.names[f]: float(w[i]) for i, f in enumerate(chosen) if abs(w[i]) > 1e-6}
     return OrdinalModel(kept, tuple(map(float, theta)))
 
 

@@ -140,7 +140,7 @@ def test_thresholds_stay_ordered_and_share_weights():
         g = int(r.integers(0, 4))
         words.append({f"n{chr(97 + k)}" for k in r.integers(0, 20, 10)} | {f"bad{chr(97 + k)}" for k in range(g)})
         grades.append(g)
-    model = toxicity.fit_grades(words, np.array(grades))
+    model = toxicity.fit_grades(toxicity.numbered(words), np.array(grades))
     assert list(model.thresholds) == sorted(model.thresholds) and len(model.thresholds) == 3
     scores = model.scorer()([" ".join(w) for w in words])
     expected = model.probabilities(scores).sum(axis=1)
