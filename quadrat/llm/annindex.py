@@ -25,7 +25,10 @@ CODEWORDS = 256
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 512
 RERANK = 200
-SHARE = 0.5
+#: Of each block of a cell so many go on; a block holds some hundred rows, and the nearest of a query lie in many cells.
+PER_BLOCK = 30
+#: Part of all rows that a query's nearest cells must hold.
+SHARE = 0.7
 
 
 @dataclass(frozen=True)
@@ -65,9 +68,10 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray
     for _ in range(rounds):
         near = np.argmin(_distances(x, centres), axis=1)
         count = np.bincount(near, minlength=len(centres))
-        total = np.zeros_like(centres)
-        np.add.at(total, near, x)
+        order = np.argsort(near, kind="stable")
         full = count > 0
+        total = np.zeros_like(centres)
+        total[full] = np.add.reduceat(x[order], (np.cumsum(count) - count)[full])
         centres[full] = total[full] / count[full, None]
     return centres
 
@@ -108,13 +112,13 @@ def _matrix(column: pd.Series) -> np.ndarray:
 def build_index(rows: DataFrame, cells: int | None = None, sample_rows: int = SAMPLE) -> tuple[DataFrame, Codebook]:
     """((vec_id, cell, code) of every row, the codebook). The sample: the lowest hashes of vec_id.
 
-    The number of cells grows with the square root of the rows, up to 4,096.
+    The number of cells grows with the square root of the rows, from one up to 4,096.
     """
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toPandas()
     if sample.empty:
         return rows.select("vec_id", F.lit(0).alias("cell"), F.lit(b"").alias("code")), Codebook(np.zeros((0, 0)), np.zeros((0, 0, 0)))
     count = rows.count()
-    cells = cells or int(max(1, min(4096, 2 * count**0.5, len(sample) / 8)))
+    cells = cells or int(max(1, min(4096, count**0.5 / 4, len(sample) / 8)))
     book = fit_codebook(_unit(_matrix(sample["embedding"])), cells)
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +156,7 @@ def _packed(rows: DataFrame, key: str, fields: list[str], salts: DataFrame, bloc
     return split.groupBy("cell", "salt").agg(F.collect_list(F.struct(*fields)).alias("held")).select("cell", *[F.col(f"held.{f}").alias(f"{f}s") for f in fields])
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SHARE, rerank: int = RERANK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SHARE, rerank: int = RERANK, per_block: int = PER_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query, ties to the smaller vec_id.
 
     ``queries`` are rows of the same form as ``vectors``; a query's own id is no candidate.
@@ -179,7 +183,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SH
                 near = np.zeros((len(query_ids), len(ids)), np.float32)
                 for j in range(code.shape[1]):
                     near += tables[:, j][:, code[:, j]]
-                most = min(rerank + 1, len(ids))
+                most = min(max(per_block, k + 1), len(ids))
                 best = np.argsort(near, axis=1, kind="stable")[:, :most]  # ids ascend, so ties go to the smaller
                 yield pd.DataFrame({"query_id": np.repeat(query_ids, most), "vec_id": ids[best].reshape(-1), "near": np.take_along_axis(near, best, 1).reshape(-1)})
 
