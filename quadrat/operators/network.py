@@ -29,7 +29,8 @@ def summary(edges: DataFrame) -> DataFrame:
     """(nodes, edges, mean_degree, density, heterogeneity): heterogeneity is the degrees' variance over their mean."""
     d = degrees(edges).agg(F.count(F.lit(1)).alias("nodes"), (F.sum("degree") / 2).cast("bigint").alias("edges"), F.avg("degree").alias("mean_degree"), F.var_pop("degree").alias("v"))
     n = F.col("nodes")
-    return d.select("nodes", "edges", "mean_degree", (2.0 * F.col("edges") / (n * (n - 1))).alias("density"), (F.col("v") / F.col("mean_degree")).alias("heterogeneity"))
+    pairs = F.when(n > 1, n * (n - 1))
+    return d.select("nodes", F.coalesce("edges", F.lit(0)).alias("edges"), "mean_degree", (2.0 * F.col("edges") / pairs).alias("density"), (F.col("v") / F.col("mean_degree")).alias("heterogeneity"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -53,10 +54,10 @@ def clustering(edges: DataFrame) -> DataFrame:
 
 
 def transitivity(edges: DataFrame) -> DataFrame:
-    """(transitivity, average_clustering): three times the triangles over the wedges, and the mean over nodes."""
+    """(transitivity, average_clustering): three times the triangles over the wedges (null without wedges), and the mean over nodes."""
     c = clustering(edges)
     wedges = F.sum(F.col("degree") * (F.col("degree") - 1) / 2)
-    return c.agg(F.sum("triangles").alias("t"), wedges.alias("w"), F.avg("clustering").alias("average_clustering")).select(F.when(F.col("w") > 0, F.col("t") / F.when(F.col("w") > 0, F.col("w"))).otherwise(0.0).alias("transitivity"), "average_clustering")
+    return c.agg(F.sum("triangles").alias("t"), wedges.alias("w"), F.avg("clustering").alias("average_clustering")).select(F.when(F.col("w") > 0, F.col("t") / F.when(F.col("w") > 0, F.col("w"))).alias("transitivity"), "average_clustering")
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -90,7 +91,8 @@ def assortativity(edges: DataFrame) -> DataFrame:
     """(assortativity): correlation of the degrees at both ends of edges, in both directions."""
     d = degrees(edges).select("node", "degree")
     ends = both_ways(edges).join(d.withColumnRenamed("node", "a").withColumnRenamed("degree", "da"), "a").join(d.withColumnRenamed("node", "b").withColumnRenamed("degree", "db"), "b")
-    return ends.agg(F.corr("da", "db").alias("assortativity"))
+    varied = (F.min("da") < F.max("da")) & (F.min("db") < F.max("db"))
+    return ends.agg(F.when(varied, F.corr("da", "db")).alias("assortativity"))
 
 
 def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
@@ -111,7 +113,7 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     out = links.groupBy("a").agg(F.sum("weight").alias("out"))
     steps = cut(links.join(out, "a").select("a", "b", (F.col("weight") / F.col("out")).alias("part")))
     nodes = steps.select(F.col("a").alias("node")).distinct()
-    n = nodes.count()
+    n = max(nodes.count(), 1)
     ranks = nodes.select("node", F.lit(1.0 / n).alias("rank"))
     for i in range(rounds):
         got = steps.join(ranks.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
@@ -155,3 +157,34 @@ def neighbour_centroid(edges: DataFrame, positions: DataFrame) -> DataFrame:
     """(node, x, y): mean position of each node's neighbours."""
     near = both_ways(edges).select(F.col("a").alias("node"), F.col("b").alias("other"))
     return near.join(positions.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
+def rewired(edges: DataFrame, reps: int, swaps_per_edge: int = 10, seed: int = 1) -> DataFrame:
+    """(rep, a, b): graphs of the same degrees, by swaps of the ends of two edges.
+
+    Swapping is sequential, so each repetition is one task that holds the edges; the
+    repetitions run side by side. Swaps that would make a loop or a double edge are skipped.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def swap(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng([seed, int(key[0])])
+        rows = pdf.sort_values(["a", "b"])[["a", "b"]].to_numpy()
+        ends = [tuple(r) for r in rows.tolist()]
+        present = {frozenset(e) for e in ends}
+        picks = rng.integers(0, len(ends), (swaps_per_edge * len(ends), 2))
+        for i, j in picks.tolist():
+            (a, b), (c, d) = ends[i], ends[j]
+            one, two = frozenset((a, d)), frozenset((c, b))
+            if len({a, b, c, d}) < 4 or one in present or two in present:
+                continue
+            present -= {frozenset((a, b)), frozenset((c, d))}
+            present |= {one, two}
+            ends[i], ends[j] = (a, d), (c, b)
+        out = np.array([(min(e), max(e)) for e in ends])
+        return pd.DataFrame({"rep": np.int32(key[0]), "a": out[:, 0], "b": out[:, 1]})
+
+    each = edges.select("a", "b").crossJoin(F.broadcast(edges.sparkSession.range(1, reps + 1).select(F.col("id").cast("int").alias("rep"))))
+    kind = dict(edges.dtypes)["a"]
+    return each.groupBy("rep").applyInPandas(swap, f"rep int, a {kind}, b {kind}")

@@ -65,3 +65,19 @@ def power(tests: DataFrame, by: list[str], p: str, alpha: float = 0.05) -> DataF
 def size_for_power(curve: DataFrame, by: list[str], n: str, least: float = 0.8) -> DataFrame:
     """(by, n_needed, power_at_max, verdict): the least n whose power reaches ``least``."""
     return curve.groupBy(*by).agg(F.min(F.when(F.col("power") >= least, F.col(n))).alias("n_needed"), F.max_by("power", n).alias("power_at_max")).withColumn("verdict", F.when(F.col("n_needed").isNotNull(), "Adequate").otherwise("Underpowered"))
+
+
+def taxon_power(values: DataFrame, spiked: DataFrame, group: str, first: str, alpha: float = 0.05) -> DataFrame:
+    """(power, sensitivity, fdr, reps) of rank tests over values (rep, feature, group, v), adjusted within each repetition.
+
+    Power: repetitions with any significant spiked feature; sensitivity: mean share of the
+    spiked features found; fdr: mean share of the other features found.
+    """
+    from . import stats
+
+    tested = stats.mann_whitney(values, ["rep", "feature"], group, first, "v").withColumn("p", stats.normal_tail2("z"))
+    adjusted = stats.benjamini_hochberg(tested, "p", ["rep"], ["feature"])
+    marked = adjusted.join(F.broadcast(spiked.select("feature", F.lit(1).alias("s"))), "feature", "left")
+    found = F.when(F.col("q") < alpha, 1.0).otherwise(0.0)
+    each = marked.groupBy("rep").agg(F.max(F.when(F.col("s") == 1, found)).alias("any"), F.avg(F.when(F.col("s") == 1, found)).alias("sens"), F.avg(F.when(F.col("s").isNull(), found)).alias("false"))
+    return each.agg(F.avg("any").alias("power"), F.avg("sens").alias("sensitivity"), F.avg("false").alias("fdr"), F.count(F.lit(1)).alias("reps"))

@@ -146,3 +146,25 @@ def batch_adjusted(df: DataFrame, batch: str, feature: str, value: str) -> DataF
     joined = df.join(stats([feature, batch], "_b"), [feature, batch]).join(stats([feature], "_f"), feature)
     scaled = F.when(F.col("sd_b") > 0, (F.col(value) - F.col("mean_b")) / F.col("sd_b") * F.col("sd_f") + F.col("mean_f")).otherwise(F.col("mean_f"))
     return joined.withColumn("adjusted", scaled).drop("mean_b", "sd_b", "mean_f", "sd_f")
+
+
+def aliased_columns(df: DataFrame, columns: list[str], tolerance: float = 1e-7) -> list[str]:
+    """Columns that are linear combinations of an intercept and the columns before them.
+
+    Spark computes the cross products; only their small matrix reaches the driver.
+    """
+    import numpy as np
+
+    names = ["1", *columns]
+    col = lambda n: F.lit(1.0) if n == "1" else F.col(n).cast("double")
+    sums = df.agg(*[F.sum(col(a) * col(b)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]).first()
+    gram = np.array([[sums[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(names))] for i in range(len(names))])
+    kept, out = [0], []
+    for j in range(1, len(names)):
+        inner = gram[np.ix_(kept, kept)]
+        left = gram[j, j] - gram[j, kept] @ np.linalg.lstsq(inner, gram[kept, j], rcond=None)[0]
+        if left <= tolerance * max(gram[j, j], 1e-300):
+            out.append(names[j])
+        else:
+            kept.append(j)
+    return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregate, distance, filters, network, ordination, resample, sequences, stats
 from ..sources.study import PATIENTS_SQL, counts, counts_sql, load, patients
 from ..streaming.checkpoints import windowed_totals
-from .ecology import _rounded, bray_sql
+from .ecology import _rounded, bray_sql, r2_sql
 from .registry import Registry
 
 query = Registry()
@@ -78,7 +78,7 @@ def net9_net10_paths_from_hubs(spark, d):
 @query()
 def net10_pagerank(spark, d):
     """A fixed number of power iterations; rows only."""
-    return _rounded(network.pagerank(shared_orders(spark, d)), 9)
+    return _rounded(network.pagerank(shared_orders(spark, d, 2)), 9)
 
 
 @query(f"{E1}, t AS (SELECT sum(weight) AS m FROM ed), st AS (SELECT node % 4 AS g, sum(strength) AS s FROM dg GROUP BY 1), ins AS (SELECT a % 4 AS g, sum(weight) AS w FROM ed WHERE a % 4 = b % 4 GROUP BY 1) SELECT round(sum(coalesce(w, 0) / m - (s / (2 * m)) * (s / (2 * m))), 6) AS modularity FROM st LEFT JOIN ins USING (g), t")
@@ -251,13 +251,56 @@ def prm7_dispersion(spark, d):
 
 
 @query("""WITH s AS (SELECT p_brand, avg(p_retailprice) AS m, stddev_samp(p_retailprice) AS s, quantile_cont(p_retailprice, 0.25) AS q1, quantile_cont(p_retailprice, 0.5) AS q2, quantile_cont(p_retailprice, 0.75) AS q3 FROM part GROUP BY 1), a AS (SELECT p_brand, median(abs(p_retailprice - q2)) AS d FROM part JOIN s USING (p_brand) GROUP BY 1)
-SELECT p_partkey, (abs(p_retailprice - m) > 1.5 * s)::INTEGER + (p_retailprice < q1 - 0.3 * (q3 - q1) OR p_retailprice > q3 + 0.3 * (q3 - q1))::INTEGER + (0.6745 * abs(p_retailprice - q2) > 1.2 * d)::INTEGER AS votes FROM part JOIN s USING (p_brand) JOIN a USING (p_brand)""")
+SELECT p_partkey, (abs(p_retailprice - m) > 1.513 * s)::INTEGER + (p_retailprice < q1 - 0.317 * (q3 - q1) OR p_retailprice > q3 + 0.317 * (q3 - q1))::INTEGER + (0.6745 * abs(p_retailprice - q2) > 1.237 * d)::INTEGER AS votes FROM part JOIN s USING (p_brand) JOIN a USING (p_brand)""")
 def out1_outlier_votes(spark, d):
     rows = load(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice")
-    return ordination.outlier_votes(rows, "p_brand", ["p_retailprice"], 1.5, 0.3, 1.2).select("p_partkey", "votes")
+    return ordination.outlier_votes(rows, "p_brand", ["p_retailprice"], 1.513, 0.317, 1.237).select("p_partkey", "votes")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def ext_windowed_totals(spark, d):
     """An extension: the same function takes a stream of events."""
     return windowed_totals(load(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+@query()
+def net13_rewired_degrees(spark, d):
+    """Degree-preserving null graphs: the clustering of each; the swaps are random, so rows only."""
+    e = shared_orders(spark, d, 2)
+    null = network.rewired(e, 3)
+    return null.groupBy("rep", F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("forward"))
+
+
+@query()
+def pwr5_taxon_power(spark, d):
+    """Power of rank tests on spiked features over bootstrap draws; SQL has no error function, so rows only."""
+    from ..operators.diversity import summed_profile
+
+    profiles = summed_profile(counts(spark, d, "brand"), ["patient"]).select("patient", "feature", "p")
+    spiked = spark.createDataFrame([("Brand#1",), ("Brand#7",), ("Brand#13",)], "feature string")
+    drawn = _boot(spark, d, 20, 12).join(profiles, "patient").join(F.broadcast(spiked.withColumn("s", F.lit(1))), "feature", "left")
+    raised = F.col("p") * F.when((F.col("s") == 1) & (F.col("grp") == "Cancer"), 1.5).otherwise(1.0)
+    return _rounded(resample.taxon_power(drawn.select("rep", "feature", "grp", raised.alias("v")), spiked, "grp", "Cancer"))
+
+
+@query("SELECT unnest(['total', 'twice']) AS aliased")
+def sta12_aliased_columns(spark, d):
+    p = load(spark, d, "part").select("p_size", "p_retailprice", (F.col("p_size") + F.col("p_retailprice")).alias("total"), (2 * F.col("p_size") + 3).alias("twice"))
+    return spark.createDataFrame([(c,) for c in stats.aliased_columns(p, p.columns)], "aliased string")
+
+
+_EFFECTS = f"""WITH {counts_sql('brand')}, {PATIENTS_SQL}, s0 AS (SELECT patient, feature, sum(count) AS count FROM c GROUP BY ALL), {bray_sql('s0', 'patient', 'count')}, pl AS (SELECT 0 AS rep, patient, "case" AS grp FROM pt), {r2_sql('bc', 'patient', 'grp')},
+ sh AS (SELECT patient, ln(sum(count)::DOUBLE) - sum(count * ln(count)) / sum(count) AS v FROM s0 GROUP BY 1), mo AS (SELECT count(*) FILTER (WHERE "case" = 'Cancer') AS n1, count(*) FILTER (WHERE "case" <> 'Cancer') AS n2, avg(v) FILTER (WHERE "case" = 'Cancer') - avg(v) FILTER (WHERE "case" <> 'Cancer') AS d, var_samp(v) FILTER (WHERE "case" = 'Cancer') AS v1, var_samp(v) FILTER (WHERE "case" <> 'Cancer') AS v2 FROM sh JOIN pt USING (patient))"""
+
+
+@query(f"{_EFFECTS} SELECT 'permanova_r2' AS metric, round(r2, 6) AS value FROM r2 UNION ALL SELECT 'shannon_d', round(d / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 4) FROM mo")
+def pwr9_effect_sizes(spark, d):
+    """Effect sizes of case against control: community R-squared and Cohen's d of diversity, each under its own name."""
+    from ..operators import permute
+    from ..operators.diversity import shannon
+
+    s = counts(spark, d, "brand").groupBy("patient", "feature").agg(F.sum("count").alias("count"))
+    units = patients(spark, d).select("patient", F.col("case").alias("grp"))
+    r2 = permute.r_squared(distance.bray_curtis(s, "patient"), units.select(F.lit(0).alias("rep"), "patient", "grp"), "patient", "grp").select(F.lit("permanova_r2").alias("metric"), F.round("r2", 6).alias("value"))
+    moments = stats.two_sample_moments(shannon(s, ["patient"]).join(units, "patient").withColumn("all", F.lit(1)), ["all"], "grp", "Cancer", "shannon")
+    return r2.union(moments.select(F.lit("shannon_d"), F.round("cohens_d", 4)))
