@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_small, materialize, text_key
+from .common import discard, is_small, materialize, text_key
 
 LENGTH, GRAM = 200, 40
 SPAN = LENGTH - GRAM + 1
@@ -140,33 +140,40 @@ def repeated_windows(texts: list[bytes]) -> list[list[tuple[int, int]]]:
     return [_merged(l[s]) if s.any() else [] for l, s in zip(np.split(local, cuts), np.split(same, cuts), strict=True)]
 
 
+SPANS = "gram bigint, whole bigint, spans array<struct<start:int,end:int>>"
+
+
 def _compare(pieces: DataFrame) -> DataFrame:
-    """(gram, whole, start, end) of the repeated spans of pieces (gram, whole, piece), gram by gram."""
-    schema = pa.schema([("gram", pa.int64()), ("whole", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+    """(gram, whole, spans) of pieces (gram, whole, piece) with repeated windows, gram by gram.
+
+    A piece may come more than once (from repeated rows); it counts once.
+    """
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    schema = pa.schema([("gram", pa.int64()), ("whole", pa.int64()), ("spans", kind)])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
-        size = 0
+        held: dict[tuple[int, int], bytes] = {}
+        size, last = 0, None
 
         def done(rows):
-            out = []
-            for (gram, whole, _), spans in zip(rows, repeated_windows([p for _, _, p in rows]), strict=True):
-                out += [(gram, whole, a, b) for a, b in spans]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+            found = [(key, spans) for key, spans in zip(rows, repeated_windows(list(rows.values())), strict=True) if spans]
+            if found:
+                packed = [[{"start": a, "end": b} for a, b in spans] for _, spans in found]
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in found], pa.int64()), pa.array([k[1] for k, _ in found], pa.int64()), pa.array(packed, kind)], schema=schema)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "whole", "piece")), strict=True):
-                if size > CHUNK and held[-1][0] != row[0]:
+            for gram, whole, piece in zip(*(batch.column(c).to_pylist() for c in ("gram", "whole", "piece")), strict=True):
+                if size > CHUNK and last != gram:
                     yield from done(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[2])
+                    held, size = {}, 0
+                last = gram
+                held[gram, whole] = piece
+                size += len(piece)
         if held:
             yield from done(held)
 
     n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pieces.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(run, "gram bigint, whole bigint, start int, end int")
+    return pieces.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(run, SPANS)
 
 
 def _compare_hot(pieces: DataFrame) -> DataFrame:
@@ -181,18 +188,21 @@ def _compare_hot(pieces: DataFrame) -> DataFrame:
                 found = Hashes(raw).of(at, at + LENGTH).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), gram)), pa.array(np.full(len(at), whole)), pa.array(at.astype(np.int32)), pa.array(found)], schema=schema)
 
-    windows = materialize(pieces.mapInArrow(run, "gram bigint, whole bigint, start int, window bigint"), "windows")
+    windows = materialize(pieces.dropDuplicates(["gram", "whole"]).mapInArrow(run, "gram bigint, whole bigint, start int, window bigint"), "windows")
     often = windows.groupBy("gram", "window").count().where("count > 1").select("gram", "window")
-    return windows.join(often, ["gram", "window"], "left_semi").select("gram", "whole", "start", (F.col("start") + LENGTH).alias("end"))
+    span = F.struct("start", (F.col("start") + LENGTH).cast("int").alias("end"))
+    return windows.join(often, ["gram", "window"], "left_semi").groupBy("gram", "whole").agg(F.collect_list(span).alias("spans"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, start, end): byte spans that cover all repeated windows; they may overlap."""
+    """(doc_id, text_key, starts, ends): for each text with repeats the byte spans of all repeated windows; they may overlap."""
     runs = materialize(find_runs(docs), "runs")
     grams = runs.groupBy("gram").agg(F.sum("weight").alias("n")).where("n > 1").select("gram")
     shared = materialize(runs.join(grams, "gram", "left_semi"), "shared")
+    discard(runs)
     sorts = materialize(shared.groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"), F.min(F.struct("doc_id", "text_key", "first", "windows")).alias("at")), "sorts")
-    whole = shared.join(sorts.where("n > 1").select("gram", "whole"), ["gram", "whole"], "left_semi").select("doc_id", "text_key", F.col("first").alias("start"), (F.col("first") + F.col("windows") + LENGTH - 1).alias("end"))
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    whole = shared.join(sorts.where("n > 1").select("gram", "whole"), ["gram", "whole"], "left_semi").select("doc_id", "text_key", F.array(span(F.col("first"), F.col("first") + F.col("windows") + LENGTH - 1)).alias("spans"))
     # Runs that differ but share a gram: their bytes are fetched, once for each distinct run.
     mixed = sorts.groupBy("gram").agg(F.count(F.lit(1)).alias("runs"), F.max("weight").alias("w")).where("runs > 1 or w > 1").select("gram", "runs")
     wanted = materialize(sorts.join(mixed, "gram").select("gram", "whole", "runs", "n", "at.*"), "wanted")
@@ -200,15 +210,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", text_key().alias("text_key"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
     near = texts.alias("t").join(by_doc.alias("b"), F.expr("t.doc_id <=> b.doc_id and t.text_key = b.text_key")).select("t.doc_id", "t.text_key", "raw", "cuts")
     each = near.select("raw", F.explode_outer("cuts").alias("c"))
-    pieces = each.select("c.gram", "c.whole", "c.runs", F.expr("substring(raw, c.first + 1, c.windows + 199)").alias("piece")).dropDuplicates(["gram", "whole"])
-    pieces = materialize(pieces, "pieces")
+    pieces = materialize(each.select("c.gram", "c.whole", "c.runs", F.expr("substring(raw, c.first + 1, c.windows + 199)").alias("piece")), "pieces")
     found = _compare(pieces.where(F.col("runs") <= HOT_RUNS).drop("runs"))
     hot = pieces.where(F.col("runs") > HOT_RUNS).drop("runs")
     if not hot.isEmpty():
         found = found.unionByName(_compare_hot(hot))
     once = wanted.where("n = 1").select("gram", "whole", "doc_id", "text_key", "first")
-    part = found.join(once, ["gram", "whole"]).select("doc_id", "text_key", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"))
-    return whole.unionByName(part)
+    moved = F.transform("spans", lambda s: span(F.col("first") + s["start"], F.col("first") + s["end"]))
+    part = found.join(once, ["gram", "whole"]).select("doc_id", "text_key", moved.alias("spans"))
+    every = F.flatten(F.collect_list("spans")).alias("spans")
+    out = materialize(whole.unionByName(part).groupBy("doc_id", "text_key").agg(every).select("doc_id", "text_key", "spans.start", "spans.end").toDF("doc_id", "text_key", "starts", "ends"), "spans")
+    discard(shared, sorts, wanted, pieces)
+    return out
 
 
 def cut_spans(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -229,9 +242,7 @@ def remove_repeats(docs: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     A null text is empty. Repeated rows are repeats of each other. Texts under 200 bytes
     lose nothing. Repeats are judged on the input, and matches don't cross documents.
     """
-    spans = materialize(repeated_spans(docs).distinct(), "spans")
-    by_doc = spans.groupBy("doc_id", "text_key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    by_doc = materialize(by_doc, "spans-by-doc")
+    by_doc = repeated_spans(docs)
     side = F.broadcast(by_doc) if is_small(by_doc, broadcast_rows // 10) else by_doc
     texts = docs.select("doc_id", text_key().alias("text_key"), "text")
     joined = texts.alias("t").join(side.alias("b"), F.expr("t.doc_id <=> b.doc_id and t.text_key = b.text_key"), "left").select("t.doc_id", "t.text", "b.starts", "b.ends")
