@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SharedFiles, materialize, new_folder
-from .units import UnitCache, in_blocks, is_plain
+from .units import UnitCache, in_blocks, is_bare, is_plain
 
 MAGIC = b"BPLANES1"
 BLOCK = 1 << 16
@@ -134,20 +134,30 @@ def unit_ids(path: str) -> UnitCache:
     opens = np.zeros(max(vocabulary.values()) + 1, bool)
     opens[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True  # tokens that begin with a space
 
+    feed = tokenizer.encode("\n", add_special_tokens=False).ids[0]
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def fill(units: list[str]) -> list[bytes]:
-        """Plain units go through the library in long runs: each space in a run begins a unit, and so an id."""
-        runs = [plain[i : i + 1000] for plain in [[u for u in units if is_plain(u)]] for i in range(0, len(plain), 1000)]
+        """Many units go through the library in one text where the ids show the bounds again: each
+        space of a run of plain units begins one, and bare ones are set apart by line feeds."""
         known: dict[str, bytes] = {}
-        for run, x in zip(runs, tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(x.ids, "<u4")
+        plain, bare = [u for u in units if is_plain(u)], [u for u in units if is_bare(u)]
+        runs = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
+        for run, ids in zip(runs, encode(["".join(r) for r in runs]), strict=True):
             raw, cuts = ids.tobytes(), (np.flatnonzero(opens[ids]) * 4).tolist()
             known.update(zip(run, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)])), strict=True))
+        runs = [bare[i : i + 1000] for i in range(0, len(bare), 1000)]
+        for run, ids in zip(runs, encode(["\n".join(r) for r in runs]), strict=True):
+            raw, cuts = ids.tobytes(), (np.flatnonzero(ids == feed) * 4).tolist()
+            known.update(zip(run, map(raw.__getitem__, map(slice, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)])), strict=True))
         others = [u for u in units if u not in known]
-        for u, x in zip(others, tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            known[u] = np.array(x.ids, "<u4").tobytes()
+        for u, ids in zip(others, encode(others), strict=True):
+            known[u] = ids.tobytes()
         return [known[u] for u in units]
 
-    return UnitCache(fill)
+    return UnitCache(fill, 700_000)
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, parts: int) -> DataFrame:

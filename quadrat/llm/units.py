@@ -9,19 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-CACHED = 400_000
+CACHED = 200_000
 
 
-def split_units(text: str) -> list[str]:
-    """Cut before every space that a non-space follows; the pieces concatenate to ``text``.
-
-    White space here is the widest notion (``str.isspace``): cutting less is always safe.
-    """
-    parts = text.split(" ")
+def _line_units(line: str) -> list[str]:
+    parts = line.split(" ")
+    if line.split() == parts:  # single spaces between words, and no other white space
+        return [parts[0], *[" " + p for p in parts[1:]]]
     units = [parts[0]]
-    if all(parts) and text.split() == parts:  # single spaces between words, and no other white space
-        units += [" " + p for p in parts[1:]]
-        return units if parts[0] else units[1:]
     for p in parts[1:]:
         if p and not p[0].isspace():
             units.append(" " + p)
@@ -30,6 +25,31 @@ def split_units(text: str) -> list[str]:
     return units if units[0] else units[1:]
 
 
+def split_units(text: str) -> list[str]:
+    """Cut before every space that a non-space follows, and around every lone line feed between non-spaces.
+
+    The pieces concatenate to ``text``. White space here is the widest notion
+    (``str.isspace``): cutting less is always safe.
+    """
+    lines = text.split("\n")
+    units: list[str] = []
+    held = ""
+    last = len(lines) - 1
+    for i, line in enumerate(lines):
+        held += line
+        if i < last:
+            after = lines[i + 1]
+            if not line or not after or line[-1].isspace() or after[0].isspace():
+                held += "\n"  # not a lone line feed: no cut here
+                continue
+            units += _line_units(held)
+            units.append("\n")
+        elif held:
+            units += _line_units(held)
+        held = ""
+    return units
+
+
 class UnitCache(dict):
     """unit -> value; ``fill`` computes the values of a list of new units. Bounded: emptied when full."""
 
@@ -42,16 +62,26 @@ class UnitCache(dict):
         cut = [split_units(t) for t in texts]
         if len(self) > self.most:
             self.clear()
-        new = list({u for units in cut for u in units}.difference(self))
-        for start in range(0, len(new), 100_000):
-            some = new[start : start + 100_000]
+        found = [list(map(self.get, units)) for units in cut]
+        holes = [[i for i, v in enumerate(values) if v is None] if None in values else () for values in found]
+        new = list({units[i] for units, at in zip(cut, holes, strict=True) for i in at})
+        for start in range(0, len(new), 20_000):
+            some = new[start : start + 20_000]
             self.update(zip(some, self.fill(some), strict=True))
-        return [list(map(self.__getitem__, units)) for units in cut]
+        for units, values, at in zip(cut, found, holes, strict=True):
+            for i in at:
+                values[i] = self[units[i]]
+        return found
 
 
 def is_plain(unit: str) -> bool:
     """One leading space and no other white space."""
-    return unit[0] == " " and unit[1:].split() == [unit[1:]]
+    return unit[0] == " " and is_bare(unit[1:])
+
+
+def is_bare(unit: str) -> bool:
+    """No white space."""
+    return unit.split() == [unit]
 
 
 def in_blocks(texts: list[str | None], most_chars: int = 4 << 20):
