@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_small, materialize, text_key
+from .common import is_small, materialize, maybe_broadcast, text_key
 
 WINDOW = 10
 GRAM = 5
@@ -135,6 +135,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, broadcast_rows: int = 5
     """The documents in which no window of an item occurs; all columns as they are."""
     windows = materialize(item_windows(items).select("length", "window").distinct(), "windows")
     bad = materialize(window_hits(docs, windows).select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")).distinct(), "contaminated")
-    if is_small(bad, broadcast_rows):
-        bad = F.broadcast(bad)
+    bad = maybe_broadcast(bad, broadcast_rows)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["id_"]) & (text_key() == bad["key_"]), "left_anti")

@@ -1,6 +1,5 @@
 """Operators on documents against plain Python, on texts with every awkward case."""
 
-import base64
 import collections
 import hashlib
 import re
@@ -9,7 +8,6 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from quadrat.llm import bpe, decontaminate, longrepeats, sharding, simhash, tokenstore, units
 
