@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text, transforms
 from ..operators import aggregate, filters, sets
-from ..sources import study
 from ..sources.study import PATIENTS_SQL, TAXONOMY_SQL, counts, counts_sql, load, patients, taxonomy
 from .registry import Registry
 
