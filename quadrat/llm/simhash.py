@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_key
 from .components import connected_components
+from .units import in_blocks
 
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
@@ -111,16 +112,14 @@ def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(0), batch.column(1)]
-            hashes, lengths = [], []
-            for text in batch.column(2).to_pylist():
-                found = shingle_hashes(text, scheme.shingle)
-                hashes.append(np.array(found, np.uint64))
-                lengths.append(len(found))
-            flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-            count = np.array(lengths, np.int64)
-            words = [majority(remix(flat, k), count).view(np.int64) for k in range(scheme.words)]
-            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, words)], names=["doc_id", "text_key", *names])
+            parts: list[list[np.ndarray]] = [[] for _ in names]
+            for _, texts in in_blocks(batch.column(2).to_pylist(), 1 << 20):  # a few megabytes of hashes at a time
+                hashes = [np.array(shingle_hashes(t, scheme.shingle), np.uint64) for t in texts]
+                flat, count = np.concatenate(hashes), np.array([len(h) for h in hashes], np.int64)
+                for k, part in enumerate(parts):
+                    part.append(majority(remix(flat, k), count).view(np.int64))
+            words = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, words)], names=["doc_id", "text_key", *names])
 
     rows = docs.select("doc_id", text_key().alias("text_key"), "text")
     return rows.mapInArrow(run, ", ".join(["doc_id bigint", "text_key bigint", *(f"{n} bigint" for n in names)]))

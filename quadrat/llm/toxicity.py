@@ -28,7 +28,7 @@ SAMPLE = 4_000
 FEATURES = 4096
 PREFIXES = (3, 4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
-CACHED = 300_000
+CACHED = 100_000
 
 
 def word_features(word: str) -> list[str]:
