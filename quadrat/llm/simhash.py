@@ -7,7 +7,8 @@ the tables, and the complete distance of each match is verified.
 
 With s segments every pair within 2 s - 1 bits agrees in some segment up to one bit, so
 the search is exact for such radii; for larger ones the chance to meet grows with the
-number of segments.
+number of segments. A scheme with a similarity takes the matches as candidates only: the
+exact Jaccard similarity of their distinct shingles decides.
 """
 
 from __future__ import annotations
@@ -22,26 +23,32 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_key
+from .common import discard, materialize, maybe_broadcast, text_key
 from .components import connected_components
 from .units import in_blocks
 
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
 ROWS = 255  # what an 8-bit lane can count
+#: Sets of at most so many shingles also meet by shingles, since few shingles give fingerprints of uneven distances.
+SHORT = 10
+BROADCAST_TEXTS = 500_000
 
 
 @dataclass(frozen=True)
 class Scheme:
     """Words of a fingerprint, shingle length, segment width in bits, and the largest distance that links.
 
-    Each word holds ``64 // segment_bits`` segments, from its lowest bit.
+    Each word holds ``64 // segment_bits`` segments, from its lowest bit. With ``similarity``
+    (numerator, denominator) fingerprints are of distinct shingles, ``distance`` only admits
+    candidates, and those whose sets of shingles are at least so similar link.
     """
 
     shingle: int
     words: int
     segment_bits: int
     distance: int
+    similarity: tuple[int, int] | None = None
 
     @property
     def segments(self) -> list[tuple[int, int]]:
@@ -51,9 +58,9 @@ class Scheme:
 #: Three words, one 64-bit fingerprint, links at two bits: two segments of 32 bits find every link.
 CONTRACT = Scheme(shingle=3, words=1, segment_bits=32, distance=2)
 #: Five words and 320 bits. Sets of Jaccard similarity 0.8 have cosine 8/9, so each bit differs with chance
-#: acos(8/9) / pi = 0.151: 48 bits expected, 52 allowed. Fifteen tables of 20 bits meet such a pair with chance 0.94,
-#: at similarity 0.85 with 0.98 and at 0.9 with over 0.99.
-NEAR_COPIES = Scheme(shingle=5, words=5, segment_bits=20, distance=52)
+#: acos(8/9) / pi = 0.151: 48 bits expected with a deviation of 6.4, 84 admitted. Twenty tables of 16 bits meet such a
+#: pair with chance 0.998; sets of at most ten shingles always meet.
+NEAR_COPIES = Scheme(shingle=5, words=5, segment_bits=16, distance=84, similarity=(4, 5))
 
 
 def shingle_hashes(text: str | None, shingle: int) -> list[int]:
@@ -106,23 +113,62 @@ def majority(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def meeting_shingles(hashes: np.ndarray, similarity: tuple[int, int]) -> list[int]:
+    """Of at most ``SHORT`` sorted shingles the first, as many as make two similar sets share one; of more: none.
+
+    Sets as similar share at least ``similarity`` of either one's shingles, so their least common one is among
+    the first that are left when all of those but one are taken from the end.
+    """
+    n, (part, whole) = len(hashes), similarity
+    return hashes[: n + 1 + -n * part // whole].view(np.int64).tolist() if 0 < n <= SHORT else []
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFrame:
+    """(text_key, shingles): the distinct shingle hashes of the texts whose key is in ``wanted``, a row for each key."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0)
+            for start, texts in in_blocks(batch.column(1).to_pylist(), 1 << 20):
+                sets = [np.unique(np.array(shingle_hashes(t, scheme.shingle), np.uint64)).view(np.int64) for t in texts]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([keys.slice(start, len(texts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["text_key", "shingles"])
+
+    rows = docs.select(text_key().alias("text_key"), "text").join(maybe_broadcast(wanted, BROADCAST_TEXTS), "text_key", "left_semi")
+    return rows.mapInArrow(run, "text_key bigint, shingles array<bigint>").dropDuplicates(["text_key"])
+
+
 def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """(doc_id, text_key, w0, w1, ...) of every row; no words: zeros. One pass, no shuffle."""
+    """(doc_id, text_key, w0, w1, ...) of every row; no words: zeros. One pass, no shuffle.
+
+    With a similarity also n, set_key (number and digest of the distinct shingles) and short (see ``meeting_shingles``).
+    """
     names = [f"w{k}" for k in range(scheme.words)]
+    exact = scheme.similarity
+    extra = ["n", "set_key", "short"] if exact else []
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[list[np.ndarray]] = [[] for _ in names]
+            sets: list[tuple[int, int, list[int]]] = []
             for _, texts in in_blocks(batch.column(2).to_pylist(), 1 << 20):  # a few megabytes of hashes at a time
                 hashes = [np.array(shingle_hashes(t, scheme.shingle), np.uint64) for t in texts]
+                if exact:
+                    hashes = [np.unique(h) for h in hashes]
+                    sets += [(len(h), _signed(xxhash.xxh64_intdigest(h.tobytes())), meeting_shingles(h, exact)) for h in hashes]
                 flat, count = np.concatenate(hashes), np.array([len(h) for h in hashes], np.int64)
                 for k, part in enumerate(parts):
                     part.append(majority(remix(flat, k), count).view(np.int64))
             words = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, words)], names=["doc_id", "text_key", *names])
+            more = [pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64()), pa.array([x[2] for x in sets], pa.list_(pa.int64()))] if exact else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, words), *more], names=["doc_id", "text_key", *names, *extra])
 
     rows = docs.select("doc_id", text_key().alias("text_key"), "text")
-    return rows.mapInArrow(run, ", ".join(["doc_id bigint", "text_key bigint", *(f"{n} bigint" for n in names)]))
+    return rows.mapInArrow(run, ", ".join(["doc_id bigint", "text_key bigint", *(f"{n} bigint" for n in names), *(f"{n} {'array<bigint>' if n == 'short' else 'bigint'}" for n in extra)]))
 
 
 def _segment(word: Column, shift: int, bits: int) -> Column:
@@ -141,7 +187,8 @@ def table_rows(prints: DataFrame, scheme: Scheme, ball: bool, *carried: Column)
     """
     bits = scheme.segment_bits
     own = [_key(t, _segment(F.col(f"w{w}"), shift, bits), bits) for t, (w, shift) in enumerate(scheme.segments)]
-    rows = prints.select(*carried, F.explode(F.array(*own)).alias("key"))
+    keys = F.concat(F.array(*own), F.col("short")) if scheme.similarity else F.array(*own)
+    rows = prints.select(*carried, F.explode(keys).alias("key"))
     if not ball:
         return rows
     flips = [0, *(1 << b for b in range(bits))]
@@ -154,38 +201,52 @@ def _distance(a: str, b: str, words: int) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}w{k}").bitwiseXOR(F.col(f"{b}w{k}"))) for k in range(words)])
 
 
-def _verified(pairs: DataFrame, prints: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs (a, b) of fingerprint ids that are within the scheme's distance."""
-    side = lambda x: prints.select(F.col("fp_id").alias(x), *[F.col(f"w{k}").alias(f"{x}_w{k}") for k in range(scheme.words)])
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_distance("a_", "b_", scheme.words) <= scheme.distance).select("a", "b")
-
-
-def link_components(prints: DataFrame, scheme: Scheme) -> DataFrame:
+def _verified(pairs: DataFrame, prints: DataFrame, scheme: Scheme, docs: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) of fingerprint ids that are within the scheme's distance and, if it has one, its similarity."""
+    more = ["n", "text_key"] if scheme.similarity else []
+    side = lambda x: prints.select(F.col("fp_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in [*(f"w{k}" for k in range(scheme.words)), *more]])
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_distance("a_", "b_", scheme.words) <= scheme.distance)
+    if not scheme.similarity:
+        return near.select("a", "b")
+    part, whole = scheme.similarity
+    near = near.where(F.least("a_n", "b_n") * whole >= F.greatest("a_n", "b_n") * part)
+    near = materialize(near.select("a", "b", "a_n", "b_n", "a_text_key", "b_text_key"), "candidates")
+    wanted = near.select(F.explode(F.array("a_text_key", "b_text_key")).alias("text_key")).distinct()
+    sets = materialize(shingle_sets(docs, wanted, scheme), "shingle-sets")
+    held = lambda x: sets.select(F.col("text_key").alias(f"{x}_text_key"), F.col("shingles").alias(f"{x}_shingles"))
+    common = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    similar = near.join(held("a"), "a_text_key").join(held("b"), "b_text_key").where(common * whole >= (F.col("a_n") + F.col("b_n") - common) * part)
+    links = materialize(similar.select("a", "b"), "similar")
+    discard(near, sets)
+    return links
+
+
+def link_components(prints: DataFrame, scheme: Scheme, docs: DataFrame | None = None) -> DataFrame:
     """(fp_id, component) of the distinct fingerprints (fp_id, w0, ...) that have a link to another.
 
     First the fingerprints of each table entry are linked to the entry's smallest one,
     which joins large groups of copies by as many pairs as they have members. Then all
-    pairs that meet in a table and are not yet joined are fetched and verified.
+    pairs that meet in a table and are not yet joined are fetched and verified. A scheme
+    with a similarity needs ``docs`` and, in ``prints``, the columns n, short and text_key.
     """
     spans = scheme.words > 1
     entries = table_rows(prints, scheme, False, "fp_id")
     leaders = entries.groupBy("key").agg(F.min("fp_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
     star = entries.join(leaders, "key").where("fp_id <> b").select(F.col("fp_id").alias("a"), "b").distinct()
-    first = materialize(_verified(star, prints, scheme), "star")
+    first = materialize(_verified(star, prints, scheme, docs), "star")
     grouped = connected_components(first)
     labelled = prints.join(grouped.withColumnRenamed("node", "fp_id"), "fp_id", "left").withColumn("component", F.coalesce("component", "fp_id"))
-    # With several words, another word of the fingerprint, independent of the segment's, is carried to sift chance matches:
-    # a word of a pair within the distance differs in few bits.
-    most = 64 if not spans else min(64, round(64 * scheme.distance / (64 * scheme.words) * 2.2))
+    # With several words, two of them are carried to sift chance matches: in both together a pair within the distance
+    # differs in few bits: 19 expected at similarity 0.8 and five words, with a deviation of 4.1.
+    most = round(scheme.distance * 2 / scheme.words * 1.25) if spans else scheme.distance
     carried = [F.col("fp_id"), F.col("component"), *([F.col(f"w{scheme.words - 1}").alias("s1"), F.col("w0").alias("s0")] if spans else [F.col("w0").alias("s1")])]
     probes = table_rows(labelled, scheme, True, *carried)
     table = table_rows(labelled, scheme, False, *[c.alias(n) for c, n in zip(carried, ["to_id", "to_component", "to_s1", "to_s0"], strict=False)])
-    near = F.bit_count(F.col("s1").bitwiseXOR(F.col("to_s1"))) <= (most if spans else scheme.distance)
-    if spans:
-        near &= F.bit_count(F.col("s0").bitwiseXOR(F.col("to_s0"))) <= most
+    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("to_s1")))
+    near = (apart + F.bit_count(F.col("s0").bitwiseXOR(F.col("to_s0"))) if spans else apart) <= most
     met = probes.join(table, (probes["key"] == table["key"]) & (F.col("component") != F.col("to_component")) & near)
     pairs = met.select(F.least("fp_id", "to_id").alias("a"), F.greatest("fp_id", "to_id").alias("b")).distinct()
-    links = _verified(pairs, prints, scheme) if spans else pairs
+    links = _verified(pairs, prints, scheme, docs) if spans else pairs
     edges = materialize(links.union(first), "links")
     return connected_components(edges).select(F.col("node").alias("fp_id"), "component")
 
@@ -198,14 +259,17 @@ def near_copies(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """
     words = [f"w{k}" for k in range(scheme.words)]
     rows = materialize(fingerprints(docs, scheme), "fingerprints")
-    # Of equal fingerprints one goes on; its id is the first word, or a hash where there are several.
-    groups = rows.groupBy(*words).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    groups = materialize(groups.withColumn("fp_id", F.col("w0") if scheme.words == 1 else F.xxhash64(*words)), "distinct")
-    found = link_components(groups.select("fp_id", *words), scheme)
+    same = [*words, "n", "set_key"] if scheme.similarity else words
+    # Of equal fingerprints (and shingles, where these decide) one goes on; its id is the first word, or a hash where there are several.
+    more = [F.min("short").alias("short"), F.min("text_key").alias("text_key")] if scheme.similarity else []
+    groups = rows.groupBy(*same).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("count"), *more)
+    groups = materialize(groups.withColumn("fp_id", F.col("w0") if scheme.words == 1 else F.xxhash64(*same)), "distinct")
+    carried = ["n", "short", "text_key"] if scheme.similarity else []
+    found = link_components(groups.select("fp_id", *words, *carried), scheme, docs)
     named = groups.join(found, "fp_id", "left").withColumn("component", F.coalesce("component", "fp_id"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("size")).where("size > 1")
-    ids = materialize(named.join(least, "component").select(*words, "component_id"), "component-ids")
-    joined = rows.join(ids, words, "left")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("count").alias("size")).where("size > 1")
+    ids = materialize(named.join(least, "component").select(*same, "component_id"), "component-ids")
+    joined = rows.join(ids, same, "left")
     return joined.select("doc_id", "text_key", *words, F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -281,3 +281,22 @@ def test_near_copies_keep_one_of_each_group(spark, docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, _ in texts]
     assert simhash.drop_near_copies(df.limit(0)).count() == 0
     assert simhash.drop_near_copies(docs).where("doc_id = 7").count() == 1
+
+
+@pytest.mark.parametrize(("size", "shared", "linked"), [(178, 156, False), (180, 160, True), (182, 164, True), (185, 170, True), (9, 8, True)])
+def test_near_copies_link_from_similarity_four_fifths(spark, size, shared, linked):
+    """Pairs of ``size`` shingles each of which they share ``shared``: 0.78, 0.80, 0.82, 0.85, and 0.80 of short texts."""
+    pairs = 60
+    docs = []
+    for p in range(pairs):
+        first = [f"p{p}x{i}" for i in range(size + 4)]
+        docs += [(2 * p, " ".join(first)), (2 * p + 1, " ".join([*first[: shared + 4], *[f"q{p}x{i}" for i in range(size - shared)]]))]
+    kept = simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 2 * pairs, 2 if linked else 1))
+
+
+def test_repeated_shingles_count_once(spark):
+    """A line repeated in one of two texts changes neither's set of shingles by much."""
+    text = phrase(0, 200)
+    docs = [(1, text), (2, text + (" " + phrase(190, 10)) * 60)]
+    assert [r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()] == [1]
