@@ -25,8 +25,8 @@ CODEWORDS = 256
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 512
 RERANK = 200
-#: Of each block of a cell so many go on; a block holds some hundred rows, and the nearest of a query lie in many cells.
-PER_BLOCK = 30
+#: Candidates that a task holds before it drops those that are not among the best of their query.
+HELD = 1_000_000
 #: Part of all rows that a query's nearest cells must hold.
 SHARE = 0.7
 
@@ -156,7 +156,14 @@ def _packed(rows: DataFrame, key: str, fields: list[str], salts: DataFrame, bloc
     return split.groupBy("cell", "salt").agg(F.collect_list(F.struct(*fields)).alias("held")).select("cell", *[F.col(f"held.{f}").alias(f"{f}s") for f in fields])
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SHARE, rerank: int = RERANK, per_block: int = PER_BLOCK) -> DataFrame:
+def _best(parts: list[pd.DataFrame], most: int) -> pd.DataFrame:
+    """Of each query the ``most`` candidates of the least distance, ties to the smaller vec_id."""
+    rows = pd.concat(parts, ignore_index=True)
+    rows = rows.iloc[np.lexsort((rows["vec_id"], rows["near"], rows["query_id"]))]
+    return rows[rows.groupby("query_id", sort=False).cumcount() < most]
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SHARE, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query, ties to the smaller vec_id.
 
     ``queries`` are rows of the same form as ``vectors``; a query's own id is no candidate.
@@ -172,7 +179,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SH
     blocks = _packed(index, "vec_id", ["vec_id", "code"], size_of(index), BLOCK_ROWS)
     asks = _packed(visits, "query_id", ["query_id", "unit"], size_of(visits), BLOCK_QUERIES)
 
+    # A query's own row is dropped later, hence one more. What a task drops has ``rerank`` better ones in that task.
+    most_of_query = max(rerank, k) + 1
+
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        count = 0
         for b in batches:
             for cell, ids, codes, query_ids, units in zip(b["cell"], b["vec_ids"], b["codes"], b["query_ids"], b["units"], strict=True):
                 ids, query_ids = np.asarray(ids), np.asarray(query_ids)
@@ -183,9 +195,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SH
                 near = np.zeros((len(query_ids), len(ids)), np.float32)
                 for j in range(code.shape[1]):
                     near += tables[:, j][:, code[:, j]]
-                most = min(max(per_block, k + 1), len(ids))
+                most = min(most_of_query, len(ids))
                 best = np.argsort(near, axis=1, kind="stable")[:, :most]  # ids ascend, so ties go to the smaller
-                yield pd.DataFrame({"query_id": np.repeat(query_ids, most), "vec_id": ids[best].reshape(-1), "near": np.take_along_axis(near, best, 1).reshape(-1)})
+                held.append(pd.DataFrame({"query_id": np.repeat(query_ids, most), "vec_id": ids[best].reshape(-1), "near": np.take_along_axis(near, best, 1).reshape(-1)}))
+                count += len(held[-1])
+                if count > HELD:
+                    held = [_best(held, most_of_query)]
+                    count = len(held[0])
+                    if count > HELD / 2:  # many queries: the merge takes over
+                        yield held[0]
+                        held, count = [], 0
+        if held:
+            yield _best(held, most_of_query)
 
     met = blocks.join(asks, "cell").mapInPandas(rank, "query_id bigint, vec_id bigint, near float").where("query_id <> vec_id")
     best = met.groupBy("query_id").agg(F.expr(f"slice(array_sort(collect_list(struct(near, vec_id))), 1, {rerank})").alias("best"))

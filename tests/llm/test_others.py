@@ -170,6 +170,25 @@ def test_small_tables_are_searched_exactly(spark):
     assert hits / 60 >= 0.9
 
 
+@pytest.mark.parametrize("held", [annindex.HELD, 3000])
+def test_near_equal_vectors_of_one_cell_are_found(spark, held, monkeypatch):
+    """Groups of 300 vectors close together, among as many spread ones: recall at 5 against brute force."""
+    monkeypatch.setattr(annindex, "HELD", held)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(10, 64))
+    x = np.concatenate((np.repeat(centres, 300, axis=0) + 0.1 * rng.normal(size=(3000, 64)), rng.normal(size=(3000, 64))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = annindex.nearest_of_every_fiftieth(df.where("vec_id < 3000 or vec_id % 50 > 0")).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    there = np.array([i < 3000 or i % 50 > 0 for i in range(6000)])
+    hits = 0
+    for q in range(0, 3000, 50):
+        s = np.where(there, u @ u[q], -9)
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:5]) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert len(got) == 300 and hits / 300 >= 0.97
+
+
 def test_few_and_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id bigint, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in annindex.nearest_of_every_fiftieth(df).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
