@@ -116,48 +116,58 @@ def read_range(source, first: int, count: int) -> np.ndarray:
     return np.concatenate(found)[first % block : first % block + count] if found else np.zeros(0, "<u4")
 
 
-@lru_cache(2)
-def unit_ids(path: str) -> UnitCache:
-    """unit -> its ids as little-endian uint32 bytes. One for each worker process.
-
-    The strings of special tokens in a text are ordinary text.
-    """
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class TokenIds:
+    """Ids of whole texts as little-endian uint32 bytes, as the library gives them with ``add_special_tokens=False``."""
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    def __init__(self, path: str):
+        import os
 
-    vocabulary = tokenizer.get_vocab()
-    opens = np.zeros(max(vocabulary.values()) + 1, bool)
-    opens[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True  # tokens that begin with a space
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    feed = tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True  # tokens that begin with a space
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.units = UnitCache(self._fill, bytes.__add__, 400_000)
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def fill(units: list[str]) -> list[bytes]:
+    def _fill(self, units: list[str]) -> list[bytes]:
         """Many units go through the library in one text where the ids show the bounds again: each
         space of a run of plain units begins one, and bare ones are set apart by line feeds."""
         known: dict[str, bytes] = {}
-        plain, bare = [u for u in units if is_plain(u)], [u for u in units if is_bare(u)]
+        feed = np.array([self.feed], "<u4").tobytes()
+        fed = [u for u in units if u[0] == "\n" and is_bare(u[1:])]
+        plain, bare = [u for u in units if is_plain(u)], list(dict.fromkeys([*(u for u in units if is_bare(u)), *(u[1:] for u in fed)]))
         runs = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        for run, ids in zip(runs, encode(["".join(r) for r in runs]), strict=True):
-            raw, cuts = ids.tobytes(), (np.flatnonzero(opens[ids]) * 4).tolist()
+        for run, ids in zip(runs, self._encode(["".join(r) for r in runs]), strict=True):
+            raw, cuts = ids.tobytes(), (np.flatnonzero(self.opens[ids]) * 4).tolist()
             known.update(zip(run, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)])), strict=True))
         runs = [bare[i : i + 1000] for i in range(0, len(bare), 1000)]
-        for run, ids in zip(runs, encode(["\n".join(r) for r in runs]), strict=True):
-            raw, cuts = ids.tobytes(), (np.flatnonzero(ids == feed) * 4).tolist()
+        for run, ids in zip(runs, self._encode(["\n".join(r) for r in runs]), strict=True):
+            raw, cuts = ids.tobytes(), (np.flatnonzero(ids == self.feed) * 4).tolist()
             known.update(zip(run, map(raw.__getitem__, map(slice, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)])), strict=True))
+        known.update((u, feed + known[u[1:]]) for u in fed)
         others = [u for u in units if u not in known]
-        for u, ids in zip(others, encode(others), strict=True):
-            known[u] = ids.tobytes()
+        known.update((u, ids.tobytes()) for u, ids in zip(others, self._encode(others), strict=True))
         return [known[u] for u in units]
 
-    return UnitCache(fill, 700_000)
+    def encode(self, texts: list[str]) -> list[list[bytes]]:
+        """For each text parts that concatenate to its ids. A text that holds the string of a special token goes
+        through the library as a whole."""
+        whole = [any(s in t for s in self.specials) for t in texts]
+        found = iter(self.units.lookup([t for t, w in zip(texts, whole, strict=True) if not w]))
+        return [[self._encode([t])[0].tobytes()] if w else next(found) for t, w in zip(texts, whole, strict=True)]
+
+
+@lru_cache(2)
+def token_ids(path: str) -> TokenIds:
+    """One for each worker process."""
+    return TokenIds(path)
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, parts: int) -> DataFrame:
@@ -169,7 +179,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, part
 
     def write(batches):
         part = TaskContext.get().partitionId()
-        encode = unit_ids(path).lookup
+        encode = token_ids(path).encode
 
         def documents():
             for batch in batches:

@@ -100,12 +100,23 @@ def test_drop_contaminated_keeps_columns_and_clean_rows(spark, docs):
 
 # --- token ids and BPE -----------------------------------------------------------------------------------------
 
-HARD = ["", "a  b", "  a", "a ", "\n b", " \nb", "a\u0085 b\x1c c", "don't 's  's", "日本 12½ x▁y", "x" * 3000, " " * 50 + "a", "éü\tß  \r\n q", "<|endoftext|> a", "a\n\nb", "a.\nB"]
+HARD = ["", "a  b", "  a", "a ", "\n b", " \nb", "a\u0085 b\x1c c", "don't 's  's", "日本 12½ x▁y", "x" * 3000, " " * 50 + "a", "éü\tß  \r\n q", "<|endoftext|> a", "a\n\nb", "a.\nB", "ab, cd»,\nef*** g!?x h'. i\u00b2, \x00\x00 ok.", "tab\there,\tx", "\nfirst.\nlast\n"]
 
 
 def test_units_join_to_the_text():
     for t in [*HARD, *[t for _, t in TEXTS if t]]:
         assert "".join(units.split_units(t)) == t
+        assert "".join(map(units.unit_of, units.slow_keys(t))) == t
+
+
+def test_cache_forgets_and_stays_right():
+    seen = []
+    cache = units.UnitCache(lambda us: [seen.append(u) or u for u in us], str.__add__, 20)
+    texts = [*HARD, *[f"word{i}, word{i % 7} x{i}\ny{i}!? z{i}»," for i in range(60)]] * 2
+    for i in range(0, len(texts), 5):
+        for t, values in zip(texts[i : i + 5], cache.lookup(texts[i : i + 5]), strict=True):
+            assert "".join(values) == t
+    assert len(cache) < 200
 
 
 def test_bpe_equals_the_rank_tokenizer():
@@ -149,9 +160,10 @@ def test_token_round_trip(docs, empty):
 
     path = p.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    more = [(20, "before <|endoftext|> after"), (21, "<|endoftext|>"), *((30 + i, t) for i, t in enumerate(HARD))]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame([(i, t, "en", "s", 1, "clash") for i, t in more], SCHEMA))
     want, start = [], 0
-    for d, text in sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0)):
+    for d, text in sorted([*TEXTS, *more], key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
