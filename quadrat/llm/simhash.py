@@ -9,10 +9,17 @@ With s segments every pair within 2 s - 1 bits agrees in some segment up to one
 the search is exact for such radii; for larger ones the chance to meet grows with the
 number of segments. A scheme with a similarity takes the matches as candidates only: the
 exact Jaccard similarity of their distinct shingles decides.
+
+Large groups of near copies are never compared pair by pair. Table entries that nearly
+agree form families. A large family is compared with one of its members, the leader;
+two members that are not both linked to it can only be similar if they share a shingle
+that the leader lacks, or if one is shorter than the leader (``_split_groups``), so only
+members that meet by such a shingle are compared further.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -23,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, maybe_broadcast, text_key
+from .common import materialize, maybe_broadcast, text_key
 from .components import connected_components
 from .units import in_blocks
 
@@ -33,6 +40,11 @@ ROWS = 255  # what an 8-bit lane can count
 #: Sets of at most so many shingles also meet by shingles, since few shingles give fingerprints of uneven distances.
 SHORT = 10
 BROADCAST_TEXTS = 500_000
+#: Groups of at most so many rows are compared pair by pair; larger ones are split first.
+GROUP = 64
+LEVELS = 6
+#: Shingles of the leaders that a broadcast may hold: 16 MB.
+BROADCAST_SHINGLES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -57,10 +69,28 @@ class Scheme:
 
 #: Three words, one 64-bit fingerprint, links at two bits: two segments of 32 bits find every link.
 CONTRACT = Scheme(shingle=3, words=1, segment_bits=32, distance=2)
-#: Five words and 320 bits. Sets of Jaccard similarity 0.8 have cosine 8/9, so each bit differs with chance
-#: acos(8/9) / pi = 0.151: 48 bits expected with a deviation of 6.4, 84 admitted. Twenty tables of 16 bits meet such a
-#: pair with chance 0.998; sets of at most ten shingles always meet.
-NEAR_COPIES = Scheme(shingle=5, words=5, segment_bits=16, distance=84, similarity=(4, 5))
+
+
+def near_copies_scheme(rows: int, loss: float = 0.002) -> Scheme:
+    """Jaccard similarity 0.8 of five-word shingles, for a table of ``rows`` rows.
+
+    Sets of Jaccard similarity 0.8 have cosine 8/9, so each bit differs with chance p = acos(8/9) / pi = 0.151.
+    Segments widen with the logarithm of the rows, so chance meetings stay in proportion to the rows, and there are as many
+    tables as make such a pair meet but for ``loss``: 20 of 16 bits up to 262,144 rows. ``distance`` admits 5.6 deviations
+    above the mean: 84 bits of 320. Sets of at most ten shingles always meet.
+    """
+    p = math.acos(8 / 9) / math.pi
+    bits = max(16, math.ceil(math.log2(max(rows, 1))) - 2)
+    meet = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    tables = math.ceil(math.log(loss) / math.log(1 - meet))
+    words = -(-tables // (64 // bits))
+    return Scheme(shingle=5, words=words, segment_bits=bits, distance=_admitted(64 * words), similarity=(4, 5))
+
+
+def _admitted(bits: int) -> int:
+    """The mean of differing bits at similarity 0.8 and 5.6 deviations."""
+    p = math.acos(8 / 9) / math.pi
+    return int(p * bits + 5.6 * math.sqrt(bits * p * (1 - p)))
 
 
 def shingle_hashes(text: str | None, shingle: int) -> list[int]:
@@ -201,54 +231,175 @@ def _distance(a: str, b: str, words: int) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}w{k}").bitwiseXOR(F.col(f"{b}w{k}"))) for k in range(words)])
 
 
-def _verified(pairs: DataFrame, prints: DataFrame, scheme: Scheme, docs: DataFrame | None) -> DataFrame:
-    """The pairs (a, b) of fingerprint ids that are within the scheme's distance and, if it has one, its similarity."""
-    more = ["n", "text_key"] if scheme.similarity else []
-    side = lambda x: prints.select(F.col("fp_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in [*(f"w{k}" for k in range(scheme.words)), *more]])
+def _within_distance(pairs: DataFrame, prints: DataFrame, scheme: Scheme, *more: str) -> DataFrame:
+    """The pairs (a, b) of fingerprint ids that are within the scheme's distance; ``more`` columns of both come along as a_, b_."""
+    words = [f"w{k}" for k in range(scheme.words)]
+    side = lambda x: prints.select(F.col("fp_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in [*words, *more]])
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(_distance("a_", "b_", scheme.words) <= scheme.distance)
-    if not scheme.similarity:
-        return near.select("a", "b")
+    return near.select("a", "b", *[f"{x}_{c}" for x in "ab" for c in more])
+
+
+def _fits(scheme: Scheme, a: Column, b: Column) -> Column:
+    """Whether sets of these sizes can be similar at all."""
     part, whole = scheme.similarity
-    near = near.where(F.least("a_n", "b_n") * whole >= F.greatest("a_n", "b_n") * part)
-    near = materialize(near.select("a", "b", "a_n", "b_n", "a_text_key", "b_text_key"), "candidates")
-    wanted = near.select(F.explode(F.array("a_text_key", "b_text_key")).alias("text_key")).distinct()
-    sets = materialize(shingle_sets(docs, wanted, scheme), "shingle-sets")
+    return F.least(a, b) * whole >= F.greatest(a, b) * part
+
+
+def _similar(pairs: DataFrame, prints: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """The pairs whose sets of shingles are as similar as the scheme asks, by exact count."""
+    part, whole = scheme.similarity
+    near = _within_distance(pairs, prints, scheme, "n", "text_key").where(_fits(scheme, F.col("a_n"), F.col("b_n")))
     held = lambda x: sets.select(F.col("text_key").alias(f"{x}_text_key"), F.col("shingles").alias(f"{x}_shingles"))
     common = F.size(F.array_intersect("a_shingles", "b_shingles"))
-    similar = near.join(held("a"), "a_text_key").join(held("b"), "b_text_key").where(common * whole >= (F.col("a_n") + F.col("b_n") - common) * part)
-    links = materialize(similar.select("a", "b"), "similar")
-    discard(near, sets)
-    return links
+    return near.join(held("a"), "a_text_key").join(held("b"), "b_text_key").where(common * whole >= (F.col("a_n") + F.col("b_n") - common) * part).select("a", "b")
+
+
+def _sketch(scheme: Scheme) -> tuple[list[Column], Column]:
+    """Columns s1 (and s0) that sift chance matches, and the test of them against to_s1, to_s0.
+
+    With several words two are carried: of their 128 bits 42 may differ (19 expected at similarity 0.8, deviation 4.1),
+    which a similar pair exceeds with a chance under one in ten million.
+    """
+    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("to_s1")))
+    if scheme.words == 1:
+        return [F.col("w0").alias("s1")], apart <= scheme.distance
+    return [F.col(f"w{scheme.words - 1}").alias("s1"), F.col("w0").alias("s0")], apart + F.bit_count(F.col("s0").bitwiseXOR(F.col("to_s0"))) <= _admitted(128)
+
+
+def _renamed(rows: DataFrame) -> DataFrame:
+    return rows.select("key", *[F.col(c).alias("to_id" if c == "fp_id" else f"to_{c}") for c in rows.columns if c != "key"])
+
+
+def _star(prints: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b): the fingerprints of each table entry against the entry's smallest one, sifted. As many as there are entries at most."""
+    carried, near = _sketch(scheme)
+    entries = table_rows(prints, scheme, False, "fp_id", *carried)
+    kept = [c for c in entries.columns if c != "key"]
+    leaders = entries.groupBy("key").agg(F.min(F.struct(*kept)).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    leaders = leaders.select("key", *[F.col(f"l.{c}").alias("to_id" if c == "fp_id" else f"to_{c}") for c in kept])
+    return entries.join(leaders, "key").where((F.col("fp_id") != F.col("to_id")) & near).select(F.col("fp_id").alias("a"), F.col("to_id").alias("b")).distinct()
+
+
+def _across(labelled: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b): the pairs of different components that meet in a table, sifted.
+
+    In a key of many entries the rows of its largest component meet only the rows of others, and with one-word
+    fingerprints the key is split by what the rest of the bits must share: of three parts of the other half one is
+    equal where at most two bits differ.
+    """
+    carried, near = _sketch(scheme)
+    carried = [F.col("fp_id"), F.col("component"), *carried]
+    probes, table = table_rows(labelled, scheme, True, *carried), table_rows(labelled, scheme, False, *carried)
+    apart = near & (F.col("component") != F.col("to_component"))
+    hot = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("key")
+    share = table.join(hot, "key").groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    hot = materialize(share.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "hot-keys")
+    found = lambda x, y, *on: x.join(_renamed(y).withColumnsRenamed({f"to_{c}": c for c in on}), ["key", *on]).where(apart)
+    if hot.isEmpty():
+        met = found(probes, table)
+    else:
+        side = maybe_broadcast(hot, BROADCAST_TEXTS)
+        held, kept = probes.join(side, "key", "left"), table.join(side, "key", "left")
+        minor, major = F.col("main").isNull() | (F.col("component") != F.col("main")), F.col("component") == F.col("main")
+        if scheme.words == 1 and scheme.distance <= 2:
+            met = found(held.where("main is null").drop("main"), kept.where("main is null").drop("main"))
+            part = F.explode(F.array(*[F.shiftright("other", 11 * j).bitwiseAND(F.lit(2047)).bitwiseOR(F.lit(j << 11)) for j in range(3)]))
+            other = F.when(F.shiftrightunsigned("key", scheme.segment_bits) == 0, F.shiftrightunsigned("s1", 32)).otherwise(F.col("s1").bitwiseAND(F.lit((1 << 32) - 1)))
+            cut = lambda x: x.where("main is not null").drop("main").withColumn("other", other).withColumn("part", part).drop("other")
+            met = met.select("fp_id", "to_id").unionByName(found(cut(held), cut(kept), "part").select("fp_id", "to_id"))
+        else:
+            met = found(held.where(minor).drop("main"), table).select("fp_id", "to_id").unionByName(found(held.where(major).drop("main"), kept.where(minor & F.col("main").isNotNull()).drop("main")).select("fp_id", "to_id"))
+    return met.select(F.least("fp_id", "to_id").alias("a"), F.greatest("fp_id", "to_id").alias("b")).distinct()
+
+
+def _labelled(prints: DataFrame, grouped: DataFrame) -> DataFrame:
+    return prints.join(grouped.withColumnRenamed("node", "fp_id"), "fp_id", "left").withColumn("component", F.coalesce("component", "fp_id"))
+
+
+def _central(members: DataFrame, scheme: Scheme) -> DataFrame:
+    """(fp_id, rank): how many entries share its keys; the members in the middle of a dense group share most."""
+    entries = table_rows(members, scheme, False, "fp_id")
+    loads = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return entries.join(loads, "key").groupBy("fp_id").agg(F.sum("n").alias("rank"))
+
+
+def _split_groups(groups: DataFrame, sets: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """(links, pairs) of groups (gid, fp_id, text_key, n, rank): similar pairs already found, and pairs to be compared.
+
+    Small groups give all their pairs. Of a large one every member x is compared with the leader m, that of the
+    highest rank. Let J(x, y) reach the similarity, and let x not be linked to m. If x and y share no shingle outside
+    m, then what they share lies in x and m, so |x - y| + |y - x| >= (that of x and m) - (|m| - |y|); with p / w the
+    similarity and c = (w - p) / (w + p) this leaves only y with (|m| - |y|) (1 - c) >= (that of x and m) - c (|x| + |m|).
+    Those pairs are found by a join on |m| - |y|. All others share a shingle outside m; as |x and y| >= |x| p / w, they
+    share one of the first floor(|x| (w - p) / w) + 1 of such shingles of each. Members that share one form a group of the next level.
+    """
+    part, whole = scheme.similarity
+    groups = materialize(groups.withColumn("mask", F.lit(0).cast("bigint")), "groups")
+    none = groups.sparkSession.createDataFrame([], "a bigint, b bigint")
+    links, pairs = none, none
+    for level in range(LEVELS):
+        sizes = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.bit_and("mask").alias("all"), F.max(F.struct("rank", "fp_id", "n", "text_key")).alias("leader"))
+        sizes = materialize(sizes.where("size > 1 and all = 0"), "group-sizes")
+        last = level == LEVELS - 1
+        small = groups.join(sizes if last else sizes.where(F.col("size") <= GROUP), "gid", "left_semi").select("gid", "fp_id", "n", "mask")
+        other = small.toDF("gid", "to_id", "to_n", "to_mask")
+        met = small.join(other, "gid").where((F.col("fp_id") < F.col("to_id")) & (F.col("mask").bitwiseAND(F.col("to_mask")) == 0) & _fits(scheme, F.col("n"), F.col("to_n")))
+        pairs = pairs.union(met.select("fp_id", "to_id"))
+        big = sizes.where(F.col("size") > GROUP)
+        if last or big.isEmpty():
+            break
+        leaders = big.select("gid", F.col("leader.fp_id").alias("lead"), F.col("leader.n").alias("lead_n"), F.col("leader.text_key").alias("text_key"))
+        leaders = materialize(leaders.join(sets, "text_key").select("gid", "lead", "lead_n", F.col("shingles").alias("lead_shingles")), "leaders")
+        if (leaders.agg(F.sum("lead_n")).first()[0] or 0) <= BROADCAST_SHINGLES:
+            leaders = F.broadcast(leaders)
+        seen = groups.join(sets, "text_key").join(leaders, "gid").withColumn("common", F.size(F.array_intersect("shingles", "lead_shingles")))
+        linked = F.col("common") * whole >= (F.col("n") + F.col("lead_n") - F.col("common")) * part
+        few = F.floor(F.col("n") * (whole - part) / whole).cast("int") + 1
+        rest = F.slice(F.array_sort(F.array_except("shingles", "lead_shingles")), F.lit(1), few)
+        seen = materialize(seen.select("gid", "fp_id", "text_key", "n", "rank", "mask", "lead", "lead_n", "common", linked.alias("linked"), rest.alias("rest")), "against-leaders")
+        links = links.union(seen.where("linked and fp_id <> lead").select("fp_id", "lead"))
+        excess = (F.col("n") + F.col("lead_n") - 2 * F.col("common")) * (whole + part) - (F.col("n") + F.col("lead_n")) * (whole - part)
+        least, most = F.ceil(excess / (2 * part)).cast("int"), F.floor(F.col("lead_n") - F.col("n") * part / whole).cast("int")
+        longer = seen.where(~F.col("linked")).withColumns({"least": least, "most": most}).where("least <= most").select("gid", "fp_id", F.explode(F.sequence("least", "most")).alias("shorter"))
+        shorter = seen.select("gid", F.col("fp_id").alias("to_id"), (F.col("lead_n") - F.col("n")).cast("int").alias("shorter")).where("shorter > 0")
+        apart = longer.join(shorter, ["gid", "shorter"]).where("fp_id <> to_id")
+        pairs = pairs.union(apart.select(F.least("fp_id", "to_id"), F.greatest("fp_id", "to_id")))
+        mask = F.when(F.col("linked"), F.col("mask").bitwiseOR(F.lit(1 << level))).otherwise(F.col("mask"))
+        groups = materialize(seen.select(F.explode("rest").alias("shingle"), "gid", "fp_id", "text_key", "n", "rank", mask.alias("mask")).select(F.xxhash64("gid", "shingle").alias("gid"), "fp_id", "text_key", "n", "rank", "mask"), "groups")
+    return links, pairs.distinct()
+
+
+def similar_links(prints: DataFrame, scheme: Scheme, docs: DataFrame) -> DataFrame:
+    """(a, b): links of fingerprints (fp_id, w0, ..., n, short, text_key) that join every two similar ones that met in a table."""
+    families = connected_components(materialize(_within_distance(_star(prints, scheme), prints, scheme), "star"))
+    labelled = materialize(_labelled(prints, families), "families")
+    across = materialize(_within_distance(_across(labelled, scheme), prints, scheme), "across")
+    size = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = labelled.join(size, "component")
+    ends = across.select(F.explode(F.array("a", "b")).alias("fp_id")).distinct()
+    wanted = members.select("text_key").union(prints.join(ends, "fp_id").select("text_key")).distinct()
+    sets = materialize(shingle_sets(docs, wanted, scheme), "shingle-sets")
+    rank = _central(members.where(F.col("size") > GROUP), scheme)
+    groups = members.join(rank, "fp_id", "left").select(F.col("component").alias("gid"), "fp_id", "text_key", "n", F.coalesce("rank", F.lit(0)).alias("rank"))
+    links, pairs = _split_groups(groups, sets, scheme)
+    pairs = materialize(pairs.union(across).distinct(), "candidates")
+    return materialize(links.union(_similar(pairs, prints, sets, scheme)), "links")
+
+
+def close_links(prints: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b): links of fingerprints within the scheme's distance. Those of each table entry with its smallest one first,
+    which joins large groups by as many pairs as they have members; then those of different components."""
+    first = materialize(_within_distance(_star(prints, scheme), prints, scheme), "star")
+    return materialize(_within_distance(_across(_labelled(prints, connected_components(first)), scheme), prints, scheme).union(first), "links")
 
 
 def link_components(prints: DataFrame, scheme: Scheme, docs: DataFrame | None = None) -> DataFrame:
     """(fp_id, component) of the distinct fingerprints (fp_id, w0, ...) that have a link to another.
 
-    First the fingerprints of each table entry are linked to the entry's smallest one,
-    which joins large groups of copies by as many pairs as they have members. Then all
-    pairs that meet in a table and are not yet joined are fetched and verified. A scheme
-    with a similarity needs ``docs`` and, in ``prints``, the columns n, short and text_key.
+    A scheme with a similarity needs ``docs`` and, in ``prints``, the columns n, short and text_key.
     """
-    spans = scheme.words > 1
-    entries = table_rows(prints, scheme, False, "fp_id")
-    leaders = entries.groupBy("key").agg(F.min("fp_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
-    star = entries.join(leaders, "key").where("fp_id <> b").select(F.col("fp_id").alias("a"), "b").distinct()
-    first = materialize(_verified(star, prints, scheme, docs), "star")
-    grouped = connected_components(first)
-    labelled = prints.join(grouped.withColumnRenamed("node", "fp_id"), "fp_id", "left").withColumn("component", F.coalesce("component", "fp_id"))
-    # With several words, two of them are carried to sift chance matches: in both together a pair within the distance
-    # differs in few bits: 19 expected at similarity 0.8 and five words, with a deviation of 4.1.
-    most = round(scheme.distance * 2 / scheme.words * 1.25) if spans else scheme.distance
-    carried = [F.col("fp_id"), F.col("component"), *([F.col(f"w{scheme.words - 1}").alias("s1"), F.col("w0").alias("s0")] if spans else [F.col("w0").alias("s1")])]
-    probes = table_rows(labelled, scheme, True, *carried)
-    table = table_rows(labelled, scheme, False, *[c.alias(n) for c, n in zip(carried, ["to_id", "to_component", "to_s1", "to_s0"], strict=False)])
-    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("to_s1")))
-    near = (apart + F.bit_count(F.col("s0").bitwiseXOR(F.col("to_s0"))) if spans else apart) <= most
-    met = probes.join(table, (probes["key"] == table["key"]) & (F.col("component") != F.col("to_component")) & near)
-    pairs = met.select(F.least("fp_id", "to_id").alias("a"), F.greatest("fp_id", "to_id").alias("b")).distinct()
-    links = _verified(pairs, prints, scheme, docs) if spans else pairs
-    edges = materialize(links.union(first), "links")
-    return connected_components(edges).select(F.col("node").alias("fp_id"), "component")
+    links = similar_links(prints, scheme, docs) if scheme.similarity else close_links(prints, scheme)
+    return connected_components(links).select(F.col("node").alias("fp_id"), "component")
 
 
 def near_copies(docs: DataFrame, scheme: Scheme) -> DataFrame:
@@ -279,12 +430,13 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, scheme: Scheme = NEAR_COPIES) -> DataFrame:
+def drop_near_copies(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     """One row of each group of near copies: that of the smallest doc_id (ties: smallest text hash).
 
     Rows that repeat id and text count once. All columns stay as they are. A group whose
-    ids are all null keeps one row.
+    ids are all null keeps one row. Texts without words are copies of each other.
     """
+    scheme = scheme or near_copies_scheme(docs.count())
     found = near_copies(docs, scheme)
     group = F.when(F.col("component_id").isNull(), F.xxhash64(*[f"w{k}" for k in range(scheme.words)]))
     kept = found.groupBy("component_id", group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_key")).alias("k"))

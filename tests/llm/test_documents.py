@@ -262,12 +262,15 @@ def test_simhash_components(docs, empty):
     assert simhash.simhash_components(empty).count() == 0
 
 
-def test_links_of_planted_fingerprints(spark):
-    """Chains, both segments, and far fingerprints, against all pairs."""
+@pytest.mark.parametrize("group", [64, 3])
+def test_links_of_planted_fingerprints(spark, group, monkeypatch):
+    """Chains, both segments, many fingerprints under one segment, and far ones, against all pairs."""
+    monkeypatch.setattr(simhash, "GROUP", group)
     rng = np.random.default_rng(3)
     base = rng.integers(-(2**63), 2**63 - 1, 40, dtype=np.int64)
     near = [int((np.array([b]).view(np.uint64) ^ np.uint64(m)).view(np.int64)[0]) for b in base for m in (1, 1 << 40, (1 << 5) | (1 << 50), 3 << 30, 7)]
-    prints = sorted({int(x) for x in base} | set(near))
+    hot = [int(h) << 32 | 77 for h in rng.integers(0, 2**31, 30)] + [(5 << 32 | 77) ^ (1 << b) for b in range(0, 62, 3)]
+    prints = sorted({int(x) for x in base} | set(near) | set(hot))
     df = spark.createDataFrame([(p, p) for p in prints], "fp_id bigint, w0 bigint")
     got = {r["fp_id"]: r["component"] for r in simhash.link_components(df, simhash.CONTRACT).collect()}
     label = {p: p for p in prints}
@@ -307,6 +310,35 @@ def test_near_copies_link_from_similarity_four_fifths(spark, size, shared, linke
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 2 * pairs, 2 if linked else 1))
 
 
+def test_large_groups_of_near_copies_lose_no_link(spark, monkeypatch):
+    """Copies of one text with up to seven changed, dropped or added words, some of them copies of copies, against all pairs."""
+    monkeypatch.setattr(simhash, "GROUP", 8)
+    rng = np.random.default_rng(5)
+    texts: list[list[str]] = [[f"b{i}" for i in range(120)]]
+    for i in range(220):
+        words = list(texts[0] if i % 3 else texts[rng.integers(len(texts))])
+        for _ in range(int(rng.integers(1, 8))):
+            at = int(rng.integers(len(words)))
+            words[at : at + int(rng.integers(0, 3))] = [f"c{i}x{at}"] * int(rng.integers(0, 2))
+        texts.append(words)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert 10 < len(set(label)) < 200
+    kept = simhash.drop_near_copies(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
+
+
+def test_wider_tables_for_more_rows():
+    few, many = simhash.near_copies_scheme(1000), simhash.near_copies_scheme(10**8)
+    assert (few.words, few.segment_bits, few.distance) == (5, 16, 84)
+    assert many.segment_bits == 25 and len(many.segments) > 60
+
+
 def test_repeated_shingles_count_once(spark):
     """A line repeated in one of two texts changes neither's set of shingles by much."""
     text = phrase(0, 200)
