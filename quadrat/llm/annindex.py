@@ -14,19 +14,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 SAMPLE = 20_000
-SUBSPACES = 16
+SUBSPACES = 32
+#: Rows of the sample and rounds that the codewords of a subspace are fitted with.
+CODE_ROWS, CODE_ROUNDS = 8_000, 8
 CODEWORDS = 256
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 512
 RERANK = 200
 #: Candidates that a task holds before it drops those that are not among the best of their query.
 HELD = 1_000_000
+SALTS = 32
 #: Part of all rows that a query's nearest cells must hold.
 SHARE = 0.7
 
@@ -78,12 +82,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray
 
 def fit_codebook(sample: np.ndarray, cells: int, subspaces: int = SUBSPACES) -> Codebook:
     centroids = kmeans(sample, cells)
+    subspaces = min(subspaces, sample.shape[1])
     width = -(-sample.shape[1] // subspaces)
     residual = sample - centroids[np.argmin(_distances(sample, centroids), axis=1)]
     residual = np.pad(residual, ((0, 0), (0, subspaces * width - residual.shape[1]))).reshape(len(sample), subspaces, width)
     words = []
     for j in range(subspaces):
-        found = kmeans(residual[:, j], CODEWORDS, seed=j + 1)
+        found = kmeans(residual[:CODE_ROWS, j], CODEWORDS, CODE_ROUNDS, seed=j + 1)
         words.append(np.concatenate((found, np.repeat(found[:1], CODEWORDS - len(found), axis=0))))
     return Codebook(centroids, np.stack(words))
 
@@ -167,7 +172,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SH
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query, ties to the smaller vec_id.
 
     ``queries`` are rows of the same form as ``vectors``; a query's own id is no candidate.
-    Repeated ids count once (their first vector by value). No vectors: no rows.
+    Repeated ids count once (their first vector by value). No vectors: no rows. Other columns,
+    whatever their names, are not read. A larger ``share`` visits more cells; with a share of
+    one and ``rerank`` as large as the table the search is exact.
     """
     rows = materialize(usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
     asked = rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
@@ -185,6 +192,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SH
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         count = 0
+        salt = TaskContext.get().partitionId() % SALTS
+
+        def packed(rows: pd.DataFrame) -> pd.DataFrame:
+            """A row for each query."""
+            ids, at = np.unique(rows["query_id"].to_numpy(), return_index=True)  # sorted by query
+            return pd.DataFrame({"query_id": ids, "salt": np.int32(salt), "nears": np.split(rows["near"].to_numpy(), at[1:]), "vec_ids": np.split(rows["vec_id"].to_numpy(), at[1:])})
+
         for b in batches:
             for cell, ids, codes, query_ids, units in zip(b["cell"], b["vec_ids"], b["codes"], b["query_ids"], b["units"], strict=True):
                 ids, query_ids = np.asarray(ids), np.asarray(query_ids)
@@ -203,14 +217,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SH
                     held = [_best(held, most_of_query)]
                     count = len(held[0])
                     if count > HELD / 2:  # many queries: the merge takes over
-                        yield held[0]
+                        yield packed(held[0])
                         held, count = [], 0
         if held:
-            yield _best(held, most_of_query)
-
-    met = blocks.join(asks, "cell").mapInPandas(rank, "query_id bigint, vec_id bigint, near float").where("query_id <> vec_id")
-    best = met.groupBy("query_id").agg(F.expr(f"slice(array_sort(collect_list(struct(near, vec_id))), 1, {rerank})").alias("best"))
-    pairs = best.select("query_id", F.explode("best.vec_id").alias("vec_id"))
+            yield packed(_best(held, most_of_query))
+
+    # Each task passes on its best candidates of a query in one row; they are merged in two steps, so no row of a merge holds more than the best of
+    # all tasks of a salt.
+    met = blocks.join(asks, "cell").mapInPandas(rank, "query_id bigint, salt int, nears array<float>, vec_ids array<bigint>")
+    met = met.select("query_id", "salt", F.filter(F.arrays_zip("nears", "vec_ids"), lambda x: x["vec_ids"] != F.col("query_id")).alias("best"))
+    merged = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, rerank).alias("best")
+    best = met.groupBy("query_id", "salt").agg(merged).groupBy("query_id").agg(merged)
+    pairs = best.select("query_id", F.explode("best.vec_ids").alias("vec_id"))
     right = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("wanted"))
     exact = pairs.join(rows, "vec_id").join(right.join(asked.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi"), "query_id")
 
