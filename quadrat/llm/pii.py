@@ -5,27 +5,31 @@ day number in two parts), and the symbols are permuted by a keyed Feistel networ
 every position adds modulo its own radix. So a card number becomes a card number with a
 right check digit, a date a date, and equal values become equal pseudonyms everywhere,
 also if they are written with other separators. What fails validation stays as it is.
+
+The round function is HMAC-SHA-256. Its key reaches the tasks as the result of a scalar
+subquery, so no plan, event log or page of the UI shows it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROUNDS = 6
+ROUNDS = 10
 #: Days of the 400-year cycle that begins with 1800: 146,097 = 189 * 773, so two symbols hold a date exactly.
 FIRST_DAY, DAY_RADICES = "1800-01-01", (189, 773)
 
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.(?=[A-Za-z0-9\-]*+\.[A-Za-z]{2}|[A-Za-z]{2}))++[A-Za-z]{2,}+"
 CARD = r"(?<![\w.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\w\-])"
 SSN = r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])"
 PHONE = r"(?<![\w+])(?:\+?1[ .\-]?)?(?:\([1-9][0-9]{2}\) ?|[1-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}(?![\w\-])"
 IP = r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"
 DATE = r"(?<![\w\-/.])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w\-/])"
-ASSIGNED = r"\b(?:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?"
-SECRET = ASSIGNED + r"[A-Za-z0-9+/_\-]{8,256}"
+ASSIGNED = r"\b(?i:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?"
+SECRET = ASSIGNED + r"(?=[A-Za-z0-9+/_.\-]{8})[A-Za-z0-9+/_\-]++(?:\.[A-Za-z0-9+/_\-]++)*+"
 
 KINDS = ("email", "card", "ssn", "phone", "ip", "date", "secret")
 #: What can begin a match comes first, so that most characters fail at once.
@@ -44,10 +48,31 @@ def matches(text: Column) -> Column:
 class Secret:
     """The key. Who holds it can recompute the pseudonym of a value; nobody else can tell values from it."""
 
-    key: str
+    key: str = field(repr=False)
+
+    def column(self) -> Column:
+        """The two padded keys of HMAC, as a scalar subquery over one row that is no literal of the plan.
+
+        To be added to a table as a column, since subqueries may not stand inside array functions.
+        """
+        raw = self.key.encode()
+        block = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+        pads = [bytearray(x ^ pad for x in block) for pad in (0x36, 0x5C)]
+        return SparkSession.active().createDataFrame([(pads,)], "k array<binary>").scalar()
+
+
+def hmac_sha256(key: Column, message: Column) -> Column:
+    """64 hex digits."""
+    inner = F.unhex(F.sha2(F.concat(key[0], message.cast("binary")), 256))
+    return F.sha2(F.concat(key[1], inner), 256)
 
 
-def feistel(symbols: Column, radices: Column, secret: Secret, kind: str, undo: bool = False) -> Column:
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, not at each place where ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def feistel(symbols: Column, radices: Column, key: Column, kind: str, undo: bool = False) -> Column:
     """Permutes an array of ints, each below the radix at its place; ``undo`` inverts it.
 
     Radix one leaves a symbol fixed. The two halves take turns: to each symbol of one half
@@ -61,15 +86,12 @@ def feistel(symbols: Column, radices: Column, secret: Secret, kind: str, undo: b
     def turn(state: Column, step: Column) -> Column:
         mine = F.when(step % 2 == 0, pack(state["left"], state["left_r"])).otherwise(pack(state["right"], state["right_r"]))
         other = F.when(step % 2 == 0, state["right"]).otherwise(state["left"])
-        said = F.concat_ws("|", F.lit(f"{secret.key}|{kind}"), step.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ","))
-        moved = F.zip_with(
-            F.transform(mine["a"], lambda x, j: F.struct(x.alias("x"), j.alias("j"))),
-            mine["r"],
-            lambda p, r: F.pmod(
-                p["x"] + F.lit(-1 if undo else 1) * F.conv(F.substring(F.sha2(F.concat_ws("|", said, F.floor(p["j"] / 8).cast("string")), 256), (p["j"] % 8) * 8 + 1, 7), 16, 10).cast("bigint"),
-                r.cast("bigint"),
-            ),
-        )
+        said = F.concat_ws("|", F.lit(kind), step.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ","))
+        digests = lambda d: F.transform(F.sequence(F.lit(0), F.floor(F.size(mine["a"]) / 8).cast("int")), lambda j: hmac_sha256(key, F.concat_ws("|", d, j.cast("string"))))
+        places = F.transform(mine["a"], lambda x, j: F.struct(x.alias("x"), j.alias("j")))
+        added = lambda hs, p: F.conv(F.substring(hs[F.floor(p["j"] / 8).cast("int")], (p["j"] % 8) * 8 + 1, F.lit(7)), 16, 10).cast("bigint")
+        sums = lambda hs: F.zip_with(places, mine["r"], lambda p, r: F.pmod(p["x"] + F.lit(-1 if undo else 1) * added(hs, p), r.cast("bigint")))
+        moved = _once(said, lambda d: _once(digests(d), sums))
         return F.struct(
             F.when(step % 2 == 0, moved).otherwise(state["left"]).alias("left"),
             F.when(step % 2 == 0, state["right"]).otherwise(moved).alias("right"),
@@ -107,13 +129,13 @@ def luhn_sum(digits: Column, appended: int = 0) -> Column:
     return F.aggregate(each, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
-def _card(m: Column, secret: Secret, undo: bool) -> Column:
+def _card(m: Column, key: Column, undo: bool) -> Column:
     """The first digit (the network) stays, the check digit is recomputed, the rest is permuted."""
     digits = _digits(m)
     payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
     radices = F.transform(_symbols(payload), lambda d, i: F.when(i == 0, 1).otherwise(10))
     symbols = F.transform(_symbols(payload), lambda d, i: F.when(i == 0, F.lit(0).cast("bigint")).otherwise(d))
-    moved = F.concat(F.substring(digits, 1, 1), F.substring(_joined(feistel(symbols, radices, secret, "card", undo)), F.lit(2), F.length(digits)))
+    moved = F.concat(F.substring(digits, 1, 1), F.substring(_joined(feistel(symbols, radices, key, "card", undo)), F.lit(2), F.length(digits)))
     check = F.pmod(F.lit(10) - luhn_sum(moved, 1) % 10, F.lit(10))
     return _refill(m, F.concat(moved, check.cast("string")))
 
@@ -123,11 +145,11 @@ def is_card(m: Column) -> Column:
     return (luhn_sum(digits) % 10 == 0) & digits.rlike("[1-9]")
 
 
-def _ssn(m: Column, secret: Secret, undo: bool) -> Column:
+def _ssn(m: Column, key: Column, undo: bool) -> Column:
     """Area 001 to 899 but 666, group 01 to 99 and serial 0001 to 9999 stay in these ranges."""
     area = F.substring(m, 1, 3).cast("bigint")
     symbols = F.array(area - F.when(area > 666, 2).otherwise(1), F.substring(m, 5, 2).cast("bigint") - 1, F.substring(m, 8, 4).cast("bigint") - 1)
-    moved = feistel(symbols, F.array(F.lit(898), F.lit(99), F.lit(9999)), secret, "ssn", undo)
+    moved = feistel(symbols, F.array(F.lit(898), F.lit(99), F.lit(9999)), key, "ssn", undo)
     new_area = moved[0] + F.when(moved[0] >= 665, 2).otherwise(1)
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
     return F.concat_ws("-", pad(new_area, 3), pad(moved[1] + 1, 2), pad(moved[2] + 1, 4))
@@ -137,20 +159,20 @@ def is_ssn(m: Column) -> Column:
     return m.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
 
 
-def _phone(m: Column, secret: Secret, undo: bool) -> Column:
+def _phone(m: Column, key: Column, undo: bool) -> Column:
     """Area codes still begin with 1 to 9 and exchange codes with 2 to 9; a country code stays."""
     digits = _digits(m)
     own = F.substring(digits, F.length(digits) - 9, F.lit(10))
     least = lambda i: F.when(i == 0, 1).when(i == 3, 2).otherwise(0)
     radices = F.array(*[F.lit({0: 9, 3: 8}.get(i, 10)) for i in range(10)])
-    moved = feistel(F.transform(_symbols(own), lambda d, i: d - least(i)), radices, secret, "phone", undo)
+    moved = feistel(F.transform(_symbols(own), lambda d, i: d - least(i)), radices, key, "phone", undo)
     back = _joined(F.transform(moved, lambda d, i: d + least(i)))
     return _refill(m, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), back))
 
 
-def _ip(m: Column, secret: Secret, undo: bool) -> Column:
+def _ip(m: Column, key: Column, undo: bool) -> Column:
     octets = F.transform(F.split(m, "[.]"), lambda x: x.cast("bigint"))
-    return F.array_join(F.transform(feistel(octets, F.array(*[F.lit(256)] * 4), secret, "ip", undo), lambda x: x.cast("string")), ".")
+    return F.array_join(F.transform(feistel(octets, F.array(*[F.lit(256)] * 4), key, "ip", undo), lambda x: x.cast("string")), ".")
 
 
 def is_ip(m: Column) -> Column:
@@ -158,10 +180,10 @@ def is_ip(m: Column) -> Column:
     return m.rlike(rf"^{octet}(?:\.{octet}){{3}}$")
 
 
-def _date(m: Column, secret: Secret, undo: bool) -> Column:
+def _date(m: Column, key: Column, undo: bool) -> Column:
     day = F.datediff(F.try_to_date(m, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date")).cast("bigint")
     symbols = F.array((day / DAY_RADICES[1]).cast("bigint"), day % DAY_RADICES[1])
-    moved = feistel(symbols, F.array(*map(F.lit, DAY_RADICES)), secret, "date", undo)
+    moved = feistel(symbols, F.array(*map(F.lit, DAY_RADICES)), key, "date", undo)
     return F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (moved[0] * DAY_RADICES[1] + moved[1]).cast("int")), "yyyy-MM-dd")
 
 
@@ -170,19 +192,19 @@ def is_date(m: Column) -> Column:
     return found.isNotNull() & (F.date_format(found, "yyyy-MM-dd") == m) & found.between(F.lit(FIRST_DAY), F.lit("2199-12-31"))
 
 
-def _characters(m: Column, secret: Secret, kind: str, undo: bool) -> Column:
+def _characters(m: Column, key: Column, kind: str, undo: bool) -> Column:
     """Letters stay letters of their case and digits digits; all else stays."""
     chars = F.split(m, "")
     low = lambda c: F.when(c.rlike("[0-9]"), F.lit("0")).when(c.rlike("[a-z]"), F.lit("a")).when(c.rlike("[A-Z]"), F.lit("A")).otherwise(c)
     radix = lambda c: F.when(c.rlike("[0-9]"), 10).when(c.rlike("[A-Za-z]"), 26).otherwise(1)
     symbols = F.transform(chars, lambda c: (F.ascii(c) - F.ascii(low(c))).cast("bigint"))
-    moved = feistel(symbols, F.transform(chars, radix), secret, kind, undo)
+    moved = feistel(symbols, F.transform(chars, radix), key, kind, undo)
     return F.array_join(F.zip_with(chars, moved, lambda c, x: F.when(radix(c) == 1, c).otherwise(F.char(F.ascii(low(c)) + x))), "")
 
 
-def _email(m: Column, secret: Secret, undo: bool) -> Column:
+def _email(m: Column, key: Column, undo: bool) -> Column:
     """The local part is permuted in its format; the domain stays."""
-    return F.concat(_characters(F.substring_index(m, "@", 1), secret, "email", undo), F.lit("@"), F.substring_index(m, "@", -1))
+    return F.concat(_characters(F.substring_index(m, "@", 1), key, "email", undo), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def kind_of(m: Column) -> Column:
@@ -200,17 +222,17 @@ def kind_of(m: Column) -> Column:
     )
 
 
-def pseudonym(m: Column, secret: Secret, undo: bool = False) -> Column:
-    """What stands for a match; ``undo`` gets the value back from its pseudonym."""
+def pseudonym(m: Column, key: Column, undo: bool = False) -> Column:
+    """What stands for a match under a ``Secret.column``; ``undo`` gets the value back from its pseudonym."""
     kind = kind_of(m)
     return (
-        F.when(kind == "email", _email(m, secret, undo))
-        .when(kind == "date", _date(m, secret, undo))
-        .when(kind == "ssn", _ssn(m, secret, undo))
-        .when(kind == "ip", _ip(m, secret, undo))
-        .when(kind == "phone", _phone(m, secret, undo))
-        .when(kind == "card", _card(m, secret, undo))
-        .when(kind == "secret", F.concat(F.regexp_extract(m, f"^{ASSIGNED}", 0), _characters(F.regexp_replace(m, f"^{ASSIGNED}", ""), secret, "secret", undo)))
+        F.when(kind == "email", _email(m, key, undo))
+        .when(kind == "date", _date(m, key, undo))
+        .when(kind == "ssn", _ssn(m, key, undo))
+        .when(kind == "ip", _ip(m, key, undo))
+        .when(kind == "phone", _phone(m, key, undo))
+        .when(kind == "card", _card(m, key, undo))
+        .when(kind == "secret", F.concat(F.regexp_extract(m, f"^{ASSIGNED}", 0), _characters(F.regexp_replace(m, f"^{ASSIGNED}", ""), key, "secret", undo)))
         .otherwise(m)
     )
 
@@ -227,17 +249,22 @@ def pseudonymise(docs: DataFrame, secret: Secret, undo: bool = False) -> DataFra
     Null stays null, texts without matches stay the same, repeated rows change alike.
     One pass, no shuffle, no Python. Column names that begin with ``_pii_`` are reserved.
     """
-    found = docs.withColumn("_pii_found", matches(F.col("text")))
-    stands = F.when(F.size("_pii_found") > 0, F.transform("_pii_found", lambda m: pseudonym(m, secret, undo)))
+    found = docs.withColumns({"_pii_found": matches(F.col("text")), "_pii_key": secret.column()})
+    stands = F.when(F.size("_pii_found") > 0, F.transform("_pii_found", lambda m: pseudonym(m, F.col("_pii_key"), undo)))
     placed = found.withColumn("_pii_stands", stands)
     text = F.when(F.size("_pii_found") > 0, rewritten(F.col("text"), F.col("_pii_found"), F.col("_pii_stands"))).otherwise(F.col("text"))
     return placed.withColumn("text", text).select(*docs.columns)
 
 
 def pii_report(docs: DataFrame, secret: Secret) -> DataFrame:
-    """doc_id, n_found, the count of each kind, and the rewritten text of every document."""
-    found = docs.select("doc_id", "text", matches(F.col("text")).alias("found"))
-    each = lambda m: F.struct(kind_of(m).alias("kind"), pseudonym(m, secret).alias("stands"))
+    """doc_id, n_found, the count of each kind, and the rewritten text of every document.
+
+    A null text stays null and an empty one empty, with nothing found; so does a text whose
+    candidates all fail validation. Repeated rows give repeated results, equal values equal
+    pseudonyms. Values of any length go as a whole. No documents: no rows.
+    """
+    found = docs.select("doc_id", "text", matches(F.col("text")).alias("found"), secret.column().alias("key"))
+    each = lambda m: F.struct(kind_of(m).alias("kind"), pseudonym(m, F.col("key")).alias("stands"))
     judged = found.withColumn("judged", F.when(F.size("found") > 0, F.transform("found", each)).otherwise(F.array().cast("array<struct<kind:string,stands:string>>")))
     kinds = F.transform("judged", lambda x: x["kind"])
     counted = judged.select("doc_id", "text", "found", F.transform("judged", lambda x: x["stands"]).alias("stands"), F.filter(kinds, lambda k: k.isNotNull()).alias("kinds"))

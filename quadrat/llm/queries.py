@@ -26,12 +26,14 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.token_round_trip(common.table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")[0])
 
 
-#: A key for runs on synthetic tables; production keys come from the caller.
-DEMO_SECRET = pii.Secret("quadrat-demo-key")
+def pii_secret(spark: SparkSession) -> pii.Secret:
+    """The key that the session's ``spark.quadrat.pii.secret`` holds (Spark redacts settings of such names);
+    for runs on synthetic tables, where it is unset, one for demonstration."""
+    return pii.Secret(spark.conf.get("spark.quadrat.pii.secret", "quadrat-demo-key"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pii_report(common.table(spark, sf_dir, "documents"), DEMO_SECRET)
+    return pii.pii_report(common.table(spark, sf_dir, "documents"), pii_secret(spark))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

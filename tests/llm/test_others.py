@@ -1,7 +1,9 @@
 """WARC, pseudonyms, toxicity, the vector index, and the pipeline."""
 
+import datetime
 import gzip
 import hashlib
+import hmac
 import io
 import random
 import re
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quadrat.llm import annindex, pii, toxicity, warc
 
-SECRET = pii.Secret("test")
+SECRET = pii.Secret("key-of-tests")
 
 
 # --- WARC ------------------------------------------------------------------------------------------------------
@@ -55,8 +57,8 @@ VALUES = ["bob.42@mail.example.com", "4111 1111 1111 1111", "4111111111111111",
 
 
 def test_pseudonyms_keep_formats_link_and_invert(spark):
-    found = spark.createDataFrame([(v,) for v in VALUES], "v string").select("v", pii.kind_of(F.col("v")).alias("kind"), pii.pseudonym(F.col("v"), SECRET).alias("p"))
-    back = found.select("v", "kind", "p", pii.pseudonym(F.col("p"), SECRET, undo=True).alias("again")).collect()
+    found = spark.createDataFrame([(v,) for v in VALUES], "v string").withColumn("k", SECRET.column()).select("v", "k", pii.kind_of(F.col("v")).alias("kind"), pii.pseudonym(F.col("v"), F.col("k")).alias("p"))
+    back = found.select("v", "kind", "p", pii.pseudonym(F.col("p"), F.col("k"), undo=True).alias("again")).collect()
     by = {r["v"]: r for r in back}
     assert [by[v]["kind"] for v in VALUES] == ["email", "card", "card", "ssn", "phone", "ip", "date"]
     for r in back:
@@ -87,8 +89,85 @@ def test_text_around_matches_is_kept(spark):
     assert [r["text"] for r in undone] == [text, text]
 
 
+def brute_feistel(symbols, radices, kind):
+    """The network in plain Python: ten turns, each adding HMAC digits of one half to the other."""
+    half = len(symbols) // 2
+    sides, sizes = [list(symbols[:half]), list(symbols[half:])], [radices[:half], radices[half:]]
+    for step in range(pii.ROUNDS):
+        mine, other = step % 2, sides[1 - step % 2]
+        said = f"{kind}|{step}|{','.join(map(str, other))}"
+        digests = [hmac.new(SECRET.key.encode(), f"{said}|{j}".encode(), "sha256").hexdigest() for j in range(len(sides[mine]) // 8 + 1)]
+        sides[mine] = [(x + int(digests[j // 8][j % 8 * 8 :][:7], 16)) % r for j, (x, r) in enumerate(zip(sides[mine], sizes[mine], strict=True))]
+    return sides[0] + sides[1]
+
+
+def brute_characters(value, kind):
+    base = [("0", 10) if c.isdigit() else ("a", 26) if c.islower() else ("A", 26) if c.isupper() else (c, 1) for c in value]
+    moved = brute_feistel([ord(c) - ord(b) for c, (b, _) in zip(value, base, strict=True)], [r for _, r in base], kind)
+    return "".join(chr(ord(b) + x) for (b, _), x in zip(base, moved, strict=True))
+
+
+def refilled(form, digits):
+    digits = iter(digits)
+    return "".join(str(next(digits)) if c.isdigit() else c for c in form)
+
+
+def brute_pseudonym(kind, value):
+    digits = [int(c) for c in value if c.isdigit()]
+    if kind == "email":
+        local, domain = value.split("@")
+        return brute_characters(local, "email") + "@" + domain
+    if kind == "card":
+        moved = brute_feistel([0, *digits[1:-1]], [1, *[10] * (len(digits) - 2)], "card")
+        moved = [digits[0], *moved[1:]]
+        total = sum(d if i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(moved)))
+        return refilled(value, [*moved, -total % 10])
+    if kind == "ssn":
+        area, group, serial = map(int, value.split("-"))
+        a, g, s = brute_feistel([area - (2 if area > 666 else 1), group - 1, serial - 1], [898, 99, 9999], "ssn")
+        return f"{a + (2 if a >= 665 else 1):03d}-{g + 1:02d}-{s + 1:04d}"
+    if kind == "phone":
+        least = [1, 0, 0, 2, 0, 0, 0, 0, 0, 0]
+        moved = brute_feistel([d - m for d, m in zip(digits[-10:], least, strict=True)], [9, 10, 10, 8, *[10] * 6], "phone")
+        return refilled(value, [*digits[:-10], *[x + m for x, m in zip(moved, least, strict=True)]])
+    if kind == "ip":
+        return ".".join(map(str, brute_feistel([int(x) for x in value.split(".")], [256] * 4, "ip")))
+    if kind == "date":
+        day = (datetime.date.fromisoformat(value) - datetime.date(1800, 1, 1)).days
+        a, b = brute_feistel([day // 773, day % 773], [189, 773], "date")
+        return (datetime.date(1800, 1, 1) + datetime.timedelta(days=a * 773 + b)).isoformat()
+    return brute_characters(value, "secret")
+
+
+LONG_VALUES = [
+    ("email", "first.last+tag@mail.example.org"), ("email", "x" * 70 + "9@" + "sub." * 12 + "example.com"), ("card", "4111 1111 1111 1111"), ("card", "378282246310005"), ("ssn", "123-45-6789"), ("ssn", "667-01-0001"),
+    ("phone", "+1 (415) 555-2671"), ("phone", "415.555.2671"), ("ip", "192.168.0.255"), ("date", "1999-12-31"), ("date", "2024-02-29"), ("secret", "abcDEF0123+/_-9"), ("secret", "k9" * 300), ("secret", "eyJhbGci.OiJIUzI1.NiJ9xyz"),
+]
+
+
+def test_pseudonyms_match_plain_python(spark):
+    """Each kind alone in a text, and all of them in one very long text."""
+    put = lambda kind, v: f"Token: \"{v}\"" if kind == "secret" else v
+    texts = [f"see {put(k, v)}, then more" for k, v in LONG_VALUES]
+    want = [f"see {put(k, brute_pseudonym(k, v))}, then more" for k, v in LONG_VALUES]
+    texts, want = [*texts, " ".join(texts * 20)], [*want, " ".join(want * 20)]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id bigint, text string, key string, _k string")
+    found = pii.pii_report(df, SECRET).orderBy("doc_id").collect()
+    assert [r["text"] for r in found] == want
+    assert [r["n_found"] for r in found] == [1] * len(LONG_VALUES) + [20 * len(LONG_VALUES)]
+    assert [r["text"] for r in pii.pseudonymise(df, SECRET).orderBy("doc_id").collect()] == want
+
+
+def test_key_is_in_no_plan(spark):
+    df = spark.createDataFrame([(1, "a@b.com")], "doc_id bigint, text string")
+    plan = pii.pii_report(df, SECRET)._jdf.queryExecution().toString()
+    block = SECRET.key.encode().ljust(64, b"\0")
+    pads = [bytes(x ^ p for x in block).hex() for p in (0x36, 0x5C)]
+    assert not any(k.lower() in plan.lower() for k in (SECRET.key, *pads)) and SECRET.key not in repr(SECRET)
+
+
 def test_feistel_is_a_permutation(spark):
-    all_ = spark.range(189 * 7).select("id", pii.feistel(F.array((F.col("id") / 7).cast("bigint"), F.col("id") % 7), F.array(F.lit(189), F.lit(7)), SECRET, "t").alias("m"))
+    all_ = spark.range(189 * 7).withColumn("k", SECRET.column()).select("id", pii.feistel(F.array((F.col("id") / 7).cast("bigint"), F.col("id") % 7), F.array(F.lit(189), F.lit(7)), F.col("k"), "t").alias("m"))
     moved = all_.select((F.col("m")[0] * 7 + F.col("m")[1]).alias("x"))
     assert moved.distinct().count() == 189 * 7 and moved.agg(F.max("x")).first()[0] == 189 * 7 - 1
 
