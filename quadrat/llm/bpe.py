@@ -86,7 +86,7 @@ class ByteBpe:
         self.split = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.ranks))
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
-        self.units = UnitCache(self._encode_units, lambda a, b: (f"{a[0]},{b[0]}", a[1] + b[1], a[2] + b[2]), 250_000)
+        self.units = UnitCache(self._encode_units, lambda a, b: (f"{a[0]},{b[0]}", a[1] + b[1], a[2] + b[2]), 120_000)
 
     def encode_pretokens(self, found: list[str]) -> list[tuple[int, ...]]:
         """A pre-token that is a token is that token; sentencepiece merges the others.
