@@ -30,7 +30,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by pseudonyms of the same format."""
-    return pii.pseudonymise(docs, queries.DEMO_SECRET)
+    return pii.pseudonymise(docs, queries.pii_secret(spark))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
