@@ -5,26 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (a, b) reaches.
 
-    Each round lowers every label to the least among its neighbours' labels and then to
-    its label's label, so the distance to the smallest node at least halves along chains.
-    Loops and repeated edges do no harm; no edges give no rows. Labels of one round are
+    Each round points every node at its smallest neighbour (or itself), follows the pointers
+    a few steps, and then draws each edge between the nodes that its ends point at, so a star
+    or a chain of a few nodes becomes one node and edges become fewer from round to round.
+    Loops and repeated edges do no harm; no edges give no rows. What a round leaves is
     written to the shared folder before the next begins.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = materialize(both, "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels")
+    both = lambda rows: materialize(rows.where("a <> b").select("a", "b").union(rows.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    now, labels = both(edges), None
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lowered = labels.join(near, "node", "left").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        lowered = materialize(lowered, "lowered")
-        jump = lowered.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        labels = materialize(lowered.join(jump, "component", "left").select("node", F.least("component", "next").alias("component"), "was"), "labels")
-        if labels.where("component <> was").isEmpty():
-            return labels.select("node", "component")
+        points = materialize(now.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("to")), "points")
+        for _ in range(2):
+            onward = points.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            points = materialize(points.join(onward, "to").select("node", F.col("next").alias("to")), "points")
+        if labels is None:
+            labels = points.withColumnRenamed("to", "component")
+        else:
+            moved = labels.join(points.withColumnRenamed("node", "component"), "component", "left")
+            labels = materialize(moved.select("node", F.coalesce("to", "component").alias("component")), "labels")
+        ends = lambda c: points.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))  # noqa: B023, E731
+        left = now.where("a < b").join(ends("a"), "a").join(ends("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
+        before, now = now, both(left)
+        discard(before)
+        if now.isEmpty():
+            return labels
     raise RuntimeError("components did not settle")
