@@ -58,3 +58,24 @@ def significance_table(isa: DataFrame, alpha: float = 0.05, least: float = 0.5)
     """Adds log_p (of q if there, else of p), passes (q < alpha and stat >= least)."""
     metric = F.coalesce("q", "p")
     return isa.withColumn("log_p", F.round(-F.log10(F.when(metric > 0, metric)), 3)).withColumn("passes", (metric < alpha) & (F.col("stat") >= least))
+
+
+def indicator_power(draws: DataFrame, profiles: DataFrame, spiked: DataFrame, unit: str, groups: list, perms: int, alpha: float = 0.05) -> DataFrame:
+    """(power, sensitivity, fdr, reps) of single-group indicator tests over draws (rep, slot, grp, unit), adjusted within each repetition.
+
+    Power: repetitions with any spiked feature found; sensitivity: mean share of them found; fdr: mean share of the found ones that were not spiked.
+    """
+    from .power import shuffled_labels
+    from .stats import benjamini_hochberg
+
+    drawn = draws.select("rep", F.concat_ws("#", "grp", "slot").alias("uid"), unit, "grp")
+    labels = shuffled_labels(drawn, ["rep"], "uid", "grp", perms).select(F.concat_ws("#", "rep", "perm").alias("rep"), F.concat_ws("@", "rep", "uid").alias("uid"), "grp")
+    values = profiles.select(unit, "feature", "p").join(drawn.select(F.concat_ws("@", "rep", "uid").alias("uid"), unit), unit).select("uid", "feature", "p")
+    found = indicator_values(values, labels, "uid", "grp", groups, True).select(F.substring_index("rep", "#", 1).alias("rep"), F.substring_index("rep", "#", -1).cast("int").alias("perm"), "feature", "stat")
+    own = found.where("perm = 0").select("rep", "feature", F.col("stat").alias("own"))
+    hits = F.sum(F.when((F.col("perm") > 0) & (F.col("stat") >= F.col("own")), 1).otherwise(0))
+    tested = found.join(own, ["rep", "feature"]).groupBy("rep", "feature").agg(((1 + hits) / (perms + 1.0)).alias("p"))
+    marked = benjamini_hochberg(tested, "p", ["rep"], ["feature"]).join(spiked.select("feature", F.lit(1).alias("s")), "feature", "left")
+    sign, planted = (F.col("q") < alpha).cast("double"), F.col("s") == 1
+    each = marked.groupBy("rep").agg(F.max(F.when(planted, sign)).alias("any"), F.avg(F.when(planted, sign)).alias("sens"), F.coalesce(F.try_divide(F.sum(F.when(F.col("s").isNull(), sign)), F.sum(sign)), F.lit(0.0)).alias("false"))
+    return each.agg(F.avg("any").alias("power"), F.avg("sens").alias("sensitivity"), F.avg("false").alias("fdr"), F.count(F.lit(1)).alias("reps"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,7 +93,7 @@ def assortativity(edges: DataFrame) -> DataFrame:
     d = degrees(edges).select("node", "degree")
     ends = both_ways(edges).join(d.withColumnRenamed("node", "a").withColumnRenamed("degree", "da"), "a").join(d.withColumnRenamed("node", "b").withColumnRenamed("degree", "db"), "b")
     varied = (F.min("da") < F.max("da")) & (F.min("db") < F.max("db"))
-    return ends.agg(F.when(varied, F.corr("da", "db")).alias("assortativity"))
+    return ends.agg(F.when(varied, F.try_divide(F.covar_pop("da", "db"), F.stddev_pop("da") * F.stddev_pop("db"))).alias("assortativity"))
 
 
 def modularity(edges: DataFrame, groups: DataFrame) -> DataFrame:
@@ -123,26 +124,25 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     return ranks
 
 
-def distances_from(edges: DataFrame, sources: DataFrame, most: int = 30) -> DataFrame:
-    """(source, node, hops): breadth-first search from all sources at once; a frontier join for each hop."""
+def distances_from(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, hops): breadth-first search from all sources at once; a frontier join for each hop, until no node is new."""
     from ..streaming.checkpoints import cut
 
     links = both_ways(edges).select("a", "b").distinct()
     seen = cut(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops")))
     frontier = seen
-    for hop in range(1, most + 1):
+    for hop in count(1):
         step = frontier.select("source", F.col("node").alias("a")).join(links, "a").select("source", F.col("b").alias("node")).distinct()
         frontier = cut(step.join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             return seen
         seen = cut(seen.unionByName(frontier.select("source", "node", "hops")))
-    return seen
 
 
 def partial_correlations(precision: DataFrame) -> DataFrame:
     """(i, j, weight) = -theta_ij / sqrt(theta_ii theta_jj) from a precision matrix (i, j, theta), i < j."""
     diagonal = precision.where("i = j").select("i", F.col("theta").alias("own"))
-    d = lambda c: F.broadcast(diagonal.toDF(c, f"d{c}"))
+    d = lambda c: diagonal.toDF(c, f"d{c}")
     return precision.where("i < j").join(d("i"), "i").join(d("j"), "j").select("i", "j", (-F.col("theta") / F.sqrt(F.col("di") * F.col("dj"))).alias("weight"))
 
 
@@ -162,29 +162,186 @@ def neighbour_centroid(edges: DataFrame, positions: DataFrame) -> DataFrame:
 def rewired(edges: DataFrame, reps: int, swaps_per_edge: int = 10, seed: int = 1) -> DataFrame:
     """(rep, a, b): graphs of the same degrees, by swaps of the ends of two edges.
 
-    Swapping is sequential, so each repetition is one task that holds the edges; the
-    repetitions run side by side. Swaps that would make a loop or a double edge are skipped.
+    A round deals the edges of each graph to half as many places by hash; the two of least hash at a place
+    propose to swap their ends. Proposals that make a loop, an edge that is there or the same edge as
+    another proposal are dropped. About a quarter of the edges move in a round, so there are four rounds
+    for each swap and edge asked for. Each round is written before the next.
     """
-    import numpy as np
-    import pandas as pd
-
-    def swap(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, int(key[0])])
-        rows = pdf.sort_values(["a", "b"])[["a", "b"]].to_numpy()
-        ends = [tuple(r) for r in rows.tolist()]
-        present = {frozenset(e) for e in ends}
-        picks = rng.integers(0, len(ends), (swaps_per_edge * len(ends), 2))
-        for i, j in picks.tolist():
-            (a, b), (c, d) = ends[i], ends[j]
-            one, two = frozenset((a, d)), frozenset((c, b))
-            if len({a, b, c, d}) < 4 or one in present or two in present:
-                continue
-            present -= {frozenset((a, b)), frozenset((c, d))}
-            present |= {one, two}
-            ends[i], ends[j] = (a, d), (c, b)
-        out = np.array([(min(e), max(e)) for e in ends])
-        return pd.DataFrame({"rep": np.int32(key[0]), "a": out[:, 0], "b": out[:, 1]})
-
-    each = edges.select("a", "b").crossJoin(F.broadcast(edges.sparkSession.range(1, reps + 1).select(F.col("id").cast("int").alias("rep"))))
-    kind = dict(edges.dtypes)["a"]
-    return each.groupBy("rep").applyInPandas(swap, f"rep int, a {kind}, b {kind}")
+    from ..streaming.checkpoints import cut
+
+    graphs = edges.sparkSession.range(1, reps + 1).select(F.col("id").cast("int").alias("rep"))
+    now = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().join(F.broadcast(graphs)).select("rep", "a", "b"))
+    places = max(edges.count() // 2, 1)
+    for turn in range(4 * swaps_per_edge):
+        dealt = now.withColumn("h", F.xxhash64(F.lit(seed), F.lit(turn), "rep", "a", "b"))
+        pair = dealt.groupBy("rep", F.pmod(F.xxhash64("h"), F.lit(places)).alias("place")).agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "a", "b"))), 1, 2).alias("e")).where(F.size("e") == 2)
+        one, two = F.col("e")[0], F.col("e")[1]
+        crossed = one["h"] % 2 == 0
+        c, d = F.when(crossed, two["a"]).otherwise(two["b"]), F.when(crossed, two["b"]).otherwise(two["a"])
+        offer = pair.select("rep", "place", one["a"].alias("a"), one["b"].alias("b"), c.alias("c"), d.alias("d")).where("a <> d and b <> c")
+        made = offer.select("rep", "place", F.explode(F.array(F.struct(F.least("a", "d").alias("a"), F.greatest("a", "d").alias("b")), F.struct(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")))).alias("x")).select("rep", "place", "x.*")
+        made = made.join(now.withColumn("there", F.lit(1)), ["rep", "a", "b"], "left")
+        often = made.groupBy("rep", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+        good = made.join(often, ["rep", "a", "b"]).groupBy("rep", "place").agg(F.sum(F.when(F.col("there").isNull() & (F.col("n") == 1), 1).otherwise(0)).alias("ok")).where("ok = 2").select("rep", "place")
+        kept = cut(offer.join(good, ["rep", "place"]))
+        gone = kept.select("rep", F.explode(F.array(F.struct("a", "b"), F.struct(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")))).alias("x")).select("rep", "x.*")
+        new = kept.select("rep", F.explode(F.array(F.struct(F.least("a", "d").alias("a"), F.greatest("a", "d").alias("b")), F.struct(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")))).alias("x")).select("rep", "x.*")
+        now = cut(now.join(gone, ["rep", "a", "b"], "left_anti").unionByName(new))
+    return now
+
+
+def null_metrics(graphs: DataFrame) -> DataFrame:
+    """(rep, metric, value) of unweighted graphs (rep, a, b): transitivity and degree assortativity of each."""
+    ends = graphs.select("rep", "a", "b").union(graphs.select("rep", F.col("b").alias("a"), F.col("a").alias("b")))
+    d = ends.groupBy("rep", F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    side = lambda c: d.select("rep", F.col("node").alias(c), F.col("degree").alias(f"d{c}"))
+    both = ends.join(side("a"), ["rep", "a"]).join(side("b"), ["rep", "b"])
+    r = both.groupBy("rep").agg(F.try_divide(F.covar_pop("da", "db"), F.stddev_pop("da") * F.stddev_pop("db")).alias("value")).select("rep", F.lit("assortativity").alias("metric"), "value")
+    up = both.where((F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))).select("rep", F.col("a").alias("s"), F.col("b").alias("t"))
+    wedges = up.withColumnRenamed("t", "t1").join(up.withColumnRenamed("t", "t2"), ["rep", "s"]).where("t1 < t2")
+    closed = wedges.join(graphs.select("rep", F.col("a").alias("t1"), F.col("b").alias("t2")), ["rep", "t1", "t2"]).groupBy("rep").agg(F.count(F.lit(1)).alias("t"))
+    all_ = d.groupBy("rep").agg(F.sum(F.col("degree") * (F.col("degree") - 1) / 2).alias("w")).join(closed, "rep", "left")
+    return all_.select("rep", F.lit("transitivity").alias("metric"), F.try_divide(3.0 * F.coalesce("t", F.lit(0)), F.col("w")).alias("value")).union(r)
+
+
+def weighted_clustering(edges: DataFrame) -> DataFrame:
+    """(node, clustering): the mean over a node's pairs of neighbours of the cube root of the triangle's weights, each over the largest weight."""
+    scaled = edges.join(F.broadcast(edges.agg(F.max("weight").alias("m")))).select("a", "b", (F.col("weight") / F.col("m")).alias("w"))
+    w = lambda x, y, n: scaled.select(F.col("a").alias(x), F.col("b").alias(y), F.col("w").alias(n))
+    each = triangles(edges).join(w("x", "y", "w1"), ["x", "y"]).join(w("x", "z", "w2"), ["x", "z"]).join(w("y", "z", "w3"), ["y", "z"])
+    g = each.select(F.explode(F.array("x", "y", "z")).alias("node"), F.cbrt(F.col("w1") * F.col("w2") * F.col("w3")).alias("g")).groupBy("node").agg(F.sum("g").alias("g"))
+    pairs = F.col("degree") * (F.col("degree") - 1) / 2
+    return degrees(edges).join(g, "node", "left").select("node", F.coalesce(F.try_divide(F.coalesce("g", F.lit(0.0)), pairs), F.lit(0.0)).alias("clustering"))
+
+
+def with_attributes(nodes: DataFrame, *tables: DataFrame) -> DataFrame:
+    """The nodes with the columns of every table (node, ...); what a table does not know is null."""
+    return reduce(lambda left, right: left.join(right, "node", "left"), tables, nodes).select("node", *[c for t in tables for c in t.columns if c != "node"], *[c for c in nodes.columns if c != "node"])
+
+
+def membership(graphs: dict[str, DataFrame]) -> DataFrame:
+    """(node, graphs, members): in how many graphs a node is, and their names in order."""
+    each = reduce(DataFrame.union, [degrees(e).select("node", F.lit(name).alias("graph")) for name, e in graphs.items()])
+    return each.groupBy("node").agg(F.count(F.lit(1)).alias("graphs"), F.array_join(F.array_sort(F.collect_set("graph")), "+").alias("members"))
+
+
+def all_paths(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(source, node, hops, paths): shortest paths from every source (by default every node) and their number.
+
+    All pairs of a component are the output itself; a frontier join and a sum for each hop.
+    """
+    from ..streaming.checkpoints import cut
+
+    links = cut(both_ways(edges).select("a", "b").distinct())
+    start = links.select(F.col("a").alias("node")).distinct() if sources is None else sources
+    seen = frontier = cut(start.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops"), F.lit(1.0).alias("paths")))
+    for hop in count(1):
+        step = frontier.select("source", F.col("node").alias("a"), "paths").join(links, "a").groupBy("source", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
+        frontier = cut(step.join(seen, ["source", "node"], "left_anti").select("source", "node", F.lit(hop).alias("hops"), "paths"))
+        if frontier.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(frontier))
+
+
+def path_summary(edges: DataFrame) -> DataFrame:
+    """(nodes, mean_hops, diameter) of the largest component."""
+    table = component_table(components(edges)).where("is_largest").select("node")
+    hops = distances_from(edges, table)
+    return hops.agg(F.countDistinct("source").alias("nodes"), F.avg(F.when(F.col("hops") > 0, F.col("hops"))).alias("mean_hops"), F.max("hops").alias("diameter"))
+
+
+def betweenness(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """(node, betweenness): over all pairs of other nodes the share of their shortest paths that pass through it.
+
+    Dependencies go back from the farthest nodes hop by hop: each hands its own and one more to its predecessors, by their numbers of paths.
+    """
+    from ..streaming.checkpoints import cut
+
+    links = both_ways(edges).select("a", "b").distinct()
+    far = paths.agg(F.max("hops")).first()[0] or 0
+    done = None
+    below = None
+    for hop in range(far, 0, -1):
+        at = paths.where(F.col("hops") == hop)
+        at = at.join(below, ["source", "node"], "left").na.fill(0.0, ["dep"]) if below is not None else at.withColumn("dep", F.lit(0.0))
+        done = at.select("node", "dep") if done is None else done.union(at.select("node", "dep"))
+        before = paths.where(F.col("hops") == hop - 1).select("source", F.col("node").alias("b"), F.col("paths").alias("own"))
+        step = at.select("source", F.col("node").alias("a"), ((1 + F.col("dep")) / F.col("paths")).alias("part")).join(links, "a").join(before, ["source", "b"])
+        below = cut(step.groupBy("source", F.col("b").alias("node")).agg(F.sum(F.col("part") * F.col("own")).alias("dep")))
+    nodes = paths.where("hops = 0").select("node")
+    if done is None:
+        return nodes.select("node", F.lit(0.0).alias("betweenness"))
+    return nodes.join(done.groupBy("node").agg((F.sum("dep") / 2).alias("betweenness")), "node", "left").na.fill(0.0)
+
+
+def eigenvector(edges: DataFrame, rounds: int = 30) -> DataFrame:
+    """(node, eigenvector): of the adjacency plus one, by power iterations, then scaled to a largest value of one in each component."""
+    from ..streaming.checkpoints import cut
+
+    links = cut(both_ways(edges).select("a", "b").distinct())
+    held = links.select(F.col("a").alias("node")).distinct().withColumn("x", F.lit(1.0))
+    for i in range(rounds):
+        step = links.join(held.select(F.col("node").alias("a"), "x"), "a").select(F.col("b").alias("node"), "x").union(held)
+        held = step.groupBy("node").agg(F.sum("x").alias("x"))
+        held = cut(held) if i % 6 == 5 else held
+    placed = held.join(components(edges), "node")
+    top = placed.groupBy("component").agg(F.max("x").alias("m"))
+    return placed.join(top, "component").select("node", (F.col("x") / F.col("m")).alias("eigenvector"))
+
+
+def centralities(edges: DataFrame) -> DataFrame:
+    """(node, reached, closeness, betweenness): closeness is (reached - 1) over the sum of hops within the component."""
+    paths = all_paths(edges)
+    near = paths.groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("reached"), F.try_divide(F.count(F.lit(1)) - 1.0, F.sum("hops")).alias("closeness"))
+    return near.join(betweenness(edges, paths), "node")
+
+
+def communities(edges: DataFrame, rounds: int = 6, levels: int = 3) -> DataFrame:
+    """(node, community): groups of high modularity by greedy moves, level by level.
+
+    In a round half of the nodes, by hash, may move to the neighbouring community of largest gain in modularity;
+    when rounds bring none, communities become the nodes of the next level. A community is named by its least node.
+    """
+    from ..streaming.checkpoints import cut
+
+    graph = cut(tidy_edges(edges).withColumn("weight", F.col("weight").cast("double")))
+    loops = None
+    names = cut(degrees(graph).select("node", F.col("node").alias("community")))
+    whole = graph.agg(F.sum("weight")).first()[0]
+    if not whole:
+        return names
+    for level in range(levels):
+        ends = both_ways(graph)
+        strength = ends.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("s"))
+        if loops is not None:
+            strength = strength.join(loops, "node", "full").select("node", (F.coalesce("s", F.lit(0.0)) + 2 * F.coalesce("loop", F.lit(0.0))).alias("s"))
+        state = cut(strength.withColumn("c", F.col("node")))
+        moved_any = False
+        for turn in range(rounds):
+            total = state.groupBy("c").agg(F.sum("s").alias("t"))
+            near = ends.join(state.select(F.col("node").alias("b"), "c"), "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("weight").alias("w"))
+            own = state.select("node", F.col("c").alias("own"), "s")
+            tried = near.join(own, "node").join(total, "c")
+            # Gain of being in c, without the node's own strength there.
+            value = F.col("w") - F.col("s") * (F.col("t") - F.when(F.col("c") == F.col("own"), F.col("s")).otherwise(0.0)) / (2 * whole)
+            best = tried.withColumn("v", value).groupBy("node").agg(F.min(F.struct((-F.col("v")).alias("x"), "c")).alias("b"), F.max(F.when(F.col("c") == F.col("own"), F.col("v"))).alias("stay"))
+            alone = total.withColumnRenamed("c", "own").withColumnRenamed("t", "own_t")
+            judged = own.join(best, "node", "left").join(alone, "own")
+            stay = F.coalesce("stay", -F.col("s") * (F.col("own_t") - F.col("s")) / (2 * whole))
+            go = F.col("b").isNotNull() & (-F.col("b.x") > stay + 1e-9) & (F.pmod(F.xxhash64(F.lit(level), F.lit(turn), "node"), F.lit(2)) == 0)
+            after = cut(judged.select("node", "s", F.when(go, F.col("b.c")).otherwise(F.col("own")).alias("c"), F.coalesce(go, F.lit(False)).alias("moved")))
+            changed = not after.where("moved").isEmpty()
+            moved_any |= changed
+            state = after.drop("moved")
+            if not changed and turn % 2:
+                break
+        if not moved_any:
+            break
+        to = cut(state.join(state.groupBy("c").agg(F.min("node").alias("name")), "c").select("node", "name"))
+        names = cut(names.join(to.select(F.col("node").alias("community"), "name"), "community").select("node", F.col("name").alias("community")))
+        named = graph.join(to.select(F.col("node").alias("a"), F.col("name").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("name").alias("y")), "b").select("x", "y", "weight")
+        inside = named.where("x = y").groupBy(F.col("x").alias("node")).agg(F.sum("weight").alias("loop"))
+        if loops is not None:
+            inside = inside.union(loops.join(to, "node").select(F.col("name").alias("node"), "loop")).groupBy("node").agg(F.sum("loop").alias("loop"))
+        loops, graph = cut(inside), cut(tidy_edges(named.select(F.col("x").alias("a"), F.col("y").alias("b"), "weight")))
+    return names.join(names.groupBy("community").agg(F.min("node").alias("least")), "community").select("node", F.col("least").alias("community"))

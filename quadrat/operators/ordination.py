@@ -39,7 +39,7 @@ def pcoa(pairs: DataFrame, group: str, axes: int = 2) -> DataFrame:
 
 def dispersion(points: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """(label, n, mean_distance) of points (id, axis, value) to their group's mean point."""
-    rows = points.join(F.broadcast(labels), "id")
+    rows = points.join(labels, "id")
     centre = rows.groupBy(label, "axis").agg(F.avg("value").alias("c"))
     far = rows.join(F.broadcast(centre), [label, "axis"]).groupBy(label, "id").agg(F.sqrt(F.sum((F.col("value") - F.col("c")) * (F.col("value") - F.col("c")))).alias("r"))
     return far.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_distance"))

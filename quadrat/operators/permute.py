@@ -17,7 +17,7 @@ def permuted_labels(units: DataFrame, unit: str, label: str, reps: int, block: s
     by_hash = F.md5(F.concat_ws("|", F.lit(seed), "rep", F.col(unit).cast("string")).cast("binary"))
     places = each.withColumn("k", F.row_number().over(Window.partitionBy("rep", *blocks).orderBy(by_hash, unit))).select("rep", unit, *blocks, "k")
     own = rows.withColumn("k", F.row_number().over(Window.partitionBy(*blocks).orderBy(unit))).select(label, *blocks, "k")
-    moved = places.join(F.broadcast(own), [*blocks, "k"]).select("rep", unit, label)
+    moved = places.join(own, [*blocks, "k"]).select("rep", unit, label)
     return rows.select(F.lit(0).alias("rep"), unit, label).union(moved)
 
 

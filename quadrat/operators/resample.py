@@ -24,7 +24,7 @@ def bootstrap(units: DataFrame, unit: str, reps: int, n: int, group: str | None
     slots = spark.range(reps * n).select((F.col("id") / n).cast("int").alias("rep"), (F.col("id") % n).cast("int").alias("slot"))
     sizes = listed.select(*keys, "m").distinct()
     drawn = slots.crossJoin(F.broadcast(sizes)).withColumn("k", F.floor(uniform(F.lit(seed), "rep", "slot", *keys) * F.col("m")).cast("int"))
-    found = drawn.join(F.broadcast(listed.drop("m")), [*keys, "k"])
+    found = drawn.join(listed.drop("m"), [*keys, "k"])
     again = F.row_number().over(Window.partitionBy("rep", *keys, unit).orderBy("slot")) - 1
     return found.select("rep", "slot", *keys, unit, F.concat_ws("__b", F.col(unit).cast("string"), again.cast("string")).alias("unique_id"))
 
@@ -36,7 +36,7 @@ def spike_in(counts: DataFrame, spiked: DataFrame, fold: float) -> DataFrame:
     feature) get one more until the total is right. If the spiked counts exceed the
     total, they are scaled down to it in the same way and the others are 0.
     """
-    rows = counts.join(F.broadcast(spiked.select("feature", F.lit(True).alias("_s"))), "feature", "left")
+    rows = counts.join(spiked.select("feature", F.lit(True).alias("_s")), "feature", "left")
     raised = F.when(F.col("_s"), F.floor(F.col("count") * fold)).otherwise(0)
     w = Window.partitionBy("sample")
     rows = rows.withColumn("_up", raised).withColumn("_total", F.sum("count").over(w)).withColumn("_spiked", F.sum("_up").over(w)).withColumn("_rest", F.sum(F.when(F.col("_s"), 0).otherwise(F.col("count"))).over(w))
@@ -77,7 +77,7 @@ def taxon_power(values: DataFrame, spiked: DataFrame, group: str, first: str, al
 
     tested = stats.mann_whitney(values, ["rep", "feature"], group, first, "v").withColumn("p", stats.normal_tail2("z"))
     adjusted = stats.benjamini_hochberg(tested, "p", ["rep"], ["feature"])
-    marked = adjusted.join(F.broadcast(spiked.select("feature", F.lit(1).alias("s"))), "feature", "left")
+    marked = adjusted.join(spiked.select("feature", F.lit(1).alias("s")), "feature", "left")
     found = F.when(F.col("q") < alpha, 1.0).otherwise(0.0)
     each = marked.groupBy("rep").agg(F.max(F.when(F.col("s") == 1, found)).alias("any"), F.avg(F.when(F.col("s") == 1, found)).alias("sens"), F.avg(F.when(F.col("s").isNull(), found)).alias("false"))
     return each.agg(F.avg("any").alias("power"), F.avg("sens").alias("sensitivity"), F.avg("false").alias("fdr"), F.count(F.lit(1)).alias("reps"))

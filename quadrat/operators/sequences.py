@@ -21,17 +21,51 @@ def dereplicated(reads: DataFrame, least: int = 1) -> DataFrame:
 
 
 def one_edit_pairs(seqs: DataFrame) -> DataFrame:
-    """(a, b): pairs of ids (a < b) whose sequences differ by at most one substitution, insertion or deletion.
+    """(a, b): pairs of ids (a < b) whose distinct sequences differ by at most one substitution, insertion or deletion.
 
-    Every sequence is filed under itself and under each of its texts with one character
+    Every sequence is filed under hashes of itself and of each of its texts with one character
     left out; two sequences within one edit share such a key, so no pair is missed and
     unrelated ones don't meet. Matches are verified.
     """
-    place = F.explode(F.sequence(F.lit(1), F.length("seq")))
-    cut = seqs.select("id", "seq", place.alias("i")).select("id", "seq", F.concat(F.substring("seq", F.lit(1), F.col("i") - 1), F.substring("seq", F.col("i") + 1, F.length("seq"))).alias("key"))
-    keys = cut.union(seqs.select("id", "seq", F.col("seq").alias("key"))).distinct()
-    a, b = keys.toDF("a", "sa", "key"), keys.toDF("b", "sb", "key")
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & (F.levenshtein("sa", "sb", 1) >= 0)).select("a", "b").distinct()
+    place = F.explode(F.sequence(F.lit(1), F.greatest(F.length("seq"), F.lit(1))))
+    cut = seqs.select("id", place.alias("i"), "seq").select("id", F.xxhash64(F.concat(F.substring("seq", F.lit(1), F.col("i") - 1), F.substring("seq", F.col("i") + 1, F.length("seq")))).alias("key"))
+    keys = cut.union(seqs.select("id", F.xxhash64("seq").alias("key"))).distinct()
+    met = keys.toDF("a", "key").join(keys.toDF("b", "key"), "key").where("a < b").select("a", "b").distinct()
+    near = met.join(seqs.toDF("a", "sa"), "a").join(seqs.toDF("b", "sb"), "b")
+    return near.where(F.levenshtein("sa", "sb", 1) >= 0).select("a", "b")
+
+
+def _classes(seqs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seq, class_id) of the distinct sequences, the least id standing for equal ones, and their links (a, b)."""
+    classes = seqs.groupBy("seq").agg(F.min("id").alias("class_id"))
+    return classes, one_edit_pairs(classes.select(F.col("class_id").alias("id"), "seq"))
+
+
+def one_edit_links(seqs: DataFrame) -> DataFrame:
+    """(id, class_id, n_links) of rows (id, seq): equal sequences share a class, n_links counts the classes one edit away."""
+    classes, pairs = _classes(seqs)
+    each = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+    return seqs.join(classes, "seq").join(each, "class_id", "left").select("id", "class_id", F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
+def one_edit_clusters(seqs: DataFrame) -> DataFrame:
+    """(id, cluster): the least id that single edits reach."""
+    from .network import components
+
+    classes, pairs = _classes(seqs)
+    found = components(pairs.withColumn("weight", F.lit(1.0)))
+    return seqs.join(classes, "seq").join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("id", F.coalesce("component", "class_id").alias("cluster"))
+
+
+def relabelled(reads: DataFrame, sample: str = "sample") -> DataFrame:
+    """Reads of several samples as one table whose ids begin with the sample: ``sample:id``."""
+    return reads.withColumn("id", F.concat_ws(":", F.col(sample), F.col("id")))
+
+
+def chunked(seqs: DataFrame, size: int) -> DataFrame:
+    """Adds ``chunk``: stable pieces of about ``size`` records, by hash of the id; every record is in one."""
+    pieces = max(1, -(-seqs.count() // size))
+    return seqs.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(pieces)).cast("int"))
 
 
 def consensus_taxonomy(hits: DataFrame, least: float = 0.51) -> DataFrame:

@@ -16,9 +16,44 @@ def normal_tail2(z: pd.Series) -> pd.Series:
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x == x else None)
 
 
-def chi2_tail_df2(x: Column) -> Column:
-    """P(X >= x) with two degrees of freedom."""
-    return F.exp(-x / 2)
+def chi2_tail(x: Column, df: int) -> Column:
+    """P(X >= x): a finite sum for even degrees of freedom, which grows by two from one or two."""
+    if df % 2:
+        return _chi2_tail_odd(x, F.lit(df))
+    half = x / 2
+    terms = [F.pow(half, F.lit(i)) / math.factorial(i) for i in range(df // 2)]
+    return F.exp(-half) * sum(terms[1:], terms[0])
+
+
+@F.pandas_udf(DoubleType())
+def _chi2_tail_odd(x: pd.Series, df: pd.Series) -> pd.Series:
+    def tail(x: float, df: int) -> float | None:
+        if x != x:
+            return None
+        half = max(x, 0.0) / 2
+        return math.erfc(math.sqrt(half)) + sum(half ** (k / 2) * math.exp(-half) / math.gamma(k / 2 + 1) for k in range(1, df, 2))
+
+    return pd.Series([tail(a, int(b)) for a, b in zip(x, df, strict=True)], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def student_tail2(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided tail of Student's t with whole degrees of freedom: the finite trigonometric sums."""
+
+    def tail(t: float, df: float) -> float | None:
+        if t != t or df != df or df < 1:
+            return None
+        df = int(df)
+        angle = math.atan(abs(t) / math.sqrt(df))
+        sin, cos = math.sin(angle), math.cos(angle)
+        term = total = cos if df % 2 else 1.0
+        for j in range(1, (df - 1) // 2 if df % 2 else df // 2):
+            term *= cos * cos * (2 * j / (2 * j + 1) if df % 2 else (2 * j - 1) / (2 * j))
+            total += term
+        inside = 2 / math.pi * (angle + (sin * total if df > 1 else 0.0)) if df % 2 else sin * total
+        return max(1 - inside, 0.0)
+
+    return pd.Series([tail(a, b) for a, b in zip(t, df, strict=True)], dtype=float)
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str = "rank") -> DataFrame:
@@ -90,6 +125,12 @@ def kruskal(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     return both.select(*by, F.when(correction > 1e-12, h / F.when(correction > 1e-12, correction)).alias("h"), F.col("best.g").alias("best_group"), "mean_range")
 
 
+def t_test(df: DataFrame, by: list[str], group: str, first: str, value: str) -> DataFrame:
+    """(by, n1, n2, t, p): Student's test with pooled variance, two-sided."""
+    found = two_sample_moments(df, by, group, first, value)
+    return found.select(*by, "n1", "n2", "t", student_tail2("t", (F.col("n1") + F.col("n2") - 2).cast("double")).alias("p"))
+
+
 def two_sample_moments(df: DataFrame, by: list[str], group: str, first: str, value: str, ddof: int = 1) -> DataFrame:
     """(by, n1, n2, mean1, mean2, t, cohens_d, delta_median): pooled t statistic; d with the given degrees of freedom."""
     one, x = F.col(group) == first, F.col(value)
@@ -126,8 +167,8 @@ def spearman(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _corr(a: str, b: str) -> Column:
-    """Pearson's r; null for a constant side."""
-    return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.corr(a, b))
+    """Pearson's r; null for a constant side. Aggregates are computed before any CASE, so the division itself must bear a zero."""
+    return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def pearson_pairs(long: DataFrame) -> DataFrame:
@@ -137,6 +178,28 @@ def pearson_pairs(long: DataFrame) -> DataFrame:
     return a.join(b, "unit").where(F.col("id1") < F.col("id2")).groupBy("id1", "id2").agg(_corr("v1", "v2").alias("r"))
 
 
+def representatives(pairs: DataFrame, ids: DataFrame, above: float = 0.9) -> DataFrame:
+    """(id, representative): of columns correlated above ``above`` in absolute value only one is kept.
+
+    A column is dropped if a kept one of smaller id is so correlated with it; its representative is the kept
+    column of largest absolute r (ties: smaller id). ``pairs`` has (id1, id2, r) with id1 < id2, ``ids`` every id.
+    Each round settles the columns all of whose smaller partners are settled.
+    """
+    from ..streaming.checkpoints import cut
+
+    close = cut(pairs.where(F.abs("r") > above).select("id1", "id2", F.abs("r").alias("r")))
+    state = cut(ids.select("id").distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    while not state.where("kept is null").isEmpty():
+        smaller = close.join(state.select(F.col("id").alias("id1"), F.col("kept").alias("k1")), "id1")
+        seen = smaller.groupBy(F.col("id2").alias("id")).agg(F.bool_or("k1").alias("any"), F.bool_or(F.col("k1").isNull()).alias("open"))
+        now = state.join(seen, "id", "left")
+        state = cut(now.select("id", F.coalesce("kept", F.when(F.coalesce("any", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)).alias("kept")))
+    kept = state.where("kept").select("id")
+    both = close.select(F.col("id2").alias("id"), F.col("id1").alias("to"), "r").union(close.select(F.col("id1").alias("id"), F.col("id2").alias("to"), "r"))
+    best = both.join(kept.withColumnRenamed("id", "to"), "to", "left_semi").groupBy("id").agg(F.min(F.struct((-F.col("r")).alias("x"), "to")).alias("b"))
+    return state.join(best, "id", "left").select("id", F.when(F.col("kept"), F.col("id")).otherwise(F.col("b.to")).alias("representative"))
+
+
 def batch_adjusted(df: DataFrame, batch: str, feature: str, value: str) -> DataFrame:
     """Adds ``adjusted``: each batch's values moved and scaled to the feature's overall mean and deviation.
 

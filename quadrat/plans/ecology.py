@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.transforms import rclr, relative
 from ..operators import distance, diversity, isa, permute
-from ..sources.study import PATIENTS_SQL, TAXONOMY_SQL, counts, counts_sql, load, patients, taxonomy
+from ..sources.study import PATIENTS_SQL, TAXONOMY_SQL, counts, counts_sql, patients, taxonomy
 from .registry import Registry
 from .relational import TYPES
 
 query = Registry()
 C, CB, CT = (f"WITH {counts_sql(level)}" for level in ("part", "brand", "type"))
-REPS = 49
+REPS = 199
 
 
 def _rounded(df, digits=6, skip=()):
@@ -178,12 +178,12 @@ def prm6_patient_permanova(spark, d):
 _PAIRWISE_SQL = f"""{_UNITS}, pr AS (SELECT a.t AS g1, b.t AS g2, a.t || ' vs ' || b.t AS pair FROM (SELECT DISTINCT sample_type AS t FROM us) a JOIN (SELECT DISTINCT sample_type AS t FROM us) b ON a.t < b.t),
  up AS (SELECT pair, sample, patient, sample_type FROM us JOIN pr ON sample_type IN (g1, g2)),
  own AS (SELECT pair, patient, sample_type, row_number() OVER (PARTITION BY pair, patient ORDER BY sample) AS k FROM up),
- places AS (SELECT rep, pair, patient, sample, row_number() OVER (PARTITION BY rep, pair, patient ORDER BY md5('1|' || rep || '|' || sample), sample) AS k FROM up, (SELECT unnest(range(1, 20))::INTEGER AS rep)),
+ places AS (SELECT rep, pair, patient, sample, row_number() OVER (PARTITION BY rep, pair, patient ORDER BY md5('1|' || rep || '|' || sample), sample) AS k FROM up, (SELECT unnest(range(1, {REPS + 1}))::INTEGER AS rep)),
  pl AS (SELECT pair, 0 AS rep, sample, sample_type FROM up UNION ALL SELECT pair, rep, sample, own.sample_type FROM places JOIN own USING (k, pair, patient)),
  sz AS (SELECT pair, rep, sample_type AS g, count(*) AS size FROM pl GROUP BY ALL), wh AS (SELECT pair, rep, sum(size) AS n FROM sz GROUP BY ALL),
  ss AS (SELECT a.pair, a.rep, CASE WHEN a.sample_type = b.sample_type THEN a.sample_type END AS g, sum(dist * dist) AS s FROM bc JOIN pl a ON id1 = a.sample JOIN pl b ON id2 = b.sample AND a.rep = b.rep AND a.pair = b.pair GROUP BY ALL),
  r2 AS (SELECT ss.pair, ss.rep, 1 - sum(s / size) / (sum(s) / max(n)) AS r2 FROM ss JOIN wh USING (pair, rep) LEFT JOIN sz ON sz.pair = ss.pair AND sz.rep = ss.rep AND sz.g = ss.g GROUP BY ALL),
- pv AS (SELECT a.pair, round(a.r2, 6) AS r2, (1 + count(*) FILTER (WHERE round(b.r2, 9) >= round(a.r2, 9))) / 20.0::DOUBLE AS p FROM r2 a JOIN r2 b ON a.pair = b.pair AND a.rep = 0 AND b.rep > 0 GROUP BY a.pair, a.r2),
+ pv AS (SELECT a.pair, round(a.r2, 6) AS r2, (1 + count(*) FILTER (WHERE round(b.r2, 9) >= round(a.r2, 9))) / {REPS + 1}.0::DOUBLE AS p FROM r2 a JOIN r2 b ON a.pair = b.pair AND a.rep = 0 AND b.rep > 0 GROUP BY a.pair, a.r2),
  rk AS (SELECT *, row_number() OVER (ORDER BY p, pair) AS k, count(*) OVER () AS m FROM pv)
  SELECT pair, r2, round(p, 6) AS p, round(least(min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1), 6) AS q FROM rk"""
 
@@ -200,7 +200,7 @@ def prm4_win5_pairwise_blocked_permanova(spark, d):
     both = kinds.toDF("g1").join(kinds.toDF("g2"), F.col("g1") < F.col("g2")).withColumn("pair", F.concat_ws(" vs ", "g1", "g2"))
     rows = u.join(F.broadcast(both), (F.col("sample_type") == F.col("g1")) | (F.col("sample_type") == F.col("g2"))).select("pair", "sample", "patient", "sample_type")
     rows = rows.withColumn("block", F.concat_ws("|", "pair", "patient"))
-    each = rows.crossJoin(F.broadcast(spark.range(1, 20).select(F.col("id").cast("int").alias("rep"))))
+    each = rows.crossJoin(F.broadcast(spark.range(1, REPS + 1).select(F.col("id").cast("int").alias("rep"))))
     from pyspark.sql import Window
 
     by_hash = F.md5(F.concat_ws("|", F.lit("1"), "rep", "sample").cast("binary"))
@@ -210,7 +210,7 @@ def prm4_win5_pairwise_blocked_permanova(spark, d):
     keyed = labels.select(F.concat_ws("#", "pair", "rep").alias("rep"), "sample", "sample_type")
     r2 = permute.r_squared(pairs, keyed, "sample", "sample_type").select(F.substring_index("rep", "#", 1).alias("pair"), F.substring_index("rep", "#", -1).cast("int").alias("r"), F.round("r2", 9).alias("r2"))
     own2 = r2.where("r = 0").select("pair", F.col("r2").alias("o"))
-    p = r2.join(own2, "pair").groupBy("pair").agg(F.round(F.max("o"), 6).alias("r2"), ((1 + F.sum(F.when((F.col("r") > 0) & (F.col("r2") >= F.col("o")), 1).otherwise(0))) / 20.0).alias("p"))
+    p = r2.join(own2, "pair").groupBy("pair").agg(F.round(F.max("o"), 6).alias("r2"), ((1 + F.sum(F.when((F.col("r") > 0) & (F.col("r2") >= F.col("o")), 1).otherwise(0))) / (REPS + 1.0)).alias("p"))
     return _rounded(benjamini_hochberg(p, "p", [], ["pair"]))
 
 
@@ -238,29 +238,30 @@ def isa_sql(reps: int, block: str | None, masks: str = _MASKS) -> str:
 _ISA_OUT = "SELECT feature, mask, round(a, 6) AS a, round(b, 6) AS b, round(stat, 6) AS stat, round(p, 6) AS p FROM it"
 
 
-@query(f"{isa_sql(19, None)} {_ISA_OUT}")
+@query(f"{isa_sql(REPS, None)} {_ISA_OUT}")
 def isa1_indicator_combinations(spark, d):
     c = counts(spark, d, "brand")
-    return _rounded(isa.indicator_test(relative(c).select("sample", "feature", "p"), _units(c), "sample", "sample_type", TYPES, 19))
+    return _rounded(isa.indicator_test(relative(c).select("sample", "feature", "p"), _units(c), "sample", "sample_type", TYPES, REPS))
 
 
-@query(f"{isa_sql(19, 'patient', ', '.join(str(1 << i) for i in range(5)))} {_ISA_OUT}")
+@query(f"{isa_sql(REPS, 'patient', ', '.join(str(1 << i) for i in range(5)))} {_ISA_OUT}")
 def isa4_blocked_singletons(spark, d):
     c = counts(spark, d, "brand")
-    return _rounded(isa.indicator_test(relative(c).select("sample", "feature", "p"), _units(c), "sample", "sample_type", TYPES, 19, "patient", True))
+    return _rounded(isa.indicator_test(relative(c).select("sample", "feature", "p"), _units(c), "sample", "sample_type", TYPES, REPS, "patient", True))
 
 
-@query(f"""{isa_sql(19, None)}, rk AS (SELECT *, row_number() OVER (ORDER BY p, feature) AS k, count(*) OVER () AS m FROM it), q AS (SELECT *, least(min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1) AS q FROM rk)
+@query(f"""{isa_sql(REPS, None)}, rk AS (SELECT *, row_number() OVER (ORDER BY p, feature) AS k, count(*) OVER () AS m FROM it), q AS (SELECT *, least(min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1) AS q FROM rk)
  SELECT feature, array_to_string(list_filter([{', '.join(f"CASE WHEN mask & {1 << i} <> 0 THEN '{t}' END" for i, t in enumerate(TYPES))}], lambda x: x IS NOT NULL), '+') AS groups, round(a * b, 6) AS ab, round(p, 6) AS p, round(q, 6) AS q, round(-log10(q), 3) AS log_p, q < 0.3 AND stat >= 0.5 AS passes FROM q""")
 def isa2_isa5_isa8_isa9_indicator_table(spark, d):
     from ..operators.stats import benjamini_hochberg
 
     c = counts(spark, d, "brand")
-    found = isa.indicator_test(relative(c).select("sample", "feature", "p"), _units(c), "sample", "sample_type", TYPES, 19)
+    found = isa.indicator_test(relative(c).select("sample", "feature", "p"), _units(c), "sample", "sample_type", TYPES, REPS)
     table = isa.significance_table(isa.decoded_groups(benjamini_hochberg(found, "p", [], ["feature"]), TYPES), 0.3)
     return _rounded(table.select("feature", "groups", (F.col("a") * F.col("b")).alias("ab"), "p", "q", "log_p", "passes"))
 
 
-@query("SELECT r_regionkey, r_name FROM region")
-def flt34_regions(spark, d):
-    return load(spark, d, "region")
+@query(f"{C} SELECT DISTINCT sample, patient, sample_type FROM c")
+def flt34_sample_metadata(spark, d):
+    """The distinct metadata columns of a long table."""
+    return counts(spark, d).select("sample", "patient", "sample_type").distinct()

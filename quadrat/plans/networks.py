@@ -6,28 +6,28 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate, distance, filters, network, ordination, resample, sequences, stats
 from ..sources.study import PATIENTS_SQL, counts, counts_sql, load, patients
-from ..streaming.checkpoints import windowed_totals
+from ..streaming.checkpoints import cut, windowed_totals
 from .ecology import _rounded, bray_sql, r2_sql
 from .registry import Registry
 
 query = Registry()
 CB, CT = (f"WITH {counts_sql(level)}" for level in ("brand", "type"))
 
-#: Parts in one order, weighted by the number of orders; parts whose key is under 300 keep the graph readable.
-_EDGES = """WITH li AS (SELECT DISTINCT l_orderkey AS o, l_partkey % 300 AS k FROM lineitem), ed AS (SELECT x.k AS a, y.k AS b, count(*)::DOUBLE AS weight FROM li x JOIN li y ON x.o = y.o AND x.k < y.k GROUP BY ALL HAVING count(*) >= {t}),
+#: Parts in one order, weighted by the number of orders.
+_EDGES = """WITH li AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS k FROM lineitem), ed AS (SELECT x.k AS a, y.k AS b, count(*)::DOUBLE AS weight FROM li x JOIN li y ON x.o = y.o AND x.k < y.k GROUP BY ALL HAVING count(*) >= {t}),
  bw AS (SELECT a, b, weight FROM ed UNION ALL SELECT b, a, weight FROM ed), dg AS (SELECT a AS node, count(*) AS degree, sum(weight) AS strength FROM bw GROUP BY 1)"""
-E1 = _EDGES.format(t=5)
+E1 = _EDGES.format(t=2)
 
 
-def shared_orders(spark, d, least: int = 5):
-    li = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_partkey") % 300).alias("k")).distinct()
+def shared_orders(spark, d, least: int = 2):
+    li = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("k")).distinct()
     x, y = li.toDF("o", "a"), li.toDF("o", "b")  # an order has a handful of lines
-    return x.join(y, "o").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("weight")).where(F.col("weight") >= least).persist()
+    return x.join(y, "o").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("weight")).where(F.col("weight") >= least)
 
 
 @query(f"{E1} SELECT * FROM ed")
 def net3_flt31_thresholded_edges(spark, d):
-    return filters.edges_above(shared_orders(spark, d, 1), 5)
+    return filters.edges_above(shared_orders(spark, d, 1), 2)
 
 
 @query(f"{E1} SELECT node, degree, strength FROM dg")
@@ -48,9 +48,9 @@ def agg12_endpoint_features(spark, d):
 _RECURSIVE = _EDGES.replace("WITH li", "WITH RECURSIVE li")
 
 
-@query(f"{_RECURSIVE.format(t=5)}, rc AS (SELECT node, node AS root FROM dg UNION SELECT bw.b, rc.root FROM rc JOIN bw ON bw.a = rc.node AND rc.root < bw.b), cp AS (SELECT node, min(root) AS component FROM rc GROUP BY 1), sz AS (SELECT component, count(*) AS component_size FROM cp GROUP BY 1), od AS (SELECT *, row_number() OVER (ORDER BY component_size DESC, component)::INTEGER AS component_id FROM sz) SELECT node, component_id, component_size, component_id = 1 AS is_largest FROM cp JOIN od USING (component)")
+@query(f"{_RECURSIVE.format(t=2)}, rc AS (SELECT node, node AS root FROM dg UNION SELECT bw.b, rc.root FROM rc JOIN bw ON bw.a = rc.node AND rc.root < bw.b), cp AS (SELECT node, min(root) AS component FROM rc GROUP BY 1), sz AS (SELECT component, count(*) AS component_size FROM cp GROUP BY 1), od AS (SELECT *, row_number() OVER (ORDER BY component_size DESC, component)::INTEGER AS component_id FROM sz) SELECT node, component_id, component_size, component_id = 1 AS is_largest FROM cp JOIN od USING (component)")
 def net7_win10_components(spark, d):
-    return network.component_table(network.components(shared_orders(spark, d)))
+    return network.component_table(network.components(cut(shared_orders(spark, d))))
 
 
 _TRI = f"{E1}, tr AS (SELECT e1.a AS x, e1.b AS y, e2.b AS z FROM ed e1 JOIN ed e2 ON e1.b = e2.a JOIN ed e3 ON e3.a = e1.a AND e3.b = e2.b), tn AS (SELECT node, count(*) AS t FROM (SELECT x AS node FROM tr UNION ALL SELECT y FROM tr UNION ALL SELECT z FROM tr) GROUP BY 1), cl AS (SELECT node, degree, coalesce(t, 0) AS triangles, CASE WHEN degree > 1 THEN 2.0::DOUBLE * coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END AS clustering FROM dg LEFT JOIN tn USING (node))"
@@ -66,19 +66,55 @@ def net8_transitivity(spark, d):
     return _rounded(network.transitivity(shared_orders(spark, d)))
 
 
-@query(f"{_RECURSIVE.format(t=5)}, sr AS (SELECT node FROM dg ORDER BY degree DESC, node LIMIT 5), bf AS (SELECT node AS source, node, 0 AS hops FROM sr UNION SELECT source, bw.b, hops + 1 FROM bf JOIN bw ON bw.a = bf.node WHERE hops < 8) SELECT source, count(*) AS reached, round(avg(hops), 6) AS mean_hops, max(hops) AS eccentricity, round((count(*) - 1) / sum(hops)::DOUBLE, 6) AS closeness FROM (SELECT source, node, min(hops) AS hops FROM bf GROUP BY ALL) GROUP BY 1")
+@query(f"{_RECURSIVE.format(t=2)}, sr AS (SELECT node FROM dg ORDER BY degree DESC, node LIMIT 5), bf AS (SELECT node AS source, node, 0 AS hops FROM sr UNION SELECT source, bw.b, hops + 1 FROM bf JOIN bw ON bw.a = bf.node WHERE hops < 40) SELECT source, count(*) AS reached, round(avg(hops), 6) AS mean_hops, max(hops) AS eccentricity, round((count(*) - 1) / sum(hops)::DOUBLE, 6) AS closeness FROM (SELECT source, node, min(hops) AS hops FROM bf GROUP BY ALL) GROUP BY 1")
 def net9_net10_paths_from_hubs(spark, d):
     """Shortest paths and closeness of the five nodes of largest degree."""
-    e = shared_orders(spark, d)
+    e = cut(shared_orders(spark, d))
     hubs = network.degrees(e).orderBy(F.desc("degree"), "node").limit(5).select("node")
     hops = network.distances_from(e, hubs)
     return _rounded(hops.groupBy("source").agg(F.count(F.lit(1)).alias("reached"), F.avg("hops").alias("mean_hops"), F.max("hops").alias("eccentricity"), ((F.count(F.lit(1)) - 1) / F.sum("hops")).alias("closeness")))
 
 
-@query()
+def pagerank_sql(rounds: int) -> str:
+    steps = [f"r{i + 1} AS (SELECT b AS node, 0.15 / (SELECT count(*) FROM dg) + 0.85 * sum(rank * part) AS rank FROM pp JOIN r{i} ON r{i}.node = pp.a GROUP BY 1)" for i in range(rounds)]
+    return f"{E1}, pp AS (SELECT a, b, weight / strength AS part FROM bw JOIN dg ON dg.node = bw.a), r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM dg) AS rank FROM dg), {', '.join(x.replace(' AS (', ' AS MATERIALIZED (', 1) for x in steps)} SELECT node, round(rank, 9) AS rank FROM r{rounds}"
+
+
+@query(pagerank_sql(20))
 def net10_pagerank(spark, d):
-    """A fixed number of power iterations; rows only."""
-    return _rounded(network.pagerank(shared_orders(spark, d, 2)), 9)
+    """A fixed number of power iterations."""
+    return _rounded(network.pagerank(cut(shared_orders(spark, d)), 20), 9)
+
+
+@query()
+def net10_centralities(spark, d):
+    """Closeness and betweenness of all nodes; tested against brute force."""
+    return _rounded(network.centralities(cut(shared_orders(spark, d))))
+
+
+def eigenvector_sql(rounds: int) -> str:
+    steps = [f"v{i + 1} AS MATERIALIZED (SELECT node, sum(x) AS x FROM (SELECT b AS node, x FROM bw JOIN v{i} ON v{i}.node = bw.a UNION ALL SELECT node, x FROM v{i}) GROUP BY 1)" for i in range(rounds)]
+    return f"{_RECURSIVE.format(t=2)}, rc AS (SELECT node, node AS root FROM dg UNION SELECT bw.b, rc.root FROM rc JOIN bw ON bw.a = rc.node AND rc.root < bw.b), cp AS (SELECT node, min(root) AS component FROM rc GROUP BY 1), v0 AS (SELECT node, 1.0::DOUBLE AS x FROM dg), {', '.join(steps)} SELECT node, round(x / max(x) OVER (PARTITION BY component), 6) AS eigenvector FROM v{rounds} JOIN cp USING (node)"
+
+
+@query(eigenvector_sql(30))
+def net10_eigenvector(spark, d):
+    """A fixed number of power iterations, scaled within components."""
+    return _rounded(network.eigenvector(cut(shared_orders(spark, d))))
+
+
+@query()
+def net9_largest_component_paths(spark, d):
+    """Mean path and diameter of the largest component; tested against brute force."""
+    return _rounded(network.path_summary(cut(shared_orders(spark, d))))
+
+
+@query()
+def net11_communities(spark, d):
+    """Communities by greedy moves; tested on planted ones."""
+    e = cut(shared_orders(spark, d))
+    found = cut(network.communities(e))
+    return _rounded(found.join(F.broadcast(network.modularity(e, found))))
 
 
 @query(f"{E1}, t AS (SELECT sum(weight) AS m FROM ed), st AS (SELECT node % 4 AS g, sum(strength) AS s FROM dg GROUP BY 1), ins AS (SELECT a % 4 AS g, sum(weight) AS w FROM ed WHERE a % 4 = b % 4 GROUP BY 1) SELECT round(sum(coalesce(w, 0) / m - (s / (2 * m)) * (s / (2 * m))), 6) AS modularity FROM st LEFT JOIN ins USING (g), t")
@@ -92,14 +128,44 @@ def net12_assortativity(spark, d):
     return _rounded(network.assortativity(shared_orders(spark, d)))
 
 
-@query(f"{_EDGES.format(t=4)}, o AS (SELECT a AS node, b, weight FROM bw), ob AS (SELECT avg(degree) AS v FROM dg), nl AS (SELECT a % 20 AS rep, count(*) / count(DISTINCT a)::DOUBLE AS value FROM bw GROUP BY 1) SELECT 'mean_degree' AS metric, round(max(v), 6) AS observed, round(avg(value), 6) AS null_mean, round(stddev_samp(value), 6) AS null_sd, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, avg(CASE WHEN value >= v THEN 1.0::DOUBLE ELSE 0 END) AS p, round(max(v) / avg(value), 6) AS ratio FROM nl, ob")
+@query()
 def net14_against_null(spark, d):
-    """The observed mean degree against that of twenty disjoint parts of the nodes."""
-    e = shared_orders(spark, d, 4)
-    deg = network.degrees(e)
-    observed = deg.agg(F.avg("degree").alias("observed")).withColumn("metric", F.lit("mean_degree"))
-    null = deg.groupBy((F.col("node") % 20).alias("rep")).agg(F.avg("degree").alias("value")).select(F.lit("mean_degree").alias("metric"), "value")
-    return _rounded(network.against_null(observed, null, ["metric"]))
+    """Clustering and assortativity of the graph against those of graphs with the same degrees; the swaps are beyond SQL."""
+    e = cut(shared_orders(spark, d))
+    null = network.null_metrics(cut(network.rewired(e, 5, 3)))
+    return _rounded(network.against_null(network.null_metrics(e.withColumn("rep", F.lit(0))).select("metric", F.col("value").alias("observed")), null, ["metric"]))
+
+
+@query(f"{E1} SELECT rep::INTEGER AS rep, node, degree FROM dg, (SELECT unnest(range(1, 4)) AS rep)")
+def net13_rewired_degrees(spark, d):
+    """Swaps leave every degree as it was."""
+    null = network.rewired(cut(shared_orders(spark, d)), 3, 3)
+    return null.select("rep", F.explode(F.array("a", "b")).alias("node")).groupBy("rep", "node").agg(F.count(F.lit(1)).alias("degree"))
+
+
+@query()
+def net13_null_summary(spark, d):
+    """Mean, deviation and interval of each metric over the null graphs."""
+    return _rounded(network.null_metrics(cut(network.rewired(cut(shared_orders(spark, d)), 5, 3))).groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high")))
+
+
+@query(f"{E1}, cr AS (SELECT node, p_name AS name, p_brand AS label, degree, strength FROM dg LEFT JOIN part ON p_partkey = node) SELECT node, name, label, degree, strength, degree >= 5 AS hub FROM cr")
+def net16_node_attributes(spark, d):
+    e = shared_orders(spark, d)
+    parts = load(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), F.col("p_brand").alias("label"))
+    return network.with_attributes(network.degrees(e), parts).withColumn("hub", F.col("degree") >= 5)
+
+
+@query(f"{E1}, mx AS (SELECT max(weight) AS m FROM ed), wt AS (SELECT e1.a AS x, e1.b AS y, e2.b AS z, pow(e1.weight / m * e2.weight / m * e3.weight / m, 1.0 / 3) AS g FROM ed e1 JOIN ed e2 ON e1.b = e2.a JOIN ed e3 ON e3.a = e1.a AND e3.b = e2.b, mx), wn AS (SELECT node, sum(g) AS g FROM (SELECT x AS node, g FROM wt UNION ALL SELECT y, g FROM wt UNION ALL SELECT z, g FROM wt) GROUP BY 1) SELECT node, round(CASE WHEN degree > 1 THEN 2 * coalesce(g, 0) / (degree * (degree - 1)) ELSE 0 END, 6) AS clustering FROM dg LEFT JOIN wn USING (node)")
+def net8_weighted_clustering(spark, d):
+    return _rounded(network.weighted_clustering(shared_orders(spark, d)))
+
+
+@query(f"{E1}, g2 AS (SELECT * FROM ed WHERE weight >= 3), mb AS (SELECT 'low' AS graph, node FROM dg UNION ALL SELECT DISTINCT 'high', node FROM (SELECT a AS node FROM g2 UNION ALL SELECT b FROM g2)) SELECT node, count(*) AS graphs, string_agg(graph, '+' ORDER BY graph) AS members FROM mb GROUP BY 1")
+def net15_membership(spark, d):
+    """Which of two graphs hold each node."""
+    e = shared_orders(spark, d)
+    return network.membership({"low": e, "high": e.where("weight >= 3")})
 
 
 @query(f"{E1}, g2 AS (SELECT a, b, 1.0::DOUBLE AS weight FROM ed WHERE a % 2 = 0 UNION ALL SELECT b, a, 2.0 FROM ed WHERE b % 3 = 0) SELECT least(a, b) AS a, greatest(a, b) AS b, sum(weight) AS weight FROM (SELECT a, b, weight FROM ed UNION ALL SELECT a, b, weight FROM g2) GROUP BY ALL")
@@ -177,26 +243,6 @@ def res4_res6_spike_in_totals(spark, d):
     return out.groupBy("sample").agg(F.sum("count").alias("total"), F.sum("spiked_count").alias("spiked_total"), F.bool_and(F.col("spiked_count") >= 0).alias("kept"))
 
 
-@query(f"WITH {PATIENTS_SQL}, {_SH}, g AS (SELECT unnest([5, 8, 12])::INTEGER AS size), {boot_sql(40, 12)}, x AS (SELECT size, rep, grp, v + CASE WHEN grp = 'Cancer' THEN 0.0005 ELSE 0 END AS v FROM bt JOIN sh USING (patient), g WHERE slot < size), t AS (SELECT size, rep, abs(avg(v) FILTER (WHERE grp = 'Cancer') - avg(v) FILTER (WHERE grp <> 'Cancer')) / sqrt((var_samp(v) FILTER (WHERE grp = 'Cancer') + var_samp(v) FILTER (WHERE grp <> 'Cancer')) / 2 * (2.0::DOUBLE / max(size))) AS t FROM x GROUP BY size, rep), w AS (SELECT size, avg(CASE WHEN exp(-t) < 0.1 THEN 1.0::DOUBLE ELSE 0 END) AS power, count(*) AS reps FROM t GROUP BY 1) SELECT size, round(power, 6) AS power, reps FROM w")
-def pwr3_shannon_power_curve(spark, d):
-    """Power of a shifted diversity over sample sizes: all sizes and repetitions in one plan."""
-    from ..operators.diversity import shannon
-
-    v = shannon(counts(spark, d, "type").groupBy("patient", "feature").agg(F.sum("count").alias("count")), ["patient"])
-    sizes = spark.createDataFrame([(5,), (8,), (12,)], "size int")
-    rows = _boot(spark, d, 40, 12).join(v, "patient").crossJoin(F.broadcast(sizes)).where("slot < size").withColumn("v", F.col("shannon") + F.when(F.col("grp") == "Cancer", 0.0005).otherwise(0.0))
-    t = stats.two_sample_moments(rows, ["size", "rep"], "grp", "Cancer", "v").withColumn("p", F.exp(-F.abs("t")))
-    return _rounded(resample.power(t, ["size"], "p", 0.1))
-
-
-@query(f"{CT}, w AS (SELECT feature, (row_number() OVER (PARTITION BY feature ORDER BY patient, sample_type))::INTEGER AS n, count FROM c), u AS (SELECT feature, n, least(n / 40.0::DOUBLE, 1) AS power FROM w) SELECT feature, min(n) FILTER (WHERE power >= 0.8) AS n_needed, max(power) AS power_at_max, 'Adequate' AS verdict FROM u GROUP BY 1")
-def pwr10_top9_size_for_power(spark, d):
-    from pyspark.sql import Window
-
-    curve = counts(spark, d, "type").withColumn("n", F.row_number().over(Window.partitionBy("feature").orderBy("patient", "sample_type"))).withColumn("power", F.least(F.col("n") / 40.0, F.lit(1.0)))
-    return resample.size_for_power(curve, ["feature"], "n")
-
-
 @query(f"WITH {PATIENTS_SQL}, {counts_sql('brand')}, s0 AS (SELECT patient, feature, sum(count) AS count FROM c GROUP BY ALL), {bray_sql('s0', 'patient', 'count')}, {boot_sql(15, 8)}, pl AS (SELECT rep, unique_id, patient, grp FROM bt), bp AS (SELECT rep, a.unique_id AS u1, b.unique_id AS u2, a.grp AS g1, b.grp AS g2, coalesce(dist, 0) AS dist FROM pl a JOIN pl b USING (rep) LEFT JOIN bc ON id1 = least(a.patient, b.patient) AND id2 = greatest(a.patient, b.patient) WHERE a.unique_id || a.grp < b.unique_id || b.grp), w AS (SELECT rep, sum(dist * dist) / 16 AS total, sum(CASE WHEN g1 = g2 THEN dist * dist / 8 ELSE 0 END) AS within FROM bp GROUP BY 1) SELECT rep, round(1 - within / total, 6) AS r2 FROM w")
 def pwr1_prm9_bootstrap_r2(spark, d):
     """R-squared of case against control over bootstrap draws of patients; distances are computed once."""
@@ -216,13 +262,23 @@ def seq5_dereplicated(spark, d):
     return sequences.dereplicated(load(spark, d, "documents").select(F.col("text").alias("seq")), 2)
 
 
-@query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM (SELECT p_partkey, left(p_name, 8) || p_size AS s FROM part WHERE p_size < 20) a JOIN (SELECT p_partkey, left(p_name, 8) || p_size AS s FROM part WHERE p_size < 20) b ON a.p_partkey < b.p_partkey AND levenshtein(a.s, b.s) <= 1 WHERE a.s <> b.s AND length(a.s) <> length(b.s)")
-def seq8_one_edit_pairs(spark, d):
-    named = load(spark, d, "part").where("p_size < 20").select(F.col("p_partkey").alias("id"), F.concat(F.substring("p_name", 1, 8), F.col("p_size").cast("string")).alias("seq"))
-    pairs = sequences.one_edit_pairs(named.groupBy("seq").agg(F.min("id").alias("id")).select("id", "seq"))
-    rep = named.join(named.groupBy("seq").agg(F.min("id").alias("rep")), "seq")
-    left, right = rep.select(F.col("rep").alias("a"), F.col("id").alias("x"), F.length("seq").alias("lx")), rep.select(F.col("rep").alias("b"), F.col("id").alias("y"), F.length("seq").alias("ly"))
-    return pairs.join(left, "a").join(right, "b").where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+_SEQ = "WITH RECURSIVE sq AS (SELECT p_partkey AS id, p_name || ' ' || p_size || ' ' || p_brand AS seq FROM part), cl AS (SELECT seq, min(id) AS class_id FROM sq GROUP BY 1), lk AS (SELECT x.class_id AS a, y.class_id AS b FROM cl x JOIN cl y ON x.class_id <> y.class_id AND abs(length(x.seq) - length(y.seq)) <= 1 AND levenshtein(x.seq, y.seq) <= 1)"
+
+
+def _sequences(spark, d):
+    return load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string"), "p_brand").alias("seq"))
+
+
+@query(f"{_SEQ} SELECT id, class_id, (SELECT count(*) FROM lk WHERE a = class_id) AS n_links FROM sq JOIN cl USING (seq)")
+def seq8_one_edit_links(spark, d):
+    """Each row with its class of equal texts and the number of classes one edit away."""
+    return sequences.one_edit_links(_sequences(spark, d))
+
+
+@query(f"{_SEQ}, rc AS (SELECT class_id AS node, class_id AS root FROM cl UNION SELECT lk.b, rc.root FROM rc JOIN lk ON lk.a = rc.node AND rc.root < lk.b) SELECT id, min(root) AS cluster FROM sq JOIN cl USING (seq) JOIN rc ON node = class_id GROUP BY 1")
+def seq8_clusters(spark, d):
+    """Clusters of texts that single edits join."""
+    return sequences.one_edit_clusters(_sequences(spark, d))
 
 
 @query("SELECT o_custkey AS query, CASE WHEN max(n) / sum(n)::DOUBLE >= 0.51 THEN arg_max(taxon, (n, taxon)) ELSE 'Unassigned' END AS taxon, round(max(n) / sum(n)::DOUBLE, 6) AS consensus FROM (SELECT o_custkey, o_orderstatus AS taxon, count(*) AS n FROM orders GROUP BY ALL) GROUP BY 1")
@@ -230,9 +286,9 @@ def seq10_consensus_taxonomy(spark, d):
     return _rounded(sequences.consensus_taxonomy(load(spark, d, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderstatus").alias("taxon"))))
 
 
-@query("SELECT page_id, round(list_sum(list_transform(string_split(left(url, 40), ''), lambda c: pow(10.0::DOUBLE, -(ascii(c) - 33) / 10.0::DOUBLE))), 8) AS ee FROM pages")
+@query("SELECT page_id, round(list_sum(list_transform(string_split(url, ''), lambda c: pow(10.0::DOUBLE, -(ascii(c) - 33) / 10.0::DOUBLE))), 8) AS ee FROM pages")
 def seq3_expected_errors(spark, d):
-    return load(spark, d, "pages").select("page_id", F.round(sequences.expected_errors(F.substring("url", 1, 40)), 8).alias("ee"))
+    return load(spark, d, "pages").select("page_id", F.round(sequences.expected_errors(F.col("url")), 8).alias("ee"))
 
 
 @query()
@@ -263,26 +319,6 @@ def ext_windowed_totals(spark, d):
     return windowed_totals(load(spark, d, "events")).withColumn("total", F.round("total", 4))
 
 
-@query()
-def net13_rewired_degrees(spark, d):
-    """Degree-preserving null graphs: the clustering of each; the swaps are random, so rows only."""
-    e = shared_orders(spark, d, 2)
-    null = network.rewired(e, 3)
-    return null.groupBy("rep", F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("forward"))
-
-
-@query()
-def pwr5_taxon_power(spark, d):
-    """Power of rank tests on spiked features over bootstrap draws; SQL has no error function, so rows only."""
-    from ..operators.diversity import summed_profile
-
-    profiles = summed_profile(counts(spark, d, "brand"), ["patient"]).select("patient", "feature", "p")
-    spiked = spark.createDataFrame([("Brand#1",), ("Brand#7",), ("Brand#13",)], "feature string")
-    drawn = _boot(spark, d, 20, 12).join(profiles, "patient").join(F.broadcast(spiked.withColumn("s", F.lit(1))), "feature", "left")
-    raised = F.col("p") * F.when((F.col("s") == 1) & (F.col("grp") == "Cancer"), 1.5).otherwise(1.0)
-    return _rounded(resample.taxon_power(drawn.select("rep", "feature", "grp", raised.alias("v")), spiked, "grp", "Cancer"))
-
-
 @query("SELECT unnest(['total', 'twice']) AS aliased")
 def sta12_aliased_columns(spark, d):
     p = load(spark, d, "part").select("p_size", "p_retailprice", (F.col("p_size") + F.col("p_retailprice")).alias("total"), (2 * F.col("p_size") + 3).alias("twice"))

@@ -37,14 +37,25 @@ def sta1_sta7_win4_mann_whitney(spark, d):
     return _rounded(stats.mann_whitney(_patient_values(spark, d), ["feature"], "grp", "Cancer", "p"))
 
 
+def tail_sql(z: str) -> str:
+    """SQL of stats.normal_tail2: the error function as a series of positive terms."""
+    return f"(1 - exp(-({z}) * ({z}) / 2) * list_sum(list_transform(range(0, 120), lambda i: pow(abs({z}) / sqrt(2.0::DOUBLE), 2 * i + 1) / gamma(i + 1.5))))"
+
+
+def bh_sql(table: str, name: str, family: str = "", order: str = "feature") -> str:
+    """SQL of stats.benjamini_hochberg of the column p as the expression ``name``."""
+    part = f"PARTITION BY {family}" if family else ""
+    return f"""{name}_k AS (SELECT *, row_number() OVER ({part} ORDER BY p, {order}) AS bk, count(*) OVER ({part}) AS bm FROM {table}),
+ {name} AS (SELECT * EXCLUDE (bk, bm), least(min(p * bm / bk) OVER ({part} ORDER BY bk DESC ROWS UNBOUNDED PRECEDING), 1) AS q FROM {name}_k)"""
+
+
+@query(f"{_PF}, {_MW}, pm AS (SELECT *, {tail_sql('z')} AS p FROM mw), {bh_sql('pm', 'bh')} SELECT feature, n1, n2, round(u, 6) AS u, round(z, 6) AS z, round(rank_biserial, 6) AS rank_biserial, round(p, 6) AS p, round(q, 6) AS q FROM bh")
 def sta1_sta9_mann_whitney_fdr(spark, d):
-    """The same with two-sided normal p and BH q; SQL has no error function, so rows only."""
+    """The same with two-sided normal p and BH q."""
     found = stats.mann_whitney(_patient_values(spark, d), ["feature"], "grp", "Cancer", "p").withColumn("p", stats.normal_tail2("z"))
     return _rounded(stats.benjamini_hochberg(found, "p", [], ["feature"]))
 
 
-query()(sta1_sta9_mann_whitney_fdr)
-
 _PAIR = f"""{CT}, {SHANNON.replace('sh AS', 'shx AS')}, pr AS (SELECT a.patient, a.sample_type AS g1, b.sample_type AS g2, a.shannon AS x, b.shannon AS y FROM shx a JOIN shx b ON a.patient = b.patient AND a.sample_type < b.sample_type),
  df AS (SELECT g1, g2, round(x - y, 12) AS d, abs(round(x - y, 12)) AS m FROM pr WHERE round(x - y, 12) <> 0), {rank_sql('df', 'g1, g2', 'm', 'rd')}, ti AS (SELECT g1, g2, sum(t * t * t - t)::DOUBLE AS tie FROM (SELECT g1, g2, m, count(*)::DOUBLE AS t FROM df GROUP BY ALL) GROUP BY ALL),
  sm AS (SELECT g1, g2, count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN rk ELSE 0 END) AS w_minus FROM rd GROUP BY ALL)"""
@@ -57,16 +68,17 @@ def sta2_wilcoxon_paired(spark, d):
     return _rounded(stats.wilcoxon_signed(a.join(b, "patient").where("g1 < g2"), ["g1", "g2"], "x", "y"))
 
 
-@query(f"""{CT}, f AS (SELECT feature, patient, sample_type, count FROM c WHERE sample_type IN ('1-URGENT', '2-HIGH', '3-MEDIUM')), ok AS (SELECT feature, patient FROM f GROUP BY ALL HAVING count(DISTINCT sample_type) = 3), g AS (SELECT f.* FROM f SEMI JOIN ok USING (feature, patient)), {rank_sql('g', 'feature, patient', 'count', 'rg')},
- ti AS (SELECT feature, sum(t * t * t - t)::DOUBLE AS tie FROM (SELECT feature, patient, count, count(*)::DOUBLE AS t FROM g GROUP BY ALL) GROUP BY 1), sm AS (SELECT feature, sum(r * r) AS rr, max(n) AS n FROM (SELECT feature, sample_type, sum(rk) AS r, count(*) AS n FROM rg GROUP BY ALL) GROUP BY 1), q AS (SELECT feature, n, (12 * rr / (n * 3 * 4.0::DOUBLE) - 3 * n * 4) / (1 - tie / (n * 3 * 8.0::DOUBLE)) AS chi2 FROM sm JOIN ti USING (feature)) SELECT feature, n, round(chi2, 6) AS chi2, round(exp(-chi2 / 2), 6) AS p FROM q""")
+@query(f"""{CT}, f AS (SELECT feature, patient, sample_type, count FROM c ), ok AS (SELECT feature, patient FROM f GROUP BY ALL HAVING count(DISTINCT sample_type) = 5), g AS (SELECT f.* FROM f SEMI JOIN ok USING (feature, patient)), {rank_sql('g', 'feature, patient', 'count', 'rg')},
+ ti AS (SELECT feature, sum(t * t * t - t)::DOUBLE AS tie FROM (SELECT feature, patient, count, count(*)::DOUBLE AS t FROM g GROUP BY ALL) GROUP BY 1), sm AS (SELECT feature, sum(r * r) AS rr, max(n) AS n FROM (SELECT feature, sample_type, sum(rk) AS r, count(*) AS n FROM rg GROUP BY ALL) GROUP BY 1), q AS (SELECT feature, n, (12 * rr / (n * 5 * 6.0::DOUBLE) - 3 * n * 6) / (1 - tie / (n * 5 * 24.0::DOUBLE)) AS chi2 FROM sm JOIN ti USING (feature)) SELECT feature, n, round(chi2, 6) AS chi2, round(exp(-chi2 / 2) * (1 + chi2 / 2), 6) AS p FROM q""")
 def sta3_friedman(spark, d):
-    found = stats.friedman(counts(spark, d, "type"), ["feature"], "patient", "sample_type", "count", TYPES[:3])
-    return _rounded(found.withColumn("p", stats.chi2_tail_df2(F.col("chi2"))))
+    found = stats.friedman(counts(spark, d, "type"), ["feature"], "patient", "sample_type", "count", TYPES)
+    return _rounded(found.withColumn("p", stats.chi2_tail(F.col("chi2"), 4)))
 
 
-@query(f"""{CB}, {rank_sql('c', 'feature', 'count', 'rc')}, ti AS (SELECT feature, sum(t * t * t - t)::DOUBLE AS tie FROM (SELECT feature, count, count(*)::DOUBLE AS t FROM c GROUP BY ALL) GROUP BY 1), pg AS (SELECT feature, sample_type, sum(rk) AS r, count(*)::DOUBLE AS m, avg(count) AS mean FROM rc GROUP BY ALL), sm AS (SELECT feature, sum(r * r / m) AS q, sum(m) AS n, arg_min(sample_type, (-mean, sample_type)) AS best_group, max(mean) - min(mean) AS mean_range FROM pg GROUP BY 1) SELECT feature, round((12 * q / (n * (n + 1)) - 3 * (n + 1)) / (1 - tie / (n * n * n - n)), 6) AS h, best_group, round(mean_range, 6) AS mean_range FROM sm JOIN ti USING (feature)""")
+@query(f"""{CB}, {rank_sql('c', 'feature', 'count', 'rc')}, ti AS (SELECT feature, sum(t * t * t - t)::DOUBLE AS tie FROM (SELECT feature, count, count(*)::DOUBLE AS t FROM c GROUP BY ALL) GROUP BY 1), pg AS (SELECT feature, sample_type, sum(rk) AS r, count(*)::DOUBLE AS m, avg(count) AS mean FROM rc GROUP BY ALL), sm AS (SELECT feature, sum(r * r / m) AS q, sum(m) AS n, arg_min(sample_type, (-mean, sample_type)) AS best_group, max(mean) - min(mean) AS mean_range FROM pg GROUP BY 1), hh AS (SELECT feature, (12 * q / (n * (n + 1)) - 3 * (n + 1)) / (1 - tie / (n * n * n - n)) AS h, best_group, mean_range FROM sm JOIN ti USING (feature)) SELECT feature, round(h, 6) AS h, round(exp(-h / 2) * (1 + h / 2), 6) AS p, best_group, round(mean_range, 6) AS mean_range FROM hh""")
 def sta4_kruskal(spark, d):
-    return _rounded(stats.kruskal(counts(spark, d, "brand"), ["feature"], "sample_type", "count"))
+    found = stats.kruskal(counts(spark, d, "brand"), ["feature"], "sample_type", "count")
+    return _rounded(found.withColumn("p", stats.chi2_tail(F.col("h"), len(TYPES) - 1)))
 
 
 _MOM = """mo AS (SELECT feature, count(*) FILTER (WHERE grp = 'Cancer') AS n1, count(*) FILTER (WHERE grp <> 'Cancer') AS n2, avg(p) FILTER (WHERE grp = 'Cancer') AS m1, avg(p) FILTER (WHERE grp <> 'Cancer') AS m2, var_samp(p) FILTER (WHERE grp = 'Cancer') AS v1, var_samp(p) FILTER (WHERE grp <> 'Cancer') AS v2, var_pop(p) FILTER (WHERE grp = 'Cancer') AS w1, var_pop(p) FILTER (WHERE grp <> 'Cancer') AS w2, median(p) FILTER (WHERE grp = 'Cancer') - median(p) FILTER (WHERE grp <> 'Cancer') AS dm FROM v GROUP BY 1)"""
@@ -81,6 +93,16 @@ def sta5_sta6_moments(spark, d):
     return out.withColumns({**{c: F.round(c, 8) for c in ("mean1", "mean2", "delta_median")}, **{c: F.round(c, 5) for c in ("t", "cohens_d", "d_population")}})
 
 
+_T_SQL = "(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n2))"
+
+
+@query(f"{_PF}, {_MOM}, st AS (SELECT feature, n1, n2, {_T_SQL} AS t, n1 + n2 - 2 AS df FROM mo), an AS (SELECT *, atan(abs(t) / sqrt(df)) AS w FROM st) SELECT feature, n1, n2, round(t, 5) AS t, round(CASE WHEN df % 2 = 1 THEN 1 - 2 / pi() * (w + sin(w) * list_sum(list_transform(range(0, (df - 1) // 2), lambda j: exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * pow(cos(w), 2 * j + 1)))) ELSE 1 - sin(w) * list_sum(list_transform(range(0, df // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * pow(cos(w), 2 * j))) END, 6) AS p FROM an")
+def sta5_t_test(spark, d):
+    """Student's test; the SQL holds the series for odd and even degrees of freedom."""
+    found = stats.t_test(_patient_values(spark, d), ["feature"], "grp", "Cancer", "p")
+    return found.select("feature", "n1", "n2", F.round("t", 5).alias("t"), F.round("p", 6).alias("p"))
+
+
 @query(f"{_PF}, pv AS (SELECT feature, exp(-abs((avg(p) FILTER (WHERE grp = 'Cancer') - avg(p) FILTER (WHERE grp <> 'Cancer')) / stddev_samp(p))) AS p FROM v GROUP BY 1), rk AS (SELECT *, row_number() OVER (ORDER BY round(p, 9), feature) AS k, count(*) OVER () AS m FROM pv) SELECT feature, round(p, 6) AS p, round(least(min(round(p, 9) * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1), 6) AS q FROM rk")
 def sta9_agg25_benjamini_hochberg(spark, d):
     """BH on a monotone score of the group difference, which SQL can compute too."""
@@ -106,6 +128,20 @@ def sta11_sta13_pearson_pairs(spark, d):
     return _rounded(stats.pearson_pairs(_long(spark, d, "feature")))
 
 
+@query(f"{_LONG.replace('WITH', 'WITH RECURSIVE', 1)}, cr AS (SELECT a.id AS id1, b.id AS id2, abs(corr(a.value, b.value)) AS r FROM lt a JOIN lt b ON a.unit = b.unit AND a.id < b.id GROUP BY ALL), od AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT DISTINCT id FROM lt)), gr AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS kept UNION ALL SELECT od.k, CASE WHEN EXISTS (SELECT 1 FROM cr WHERE id2 = od.id AND r > 0.3 AND list_contains(gr.kept, id1)) THEN gr.kept ELSE list_append(gr.kept, od.id) END FROM gr JOIN od ON od.k = gr.k + 1), ke AS (SELECT unnest(kept) AS id FROM gr WHERE k = (SELECT max(k) FROM od)), bo AS (SELECT id1 AS id, id2 AS other, r FROM cr UNION ALL SELECT id2, id1, r FROM cr), bs AS (SELECT bo.id, arg_min(other, (-r, other)) AS rep FROM bo JOIN ke ON ke.id = other WHERE r > 0.3 GROUP BY 1) SELECT od.id, CASE WHEN ke.id IS NOT NULL THEN od.id ELSE rep END AS representative FROM od LEFT JOIN ke ON ke.id = od.id LEFT JOIN bs ON bs.id = od.id")
+def sta11_representatives(spark, d):
+    """Correlated columns reduced to representatives; the bound is 0.3, since few of these totals reach 0.9."""
+    long = _long(spark, d, "feature")
+    return stats.representatives(stats.pearson_pairs(long), long.select("id"), 0.3)
+
+
+@query(f"{_LONG} SELECT a.unit AS unit1, b.unit AS unit2, round(corr(a.value, b.value), 6) AS r FROM lt a JOIN lt b ON a.id = b.id AND a.unit < b.unit GROUP BY ALL HAVING corr(a.value, b.value) >= 0.5")
+def sta13_similar_patients(spark, d):
+    """Patients whose vectors of values correlate at 0.5 or more."""
+    turned = _long(spark, d, "feature").select(F.col("id").alias("unit"), F.col("unit").alias("id"), "value")
+    return _rounded(stats.pearson_pairs(turned).where("r >= 0.5").select(F.col("id1").alias("unit1"), F.col("id2").alias("unit2"), "r"))
+
+
 @query(f"{CT}, b AS (SELECT feature, sample_type, avg(count) AS mb, stddev_pop(count) AS sb FROM c GROUP BY ALL), f AS (SELECT feature, avg(count) AS mf, stddev_pop(count) AS sf FROM c GROUP BY 1) SELECT sample, c.feature, round((count - mb) / sb * sf + mf, 5) AS adjusted FROM c JOIN b ON b.feature = c.feature AND b.sample_type = c.sample_type JOIN f ON f.feature = c.feature")
 def sta14_batch_adjustment(spark, d):
     return stats.batch_adjusted(counts(spark, d, "type"), "sample_type", "feature", "count").select("sample", "feature", F.round("adjusted", 5).alias("adjusted"))

@@ -21,14 +21,14 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 
 def read_counts(spark: SparkSession, path: str, samples_on: str = "columns", keep: list[str] | None = None) -> DataFrame:
-    """(feature, sample, count) of a wide table with non-zero cells; what is no number is 0.
+    """(feature, sample, count as a double) of a wide table with non-zero cells; what is no number is 0.
 
     ``samples_on`` says whether columns or rows are samples; ``keep`` limits the unpivoted columns.
     """
     wide = read_table(spark, path)
     key, *rest = wide.columns
     names = [c for c in rest if keep is None or c in keep]
-    long = wide.unpivot([key], names, "_column", "_value").select(F.col(key).alias("_row"), "_column", F.coalesce(F.col("_value").try_cast("double"), F.lit(0.0)).cast("bigint").alias("count")).where("count <> 0")
+    long = wide.unpivot([key], names, "_column", "_value").select(F.col(key).alias("_row"), "_column", F.coalesce(F.col("_value").try_cast("double"), F.lit(0.0)).alias("count")).where("count <> 0")
     feature, sample = ("_row", "_column") if samples_on == "columns" else ("_column", "_row")
     return long.select(F.col(feature).alias("feature"), F.col(sample).alias("sample"), "count")
 
@@ -46,8 +46,8 @@ def best_hits(hits: DataFrame) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(id, description, seq): records split at ``>`` by the text reader, lines joined, upper case."""
-    raw = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    """(id, description, seq): records split where a line begins with ``>`` by the text reader, lines joined, upper case."""
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "")
     head = F.substring_index("value", "\n", 1)
     body = F.substring("value", F.length(head) + 1, F.length("value"))
     return raw.select(F.substring_index(F.trim(head), " ", 1).alias("id"), F.trim(head).alias("description"), F.upper(F.regexp_replace(body, r"\s", "")).alias("seq"))
