@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
 from .units import UnitCache, in_blocks
 
 OUT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -86,7 +87,7 @@ class ByteBpe:
         self.split = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.ranks))
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
-        self.units = UnitCache(self._encode_units, lambda a, b: (f"{a[0]},{b[0]}", a[1] + b[1], a[2] + b[2]), 120_000)
+        self.units = UnitCache(self._encode_units, lambda a, b: (f"{a[0]},{b[0]}", a[1] + b[1], a[2] + b[2]), 80_000)
 
     def encode_pretokens(self, found: list[str]) -> list[tuple[int, ...]]:
         """A pre-token that is a token is that token; sentencepiece merges the others.
@@ -149,4 +150,4 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     decoded.append(hashlib.sha256(b"".join(raw)).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, OUT)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(encode, OUT)

@@ -58,6 +58,17 @@ def discard(*written: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after a limit on the rows that a Python worker gets at once: texts are long, and a worker holds several copies of a batch.
+
+    A setting that the session has made itself stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's own default
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return df
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it must to tell."""
     return df.limit(rows + 1).count() <= rows

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, is_small, materialize, text_key
+from .common import discard, is_small, materialize, small_batches, text_key
 
 LENGTH, GRAM = 200, 40
 SPAN = LENGTH - GRAM + 1
@@ -110,7 +110,7 @@ def find_runs(docs: DataFrame) -> DataFrame:
                         names=["gram", "whole", "doc_id", "text_key", "first", "windows", "weight"],
                     )
 
-    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, "gram bigint, whole bigint, doc_id bigint, text_key bigint, first int, windows int, weight int")
+    return small_batches(docs).select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, "gram bigint, whole bigint, doc_id bigint, text_key bigint, first int, windows int, weight int")
 
 
 def _merged(starts: np.ndarray) -> list[tuple[int, int]]:

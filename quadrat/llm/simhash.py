@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast, text_key
+from .common import materialize, maybe_broadcast, small_batches, text_key
 from .components import connected_components
 from .units import in_blocks
 
@@ -168,7 +168,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFram
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([keys.slice(start, len(texts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["text_key", "shingles"])
 
-    rows = docs.select(text_key().alias("text_key"), "text").join(maybe_broadcast(wanted, BROADCAST_TEXTS), "text_key", "left_semi")
+    rows = small_batches(docs).select(text_key().alias("text_key"), "text").join(maybe_broadcast(wanted, BROADCAST_TEXTS), "text_key", "left_semi")
     return rows.mapInArrow(run, "text_key bigint, shingles array<bigint>").dropDuplicates(["text_key"])
 
 
@@ -197,7 +197,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
             more = [pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64()), pa.array([x[2] for x in sets], pa.list_(pa.int64()))] if exact else []
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, words), *more], names=["doc_id", "text_key", *names, *extra])
 
-    rows = docs.select("doc_id", text_key().alias("text_key"), "text")
+    rows = small_batches(docs).select("doc_id", text_key().alias("text_key"), "text")
     return rows.mapInArrow(run, ", ".join(["doc_id bigint", "text_key bigint", *(f"{n} bigint" for n in names), *(f"{n} {'array<bigint>' if n == 'short' else 'bigint'}" for n in extra)]))
 
 

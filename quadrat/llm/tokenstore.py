@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SharedFiles, materialize, new_folder
+from .common import SharedFiles, materialize, new_folder, small_batches
 from .units import UnitCache, in_blocks, is_bare, is_plain
 
 MAGIC = b"BPLANES1"
@@ -197,7 +197,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, part
         SharedFiles(folder).write(name, file_chunks((x for some in ([first], found) for x in some), summary))
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "n_ids": pa.array([summary["n_ids"]], pa.int64())})
 
-    ranged = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ranged = small_batches(docs).select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return materialize(ranged.mapInArrow(write, "part int, name string, n_ids bigint"), "token-files")
 
 

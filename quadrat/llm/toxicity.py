@@ -24,11 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SAMPLE = 4_000
 FEATURES = 4096
 PREFIXES = (3, 4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
-CACHED = 100_000
+CACHED = 60_000
 
 
 def word_features(word: str) -> list[str]:
@@ -212,10 +214,10 @@ def severity(model: OrdinalModel, text: Column) -> Column:
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, severity (expected grade), p_toxic and toxic of every document; repeated rows alike."""
-    scored = docs.select("doc_id", severity(train(docs, labels), F.col("text")).alias("s"))
+    scored = small_batches(docs).select("doc_id", severity(train(docs, labels), F.col("text")).alias("s"))
     return scored.select("doc_id", "s.severity", "s.p_toxic", (F.col("s.p_toxic") >= threshold).alias("toxic"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that are more likely not toxic; all columns as they are."""
-    return docs.where(severity(train(docs, labels), F.col("text"))["p_toxic"] < threshold)
+    return small_batches(docs).where(severity(train(docs, labels), F.col("text"))["p_toxic"] < threshold)
