@@ -100,3 +100,8 @@ def contains_ignoring_case(text: Column, part: str) -> Column:
 def ordered_position(col: Column, order: list[str]) -> Column:
     """Sort key: place in ``order``, then everything else."""
     return reduce(lambda acc, p: acc.when(col == p[1], p[0]), list(enumerate(order))[1:], F.when(col == order[0], 0)).otherwise(len(order))
+
+
+def short_number(x: Column) -> Column:
+    """From a thousand on in thousands with one decimal, else a whole number; null stays null."""
+    return F.when(x >= 1000, F.concat(F.format_string("%.1f", (x / 1000).cast("double")), F.lit("k"))).otherwise(x.cast("bigint").cast("string"))

@@ -91,3 +91,26 @@ def cohort_summary(samples: DataFrame, fine: list[str], coarse: list[str], unit:
     """Distinct units by the fine and by the coarse keys, one under the other."""
     count = lambda keys, level: samples.groupBy(*keys).agg(F.countDistinct(unit).alias("n")).withColumn("level", F.lit(level))
     return count(fine, "fine").unionByName(count(coarse, "coarse"), allowMissingColumns=True)
+
+
+def dense_codes(df: DataFrame, column: str, name: str, prefix: str, width: int = 1, first: int = 0) -> DataFrame:
+    """Adds ``name``: the prefix and the dense order of the column's value, counted from ``first`` and padded to ``width``; null for null.
+
+    Values are ranged and numbered part by part; a row for each part holds where it begins.
+    """
+    from ..streaming.checkpoints import cut
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = df.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(parts, column).sortWithinPartitions(column)
+    placed = cut(ids.select(column, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_k")))
+    starts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    number = (F.col("_before") + F.col("_k") + first).cast("string")
+    padded = F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number)
+    codes = placed.join(F.broadcast(starts), "_part").select(column, F.concat(F.lit(prefix), padded).alias(name))
+    return df.join(codes, column, "left")
+
+
+def suffixed_join(left: DataFrame, right: DataFrame, on: list[str], suffixes: tuple[str, str] = ("_x", "_y"), how: str = "inner") -> DataFrame:
+    """A join in which columns that both sides have, but for the keys, get suffixes."""
+    both = [c for c in left.columns if c in right.columns and c not in on]
+    return left.withColumnsRenamed({c: c + suffixes[0] for c in both}).join(right.withColumnsRenamed({c: c + suffixes[1] for c in both}), on, how)

@@ -79,3 +79,53 @@ def indicator_power(draws: DataFrame, profiles: DataFrame, spiked: DataFrame, un
     sign, planted = (F.col("q") < alpha).cast("double"), F.col("s") == 1
     each = marked.groupBy("rep").agg(F.max(F.when(planted, sign)).alias("any"), F.avg(F.when(planted, sign)).alias("sens"), F.coalesce(F.try_divide(F.sum(F.when(F.col("s").isNull(), sign)), F.sum(sign)), F.lit(0.0)).alias("false"))
     return each.agg(F.avg("any").alias("power"), F.avg("sens").alias("sensitivity"), F.avg("false").alias("fdr"), F.count(F.lit(1)).alias("reps"))
+
+
+def stratified_test(profiles: DataFrame, units: DataFrame, unit: str, label: str, stratum: str, groups: list, reps: int) -> DataFrame:
+    """(stratum, feature, mask, a, b, stat, p, q): single-group tests within each stratum, all strata in one plan, q over the pooled table."""
+    from .power import shuffled_labels
+    from .stats import benjamini_hochberg
+
+    labels = shuffled_labels(units.select(stratum, unit, label), [stratum], unit, label, reps)
+    keyed = labels.select(F.concat_ws("#", stratum, "perm").alias("rep"), unit, label)
+    found = indicator_values(profiles, keyed, unit, label, groups, True)
+    split = found.select(F.substring_index("rep", "#", 1).alias(stratum), F.substring_index("rep", "#", -1).cast("int").alias("perm"), "feature", "mask", "a", "b", "stat")
+    own = split.where("perm = 0").drop("perm")
+    other = split.where("perm > 0").select(stratum, "feature", F.col("stat").alias("s"))
+    hits = own.select(stratum, "feature", "stat").join(other, [stratum, "feature"], "left").groupBy(stratum, "feature").agg(F.sum(F.when(F.col("s") >= F.col("stat"), 1).otherwise(0)).alias("hits"))
+    tested = own.join(hits, [stratum, "feature"]).withColumn("p", (F.col("hits") + 1) / (reps + 1.0)).drop("hits")
+    return benjamini_hochberg(tested, "p", [], [stratum, "feature"])
+
+
+def without_full_union(table: DataFrame, n_groups: int) -> DataFrame:
+    """Rows whose combination is not that of all groups."""
+    return table.where(F.col("mask") != (1 << n_groups) - 1)
+
+
+def merged_metrics(table: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """The table with ``metric``: the summary's q where it has one, else the own q, else p. A q is never replaced by null."""
+    own = F.col("q") if "q" in table.columns else F.lit(None).cast("double")
+    return table.join(summary.select(*keys, F.col("q").alias("_q")), keys, "left").withColumn("metric", F.coalesce("_q", own, "p")).drop("_q")
+
+
+def combined(one: DataFrame, two: DataFrame, names: tuple[str, str], alpha: float, least: float) -> DataFrame:
+    """(feature, <name>_mask, <name>_stat, ..., label): features that pass in either table, and in which."""
+    passing = lambda df, n: df.where((F.col("p") < alpha) & (F.col("stat") >= least)).select("feature", F.col("mask").alias(f"{n}_mask"), F.col("stat").alias(f"{n}_stat"))
+    both = passing(one, names[0]).join(passing(two, names[1]), "feature", "full")
+    a, b = (F.col(f"{n}_mask").isNotNull() for n in names)
+    return both.withColumn("label", F.when(a & b, "+".join(names)).when(a, names[0]).otherwise(names[1]))
+
+
+def analysis_summary(table: DataFrame, by: list[str], alpha: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """((by, n_features, n_significant), the ``n`` rows of least p, then largest stat, of each)."""
+    from .aggregate import top_per_group
+
+    whole = table.groupBy(*by).agg(F.count(F.lit(1)).alias("n_features"), F.sum(F.when(F.col("p") < alpha, 1).otherwise(0)).alias("n_significant"))
+    return whole, top_per_group(table, by, [F.col("p").asc(), F.col("stat").desc(), F.col("feature").asc()], n)
+
+
+def overlay(df: DataFrame, indicators: DataFrame, label: str, allowed: list[str], least: float, alpha: float) -> DataFrame:
+    """``df`` (feature, ...) with ``label`` and ``shown``: the label of a feature whose stat and metric pass and whose label is allowed, else Other."""
+    good = (F.col("stat") >= least) & (F.col("metric") < alpha) & F.col(label).isin(allowed)
+    joined = df.join(indicators.select("feature", label, "stat", "metric"), "feature", "left").withColumn("shown", F.coalesce(good, F.lit(False)))
+    return joined.withColumn(label, F.when(F.col("shown"), F.col(label)).otherwise("Other"))

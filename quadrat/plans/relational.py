@@ -369,10 +369,23 @@ def agg24_set1_cohort_summary(spark, d):
     return aggregate.cohort_summary(s, ["sample_type", "case"], ["case"], "patient").select("sample_type", "case", "n", "level")
 
 
-@query("SELECT n_nationkey, 'P' || (dense_rank() OVER (ORDER BY n_name) - 1) AS code, 'S' || lpad(row_number() OVER (ORDER BY n_nationkey)::VARCHAR, 3, '0') AS sample_code FROM nation")
+@query("SELECT c_custkey, 'P' || (dense_rank() OVER (ORDER BY c_acctbal) - 1) AS code, 'S' || lpad(row_number() OVER (ORDER BY c_name)::VARCHAR, greatest(3, length(row_number() OVER (ORDER BY c_name)::VARCHAR))::INTEGER, '0') AS sample_code FROM customer")
 def win2_win3_codes(spark, d):
-    n = load(spark, d, "nation")  # a few rows: metadata, numbered as a whole
-    return n.select("n_nationkey", F.concat(F.lit("P"), (F.dense_rank().over(Window.orderBy("n_name")) - 1).cast("string")).alias("code"), F.format_string("S%03d", F.row_number().over(Window.orderBy("n_nationkey"))).alias("sample_code"))
+    """Codes of sorted distinct values, without one window over all of them."""
+    c = load(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return aggregate.dense_codes(aggregate.dense_codes(c, "c_acctbal", "code", "P"), "c_name", "sample_code", "S", 3, 1).select("c_custkey", "code", "sample_code")
+
+
+@query("SELECT l_returnflag || l_linestatus AS k, CASE WHEN sum(l_quantity) >= 1000 THEN printf('%.1fk', sum(l_quantity) / 1000) ELSE CAST(CAST(sum(l_quantity) AS BIGINT) AS VARCHAR) END AS label FROM lineitem GROUP BY 1")
+def str8_short_numbers(spark, d):
+    return load(spark, d, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("k")).agg(F.sum("l_quantity").alias("x")).select("k", text.short_number(F.col("x")).alias("label"))
+
+
+@query("SELECT a.o_custkey, a.n AS n_left, b.n AS n_right FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b USING (o_custkey)".replace("SELECT a.o_custkey,", "SELECT o_custkey,", 1))
+def jn15_suffixed_merge(spark, d):
+    """Columns of one name on both sides get suffixes."""
+    n = lambda s: load(spark, d, "orders").where(F.col("o_orderstatus") == s).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return aggregate.suffixed_join(n("F"), n("O"), ["o_custkey"], ("_left", "_right"), "full")
 
 
 @query(f"{CB}, t AS (SELECT sample_type, feature, sum(count) AS total FROM c GROUP BY ALL), k AS (SELECT feature FROM t QUALIFY row_number() OVER (PARTITION BY sample_type ORDER BY total DESC, feature) <= 5) SELECT DISTINCT feature FROM (SELECT feature FROM k UNION ALL SELECT 'Brand#11')")

@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the session names; in a single-JVM session without one, a temporary folder."""
+    """``df`` written once, in the folder that the session's ``spark.checkpoint.dir`` names, and read back: lineage ends there.
+
+    A single-JVM session without that setting gets a temporary folder, a cluster one in the warehouse. An RDD
+    checkpoint would compute the rows twice.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        local = context.master.startswith("local") and not context.master.startswith("local-cluster")
-        context.setCheckpointDir(found or (tempfile.mkdtemp(prefix="quadrat-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"))
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        local = master.startswith("local") and not master.startswith("local-cluster")
+        folder = "file://" + tempfile.mkdtemp(prefix="quadrat-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def windowed_totals(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
