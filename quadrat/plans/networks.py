@@ -88,8 +88,8 @@ def net10_pagerank(spark, d):
 
 @query()
 def net10_centralities(spark, d):
-    """Closeness and betweenness of all nodes; tested against brute force."""
-    return _rounded(network.centralities(cut(shared_orders(spark, d))))
+    """Closeness and betweenness of all nodes joined by at least three orders: all pairs of a component; tested against brute force."""
+    return _rounded(network.centralities(cut(shared_orders(spark, d, 3))))
 
 
 def eigenvector_sql(rounds: int) -> str:
@@ -105,8 +105,8 @@ def net10_eigenvector(spark, d):
 
 @query()
 def net9_largest_component_paths(spark, d):
-    """Mean path and diameter of the largest component; tested against brute force."""
-    return _rounded(network.path_summary(cut(shared_orders(spark, d))))
+    """Mean path and diameter of the largest component, of edges of at least three orders; tested against brute force."""
+    return _rounded(network.path_summary(cut(shared_orders(spark, d, 3))))
 
 
 @query()
