@@ -191,6 +191,16 @@ _PAIRWISE_SQL = f"""{_UNITS}, pr AS (SELECT a.t AS g1, b.t AS g2, a.t || ' vs '
 @query(_PAIRWISE_SQL)
 def prm4_win5_pairwise_blocked_permanova(spark, d):
     """One test for each pair of sample types, all as one plan: the pair is part of every key."""
+    return _pairwise(spark, d, ["pair", "patient"])
+
+
+@query(_PAIRWISE_SQL.replace("PARTITION BY pair, patient", "PARTITION BY pair").replace("PARTITION BY rep, pair, patient", "PARTITION BY rep, pair").replace("USING (k, pair, patient)", "USING (k, pair)"))
+def prm5_pairwise_permanova(spark, d):
+    """The same with labels permuted over all samples of a pair."""
+    return _pairwise(spark, d, ["pair"])
+
+
+def _pairwise(spark, d, block):
     from ..operators.stats import benjamini_hochberg
 
     c = counts(spark, d, "brand")
@@ -199,7 +209,7 @@ def prm4_win5_pairwise_blocked_permanova(spark, d):
     kinds = u.select("sample_type").distinct()
     both = kinds.toDF("g1").join(kinds.toDF("g2"), F.col("g1") < F.col("g2")).withColumn("pair", F.concat_ws(" vs ", "g1", "g2"))
     rows = u.join(F.broadcast(both), (F.col("sample_type") == F.col("g1")) | (F.col("sample_type") == F.col("g2"))).select("pair", "sample", "patient", "sample_type")
-    rows = rows.withColumn("block", F.concat_ws("|", "pair", "patient"))
+    rows = rows.withColumn("block", F.concat_ws("|", *block))
     each = rows.crossJoin(F.broadcast(spark.range(1, REPS + 1).select(F.col("id").cast("int").alias("rep"))))
     from pyspark.sql import Window
 
