@@ -225,22 +225,26 @@ def res1_win8_bootstrap(spark, d):
 _SH = f"{counts_sql('type')}, sh AS (SELECT patient, ln(sum(count)::DOUBLE) - sum(count * ln(count)) / sum(count) AS v FROM (SELECT patient, feature, sum(count) AS count FROM c GROUP BY ALL) GROUP BY 1)"
 
 
-@query(f"WITH {PATIENTS_SQL}, {_SH}, {boot_sql(30, 10)}, e AS (SELECT rep, avg(v) FILTER (WHERE grp = 'Cancer') - avg(v) FILTER (WHERE grp = 'Control') AS diff FROM bt JOIN sh USING (patient) GROUP BY 1) SELECT 'shannon' AS metric, round(avg(diff), 7) AS mean, round(quantile_cont(diff, 0.025), 7) AS low, round(quantile_cont(diff, 0.975), 7) AS high FROM e")
+@query(f"WITH {PATIENTS_SQL}, {_SH}, {boot_sql(30, 10)}, e AS (SELECT rep, (avg(v) FILTER (WHERE grp = 'Cancer') - avg(v) FILTER (WHERE grp = 'Control')) / sqrt((var_samp(v) FILTER (WHERE grp = 'Cancer') + var_samp(v) FILTER (WHERE grp = 'Control')) / 2) AS d FROM bt JOIN sh USING (patient) GROUP BY 1) SELECT 'shannon' AS metric, round(avg(d), 4) AS mean, round(quantile_cont(d, 0.025), 4) AS low, round(quantile_cont(d, 0.975), 4) AS high FROM e")
 def sta8_prm9_bootstrap_interval(spark, d):
+    """The interval of Cohen's d over draws of as many cases as controls."""
     from ..operators.diversity import shannon
 
     v = shannon(counts(spark, d, "type").groupBy("patient", "feature").agg(F.sum("count").alias("count")), ["patient"])
-    one = F.col("grp") == "Cancer"
-    diff = _boot(spark, d, 30, 10).join(v, "patient").groupBy("rep").agg((F.avg(F.when(one, F.col("shannon"))) - F.avg(F.when(~one, F.col("shannon")))).alias("diff"))
-    return _rounded(resample.bootstrap_interval(diff.withColumn("metric", F.lit("shannon")), ["metric"], "diff"), 7)
-
-
-@query(f"{CB} SELECT sample, CAST(sum(count) AS BIGINT) AS total, CAST(sum(count) AS BIGINT) AS spiked_total, bool_and(TRUE) AS kept FROM c GROUP BY 1")
-def res4_res6_spike_in_totals(spark, d):
-    """Spiking keeps every sample's total, and no count becomes negative."""
-    c = counts(spark, d, "brand")
+    effects = stats.two_sample_moments(_boot(spark, d, 30, 10).join(v, "patient"), ["rep"], "grp", "Cancer", "shannon")
+    return _rounded(resample.bootstrap_interval(effects.withColumn("metric", F.lit("shannon")), ["metric"], "cohens_d"), 4)
+
+
+@query(f"""{CB}, k AS (SELECT sample, feature, count, feature IN ('Brand#1', 'Brand#7') AS s FROM c WHERE sample_type IN ('1-URGENT', '2-HIGH')), u AS (SELECT *, CASE WHEN s THEN floor(count * 3.0) ELSE 0 END AS up FROM k),
+ t AS (SELECT *, sum(count) OVER w AS total, sum(up) OVER w AS spiked, sum(CASE WHEN s THEN 0 ELSE count END) OVER w AS rest FROM u WINDOW w AS (PARTITION BY sample)),
+ g AS (SELECT *, round(CASE WHEN s AND spiked <= total AND rest > 0 THEN up::DOUBLE WHEN s THEN CASE WHEN spiked > 0 THEN up * total::DOUBLE / spiked ELSE 0 END WHEN spiked <= total AND rest > 0 THEN count * (total - spiked)::DOUBLE / rest ELSE 0 END, 9) AS target FROM t),
+ p AS (SELECT *, floor(target) AS low, total - sum(floor(target)) OVER (PARTITION BY sample) AS short, row_number() OVER (PARTITION BY sample ORDER BY target - floor(target) DESC, feature) AS place FROM g)
+ SELECT sample, feature, count, CAST(low + CASE WHEN place <= short THEN 1 ELSE 0 END AS BIGINT) AS spiked_count FROM p""")
+def res4_res6_spike_in(spark, d):
+    """Two features tripled in the samples of two types, the others scaled so that every total stays."""
+    c = filters.keep_groups(counts(spark, d, "brand"), "sample_type", ["1-URGENT", "2-HIGH"])
     out = resample.spike_in(c, spark.createDataFrame([("Brand#1",), ("Brand#7",)], "feature string"), 3.0)
-    return out.groupBy("sample").agg(F.sum("count").alias("total"), F.sum("spiked_count").alias("spiked_total"), F.bool_and(F.col("spiked_count") >= 0).alias("kept"))
+    return out.select("sample", "feature", "count", "spiked_count")
 
 
 @query(f"WITH {PATIENTS_SQL}, {counts_sql('brand')}, s0 AS (SELECT patient, feature, sum(count) AS count FROM c GROUP BY ALL), {bray_sql('s0', 'patient', 'count')}, {boot_sql(15, 8)}, pl AS (SELECT rep, unique_id, patient, grp FROM bt), bp AS (SELECT rep, a.unique_id AS u1, b.unique_id AS u2, a.grp AS g1, b.grp AS g2, coalesce(dist, 0) AS dist FROM pl a JOIN pl b USING (rep) LEFT JOIN bc ON id1 = least(a.patient, b.patient) AND id2 = greatest(a.patient, b.patient) WHERE a.unique_id || a.grp < b.unique_id || b.grp), w AS (SELECT rep, sum(dist * dist) / 16 AS total, sum(CASE WHEN g1 = g2 THEN dist * dist / 8 ELSE 0 END) AS within FROM bp GROUP BY 1) SELECT rep, round(1 - within / total, 6) AS r2 FROM w")
