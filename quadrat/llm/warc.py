@@ -113,12 +113,14 @@ def plan_records(pages: DataFrame, least_bytes: int = 1000, broadcast_rows: int
     """
     # Only what is needed below, so other columns may have any names.
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    large = rows.where(F.octet_length("html") >= least_bytes).select("page_id", "digest")
-    firsts = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").select("digest", "refers_to")
+    # SHA-1 is the record's digest; whether payloads are equal is told by SHA-256.
+    rows = rows.withColumn("same", F.when(F.octet_length("html") >= least_bytes, F.sha2(F.col("html").cast("binary"), 256)))
+    large = rows.where("same is not null").select("page_id", "same")
+    firsts = large.groupBy("same").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").select("same", "refers_to")
     firsts = materialize(firsts, "repeated")
     side = F.broadcast(firsts) if is_small(firsts, broadcast_rows) else firsts
-    joined = rows.join(side, "digest", "left")
-    revisit: Column = (F.octet_length("html") >= least_bytes) & F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
+    joined = rows.join(side, "same", "left")
+    revisit: Column = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("refers_to")).alias("refers_to"))
 
 
