@@ -43,6 +43,8 @@ BROADCAST_TEXTS = 500_000
 #: Groups of at most so many rows are compared pair by pair; larger ones are split first.
 GROUP = 64
 LEVELS = 6
+#: Words of a fingerprint that table rows carry to sift chance matches.
+SIFTED = 4
 #: Shingles of the leaders that a broadcast may hold: 16 MB.
 BROADCAST_SHINGLES = 2_000_000
 
@@ -255,15 +257,14 @@ def _similar(pairs: DataFrame, prints: DataFrame, sets: DataFrame, scheme: Schem
 
 
 def _sketch(scheme: Scheme) -> tuple[list[Column], Column]:
-    """Columns s1 (and s0) that sift chance matches, and the test of them against to_s1, to_s0.
+    """Columns s0, s1, ... that sift chance matches, and the test of them against to_s0, to_s1, ...
 
-    With several words two are carried: of their 128 bits 42 may differ (19 expected at similarity 0.8, deviation 4.1),
-    which a similar pair exceeds with a chance under one in ten million.
+    Of several words up to four are carried: of their 256 bits 70 may differ (39 expected at similarity 0.8, deviation
+    5.7), which a similar pair exceeds with a chance under one in ten million. Fewer let dense unrelated groups through.
     """
-    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("to_s1")))
-    if scheme.words == 1:
-        return [F.col("w0").alias("s1")], apart <= scheme.distance
-    return [F.col(f"w{scheme.words - 1}").alias("s1"), F.col("w0").alias("s0")], apart + F.bit_count(F.col("s0").bitwiseXOR(F.col("to_s0"))) <= _admitted(128)
+    used = min(scheme.words, SIFTED)
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"to_s{k}"))) for k in range(used)])
+    return [F.col(f"w{k}").alias(f"s{k}") for k in range(used)], apart <= (scheme.distance if used == scheme.words else _admitted(64 * used))
 
 
 def _renamed(rows: DataFrame) -> DataFrame:
@@ -285,14 +286,18 @@ def _across(labelled: DataFrame, scheme: Scheme) -> DataFrame:
 
     In a key of many entries the rows of its largest component meet only the rows of others, and with one-word
     fingerprints the key is split by what the rest of the bits must share: of three parts of the other half one is
-    equal where at most two bits differ.
+    equal where at most two bits differ. With a similarity, sets whose sizes rule it out do not meet. The component of
+    a fingerprint that stands alone is left null, which costs the shuffle nothing.
     """
     carried, near = _sketch(scheme)
-    carried = [F.col("fp_id"), F.col("component"), *carried]
+    carried = [F.col("fp_id"), F.nullif("component", "fp_id").alias("component"), *carried, *([F.col("n").cast("int").alias("n")] if scheme.similarity else [])]
     probes, table = table_rows(labelled, scheme, True, *carried), table_rows(labelled, scheme, False, *carried)
-    apart = near & (F.col("component") != F.col("to_component"))
+    own = F.coalesce("component", "fp_id")
+    apart = near & (own != F.coalesce("to_component", "to_id"))
+    if scheme.similarity:
+        apart = apart & _fits(scheme, F.col("n"), F.col("to_n"))
     hot = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("key")
-    share = table.join(hot, "key").groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    share = table.join(hot, "key").groupBy("key", own.alias("component")).agg(F.count(F.lit(1)).alias("n"))
     hot = materialize(share.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "hot-keys")
     found = lambda x, y, *on: x.join(_renamed(y).withColumnsRenamed({f"to_{c}": c for c in on}), ["key", *on]).where(apart)
     if hot.isEmpty():
@@ -300,11 +305,11 @@ def _across(labelled: DataFrame, scheme: Scheme) -> DataFrame:
     else:
         side = maybe_broadcast(hot, BROADCAST_TEXTS)
         held, kept = probes.join(side, "key", "left"), table.join(side, "key", "left")
-        minor, major = F.col("main").isNull() | (F.col("component") != F.col("main")), F.col("component") == F.col("main")
+        minor, major = F.col("main").isNull() | (own != F.col("main")), own == F.col("main")
         if scheme.words == 1 and scheme.distance <= 2:
             met = found(held.where("main is null").drop("main"), kept.where("main is null").drop("main"))
             part = F.explode(F.array(*[F.shiftright("other", 11 * j).bitwiseAND(F.lit(2047)).bitwiseOR(F.lit(j << 11)) for j in range(3)]))
-            other = F.when(F.shiftrightunsigned("key", scheme.segment_bits) == 0, F.shiftrightunsigned("s1", 32)).otherwise(F.col("s1").bitwiseAND(F.lit((1 << 32) - 1)))
+            other = F.when(F.shiftrightunsigned("key", scheme.segment_bits) == 0, F.shiftrightunsigned("s0", 32)).otherwise(F.col("s0").bitwiseAND(F.lit((1 << 32) - 1)))
             cut = lambda x: x.where("main is not null").drop("main").withColumn("other", other).withColumn("part", part).drop("other")
             met = met.select("fp_id", "to_id").unionByName(found(cut(held), cut(kept), "part").select("fp_id", "to_id"))
         else:
