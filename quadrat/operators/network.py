@@ -345,3 +345,35 @@ def communities(edges: DataFrame, rounds: int = 6, levels: int = 3) -> DataFrame
             inside = inside.union(loops.join(to, "node").select(F.col("name").alias("node"), "loop")).groupBy("node").agg(F.sum("loop").alias("loop"))
         loops, graph = cut(inside), cut(tidy_edges(named.select(F.col("x").alias("a"), F.col("y").alias("b"), "weight")))
     return names.join(names.groupBy("community").agg(F.min("node").alias("least")), "community").select("node", F.col("least").alias("community"))
+
+
+def composition_correlations(logs: DataFrame, reps: int, seed: str = "1") -> DataFrame:
+    """(rep, id1, id2, rho) between the unobserved basis values of compositions, from variances of log-ratios.
+
+    ``logs`` (unit, id, value) has the logarithm of every id's share or count in every unit; at least three ids. With few
+    strong correlations the variances of an id's log-ratios sum to (d - 2) w + sum of all w, which gives each basis
+    variance w (at least 1e-4). In repetitions from 1 on each id's values are permuted over the units by hash.
+    Pairs of ids are quadratic, as the output is.
+    """
+    each = logs.crossJoin(F.broadcast(logs.sparkSession.range(1, reps + 1).select(F.col("id").cast("int").alias("rep"))))
+    by_hash = F.md5(F.concat_ws("|", F.lit(seed), "rep", F.col("id").cast("string"), F.col("unit").cast("string")).cast("binary"))
+    places = each.select("rep", "unit", "id", F.row_number().over(Window.partitionBy("rep", "id").orderBy(by_hash, "unit")).alias("k"))
+    own = logs.select("id", "value", F.row_number().over(Window.partitionBy("id").orderBy("unit")).alias("k"))
+    rows = logs.select(F.lit(0).alias("rep"), "unit", "id", "value").union(places.join(own, ["id", "k"]).select("rep", "unit", "id", "value"))
+    x, y = rows.toDF("rep", "unit", "id1", "v1"), rows.toDF("rep", "unit", "id2", "v2")
+    ratio = x.join(y, ["rep", "unit"]).where("id1 < id2").groupBy("rep", "id1", "id2").agg(F.var_samp(F.col("v1") - F.col("v2")).alias("t"))
+    sums = ratio.select("rep", F.explode(F.array("id1", "id2")).alias("id"), "t").groupBy("rep", "id").agg(F.sum("t").alias("t"))
+    whole = sums.groupBy("rep").agg(F.sum("t").alias("total"), F.count(F.lit(1)).alias("d")).where("d > 2")
+    basis = sums.join(whole, "rep").select("rep", "id", F.greatest((F.col("t") - F.col("total") / (2 * (F.col("d") - 1))) / (F.col("d") - 2), F.lit(1e-4)).alias("w"))
+    both = ratio.join(basis.toDF("rep", "id1", "w1"), ["rep", "id1"]).join(basis.toDF("rep", "id2", "w2"), ["rep", "id2"])
+    rho = (F.col("w1") + F.col("w2") - F.col("t")) / (2 * F.sqrt(F.col("w1") * F.col("w2")))
+    return both.select("rep", "id1", "id2", F.least(F.greatest(rho, F.lit(-1.0)), F.lit(1.0)).alias("rho"))
+
+
+def composition_edges(logs: DataFrame, reps: int, seed: str = "1") -> DataFrame:
+    """(a, b, weight, p): two-sided share of the permuted correlations at least as strong, to nine decimals."""
+    found = composition_correlations(logs, reps, seed)
+    size = F.round(F.abs("rho"), 9)
+    own = found.where("rep = 0").select("id1", "id2", F.col("rho").alias("weight"), size.alias("o"))
+    tested = found.where("rep > 0").join(own, ["id1", "id2"]).groupBy("id1", "id2", "weight").agg(((1 + F.sum(F.when(size >= F.col("o"), 1).otherwise(0))) / (reps + 1.0)).alias("p"))
+    return tested.select(F.col("id1").alias("a"), F.col("id2").alias("b"), "weight", "p")

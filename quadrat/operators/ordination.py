@@ -37,12 +37,23 @@ def pcoa(pairs: DataFrame, group: str, axes: int = 2) -> DataFrame:
     return pairs.groupBy(group).applyInPandas(fit, f"{group} {kind[group]}, id {kind['id1']}, axis int, value double, explained double")
 
 
-def dispersion(points: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(label, n, mean_distance) of points (id, axis, value) to their group's mean point."""
-    rows = points.join(labels, "id")
-    centre = rows.groupBy(label, "axis").agg(F.avg("value").alias("c"))
-    far = rows.join(F.broadcast(centre), [label, "axis"]).groupBy(label, "id").agg(F.sqrt(F.sum((F.col("value") - F.col("c")) * (F.col("value") - F.col("c")))).alias("r"))
-    return far.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_distance"))
+def constrained_inertia(table: DataFrame, labels: DataFrame, unit: str, label: str) -> DataFrame:
+    """(rep, n, k, total, constrained, f) of canonical correspondence analysis with a factor as its constraint.
+
+    ``table`` (unit, feature, value) is sparse with positive values; ``labels`` are (rep, unit, label). Under a factor
+    the fitted part of the chi-square table is its group sums, so both inertias are sums over cells and no matrix is
+    decomposed: the sum of value^2 / (row sum x column sum), less one.
+    """
+    row = table.groupBy(unit).agg(F.sum("value").alias("row"))
+    column = table.groupBy("feature").agg(F.sum("value").alias("column"))
+    inertia = F.sum(F.col("value") * F.col("value") / (F.col("row") * F.col("column"))) - 1
+    total = table.join(row, unit).join(column, "feature").agg(inertia.alias("total"))
+    grouped = labels.join(table, unit).groupBy("rep", label, "feature").agg(F.sum("value").alias("value"))
+    sums = grouped.groupBy("rep", label).agg(F.sum("value").alias("row"))
+    fitted = grouped.join(sums, ["rep", label]).join(column, "feature").groupBy("rep").agg(inertia.alias("constrained"))
+    size = labels.groupBy("rep", label).agg(F.count(F.lit(1)).alias("m")).groupBy("rep").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"))
+    f = F.try_divide(F.try_divide("constrained", F.col("k") - 1), F.try_divide(F.col("total") - F.col("constrained"), F.col("n") - F.col("k")))
+    return fitted.join(size, "rep").crossJoin(total).select("rep", "n", "k", "total", "constrained", f.alias("f"))
 
 
 def outlier_votes(rows: DataFrame, group: str, columns: list[str], sd: float = 3.0, fence: float = 1.5, mad: float = 3.5) -> DataFrame:

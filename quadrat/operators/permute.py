@@ -60,6 +60,37 @@ def permanova(pairs: DataFrame, units: DataFrame, unit: str, label: str, reps: i
     return own.crossJoin(p_value(stats, "r2").select("p"))
 
 
+def centre_distances(pairs: DataFrame, units: DataFrame, unit: str, label: str) -> DataFrame:
+    """(unit, label, r): distance of each unit to the centroid of its group in the space of the distances.
+
+    r^2 is the mean of the squared distances to the group's members less the sum over the group's pairs divided by
+    n^2, so no coordinates are needed. Where distances are not Euclidean it can be negative; its absolute value counts.
+    """
+    rows = units.select(unit, label)
+    a, b = rows.toDF("id1", "g1"), rows.toDF("id2", "g2")
+    inside = pairs.join(a, "id1").join(b, "id2").where("g1 = g2").select("id1", "id2", F.col("g1").alias(label), (F.col("dist") * F.col("dist")).alias("d2"))
+    own = inside.select(F.explode(F.array("id1", "id2")).alias(unit), "d2").groupBy(unit).agg(F.sum("d2").alias("s"))
+    whole = inside.groupBy(label).agg(F.sum("d2").alias("w"))
+    size = rows.groupBy(label).agg(F.count(F.lit(1)).alias("m"))
+    square = F.coalesce("s", F.lit(0.0)) / F.col("m") - F.coalesce("w", F.lit(0.0)) / (F.col("m") * F.col("m"))
+    return rows.join(size, label).join(whole, label, "left").join(own, unit, "left").select(unit, label, F.sqrt(F.abs(square)).alias("r"))
+
+
+def dispersion_test(pairs: DataFrame, units: DataFrame, unit: str, label: str, reps: int, seed: str = "1") -> DataFrame:
+    """(n, k, f, p): do groups spread alike? F of the distances to the centroids, against F of their residuals under permuted labels."""
+    far = centre_distances(pairs, units, unit, label)
+    mean = far.groupBy(label).agg(F.avg("r").alias("mean"))
+    values = far.join(mean, label).select(unit, "r", (F.col("r") - F.col("mean")).alias("e"))
+    rows = permuted_labels(units.select(unit, label), unit, label, reps, None, seed).join(values, unit)
+    y = F.when(F.col("rep") == 0, F.col("r")).otherwise(F.col("e"))
+    per = rows.groupBy("rep", label).agg(F.count(F.lit(1)).alias("m"), F.sum(y).alias("s"), F.sum(y * y).alias("q"))
+    whole = per.groupBy("rep").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("m")).alias("b"))
+    between, within = F.col("b") - F.col("s") * F.col("s") / F.col("n"), F.col("q") - F.col("b")
+    f = F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide(within, F.col("n") - F.col("k")))
+    stats = whole.select("rep", "n", "k", f.alias("f"))
+    return stats.where("rep = 0").select("n", "k", "f").crossJoin(p_value(stats, "f").select("p"))
+
+
 def jackknife_r2(pairs: DataFrame, units: DataFrame, unit: str, label: str, left_out: str) -> DataFrame:
     """(r2, se, low, high): leave-one-out by ``left_out``; se = sqrt((n - 1) * population variance)."""
     outs = units.select(F.col(left_out).alias("out")).distinct()

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, distance, filters, network, ordination, resample, sequences, stats
+from ..functions.transforms import relative
+from ..operators import aggregate, distance, filters, network, ordination, permute, resample, sequences, stats
 from ..sources.study import PATIENTS_SQL, counts, counts_sql, load, patients
 from ..streaming.checkpoints import cut, windowed_totals
-from .ecology import _rounded, bray_sql, r2_sql
+from .ecology import _UNITS, REPS, _rounded, _units, bray_sql, permuted_sql, r2_sql
 from .registry import Registry
 
 query = Registry()
@@ -302,12 +303,56 @@ def ord1_pcoa(spark, d):
     return _rounded(ordination.pcoa(pairs, "all"))
 
 
-@query()
+_FAR = f"""{_UNITS}, {permuted_sql('us', 'sample', 'sample_type', REPS)}, cs AS (SELECT sample_type, count(*) AS m FROM us GROUP BY 1),
+ ins AS (SELECT id1, id2, a.sample_type, dist * dist AS d2 FROM bc JOIN us a ON id1 = a.sample JOIN us b ON id2 = b.sample AND a.sample_type = b.sample_type),
+ ow AS (SELECT sample, sum(d2) AS s FROM (SELECT id1 AS sample, d2 FROM ins UNION ALL SELECT id2, d2 FROM ins) GROUP BY 1), wh AS (SELECT sample_type, sum(d2) AS w FROM ins GROUP BY 1),
+ fr AS (SELECT us.sample, us.sample_type, sqrt(abs(coalesce(s, 0) / m - coalesce(w, 0) / (m * m))) AS r FROM us JOIN cs ON cs.sample_type = us.sample_type LEFT JOIN wh ON wh.sample_type = us.sample_type LEFT JOIN ow ON ow.sample = us.sample)"""
+
+
+@query(f"{_FAR} SELECT sample_type, count(*) AS n, round(avg(r), 6) AS mean_distance FROM fr GROUP BY 1")
 def prm7_dispersion(spark, d):
-    """Mean distance of samples to their type's centre in principal coordinates; rows only."""
+    """Mean distance of samples to their type's centroid."""
+    c = counts(spark, d, "brand")
+    far = permute.centre_distances(cut(distance.bray_curtis(c)), _units(c), "sample", "sample_type")
+    return _rounded(far.groupBy("sample_type").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_distance")))
+
+
+@query(f"""{_FAR}, ce AS (SELECT sample, r, r - avg(r) OVER (PARTITION BY sample_type) AS e FROM fr), yy AS (SELECT rep, pl.sample_type, CASE WHEN rep = 0 THEN r ELSE e END AS y FROM pl JOIN ce USING (sample)),
+ pg AS (SELECT rep, sample_type, count(*) AS m, sum(y) AS s, sum(y * y) AS q FROM yy GROUP BY ALL), ft AS (SELECT rep, count(*) AS k, CAST(sum(m) AS BIGINT) AS n, sum(s) AS s1, sum(q) AS q1, sum(s * s / m) AS b FROM pg GROUP BY 1),
+ fv AS (SELECT rep, n, k, round(((b - s1 * s1 / n) / (k - 1)) / ((q1 - b) / (n - k)), 9) AS f FROM ft) SELECT n, k, round(f, 4) AS f, round((1 + (SELECT count(*) FROM fv x WHERE x.rep > 0 AND x.f >= fv.f)) / {REPS + 1}.0::DOUBLE, 6) AS p FROM fv WHERE rep = 0""")
+def prm7_dispersion_test(spark, d):
+    """Whether types spread alike: permuted residuals of the distances to the centroids."""
+    c = counts(spark, d, "brand")
+    return _rounded(permute.dispersion_test(cut(distance.bray_curtis(c)), _units(c), "sample", "sample_type", REPS)).withColumn("f", F.round("f", 4))
+
+
+@query(f"""{CB}, us AS (SELECT DISTINCT sample, patient, sample_type FROM c), {permuted_sql('us', 'sample', 'sample_type', REPS)}, hl AS (SELECT sample, feature, sqrt(count / sum(count) OVER (PARTITION BY sample)::DOUBLE) AS h FROM c WHERE count > 0),
+ rs AS (SELECT sample, sum(h) AS hr FROM hl GROUP BY 1), cl AS (SELECT feature, sum(h) AS hc FROM hl GROUP BY 1), tt AS (SELECT sum(h * h / (hr * hc)) - 1 AS total FROM hl JOIN rs USING (sample) JOIN cl USING (feature)),
+ gs AS (SELECT rep, sample_type, feature, sum(h) AS s FROM pl JOIN hl USING (sample) GROUP BY ALL), gr AS (SELECT rep, sample_type, sum(s) AS sr FROM gs GROUP BY ALL), co AS (SELECT rep, sum(s * s / (sr * hc)) - 1 AS constrained FROM gs JOIN gr USING (rep, sample_type) JOIN cl USING (feature) GROUP BY 1),
+ nk AS (SELECT rep, count(*) AS n, count(DISTINCT sample_type) AS k FROM pl GROUP BY 1), fv AS (SELECT rep, total, constrained, round((constrained / (k - 1)) / ((total - constrained) / (n - k)), 9) AS f FROM co JOIN nk USING (rep), tt)
+ SELECT round(total, 6) AS total, round(constrained, 6) AS constrained, round(constrained / total, 6) AS share, round(f, 4) AS f, round((1 + (SELECT count(*) FROM fv x WHERE x.rep > 0 AND x.f >= fv.f)) / {REPS + 1}.0::DOUBLE, 6) AS p FROM fv WHERE rep = 0""")
+def ord2_constrained_inertia(spark, d):
+    """Canonical correspondence analysis of Hellinger values on sample type: inertia, its constrained share, permutation test."""
     c = counts(spark, d, "brand")
-    points = ordination.pcoa(distance.bray_curtis(c).withColumn("all", F.lit("all")), "all", 10)
-    return _rounded(ordination.dispersion(points, c.select(F.col("sample").alias("id"), "sample_type").distinct(), "sample_type"))
+    table = relative(c).where("p > 0").select("sample", "feature", F.sqrt("p").alias("value"))
+    found = cut(ordination.constrained_inertia(table, permute.permuted_labels(_units(c), "sample", "sample_type", REPS), "sample", "sample_type"))
+    own = found.where("rep = 0").select("total", "constrained", (F.col("constrained") / F.col("total")).alias("share"), F.round("f", 4).alias("f"))
+    return _rounded(own.crossJoin(permute.p_value(found, "f").select("p")))
+
+
+@query(f"""{CT}, lg AS (SELECT sample AS unit, feature AS id, ln(count) AS value FROM c WHERE count > 0 AND feature IN (SELECT feature FROM c WHERE count > 0 GROUP BY 1 HAVING count(DISTINCT sample) = (SELECT count(DISTINCT sample) FROM c))),
+ pc AS (SELECT rep, unit, id, row_number() OVER (PARTITION BY rep, id ORDER BY md5('1|' || rep || '|' || id || '|' || unit), unit) AS k FROM lg, (SELECT unnest(range(1, 100))::INTEGER AS rep)), oc AS (SELECT id, value, row_number() OVER (PARTITION BY id ORDER BY unit) AS k FROM lg),
+ rw AS (SELECT 0 AS rep, unit, id, value FROM lg UNION ALL SELECT rep, unit, id, value FROM pc JOIN oc USING (id, k)), tv AS (SELECT x.rep, x.id AS id1, y.id AS id2, var_samp(x.value - y.value) AS t FROM rw x JOIN rw y ON x.rep = y.rep AND x.unit = y.unit AND x.id < y.id GROUP BY ALL),
+ ti AS (SELECT rep, id, sum(t) AS ts FROM (SELECT rep, id1 AS id, t FROM tv UNION ALL SELECT rep, id2, t FROM tv) GROUP BY ALL), td AS (SELECT *, count(*) OVER (PARTITION BY rep) AS d, sum(ts) OVER (PARTITION BY rep) AS tot FROM ti), bs AS (SELECT rep, id, greatest((ts - tot / (2 * (d - 1))) / (d - 2), 1e-4) AS w FROM td WHERE d > 2),
+ rh AS (SELECT tv.rep, id1, id2, greatest(-1, least(1, (a.w + b.w - t) / (2 * sqrt(a.w * b.w)))) AS rho FROM tv JOIN bs a ON a.rep = tv.rep AND a.id = id1 JOIN bs b ON b.rep = tv.rep AND b.id = id2)
+ SELECT o.id1 AS a, o.id2 AS b, round(o.rho, 6) AS weight, round((1 + count(*) FILTER (WHERE round(abs(x.rho), 9) >= round(abs(o.rho), 9))) / 100.0::DOUBLE, 6) AS p FROM rh o JOIN rh x ON x.id1 = o.id1 AND x.id2 = o.id2 AND x.rep > 0 WHERE o.rep = 0 GROUP BY o.id1, o.id2, o.rho""")
+def net4_composition_correlations(spark, d):
+    """Correlations of compositions with permutation p, over the features that every sample has."""
+    c = counts(spark, d, "type").where("count > 0")
+    samples = c.agg(F.countDistinct("sample").alias("whole"))
+    held = c.groupBy("feature").agg(F.countDistinct("sample").alias("m")).join(samples, F.col("m") == F.col("whole")).select("feature")
+    logs = cut(c.join(held, "feature").select(F.col("sample").alias("unit"), F.col("feature").alias("id"), F.log("count").alias("value")))
+    return _rounded(network.composition_edges(logs, 99))
 
 
 @query("""WITH s AS (SELECT p_brand, avg(p_retailprice) AS m, stddev_samp(p_retailprice) AS s, quantile_cont(p_retailprice, 0.25) AS q1, quantile_cont(p_retailprice, 0.5) AS q2, quantile_cont(p_retailprice, 0.75) AS q3 FROM part GROUP BY 1), a AS (SELECT p_brand, median(abs(p_retailprice - q2)) AS d FROM part JOIN s USING (p_brand) GROUP BY 1)
