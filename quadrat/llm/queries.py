@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annindex, bpe, common, decontaminate, dialogue, longrepeats, merkle, pii, sharding, simhash, tokenstore, toxicity, warc
+from . import annindex, bpe, common, decontaminate, dialogue, longrepeats, merkle, pieces, pii, sharding, simhash, tokenstore, toxicity, warc
 
 
 def tokenizer_file(name: str) -> tuple[str, str]:
@@ -60,6 +60,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(common.table(spark, sf_dir, "documents"), *tokenizer_file("byte_bpe_multi_50k.tiktoken"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(common.table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")[0])
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(common.table(spark, sf_dir, "documents"), merkle.without_line_feeds())
 
@@ -68,7 +72,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair_report(common.table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_token_ids, op4_pii, op5_toxicity, op6_nearest, op7_sharding, op8_long_repeats, op9_simhash, op10_byte_bpe, op12_merkle_manifest, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_token_ids, op4_pii, op5_toxicity, op6_nearest, op7_sharding, op8_long_repeats, op9_simhash, op10_byte_bpe, op11_sentencepiece, op12_merkle_manifest, op13_conversation_repair)}
 
 
 def _crc32(text: str) -> str:
