@@ -296,11 +296,76 @@ def seq3_expected_errors(spark, d):
     return load(spark, d, "pages").select("page_id", F.round(sequences.expected_errors(F.col("url")), 8).alias("ee"))
 
 
-@query()
+#: The leading eigenvectors of a symmetric matrix in SQL: fourteen squarings leave its first; then it is taken out and again.
+def _squared(name: str, source: str, rounds: int = 16) -> str:
+    out = [f"{name}_0 AS (SELECT g FROM {source})"]
+    for k in range(rounds):
+        out.append(f"{name}_{k + 1} AS (SELECT list_transform(m, lambda x: list_transform(x, lambda y: y / top)) AS g FROM (SELECT m, list_max(list_transform(m, lambda x: list_max(list_transform(x, lambda y: abs(y))))) AS top FROM (SELECT list_transform(g, lambda x: list_transform(g, lambda y: list_dot_product(x, y))) AS m FROM {name}_{k})))")
+    out.append(f"{name}_v AS (SELECT list_transform(v, lambda y: y / sqrt(list_dot_product(v, v))) AS v FROM (SELECT list_transform(g, lambda x: list_sum(list_transform(generate_series(1, len(x)), lambda i: x[i] * (1 + i % 7)))) AS v FROM {name}_{rounds}))")
+    return ", ".join(out)
+
+
+_PCOA = f"""{CB}, {bray_sql('c', 'sample', 'count')}, us AS (SELECT DISTINCT sample AS u FROM c), sq AS (SELECT x.u AS a, y.u AS b, CASE WHEN x.u = y.u THEN 0 ELSE -0.5 * dist * dist END AS a2 FROM us x CROSS JOIN us y LEFT JOIN bc ON id1 = least(x.u, y.u) AND id2 = greatest(x.u, y.u)),
+ ce AS (SELECT a, b, a2 - avg(a2) OVER (PARTITION BY a) - avg(a2) OVER (PARTITION BY b) + avg(a2) OVER () AS g FROM sq), rw AS (SELECT a, list(g ORDER BY b) AS r FROM ce GROUP BY 1), g0 AS (SELECT list(r ORDER BY a) AS g, list(a ORDER BY a) AS ids FROM rw),
+ tr AS (SELECT sum(g) FILTER (WHERE a = b) AS trace FROM ce), sh AS (SELECT list_transform(g, lambda x, i: list_transform(x, lambda y, j: y + CASE WHEN i = j THEN 5 ELSE 0 END)) AS g FROM g0), {_squared('s1', 'sh')},
+ e1 AS (SELECT v, list_dot_product(v, list_transform(g0.g, lambda x: list_dot_product(x, v))) AS value FROM s1_v, g0),
+ s2 AS (SELECT list_transform(sh.g, lambda x, i: list_transform(x, lambda y, j: y - (value + 5) * v[i] * v[j])) AS g FROM sh, e1), {_squared('s2', 's2').replace('s2_0 AS', 's2_0 AS', 1)},
+ e2 AS (SELECT v, list_dot_product(v, list_transform(g0.g, lambda x: list_dot_product(x, v))) AS value FROM s2_v, g0),
+ ax AS (SELECT 1 AS axis, v, value FROM e1 UNION ALL SELECT 2, v, value FROM e2), pt AS (SELECT axis, value, unnest(ids) AS id, unnest(v) AS x FROM ax, g0), sg AS (SELECT axis, CASE WHEN sum(x * x * x) < 0 THEN -1 ELSE 1 END AS sign FROM pt GROUP BY 1)"""
+
+
+@query(f"{_PCOA} SELECT id, axis, round(sign * x * sqrt(greatest(value, 0)), 5) AS value, round(greatest(value, 0) / trace, 6) AS explained FROM pt JOIN sg USING (axis), tr")
 def ord1_pcoa(spark, d):
-    """Principal coordinates of all samples; eigenvectors are beyond SQL, so rows only."""
-    pairs = distance.bray_curtis(counts(spark, d, "brand")).withColumn("all", F.lit("all"))
-    return _rounded(ordination.pcoa(pairs, "all"))
+    """Principal coordinates of all samples."""
+    return ordination.pcoa(distance.bray_curtis(counts(spark, d, "brand"))).select("id", "axis", F.round("value", 5).alias("value"), F.round("explained", 6).alias("explained"))
+
+
+#: Two constraints: mean price and mean discount of a sample's lines. The eigenproblem of two by two in closed form.
+_CCA = f"""{CB}, en AS (SELECT c_nationkey || '|' || o_orderpriority AS sample, avg(l_extendedprice)::DOUBLE / 1000 AS price, avg(l_discount)::DOUBLE * 100 AS discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+ hl AS (SELECT sample, feature, sqrt(count / sum(count) OVER (PARTITION BY sample)::DOUBLE) AS v FROM c WHERE count > 0), tt AS (SELECT sum(v) AS t FROM hl), rr AS (SELECT sample, sum(v) / any_value(t) AS r FROM hl, tt GROUP BY 1),
+ mx AS (SELECT sum(r * price) AS mp, sum(r * discount) AS md FROM rr JOIN en USING (sample)), x AS (SELECT sample, r, price - mp AS x1, discount - md AS x2 FROM rr JOIN en USING (sample), mx), mm AS (SELECT sum(r * x1 * x1) AS m11, sum(r * x1 * x2) AS m12, sum(r * x2 * x2) AS m22 FROM x),
+ bb AS (SELECT feature, sum(v) / any_value(t) AS c, sum(v * x1) / any_value(t) AS b1, sum(v * x2) / any_value(t) AS b2 FROM hl JOIN x USING (sample), tt GROUP BY 1), ss AS (SELECT sum(b1 * b1 / c) AS s11, sum(b1 * b2 / c) AS s12, sum(b2 * b2 / c) AS s22 FROM bb),
+ qd AS (SELECT *, m11 * m22 - m12 * m12 AS qa, s11 * m22 + s22 * m11 - 2 * s12 * m12 AS qb, s11 * s22 - s12 * s12 AS qc FROM mm, ss), ev AS (SELECT *, axis, (qb + CASE WHEN axis = 1 THEN 1 ELSE -1 END * sqrt(qb * qb - 4 * qa * qc)) / (2 * qa) AS value FROM qd, (SELECT unnest([1, 2]) AS axis)),
+ w0 AS (SELECT *, s12 - value * m12 AS u1, -(s11 - value * m11) AS u2 FROM ev), ww AS (SELECT axis, value, m11, m12, m22, CASE WHEN u1 < 0 THEN -1 ELSE 1 END * u1 / sqrt(u1 * u1 * m11 + 2 * u1 * u2 * m12 + u2 * u2 * m22) AS w1, CASE WHEN u1 < 0 THEN -1 ELSE 1 END * u2 / sqrt(u1 * u1 * m11 + 2 * u1 * u2 * m12 + u2 * u2 * m22) AS w2 FROM w0),
+ sc AS (SELECT feature, axis, value, (b1 * w1 + b2 * w2) / c AS score FROM bb, ww), wa AS (SELECT sample, axis, sum(v * score) / sum(v) / any_value(value) AS wa FROM hl JOIN sc USING (feature) GROUP BY ALL), st AS (SELECT sample, r AS weight, axis, wa, x1 * w1 + x2 * w2 AS lc FROM x, ww JOIN wa USING (axis) WHERE wa.sample = x.sample)"""
+_CCA = _CCA.replace("st AS (SELECT sample, r AS weight, axis, wa, x1 * w1 + x2 * w2 AS lc FROM x, ww JOIN wa USING (axis) WHERE wa.sample = x.sample)", "st AS (SELECT x.sample, r AS weight, ww.axis, wa, x1 * w1 + x2 * w2 AS lc FROM x JOIN wa ON wa.sample = x.sample JOIN ww ON ww.axis = wa.axis)")
+
+
+def _constrained(spark, d):
+    table = relative(counts(spark, d, "brand")).where("p > 0").select("sample", "feature", F.sqrt("p").alias("value"))
+    lines = load(spark, d, "lineitem").join(load(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    mean = lambda c: F.avg(c).cast("double")
+    env = cut(lines.groupBy(F.concat_ws("|", "c_nationkey", "o_orderpriority").alias("sample")).agg((mean("l_extendedprice") / 1000).alias("price"), (mean("l_discount") * 100).alias("discount")))
+    return ordination.constrained_axes(table, env, "sample"), env
+
+
+@query(f"{_CCA} SELECT sample, axis, round(wa, 4) AS wa, round(lc, 4) AS lc FROM st")
+def ord2_site_scores(spark, d):
+    """Canonical correspondence analysis on two continuous constraints: scores of the samples on both axes."""
+    found, _ = _constrained(spark, d)
+    return found["sites"].select("sample", "axis", F.round("wa", 4).alias("wa"), F.round("lc", 4).alias("lc"))
+
+
+@query(f"{_CCA} SELECT feature, axis, round(score, 5) AS score FROM sc")
+def ord2_feature_scores(spark, d):
+    found, _ = _constrained(spark, d)
+    return found["features"].select("feature", "axis", F.round("score", 5).alias("score"))
+
+
+@query(f"""{_CCA}, vr AS (SELECT sample, 'price' AS variable, price AS y FROM en WHERE sample IN (SELECT sample FROM x) UNION ALL SELECT sample, 'discount', discount FROM en WHERE sample IN (SELECT sample FROM x)),
+ ow AS (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY sample) AS k FROM vr), px AS (SELECT rep, variable, sample, row_number() OVER (PARTITION BY rep, variable ORDER BY md5('1|' || rep || '|' || variable || '|' || sample), sample) AS k FROM vr, (SELECT unnest(range(1, {REPS + 1}))::INTEGER AS rep)),
+ al AS (SELECT 0 AS rep, variable, sample, y FROM vr UNION ALL SELECT rep, px.variable, px.sample, ow.y FROM px JOIN ow ON ow.variable = px.variable AND ow.k = px.k), a2 AS (SELECT sample, any_value(weight) AS w, max(wa) FILTER (WHERE axis = 1) AS a, max(wa) FILTER (WHERE axis = 2) AS b FROM st GROUP BY 1),
+ sm AS (SELECT rep, variable, sum(w * a * a) - sum(w * a) * sum(w * a) / sum(w) AS aa, sum(w * b * b) - sum(w * b) * sum(w * b) / sum(w) AS bb, sum(w * a * b) - sum(w * a) * sum(w * b) / sum(w) AS ab, sum(w * a * y) - sum(w * a) * sum(w * y) / sum(w) AS ay, sum(w * b * y) - sum(w * b) * sum(w * y) / sum(w) AS b_y, sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w) AS yy FROM al JOIN a2 USING (sample) GROUP BY ALL),
+ xz AS (SELECT *, (bb * ay - ab * b_y) / (aa * bb - ab * ab) AS x, (aa * b_y - ab * ay) / (aa * bb - ab * ab) AS z FROM sm), fr AS (SELECT *, (x * ay + z * b_y) / yy AS r2 FROM xz), bp AS (SELECT axis, (m11 * w1 + m12 * w2) / sqrt(m11) AS price, (m12 * w1 + m22 * w2) / sqrt(m22) AS discount FROM ww)
+ SELECT variable, round(x / sqrt(x * x + z * z), 4) AS axis1, round(z / sqrt(x * x + z * z), 4) AS axis2, round(r2, 5) AS r2, round((1 + (SELECT count(*) FROM fr o WHERE o.variable = fr.variable AND o.rep > 0 AND round(o.r2, 9) >= round(fr.r2, 9))) / {REPS + 1}.0::DOUBLE, 6) AS p,
+  round((SELECT CASE WHEN variable = 'price' THEN price ELSE discount END FROM bp WHERE axis = 1), 4) AS score1, round((SELECT CASE WHEN variable = 'price' THEN price ELSE discount END FROM bp WHERE axis = 2), 4) AS score2 FROM fr WHERE rep = 0""")
+def ord2_fitted_vectors(spark, d):
+    """The constraints as arrows: scores, fitted directions over the sample scores, fit and permutation p."""
+    found, env = _constrained(spark, d)
+    sites = cut(found["sites"].groupBy("sample").agg(F.first("weight").alias("weight"), F.max(F.when(F.col("axis") == 1, F.col("wa"))).alias("a1"), F.max(F.when(F.col("axis") == 2, F.col("wa"))).alias("a2")))
+    arrows = ordination.fitted_vectors(sites, env.unpivot("sample", ["price", "discount"], "variable", "value"), "sample", REPS)
+    scores = found["variables"].groupBy("variable").agg(*[F.round(F.max(F.when(F.col("axis") == k, F.col("score"))), 4).alias(f"score{k}") for k in (1, 2)])
+    return arrows.join(scores, "variable").select("variable", F.round("axis1", 4).alias("axis1"), F.round("axis2", 4).alias("axis2"), F.round("r2", 5).alias("r2"), F.round("p", 6).alias("p"), "score1", "score2")
 
 
 _FAR = f"""{_UNITS}, {permuted_sql('us', 'sample', 'sample_type', REPS)}, cs AS (SELECT sample_type, count(*) AS m FROM us GROUP BY 1),
