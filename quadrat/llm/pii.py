@@ -22,20 +22,27 @@ ROUNDS = 10
 #: Days of the 400-year cycle that begins with 1800: 146,097 = 189 * 773, so two symbols hold a date exactly.
 FIRST_DAY, DAY_RADICES = "1800-01-01", (189, 773)
 
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.(?=[A-Za-z0-9\-]*+\.[A-Za-z]{2}|[A-Za-z]{2}))++[A-Za-z]{2,}+"
-CARD = r"(?<![\w.\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\w\-])"
+LOCAL = r"\p{L}\p{M}0-9._%+'\-"
+EMAIL = rf"(?<![{LOCAL}])[{LOCAL}]++@" + r"(?:[A-Za-z0-9\-]++\.(?=[A-Za-z0-9\-]*+\.[A-Za-z]{2}|[A-Za-z]{2}))++[A-Za-z]{2,}+"
+#: A run of digits in which cards are sought: groups that single spaces or hyphens part and no letter ends. Loops are
+#: possessive, so that runs of any length need no stack.
+RUN = r"(?=[0-9](?:[ \-]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ \-][0-9]++(?![A-Za-z]))*+"
+CARD = rf"(?<![A-Za-z0-9.]){RUN}"
 SSN = r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])"
-PHONE = r"(?<![\w+])(?:\+?1[ .\-]?)?(?:\([1-9][0-9]{2}\) ?|[1-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}(?![\w\-])"
+NUMBER = r"(?:\+?1[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}"
+PHONE = rf"(?<![\w+]){NUMBER}(?![\w\-])"
 IP = r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"
 DATE = r"(?<![\w\-/.])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w\-/])"
-ASSIGNED = r"\b(?i:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?"
-SECRET = ASSIGNED + r"(?=[A-Za-z0-9+/_.\-]{8})[A-Za-z0-9+/_\-]++(?:\.[A-Za-z0-9+/_\-]++)*+"
+#: What a secret follows: a name and a sign of assignment, or the scheme of an authorisation header.
+ASSIGNED = r"\b(?:(?i:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?|Bearer ++)"
+#: Eight characters at least, or four of which one is no letter.
+SECRET = ASSIGNED + r"(?=[A-Za-z0-9+/_.\-]{8}|[A-Za-z]{0,3}[0-9+/_\-][A-Za-z0-9+/_\-]{3}|[A-Za-z]{3,6}[0-9+/_\-])[A-Za-z0-9+/_\-]++(?:\.[A-Za-z0-9+/_\-]++)*+"
 
 KINDS = ("email", "card", "ssn", "phone", "ip", "date", "secret")
 #: What can begin a match comes first, so that most characters fail at once.
 ANY = f"{SECRET}|{EMAIL}|(?=[0-9+(])(?:{'|'.join((DATE, SSN, PHONE, CARD, IP))})"
 #: No match without one of these.
-HINT = "[0-9@=:]"
+HINT = "[0-9@=:]|Bearer "
 
 
 def matches(text: Column) -> Column:
@@ -142,7 +149,45 @@ def _card(m: Column, key: Column, undo: bool) -> Column:
 
 def is_card(m: Column) -> Column:
     digits = _digits(m)
-    return (luhn_sum(digits) % 10 == 0) & digits.rlike("[1-9]")
+    return F.length(digits).between(13, 19) & (luhn_sum(digits) % 10 == 0) & digits.rlike("[1-9]")
+
+
+def parts_of(run: Column) -> Column:
+    """A run of digits cut into an array of (before, card): what stands before each card, and the card; the last card is empty.
+
+    The whole run, if it is a card however it is grouped; else, from the left, the longest valid card of whole
+    groups: one of 13 to 19 digits, or one of four or six digits and others of three or more.
+    """
+    part = lambda before, card: F.struct(before.alias("before"), card.alias("card"))
+    shape = r"^(?:[0-9]{13,19}|(?:[0-9]{4}|[0-9]{6})(?:[ \-][0-9]{3,})+)$"
+    between = lambda pieces, i, j: F.array_join(F.slice(pieces, i + 1, j - i), "")
+
+    def found(pieces: Column) -> Column:
+        def step(state: Column, k: Column) -> Column:
+            i = k * 2
+            ends = F.filter(F.sequence(i, F.least(i + 12, F.size(pieces) - 1), F.lit(2)), lambda j: _once(between(pieces, i, j + 1), lambda w: w.rlike(shape) & is_card(w)))
+            taken = F.when((i > state["last"]) & F.length(pieces[i]).isin(4, 6, *range(13, 20)), F.array_max(ends))
+            return _once(taken, lambda j: F.when(j.isNull(), state).otherwise(F.struct(j.alias("last"), F.concat(state["out"], F.array(F.struct(i.alias("i"), j.alias("j")))).alias("out"))))
+
+        start = F.struct(F.lit(-1).alias("last"), F.array().cast("array<struct<i:int,j:int>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / 2).cast("int")), start, step, lambda s: s["out"])
+
+    def cut(pieces: Column, cards: Column) -> Column:
+        def at(k: Column) -> Column:
+            begin = F.when(k == 0, 0).otherwise(F.get(cards, k - 1)["j"] + 1)
+            card = F.get(cards, k)
+            return F.when(k == F.size(cards), part(between(pieces, begin, F.size(pieces)), F.lit(""))).otherwise(part(between(pieces, begin, card["i"]), between(pieces, card["i"], card["j"] + 1)))
+
+        return F.transform(F.sequence(F.lit(0), F.size(cards)), at)
+
+    groups = F.regexp_extract_all(run, F.lit("[0-9]+|[ \\-]"), F.lit(0))  # groups at even places
+    whole = F.array(part(F.lit(""), run), part(F.lit(""), F.lit("")))
+    return F.when(is_card(run), whole).otherwise(_once(groups, lambda pieces: _once(found(pieces), lambda cards: cut(pieces, cards))))
+
+
+def _cards(m: Column, key: Column, undo: bool) -> Column:
+    """The run with the cards in it replaced. A pseudonym is valid and grouped alike, so the same cuts lead back."""
+    return F.array_join(F.transform(parts_of(m), lambda p: F.when(p["card"] == "", p["before"]).otherwise(F.concat(p["before"], _card(p["card"], key, undo)))), "")
 
 
 def _ssn(m: Column, key: Column, undo: bool) -> Column:
@@ -160,11 +205,11 @@ def is_ssn(m: Column) -> Column:
 
 
 def _phone(m: Column, key: Column, undo: bool) -> Column:
-    """Area codes still begin with 1 to 9 and exchange codes with 2 to 9; a country code stays."""
+    """Exchange codes still begin with 2 to 9; a country code stays."""
     digits = _digits(m)
     own = F.substring(digits, F.length(digits) - 9, F.lit(10))
-    least = lambda i: F.when(i == 0, 1).when(i == 3, 2).otherwise(0)
-    radices = F.array(*[F.lit({0: 9, 3: 8}.get(i, 10)) for i in range(10)])
+    least = lambda i: F.when(i == 3, 2).otherwise(0)
+    radices = F.array(*[F.lit(8 if i == 3 else 10) for i in range(10)])
     moved = feistel(F.transform(_symbols(own), lambda d, i: d - least(i)), radices, key, "phone", undo)
     back = _joined(F.transform(moved, lambda d, i: d + least(i)))
     return _refill(m, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), back))
@@ -192,14 +237,25 @@ def is_date(m: Column) -> Column:
     return found.isNotNull() & (F.date_format(found, "yyyy-MM-dd") == m) & found.between(F.lit(FIRST_DAY), F.lit("2199-12-31"))
 
 
+#: Ranges of code points that are letters or digits throughout: fixed values of Unicode.
+RANGES = {"digits": (0x30, 0x39), "small": (0x61, 0x7A), "capital": (0x41, 0x5A), "latin capital": (0xC0, 0xD6), "latin small": (0xE0, 0xF6), "latin small, last": (0xF8, 0xFF), "latin capital, last": (0xD8, 0xDE), "extended": (0x100, 0x17F), "greek": (0x3B1, 0x3C9), "cyrillic capital": (0x410, 0x42F), "cyrillic small": (0x430, 0x44F), "hiragana": (0x3041, 0x3096), "katakana": (0x30A1, 0x30FA), "ideographs": (0x4E00, 0x9FEF), "hangul": (0xAC00, 0xD7A3)}
+
+
 def _characters(m: Column, key: Column, kind: str, undo: bool) -> Column:
-    """Letters stay letters of their case and digits digits; all else stays."""
-    chars = F.split(m, "")
-    low = lambda c: F.when(c.rlike("[0-9]"), F.lit("0")).when(c.rlike("[a-z]"), F.lit("a")).when(c.rlike("[A-Z]"), F.lit("A")).otherwise(c)
-    radix = lambda c: F.when(c.rlike("[0-9]"), 10).when(c.rlike("[A-Za-z]"), 26).otherwise(1)
-    symbols = F.transform(chars, lambda c: (F.ascii(c) - F.ascii(low(c))).cast("bigint"))
-    moved = feistel(symbols, F.transform(chars, radix), key, kind, undo)
-    return F.array_join(F.zip_with(chars, moved, lambda c, x: F.when(radix(c) == 1, c).otherwise(F.char(F.ascii(low(c)) + x))), "")
+    """Letters and digits stay in their range of code points; all else stays."""
+    def char(c: Column, a: Column) -> Column:
+        low, radix = F.when(F.lit(False), a), F.when(F.lit(False), 1)
+        for least, most in RANGES.values():
+            low, radix = low.when(a.between(least, most), least), radix.when(a.between(least, most), most - least + 1)
+        return F.struct(c.alias("c"), a.alias("a"), low.otherwise(a).alias("low"), radix.otherwise(1).alias("radix"))
+
+    def moved(chars: Column) -> Column:
+        steps = feistel(F.transform(chars, lambda x: (x["a"] - x["low"]).cast("bigint")), F.transform(chars, lambda x: x["radix"]), key, kind, undo)
+        wide = lambda a: F.decode(F.unhex(F.lpad(F.hex(a), 4, "0")), "UTF-16BE")
+        put = lambda x, y: F.when(x["radix"] == 1, x["c"]).otherwise(F.when(x["a"] < 128, F.char(x["low"] + y)).otherwise(wide(x["low"] + y)))
+        return F.array_join(F.zip_with(chars, steps, put), "")
+
+    return _once(F.transform(F.split(m, ""), lambda c: _once(F.ascii(c), lambda a: char(c, a))), moved)
 
 
 def _email(m: Column, key: Column, undo: bool) -> Column:
@@ -215,23 +271,25 @@ def kind_of(m: Column) -> Column:
         .when(whole(r"[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.when(is_date(m), F.lit("date")))
         .when(whole(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), F.when(is_ssn(m), F.lit("ssn")))
         .when(whole(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), F.when(is_ip(m), F.lit("ip")))
-        .when(whole(r"(?:\+?1[ .\-]?)?(?:\([1-9][0-9]{2}\) ?|[1-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}"), F.lit("phone"))
-        .when(whole(r"[0-9](?:[ \-]?[0-9]){12,18}") & is_card(m), F.lit("card"))
-        .when(whole(r"[0-9](?:[ \-]?[0-9]){12,18}") & m.rlike("[ ]"), F.lit(None).cast("string"))
+        .when(whole(NUMBER), F.lit("phone"))
+        .when(whole(RUN), F.when(F.exists(parts_of(m), lambda p: p["card"] != ""), F.lit("card")))
         .when(whole(SECRET), F.lit("secret"))
     )
 
 
 def pseudonym(m: Column, key: Column, undo: bool = False) -> Column:
     """What stands for a match under a ``Secret.column``; ``undo`` gets the value back from its pseudonym."""
-    kind = kind_of(m)
+    return _once(kind_of(m), lambda kind: _stands(m, kind, key, undo))
+
+
+def _stands(m: Column, kind: Column, key: Column, undo: bool) -> Column:
     return (
         F.when(kind == "email", _email(m, key, undo))
         .when(kind == "date", _date(m, key, undo))
         .when(kind == "ssn", _ssn(m, key, undo))
         .when(kind == "ip", _ip(m, key, undo))
         .when(kind == "phone", _phone(m, key, undo))
-        .when(kind == "card", _card(m, key, undo))
+        .when(kind == "card", _cards(m, key, undo))
         .when(kind == "secret", F.concat(F.regexp_extract(m, f"^{ASSIGNED}", 0), _characters(F.regexp_replace(m, f"^{ASSIGNED}", ""), key, "secret", undo)))
         .otherwise(m)
     )
@@ -262,9 +320,14 @@ def pii_report(docs: DataFrame, secret: Secret) -> DataFrame:
     A null text stays null and an empty one empty, with nothing found; so does a text whose
     candidates all fail validation. Repeated rows give repeated results, equal values equal
     pseudonyms. Values of any length go as a whole. No documents: no rows.
+
+    In scope: emails (the local part), cards of 13 to 19 digits with a right check digit, alone or as whole groups
+    among other digits, social security numbers, North American telephone numbers of any area code, IPv4
+    addresses, ISO dates from 1800 to 2199, and secrets after a name and ``=`` or ``:``, or after ``Bearer``. A run
+    of digits counts as one card, however many it holds.
     """
     found = docs.select("doc_id", "text", matches(F.col("text")).alias("found"), secret.column().alias("key"))
-    each = lambda m: F.struct(kind_of(m).alias("kind"), pseudonym(m, F.col("key")).alias("stands"))
+    each = lambda m: _once(kind_of(m), lambda kind: F.struct(kind.alias("kind"), _stands(m, kind, F.col("key"), False).alias("stands")))
     judged = found.withColumn("judged", F.when(F.size("found") > 0, F.transform("found", each)).otherwise(F.array().cast("array<struct<kind:string,stands:string>>")))
     kinds = F.transform("judged", lambda x: x["kind"])
     counted = judged.select("doc_id", "text", "found", F.transform("judged", lambda x: x["stands"]).alias("stands"), F.filter(kinds, lambda k: k.isNotNull()).alias("kinds"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import annindex, bpe, common, decontaminate, dialogue, longrepeats, merkle, pieces, pii, sharding, simhash, tokenstore, toxicity, warc
@@ -27,9 +29,14 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_secret(spark: SparkSession) -> pii.Secret:
-    """The key that the session's ``spark.quadrat.pii.secret`` holds (Spark redacts settings of such names);
-    for runs on synthetic tables, where it is unset, one for demonstration."""
-    return pii.Secret(spark.conf.get("spark.quadrat.pii.secret", "quadrat-demo-key"))
+    """The key that the session's ``spark.quadrat.pii.secret`` holds (Spark redacts settings of such names).
+
+    Where it is unset, the session gets a random one: pseudonyms are then linked within the session only, and nobody can undo them after it.
+    """
+    name = "spark.quadrat.pii.secret"
+    if not spark.conf.get(name, ""):
+        spark.conf.set(name, secrets.token_hex(32))
+    return pii.Secret(spark.conf.get(name))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
