@@ -211,6 +211,40 @@ def batch_adjusted(df: DataFrame, batch: str, feature: str, value: str) -> DataF
     return joined.withColumn("adjusted", scaled).drop("mean_b", "sd_b", "mean_f", "sd_f")
 
 
+def combat(df: DataFrame, batch: str, feature: str, value: str, rounds: int = 100, tolerance: float = 1e-4) -> DataFrame:
+    """Adds ``adjusted``: values without the batches' locations and scales, which are shrunk towards those of all features.
+
+    Values are standardised by the feature's mean of batches and its pooled deviation; a batch's mean and variance of a
+    feature are drawn to the priors that all features of the batch give (normal and inverse gamma) by alternating the two
+    posterior means until neither changes by more than ``tolerance`` relative to itself. These need only counts and sums of
+    a batch and feature, so each is a row and its rounds an expression. ``value`` must stand for every unit; a feature without
+    variance is returned as it is, a batch with one unit of a feature keeps its scale.
+    """
+    cells = df.groupBy(feature, batch).agg(F.count(value).alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
+    whole = cells.groupBy(feature).agg(F.sum("_n").alias("_all"), (F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("_mean"), (F.sum(F.col("_n") * F.col("_v")) / F.sum("_n")).alias("_pool"))
+    c = cells.join(whole, feature).where("_pool > 0")
+    c = c.withColumns({"_g": (F.col("_m") - F.col("_mean")) / F.sqrt("_pool"), "_d": F.when(F.col("_n") > 1, F.col("_v") / F.col("_pool") * F.col("_n") / F.greatest(F.col("_n") - 1, F.lit(1)))})
+    prior = c.groupBy(batch).agg(F.avg("_g").alias("_bar"), F.coalesce(F.var_samp("_g"), F.lit(0.0)).alias("_t2"), F.avg("_d").alias("_dm"), F.coalesce(F.var_samp("_d"), F.lit(0.0)).alias("_dv"))
+    prior = prior.withColumns({"_a": F.when(F.col("_dv") > 0, (2 * F.col("_dv") + F.col("_dm") * F.col("_dm")) / F.col("_dv")), "_b": F.when(F.col("_dv") > 0, (F.col("_dm") * F.col("_dv") + F.pow("_dm", F.lit(3.0))) / F.col("_dv"))})
+    c = c.join(prior, batch)
+    n, g_hat, d_hat = (F.col(x) for x in ("_n", "_g", "_d"))
+    around = lambda g: n * F.col("_v") / F.col("_pool") + n * (g_hat - g) * (g_hat - g)
+
+    def turn(state: Column, _: Column) -> Column:
+        g = F.try_divide(F.col("_t2") * n * g_hat + state["d"] * F.col("_bar"), F.col("_t2") * n + state["d"])
+        g = F.coalesce(g, g_hat)
+        d = F.coalesce((0.5 * around(g) + F.col("_b")) / (n / 2 + F.col("_a") - 1), state["d"])
+        same = (F.abs(g - state["g"]) <= tolerance * F.abs(state["g"])) & (F.abs(d - state["d"]) <= tolerance * F.abs(state["d"]))
+        return F.when(state["done"], state).otherwise(F.struct(g.alias("g"), d.alias("d"), same.alias("done")))
+
+    start = F.struct(g_hat.alias("g"), F.coalesce(d_hat, F.lit(1.0)).alias("d"), d_hat.isNull().alias("done"))
+    c = c.withColumn("_s", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn))
+    c = c.select(feature, batch, "_mean", "_pool", F.col("_s.g").alias("_gs"), F.col("_s.d").alias("_ds"))
+    joined = df.join(c.withColumnsRenamed({feature: "_f", batch: "_k"}), (F.col(feature) == F.col("_f")) & (F.col(batch) == F.col("_k")), "left")
+    z = (F.col(value) - F.col("_mean")) / F.sqrt("_pool")
+    return joined.withColumn("adjusted", F.coalesce((z - F.col("_gs")) / F.sqrt("_ds") * F.sqrt("_pool") + F.col("_mean"), F.col(value).cast("double"))).select(*df.columns, "adjusted")
+
+
 def aliased_columns(df: DataFrame, columns: list[str], tolerance: float = 1e-7) -> list[str]:
     """Columns that are linear combinations of an intercept and the columns before them.
 
