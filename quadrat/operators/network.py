@@ -129,14 +129,18 @@ def distances_from(edges: DataFrame, sources: DataFrame) -> DataFrame:
     from ..streaming.checkpoints import cut
 
     links = both_ways(edges).select("a", "b").distinct()
-    seen = cut(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops")))
-    frontier = seen
+    rings = [cut(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops")))]
     for hop in count(1):
-        step = frontier.select("source", F.col("node").alias("a")).join(links, "a").select("source", F.col("b").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(hop)))
-        if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier.select("source", "node", "hops")))
+        step = rings[-1].select("source", F.col("node").alias("a")).join(links, "a").select("source", F.col("b").alias("node")).distinct()
+        ring = cut(step.join(_last_two(rings), ["source", "node"], "left_anti").select("source", "node", F.lit(hop).alias("hops")))
+        if ring.isEmpty():
+            return reduce(DataFrame.unionByName, rings)
+        rings.append(ring)
+
+
+def _last_two(rings: list[DataFrame]) -> DataFrame:
+    """A neighbour of the last ring of a search is in it, in the one before, or new."""
+    return reduce(DataFrame.union, [r.select("source", "node") for r in rings[-2:]])
 
 
 def partial_correlations(precision: DataFrame) -> DataFrame:
@@ -146,6 +150,17 @@ def partial_correlations(precision: DataFrame) -> DataFrame:
     return precision.where("i < j").join(d("i"), "i").join(d("j"), "j").select("i", "j", (-F.col("theta") / F.sqrt(F.col("di") * F.col("dj"))).alias("weight"))
 
 
+def co_occurrence(graphs: DataFrame) -> DataFrame:
+    """(graph1, graph2, shared, share): of graphs (graph, a, b) each two with common nodes, their number, and its share of all nodes of both."""
+    held = graphs.select("graph", F.explode(F.array("a", "b")).alias("node")).distinct()
+    sizes = held.groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
+    # One row for each node with all its graphs: as many pairs as graphs squared come from it, whatever their edges.
+    sets = held.groupBy("node").agg(F.array_sort(F.collect_set("graph")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("m"))
+    pairs = sets.select("g", "m", F.explode("g").alias("graph1")).select("graph1", "m", F.explode("g").alias("graph2")).where("graph1 < graph2").groupBy("graph1", "graph2").agg(F.sum("m").alias("shared"))
+    both = pairs.join(sizes.toDF("graph1", "n1"), "graph1").join(sizes.toDF("graph2", "n2"), "graph2")
+    return both.select("graph1", "graph2", "shared", (F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))).alias("share"))
+
+
 def against_null(observed: DataFrame, null: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, observed, null_mean, null_sd, low, high, ratio, p): p is the share of null values at least as large."""
     each = null.join(observed, keys)
@@ -191,7 +206,7 @@ def rewired(edges: DataFrame, reps: int, swaps_per_edge: int = 10, seed: int = 1
 
 
 def null_metrics(graphs: DataFrame) -> DataFrame:
-    """(rep, metric, value) of unweighted graphs (rep, a, b): transitivity and degree assortativity of each."""
+    """(rep, metric, value) of unweighted graphs (rep, a, b): transitivity, average clustering and degree assortativity of each."""
     ends = graphs.select("rep", "a", "b").union(graphs.select("rep", F.col("b").alias("a"), F.col("a").alias("b")))
     d = ends.groupBy("rep", F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
     side = lambda c: d.select("rep", F.col("node").alias(c), F.col("degree").alias(f"d{c}"))
@@ -199,9 +214,12 @@ def null_metrics(graphs: DataFrame) -> DataFrame:
     r = both.groupBy("rep").agg(F.try_divide(F.covar_pop("da", "db"), F.stddev_pop("da") * F.stddev_pop("db")).alias("value")).select("rep", F.lit("assortativity").alias("metric"), "value")
     up = both.where((F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))).select("rep", F.col("a").alias("s"), F.col("b").alias("t"))
     wedges = up.withColumnRenamed("t", "t1").join(up.withColumnRenamed("t", "t2"), ["rep", "s"]).where("t1 < t2")
-    closed = wedges.join(graphs.select("rep", F.col("a").alias("t1"), F.col("b").alias("t2")), ["rep", "t1", "t2"]).groupBy("rep").agg(F.count(F.lit(1)).alias("t"))
+    met = wedges.join(graphs.select("rep", F.col("a").alias("t1"), F.col("b").alias("t2")), ["rep", "t1", "t2"])
+    each = met.select("rep", F.explode(F.array("s", "t1", "t2")).alias("node")).groupBy("rep", "node").agg(F.count(F.lit(1)).alias("t"))
+    closed = each.groupBy("rep").agg((F.sum("t") / 3).alias("t"))
+    near = d.join(each, ["rep", "node"], "left").groupBy("rep").agg(F.avg(F.coalesce(F.try_divide(2.0 * F.coalesce("t", F.lit(0)), F.col("degree") * (F.col("degree") - 1)), F.lit(0.0))).alias("value"))
     all_ = d.groupBy("rep").agg(F.sum(F.col("degree") * (F.col("degree") - 1) / 2).alias("w")).join(closed, "rep", "left")
-    return all_.select("rep", F.lit("transitivity").alias("metric"), F.try_divide(3.0 * F.coalesce("t", F.lit(0)), F.col("w")).alias("value")).union(r)
+    return all_.select("rep", F.lit("transitivity").alias("metric"), F.try_divide(3.0 * F.coalesce("t", F.lit(0)), F.col("w")).alias("value")).union(r).union(near.select("rep", F.lit("average_clustering").alias("metric"), "value"))
 
 
 def weighted_clustering(edges: DataFrame) -> DataFrame:
@@ -234,13 +252,13 @@ def all_paths(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
 
     links = cut(both_ways(edges).select("a", "b").distinct())
     start = links.select(F.col("a").alias("node")).distinct() if sources is None else sources
-    seen = frontier = cut(start.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops"), F.lit(1.0).alias("paths")))
+    rings = [cut(start.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops"), F.lit(1.0).alias("paths")))]
     for hop in count(1):
-        step = frontier.select("source", F.col("node").alias("a"), "paths").join(links, "a").groupBy("source", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
-        frontier = cut(step.join(seen, ["source", "node"], "left_anti").select("source", "node", F.lit(hop).alias("hops"), "paths"))
-        if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
+        step = rings[-1].select("source", F.col("node").alias("a"), "paths").join(links, "a").groupBy("source", F.col("b").alias("node")).agg(F.sum("paths").alias("paths"))
+        ring = cut(step.join(_last_two(rings), ["source", "node"], "left_anti").select("source", "node", F.lit(hop).alias("hops"), "paths"))
+        if ring.isEmpty():
+            return reduce(DataFrame.unionByName, rings)
+        rings.append(ring)
 
 
 def path_summary(edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.transforms import rclr, relative
 from ..operators import distance, diversity, isa, permute
 from ..sources.study import PATIENTS_SQL, TAXONOMY_SQL, counts, counts_sql, patients, taxonomy
+from ..streaming.checkpoints import cut
 from .registry import Registry
 from .relational import TYPES
 
@@ -157,8 +158,8 @@ def prm1_prm2_prm5_permanova(spark, d):
 
 
 def permute_pairs(pairs):
-    """Pairs are read by every repetition, so they are kept; they are few against the counts behind them."""
-    return pairs.persist()
+    """Pairs are read by every repetition, so they are written once; they are few against the counts behind them."""
+    return cut(pairs)
 
 
 @query(f"{_UNITS}, {permuted_sql('us', 'sample', 'sample_type', REPS, 'patient')}, {r2_sql('bc', 'sample', 'sample_type')} {PERM_OUT}")
@@ -293,31 +294,31 @@ def isa3_stratified_status(spark, d):
     return _rounded(isa.stratified_test(relative(c).select("sample", "feature", "p"), units, "sample", "status", "sample_type", ["Cancer", "Control"], REPS))
 
 
-@query(f"SELECT a.feature, a.mask, round(a.stat, 6) AS stat, round(coalesce(CASE WHEN b.p < 0.5 THEN b.p END, a.p), 6) AS metric FROM {_ALL_ISA} a LEFT JOIN {_BLOCKED_ISA} b USING (feature)")
+@query(f"SELECT a.feature, a.mask, round(a.stat, 6) AS stat, round(coalesce(CASE WHEN b.p <= 0.05 THEN b.p END, a.p), 6) AS metric FROM {_ALL_ISA} a LEFT JOIN {_BLOCKED_ISA} b USING (feature)")
 def isa6_merged_metric(spark, d):
-    """The blocked test's value takes precedence where it is under 0.5."""
-    summary = _blocked_isa(spark, d).where("p < 0.5").select("feature", F.col("p").alias("q"))
+    """The blocked test's value takes precedence where it is at most 0.05."""
+    summary = _blocked_isa(spark, d).where("p <= 0.05").select("feature", F.col("p").alias("q"))
     return _rounded(isa.merged_metrics(_all_isa(spark, d), summary, ["feature"]).select("feature", "mask", "stat", "metric"))
 
 
-@query(f"SELECT feature, a.mask AS all_mask, round(a.stat, 6) AS all_stat, b.mask AS blocked_mask, round(b.stat, 6) AS blocked_stat, CASE WHEN a.mask IS NOT NULL AND b.mask IS NOT NULL THEN 'all+blocked' WHEN a.mask IS NOT NULL THEN 'all' ELSE 'blocked' END AS label FROM (SELECT * FROM {_ALL_ISA} WHERE p < 0.4 AND stat >= 0.4) a FULL JOIN (SELECT * FROM {_BLOCKED_ISA} WHERE p < 0.4 AND stat >= 0.4) b USING (feature)")
+@query(f"SELECT feature, a.mask AS all_mask, round(a.stat, 6) AS all_stat, b.mask AS blocked_mask, round(b.stat, 6) AS blocked_stat, CASE WHEN a.mask IS NOT NULL AND b.mask IS NOT NULL THEN 'all+blocked' WHEN a.mask IS NOT NULL THEN 'all' ELSE 'blocked' END AS label FROM (SELECT * FROM {_ALL_ISA} WHERE p < 0.05 AND stat >= 0.05) a FULL JOIN (SELECT * FROM {_BLOCKED_ISA} WHERE p < 0.05 AND stat >= 0.05) b USING (feature)")
 def isa7_combined_tables(spark, d):
-    return _rounded(isa.combined(_all_isa(spark, d), _blocked_isa(spark, d), ("all", "blocked"), 0.4, 0.4))
+    return _rounded(isa.combined(_all_isa(spark, d), _blocked_isa(spark, d), ("all", "blocked"), 0.05, 0.05))
 
 
-@query(f"SELECT mask, feature, round(p, 6) AS p, round(stat, 6) AS stat, n_features, n_significant FROM (SELECT *, count(*) OVER (PARTITION BY mask) AS n_features, CAST(sum(CASE WHEN p < 0.4 THEN 1 ELSE 0 END) OVER (PARTITION BY mask) AS BIGINT) AS n_significant, row_number() OVER (PARTITION BY mask ORDER BY p, stat DESC, feature) AS k FROM {_ALL_ISA}) WHERE k <= 3")
+@query(f"SELECT mask, feature, round(p, 6) AS p, round(stat, 6) AS stat, n_features, n_significant FROM (SELECT *, count(*) OVER (PARTITION BY mask) AS n_features, CAST(sum(CASE WHEN p < 0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY mask) AS BIGINT) AS n_significant, row_number() OVER (PARTITION BY mask ORDER BY p, stat DESC, feature) AS k FROM {_ALL_ISA}) WHERE k <= 3")
 def isa10_top3_summaries(spark, d):
     """Counts of each combination and its three strongest features."""
-    whole, top = isa.analysis_summary(_all_isa(spark, d), ["mask"], 0.4, 3)
+    whole, top = isa.analysis_summary(_all_isa(spark, d), ["mask"], 0.05, 3)
     return _rounded(top.join(whole, "mask").select("mask", "feature", "p", "stat", "n_features", "n_significant"))
 
 
-@query(f"{CB}, f AS (SELECT feature, CAST(sum(count) AS BIGINT) AS total FROM c GROUP BY 1) SELECT feature, total, CASE WHEN ok THEN mask::VARCHAR ELSE 'Other' END AS label, ok AS shown FROM (SELECT f.feature, total, mask, coalesce(i.stat >= 0.4 AND i.p < 0.9 AND mask IN (1, 2, 4, 8, 16), FALSE) AS ok FROM f LEFT JOIN {_BLOCKED_ISA} i ON i.feature = f.feature)")
+@query(f"{CB}, f AS (SELECT feature, CAST(sum(count) AS BIGINT) AS total FROM c GROUP BY 1) SELECT feature, total, CASE WHEN ok THEN mask::VARCHAR ELSE 'Other' END AS label, ok AS shown FROM (SELECT f.feature, total, mask, coalesce(i.stat >= 0.4 AND i.p < 0.05 AND mask IN (1, 2, 4, 8, 16), FALSE) AS ok FROM f LEFT JOIN {_BLOCKED_ISA} i ON i.feature = f.feature)")
 def flt29_indicator_overlay(spark, d):
     """Labels of indicators that pass, on a table of totals."""
     totals = counts(spark, d, "brand").groupBy("feature").agg(F.sum("count").alias("total"))
     marked = _blocked_isa(spark, d).select("feature", F.col("mask").cast("string").alias("label"), "stat", F.col("p").alias("metric"))
-    return isa.overlay(totals, marked, "label", ["1", "2", "4", "8", "16"], 0.4, 0.9).select("feature", "total", "label", "shown")
+    return isa.overlay(totals, marked, "label", ["1", "2", "4", "8", "16"], 0.4, 0.05).select("feature", "total", "label", "shown")
 
 
 @query(f"{C}, m AS (SELECT feature, bit_or((1 << (list_position([{', '.join(f"'{t}'" for t in TYPES)}], sample_type) - 1))::BIGINT) AS mask FROM c GROUP BY 1) SELECT feature, mask FROM m WHERE mask <> 31")

@@ -87,10 +87,25 @@ def net10_pagerank(spark, d):
     return _rounded(network.pagerank(cut(shared_orders(spark, d)), 20), 9)
 
 
-@query()
+#: Orders of one customer that are at most DAYS apart: as many nodes as orders, in components no larger than a customer.
+DAYS = 90
+_NEAR = f"""WITH RECURSIVE ed AS (SELECT x.o_orderkey AS a, y.o_orderkey AS b, 1.0::DOUBLE AS weight FROM orders x JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND abs(date_diff('day', x.o_orderdate::DATE, y.o_orderdate::DATE)) <= {DAYS}),
+ bw AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed), nd AS (SELECT DISTINCT a AS node FROM bw), wk AS (SELECT node AS s, node AS t, 0 AS hops FROM nd UNION SELECT s, b, hops + 1 FROM wk JOIN bw ON a = t WHERE hops < 24), ds AS (SELECT s, t, min(hops) AS hops FROM wk GROUP BY ALL),
+ pw AS (SELECT node AS s, node AS t, 0 AS hops FROM nd UNION ALL SELECT pw.s, bw.b, ds.hops FROM pw JOIN bw ON bw.a = pw.t JOIN ds ON ds.s = pw.s AND ds.t = bw.b AND ds.hops = pw.hops + 1), sp AS (SELECT s, t, hops, count(*) AS n FROM pw GROUP BY ALL)"""
+
+
+def near_orders(spark, d):
+    o = load(spark, d, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"))
+    x, y = o.toDF("c", "a", "u"), o.toDF("c", "b", "v")  # a customer has a handful of orders
+    return x.join(y, "c").where((F.col("a") < F.col("b")) & (F.abs(F.datediff("u", "v")) <= DAYS)).select("a", "b", F.lit(1.0).alias("weight"))
+
+
+@query(f"""{_NEAR}, ce AS (SELECT s AS node, count(*) AS reached, (count(*) - 1) / sum(hops)::DOUBLE AS closeness FROM ds GROUP BY 1),
+ bt AS (SELECT x.t AS node, sum(x.n * y.n / z.n::DOUBLE) / 2 AS betweenness FROM sp x JOIN sp y ON y.s = x.t JOIN sp z ON z.s = x.s AND z.t = y.t AND z.hops = x.hops + y.hops WHERE x.hops > 0 AND y.hops > 0 GROUP BY 1)
+ SELECT node, reached, round(closeness, 6) AS closeness, round(coalesce(betweenness, 0), 6) AS betweenness FROM ce LEFT JOIN bt USING (node)""")
 def net10_centralities(spark, d):
-    """Closeness and betweenness of all nodes joined by at least three orders: all pairs of a component; tested against brute force."""
-    return _rounded(network.centralities(cut(shared_orders(spark, d, 3))))
+    """Closeness and betweenness of all orders in the graph of near orders: all pairs of a component."""
+    return _rounded(network.centralities(cut(near_orders(spark, d))))
 
 
 def eigenvector_sql(rounds: int) -> str:
@@ -104,10 +119,19 @@ def net10_eigenvector(spark, d):
     return _rounded(network.eigenvector(cut(shared_orders(spark, d))))
 
 
-@query()
+@query(f"{_NEAR}, cp AS (SELECT s AS node, min(t) AS component FROM ds GROUP BY 1), sz AS (SELECT component, count(*) AS n FROM cp GROUP BY 1 ORDER BY n DESC, component LIMIT 1) SELECT any_value(n)::BIGINT AS nodes, round(avg(hops) FILTER (WHERE hops > 0), 6) AS mean_hops, max(hops) AS diameter FROM ds JOIN cp ON cp.node = s JOIN sz USING (component)")
 def net9_largest_component_paths(spark, d):
-    """Mean path and diameter of the largest component, of edges of at least three orders; tested against brute force."""
-    return _rounded(network.path_summary(cut(shared_orders(spark, d, 3))))
+    """Mean path and diameter of the largest component of near orders."""
+    return _rounded(network.path_summary(cut(near_orders(spark, d))))
+
+
+@query(f"{_NEAR}, cp AS (SELECT s AS node, min(t) AS component FROM ds GROUP BY 1) SELECT component, count(DISTINCT s) AS nodes, round(avg(hops) FILTER (WHERE hops > 0), 6) AS mean_hops, max(hops) AS diameter FROM ds JOIN cp ON cp.node = s GROUP BY 1")
+def net9_component_paths(spark, d):
+    """Mean path and diameter of every component of near orders."""
+    e = cut(near_orders(spark, d))
+    found = network.components(e)
+    hops = network.distances_from(e, found.select("node")).join(found.select(F.col("node").alias("source"), "component"), "source")
+    return _rounded(hops.groupBy("component").agg(F.countDistinct("source").alias("nodes"), F.avg(F.when(F.col("hops") > 0, F.col("hops"))).alias("mean_hops"), F.max("hops").alias("diameter")))
 
 
 @query()
@@ -118,10 +142,10 @@ def net11_communities(spark, d):
     return _rounded(found.join(F.broadcast(network.modularity(e, found))))
 
 
-@query(f"{E1}, t AS (SELECT sum(weight) AS m FROM ed), st AS (SELECT node % 4 AS g, sum(strength) AS s FROM dg GROUP BY 1), ins AS (SELECT a % 4 AS g, sum(weight) AS w FROM ed WHERE a % 4 = b % 4 GROUP BY 1) SELECT round(sum(coalesce(w, 0) / m - (s / (2 * m)) * (s / (2 * m))), 6) AS modularity FROM st LEFT JOIN ins USING (g), t")
+@query(f"{E1}, t AS (SELECT sum(weight) AS m FROM ed), st AS (SELECT p_brand AS g, sum(strength) AS s FROM dg JOIN part ON p_partkey = node GROUP BY 1), ins AS (SELECT x.p_brand AS g, sum(weight) AS w FROM ed JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b AND x.p_brand = y.p_brand GROUP BY 1) SELECT round(sum(coalesce(w, 0) / m - (s / (2 * m)) * (s / (2 * m))), 6) AS modularity FROM st LEFT JOIN ins USING (g), t")
 def net11_modularity(spark, d):
-    e = shared_orders(spark, d)
-    return _rounded(network.modularity(e, network.degrees(e).select("node", (F.col("node") % 4).alias("community"))))
+    """Of the brands as communities."""
+    return _rounded(network.modularity(shared_orders(spark, d), load(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("community"))))
 
 
 @query(f"{E1} SELECT round(corr(x.degree, y.degree), 6) AS assortativity FROM bw JOIN dg x ON x.node = bw.a JOIN dg y ON y.node = bw.b")
@@ -169,19 +193,35 @@ def net15_membership(spark, d):
     return network.membership({"low": e, "high": e.where("weight >= 3")})
 
 
-@query(f"{E1}, g2 AS (SELECT a, b, 1.0::DOUBLE AS weight FROM ed WHERE a % 2 = 0 UNION ALL SELECT b, a, 2.0 FROM ed WHERE b % 3 = 0) SELECT least(a, b) AS a, greatest(a, b) AS b, sum(weight) AS weight FROM (SELECT a, b, weight FROM ed UNION ALL SELECT a, b, weight FROM g2) GROUP BY ALL")
+_BY_PRIORITY = "WITH li AS (SELECT DISTINCT o_orderpriority AS graph, l_orderkey AS o, l_partkey AS k FROM lineitem JOIN orders ON o_orderkey = l_orderkey), pe AS (SELECT x.graph, x.k AS a, y.k AS b, count(*)::DOUBLE AS weight FROM li x JOIN li y ON x.o = y.o AND x.k < y.k GROUP BY ALL)"
+URGENT = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
+
+
+def _by_priority(spark, d):
+    """(graph, a, b, weight): parts in one order, a graph for each priority."""
+    li = load(spark, d, "lineitem").join(load(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderpriority").alias("graph"), F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("k")).distinct()
+    x, y = li.toDF("graph", "o", "a"), li.toDF("graph", "o", "b")
+    return x.join(y, ["graph", "o"]).where("a < b").groupBy("graph", "a", "b").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+@query(f"{_BY_PRIORITY} SELECT a, b, sum(weight) AS weight FROM pe WHERE graph IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY ALL")
 def net15_merged_graphs(spark, d):
-    e = shared_orders(spark, d)
-    one = e.where("a % 2 = 0").select("a", "b", F.lit(1.0).alias("weight"))
-    two = e.where("b % 3 = 0").select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(2.0).alias("weight"))
-    return network.merged(e.select("a", "b", "weight"), one, two)
+    """The graphs of three priorities as one."""
+    e = _by_priority(spark, d)
+    return network.merged(*[e.where(F.col("graph") == g).select("a", "b", "weight") for g in URGENT])
+
 
+@query(f"{_BY_PRIORITY}, mb AS (SELECT DISTINCT graph, node FROM (SELECT graph, a AS node FROM pe UNION ALL SELECT graph, b FROM pe)), sz AS (SELECT graph, count(*) AS n FROM mb GROUP BY 1) SELECT x.graph AS graph1, y.graph AS graph2, count(*) AS shared, round(count(*) / (any_value(s.n) + any_value(t.n) - count(*))::DOUBLE, 6) AS share FROM mb x JOIN mb y ON x.node = y.node AND x.graph < y.graph JOIN sz s ON s.graph = x.graph JOIN sz t ON t.graph = y.graph GROUP BY ALL")
+def net15_co_occurrence(spark, d):
+    """Edges of the graph of graphs: two are joined by the nodes that both have."""
+    return _rounded(network.co_occurrence(_by_priority(spark, d)))
 
-@query(f"{E1}, ps AS (SELECT node, node % 17 AS x, node % 23 AS y FROM dg) SELECT bw.a AS node, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM bw JOIN ps ON ps.node = bw.b GROUP BY 1")
+
+@query(f"{E1}, ps AS (SELECT p_partkey AS node, p_size AS x, p_retailprice AS y FROM part) SELECT bw.a AS node, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM bw JOIN ps ON ps.node = bw.b GROUP BY 1")
 def net17_neighbour_centroid(spark, d):
-    e = shared_orders(spark, d)
-    at = network.degrees(e).select("node", (F.col("node") % 17).alias("x"), (F.col("node") % 23).alias("y"))
-    return _rounded(network.neighbour_centroid(e, at))
+    """In the plane of size and price."""
+    at = load(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"))
+    return _rounded(network.neighbour_centroid(shared_orders(spark, d), at))
 
 
 @query(f"{CT}, s AS (SELECT patient AS unit, feature AS id, sum(count)::DOUBLE AS v FROM c GROUP BY ALL), m AS (SELECT x.id AS i, y.id AS j, sum(x.v * y.v) AS theta FROM s x JOIN s y ON x.unit = y.unit GROUP BY ALL) SELECT m.i, m.j, round(-theta / sqrt(a.t * b.t), 6) AS weight FROM m JOIN (SELECT i, theta AS t FROM m WHERE i = j) a ON a.i = m.i JOIN (SELECT j, theta AS t FROM m WHERE i = j) b ON b.j = m.j WHERE m.i < m.j")
@@ -252,11 +292,11 @@ def res4_res6_spike_in(spark, d):
 def pwr1_prm9_bootstrap_r2(spark, d):
     """R-squared of case against control over bootstrap draws of patients; distances are computed once."""
     s = counts(spark, d, "brand").groupBy("patient", "feature").agg(F.sum("count").alias("count"))
-    pairs = distance.bray_curtis(s, "patient").persist()
+    pairs = cut(distance.bray_curtis(s, "patient"))
     b = _boot(spark, d, 15, 8).select("rep", "unique_id", "patient", "grp")
     x, y = b.toDF("rep", "u1", "p1", "g1"), b.toDF("rep", "u2", "p2", "g2")
     met = x.join(y, "rep").where(F.concat("u1", "g1") < F.concat("u2", "g2"))
-    far = met.join(F.broadcast(pairs), (F.least("p1", "p2") == F.col("id1")) & (F.greatest("p1", "p2") == F.col("id2")), "left")
+    far = met.join(pairs, (F.least("p1", "p2") == F.col("id1")) & (F.greatest("p1", "p2") == F.col("id2")), "left")
     d2 = F.coalesce("dist", F.lit(0.0)) * F.coalesce("dist", F.lit(0.0))
     sums = far.groupBy("rep").agg((F.sum(d2) / 16).alias("total"), F.sum(F.when(F.col("g1") == F.col("g2"), d2 / 8).otherwise(0.0)).alias("within"))
     return _rounded(sums.select("rep", (1 - F.col("within") / F.col("total")).alias("r2")))
@@ -291,6 +331,13 @@ def seq10_consensus_taxonomy(spark, d):
     return _rounded(sequences.consensus_taxonomy(load(spark, d, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderstatus").alias("taxon"))))
 
 
+@query("SELECT page_id FROM pages WHERE list_sum(list_transform(string_split(url, ''), lambda c: pow(10.0::DOUBLE, -(ascii(c) - 33) / 10.0::DOUBLE))) <= 0.4 AND length(html) BETWEEN 245 AND 15000")
+def seq3_passing(spark, d):
+    """Rows of few expected errors and a length within bounds."""
+    p = load(spark, d, "pages").select("page_id", F.col("url").alias("quality"), F.col("html").alias("seq"))
+    return sequences.pass_filter(p, 0.4, 245, 15000).select("page_id")
+
+
 @query("SELECT page_id, round(list_sum(list_transform(string_split(url, ''), lambda c: pow(10.0::DOUBLE, -(ascii(c) - 33) / 10.0::DOUBLE))), 8) AS ee FROM pages")
 def seq3_expected_errors(spark, d):
     return load(spark, d, "pages").select("page_id", F.round(sequences.expected_errors(F.col("url")), 8).alias("ee"))

@@ -30,9 +30,11 @@ def agg16_agg17_pivot_round_trip(spark, d):
     return wide.unpivot(["sample"], names, "analyte", "count").where("count <> 0")
 
 
-@query("SELECT doc_id, coalesce(try_cast(string_split(text, ' ')[1] AS DOUBLE), 0) AS number FROM documents")
+@query("SELECT doc_id, len(string_split(text, ' ')) AS n_words, round(list_sum(list_transform(string_split(text, ' '), lambda w: coalesce(try_cast(w AS DOUBLE), 0))), 4) AS total FROM documents")
 def flt3_numeric_coercion(spark, d):
-    return load(spark, d, "documents").select("doc_id", filters.to_number(F.split("text", " ")[0]).alias("number"))
+    """The words of whole texts as numbers, what is none as zero."""
+    words = F.split("text", " ", -1)
+    return load(spark, d, "documents").select("doc_id", F.size(words).cast("bigint").alias("n_words"), F.round(F.aggregate(F.transform(words, filters.to_number), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 @query(f"{C} SELECT sample_type, count(*) AS n FROM c WHERE sample_type IN ('1-URGENT', '2-HIGH', '5-LOW') AND sample_type NOT IN ('5-LOW') GROUP BY 1")

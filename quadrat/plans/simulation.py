@@ -146,10 +146,10 @@ def pwr3_shannon_power_curve(spark, d):
     return _rounded(resample.power(tests, ["size"], "p").join(tests.groupBy("size").agg(F.avg("rank_biserial").alias("effect")), "size"))
 
 
-@query(f"{_PWR3}, cv AS (SELECT size, avg(CASE WHEN p < 0.3 THEN 1.0::DOUBLE ELSE 0 END) AS power FROM mw GROUP BY 1) SELECT 'shannon' AS metric, min(size) FILTER (WHERE power >= 0.8) AS n_needed, round(arg_max(power, size), 6) AS power_at_max, CASE WHEN min(size) FILTER (WHERE power >= 0.8) IS NULL THEN 'Underpowered' ELSE 'Adequate' END AS verdict FROM cv")
+@query(f"{_PWR3}, cv AS (SELECT size, avg(CASE WHEN p < 0.05 THEN 1.0::DOUBLE ELSE 0 END) AS power FROM mw GROUP BY 1) SELECT 'shannon' AS metric, min(size) FILTER (WHERE power >= 0.8) AS n_needed, round(arg_max(power, size), 6) AS power_at_max, CASE WHEN min(size) FILTER (WHERE power >= 0.8) IS NULL THEN 'Underpowered' ELSE 'Adequate' END AS verdict FROM cv")
 def pwr10_top9_size_for_power(spark, d):
     """The least size with a power of 0.8 on the curve of the rank tests."""
-    curve = resample.power(_shannon_tests(spark, d), ["size"], "p", 0.3).withColumn("metric", F.lit("shannon"))
+    curve = resample.power(_shannon_tests(spark, d), ["size"], "p", 0.05).withColumn("metric", F.lit("shannon"))
     return _rounded(resample.size_for_power(curve, ["metric"], "size"))
 
 

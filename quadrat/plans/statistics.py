@@ -103,12 +103,11 @@ def sta5_t_test(spark, d):
     return found.select("feature", "n1", "n2", F.round("t", 5).alias("t"), F.round("p", 6).alias("p"))
 
 
-@query(f"{_PF}, pv AS (SELECT feature, exp(-abs((avg(p) FILTER (WHERE grp = 'Cancer') - avg(p) FILTER (WHERE grp <> 'Cancer')) / stddev_samp(p))) AS p FROM v GROUP BY 1), rk AS (SELECT *, row_number() OVER (ORDER BY round(p, 9), feature) AS k, count(*) OVER () AS m FROM pv) SELECT feature, round(p, 6) AS p, round(least(min(round(p, 9) * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1), 6) AS q FROM rk")
+@query(f"{_PF}, {_MOM}, st AS (SELECT feature, n1, n2, {_T_SQL} AS t, n1 + n2 - 2 AS df FROM mo), an AS (SELECT *, atan(abs(t) / sqrt(df)) AS w FROM st), pv AS (SELECT feature, round(CASE WHEN df % 2 = 1 THEN 1 - 2 / pi() * (w + sin(w) * list_sum(list_transform(range(0, (df - 1) // 2), lambda j: exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * pow(cos(w), 2 * j + 1)))) ELSE 1 - sin(w) * list_sum(list_transform(range(0, df // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * pow(cos(w), 2 * j))) END, 9) AS p FROM an), rk AS (SELECT *, row_number() OVER (ORDER BY p, feature) AS k, count(*) OVER () AS m FROM pv) SELECT feature, round(p, 6) AS p, round(least(min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1), 6) AS q FROM rk")
 def sta9_agg25_benjamini_hochberg(spark, d):
-    """BH on a monotone score of the group difference, which SQL can compute too."""
-    one, p = F.col("grp") == "Cancer", F.col("p")
-    raw = _patient_values(spark, d).groupBy("feature").agg(F.exp(-F.abs((F.avg(F.when(one, p)) - F.avg(F.when(~one, p))) / F.stddev_samp(p))).alias("p"))
-    return _rounded(stats.benjamini_hochberg(raw.withColumn("p", F.round("p", 9)), "p", [], ["feature"]))
+    """Adjusted p of Student's test over all features."""
+    found = stats.t_test(_patient_values(spark, d), ["feature"], "grp", "Cancer", "p")
+    return _rounded(stats.benjamini_hochberg(found.select("feature", F.round("p", 9).alias("p")), "p", [], ["feature"]))
 
 
 _LONG = f"""{CT}, lt AS (SELECT patient AS unit, feature AS id, sum(count)::DOUBLE AS value FROM c GROUP BY ALL), ls AS (SELECT patient AS unit, sample_type AS id, sum(count)::DOUBLE AS value FROM c GROUP BY ALL)"""
@@ -128,11 +127,11 @@ def sta11_sta13_pearson_pairs(spark, d):
     return _rounded(stats.pearson_pairs(_long(spark, d, "feature")))
 
 
-@query(f"{_LONG.replace('WITH', 'WITH RECURSIVE', 1)}, cr AS (SELECT a.id AS id1, b.id AS id2, abs(corr(a.value, b.value)) AS r FROM lt a JOIN lt b ON a.unit = b.unit AND a.id < b.id GROUP BY ALL), od AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT DISTINCT id FROM lt)), gr AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS kept UNION ALL SELECT od.k, CASE WHEN EXISTS (SELECT 1 FROM cr WHERE id2 = od.id AND r > 0.3 AND list_contains(gr.kept, id1)) THEN gr.kept ELSE list_append(gr.kept, od.id) END FROM gr JOIN od ON od.k = gr.k + 1), ke AS (SELECT unnest(kept) AS id FROM gr WHERE k = (SELECT max(k) FROM od)), bo AS (SELECT id1 AS id, id2 AS other, r FROM cr UNION ALL SELECT id2, id1, r FROM cr), bs AS (SELECT bo.id, arg_min(other, (-r, other)) AS rep FROM bo JOIN ke ON ke.id = other WHERE r > 0.3 GROUP BY 1) SELECT od.id, CASE WHEN ke.id IS NOT NULL THEN od.id ELSE rep END AS representative FROM od LEFT JOIN ke ON ke.id = od.id LEFT JOIN bs ON bs.id = od.id")
+@query(f"{_LONG.replace('WITH', 'WITH RECURSIVE', 1)}, cr AS (SELECT a.id AS id1, b.id AS id2, abs(corr(a.value, b.value)) AS r FROM lt a JOIN lt b ON a.unit = b.unit AND a.id < b.id GROUP BY ALL), od AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT DISTINCT id FROM lt)), gr AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS kept UNION ALL SELECT od.k, CASE WHEN EXISTS (SELECT 1 FROM cr WHERE id2 = od.id AND r > 0.9 AND list_contains(gr.kept, id1)) THEN gr.kept ELSE list_append(gr.kept, od.id) END FROM gr JOIN od ON od.k = gr.k + 1), ke AS (SELECT unnest(kept) AS id FROM gr WHERE k = (SELECT max(k) FROM od)), bo AS (SELECT id1 AS id, id2 AS other, r FROM cr UNION ALL SELECT id2, id1, r FROM cr), bs AS (SELECT bo.id, arg_min(other, (-r, other)) AS rep FROM bo JOIN ke ON ke.id = other WHERE r > 0.9 GROUP BY 1) SELECT od.id, CASE WHEN ke.id IS NOT NULL THEN od.id ELSE rep END AS representative FROM od LEFT JOIN ke ON ke.id = od.id LEFT JOIN bs ON bs.id = od.id")
 def sta11_representatives(spark, d):
-    """Correlated columns reduced to representatives; the bound is 0.3, since few of these totals reach 0.9."""
+    """Correlated columns reduced to representatives."""
     long = _long(spark, d, "feature")
-    return stats.representatives(stats.pearson_pairs(long), long.select("id"), 0.3)
+    return stats.representatives(stats.pearson_pairs(long), long.select("id"), 0.9)
 
 
 @query(f"{_LONG} SELECT a.unit AS unit1, b.unit AS unit2, round(corr(a.value, b.value), 6) AS r FROM lt a JOIN lt b ON a.id = b.id AND a.unit < b.unit GROUP BY ALL HAVING corr(a.value, b.value) >= 0.5")

@@ -5,7 +5,9 @@ Paths go through Spark's file systems, so all of it works on shared stores.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,7 +60,7 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """GraphML of nodes (id, ...) and edges (a, b, ...), every other column a data element. One file, streamed in order."""
+    """GraphML of nodes (id, ...) and edges (a, b, ...), every other column a data element: part files that make the document in the order of their names."""
     safe = lambda c: F.replace(F.replace(F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
     data = lambda df, skip: [F.when(F.col(c).isNotNull(), F.concat(F.lit(f'<data key="{c}">'), safe(F.col(c)), F.lit("</data>"))).otherwise("") for c in df.columns if c not in skip]
     kinds = {"double": "double", "float": "double", "int": "int", "bigint": "long", "boolean": "boolean"}
@@ -69,7 +71,67 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "er
     body = nodes.select(F.lit(1).alias("place"), F.concat(F.lit('<node id="'), safe(F.col("id")), F.lit('">'), *data(nodes, ("id",)), F.lit("</node>")).alias("value"))
     links = edges.select(F.lit(2).alias("place"), F.concat(F.lit('<edge source="'), safe(F.col("a")), F.lit('" target="'), safe(F.col("b")), F.lit('">'), *data(edges, ("a", "b")), F.lit("</edge>")).alias("value"))
     whole = frame(0, head).union(body).union(links).union(frame(3, "</graph>\n</graphml>"))
-    whole.orderBy("place", "value").select("value").coalesce(1).write.mode(mode).text(path)
+    whole.orderBy("place", "value").select("value").write.mode(mode).text(path)
+
+
+def write_gml(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """GML of nodes (id, ...) and edges (a, b, ...): part files that make the document in the order of their names.
+
+    Ids become labels beside numbers, which GML wants; numbers come from a hash of the id. Nulls are left out.
+    """
+    text = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"'))
+    plain = ("double", "float", "int", "bigint")
+    data = lambda df, skip: [F.when(F.col(c).isNotNull(), F.concat(F.lit(f" {c} "), F.col(c).cast("string") if t in plain else text(F.col(c)))).otherwise("") for c, t in df.dtypes if c not in skip]
+    number = lambda c: F.xxhash64(F.col(c).cast("string")).cast("string")
+    spark = nodes.sparkSession
+    frame = lambda place, line: spark.createDataFrame([(place, line)], "place int, value string")
+    body = nodes.select(F.lit(1).alias("place"), F.concat(F.lit("node [ id "), number("id"), F.lit(" label "), text(F.col("id")), *data(nodes, ("id",)), F.lit(" ]")).alias("value"))
+    links = edges.select(F.lit(2).alias("place"), F.concat(F.lit("edge [ source "), number("a"), F.lit(" target "), number("b"), *data(edges, ("a", "b")), F.lit(" ]")).alias("value"))
+    frame(0, "graph [ directed 0").union(body).union(links).union(frame(3, "]")).orderBy("place", "value").select("value").write.mode(mode).text(path)
+
+
+def append_table(df: DataFrame, path: str, header: str = "first") -> None:
+    """Appends ``df`` as TSV files; the names of columns stand in every file (``all``), in those of the first call (``first``) or in none."""
+    if header not in ("first", "all", "none"):
+        raise ValueError(f"header is {header!r}, not first, all or none")
+    fs, at = _file_system(df.sparkSession, path)
+    named = header == "all" or header == "first" and not fs.exists(at)
+    df.write.mode("append").option("sep", "\t").option("header", named).csv(path)
+
+
+def read_stats(spark: SparkSession, path: str, sample: str, reads: str, strip: str = "") -> DataFrame:
+    """(sample, reads): a TSV of reads by file, added up by sample after ``strip`` (a pattern) is taken off its name."""
+    rows = spark.read.option("sep", "\t").option("header", True).csv(path)
+    name = F.regexp_replace(F.col(sample), strip, "") if strip else F.col(sample)
+    return rows.select(name.alias("sample"), F.regexp_replace(reads, ",", "").try_cast("bigint").alias("n")).where("sample is not null").groupBy("sample").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("reads"))
+
+
+def cached(inputs: list[str], parameters: dict, folder: str, work: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``work``, kept under ``folder`` by the names, sizes and times of the input files and by the parameters.
+
+    A second call with the same inputs and parameters reads what the first has written; a changed file or parameter
+    computes anew. A result is published by renaming it when it is whole, so that a broken or second writer leaves none half done.
+    """
+    spark = SparkSession.getActiveSession()
+    seen = []
+    for path in inputs:
+        fs, at = _file_system(spark, path)
+        files = fs.listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    key = hashlib.sha256(json.dumps([sorted(seen), parameters], sort_keys=True, default=str).encode()).hexdigest()[:32]
+    target = f"{folder.rstrip('/')}/{key}"
+    fs, at = _file_system(spark, target)
+    if not fs.exists(at):
+        draft = f"{folder.rstrip('/')}/_draft-{uuid.uuid4().hex}"
+        work().write.parquet(draft)
+        _, there = _file_system(spark, draft)
+        if not fs.rename(there, at) and not fs.exists(at):
+            raise OSError(f"{draft} could not become {target}")
+        if fs.exists(there):
+            fs.delete(there, True)  # another writer was first
+    return spark.read.parquet(target)
 
 
 def write_group_fasta(seqs: DataFrame, path: str, group: str, header: Column | None = None, mode: str = "errorifexists") -> None:
