@@ -1,0 +1,181 @@
+"""Density clustering: core distances and a minimum spanning tree of mutual reachability by blocks of rows, then the condensed tree.
+
+Distances are computed block against block, each task holding one pair of blocks; what leaves it are the few nearest
+of each row, or the cheapest edge of each component to another. Work is quadratic in rows, as the definition is.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..streaming.checkpoints import cut
+from .network import components
+
+BLOCK = 1_000
+
+
+def _packed(points: DataFrame, blocks: int, columns: list[str]) -> DataFrame:
+    """(block, rows): about as many rows in each block, dealt by a hash of the id."""
+    return points.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", *columns)).alias("rows"))
+
+
+def _block_pairs(packed: DataFrame, pairs_per_task: int = 8) -> DataFrame:
+    """Every block beside every block, a row for each pair."""
+    left, right = packed.toDF("b1", "r1"), packed.toDF("b2", "r2")
+    n = packed.count()
+    return left.crossJoin(right).repartition(max(1, n * n // pairs_per_task), "b1", "b2")
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(sum((x[:, [k]] - y[:, k]) ** 2 for k in range(x.shape[1])))
+
+
+def core_distances(points: DataFrame, columns: list[str], neighbours: int) -> DataFrame:
+    """(id, core): the distance to the nearest row for which ``neighbours`` rows, the row itself among them, are as near."""
+    blocks = max(1, -(-points.count() // BLOCK))
+    kind = dict(points.dtypes)["id"]
+
+    def near(batches):
+        for pdf in batches:
+            for r1, r2 in zip(pdf["r1"], pdf["r2"], strict=True):
+                x, y = (np.array([[r[c] for c in columns] for r in rows], float) for rows in (r1, r2))
+                d = np.sort(_distances(x, y), axis=1)[:, :neighbours]
+                yield pd.DataFrame({"id": [r["id"] for r in r1], "d": list(d)})
+
+    found = _block_pairs(_packed(points, blocks, columns)).mapInPandas(near, f"id {kind}, d array<double>")
+    return found.groupBy("id").agg(F.get(F.array_sort(F.flatten(F.collect_list("d"))), F.lit(neighbours - 1)).alias("core"), F.max(F.array_max("d")).alias("far")).select("id", F.coalesce("core", "far").alias("core"))
+
+
+def spanning_tree(points: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, w) with a < b: a minimum spanning tree of the largest of distance and both core distances. ``points``: (id, columns, core).
+
+    Each round joins every component to another by its cheapest edge; equal weights are told apart by the ids at the ends, so no
+    round closes a circle. Components at least halve in number.
+    """
+    n = points.count()
+    blocks = max(1, -(-n // BLOCK))
+    kind = dict(points.dtypes)["id"]
+    labels = points.select("id", F.col("id").alias("component"))
+    tree = None
+
+    def cheapest(batches):
+        for pdf in batches:
+            for r1, r2 in zip(pdf["r1"], pdf["r2"], strict=True):
+                x, y = (np.array([[r[c] for c in columns] for r in rows], float) for rows in (r1, r2))
+                i, j = (np.array([r["id"] for r in rows]) for rows in (r1, r2))
+                p, q = (np.array([r["component"] for r in rows]) for rows in (r1, r2))
+                w = np.maximum(_distances(x, y), np.maximum(np.array([r["core"] for r in r1])[:, None], np.array([r["core"] for r in r2])))
+                w[p[:, None] == q] = np.inf
+                low = w.min(axis=1)
+                out = {}
+                for k in np.flatnonzero(np.isfinite(low)):
+                    ends = j[w[k] == low[k]]
+                    best = min((low[k], min(i[k], e), max(i[k], e)) for e in ends)
+                    out[p[k]] = min(out.get(p[k], best), best)
+                yield pd.DataFrame([(c, *e) for c, e in out.items()], columns=["component", "w", "a", "b"])
+
+    while True:
+        packed = _packed(points.join(labels, "id"), blocks, [*columns, "core", "component"])
+        found = _block_pairs(packed).mapInPandas(cheapest, f"component {kind}, w double, a {kind}, b {kind}")
+        chosen = cut(found.groupBy("component").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.*").distinct().select("a", "b", "w"))
+        if chosen.isEmpty():
+            return tree if tree is not None else chosen
+        tree = chosen if tree is None else tree.unionByName(chosen)
+        own = labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+        joined = components(chosen.join(own[0], "a").join(own[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"), F.lit(1.0).alias("weight")))
+        labels = cut(labels.join(joined.toDF("component", "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+
+
+def condensed_labels(a: np.ndarray, b: np.ndarray, w: np.ndarray, smallest: int) -> np.ndarray:
+    """Clusters of rows 0 to n - 1 by the excess of mass, from the edges of a spanning tree; -1 for noise.
+
+    Of the dendrogram only splits into two parts of ``smallest`` rows or more count; other rows fall out of their cluster. A
+    cluster's mass is the sum over its rows of how much denser than its birth they stay; it is chosen if that is at least
+    the mass chosen below it. The whole is no cluster. Numbers follow the clusters' first rows.
+    """
+    n = len(a) + 1
+    order = np.lexsort((np.maximum(a, b), np.minimum(a, b), w))
+    parent = list(range(2 * n - 1))
+
+    def top(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    size, sides, density = [1] * n, [], []
+    for e in order:
+        left, right = top(int(a[e])), top(int(b[e]))
+        parent[left] = parent[right] = n + len(sides)
+        sides.append((left, right))
+        size.append(size[left] + size[right])
+        density.append(1 / max(float(w[e]), 1e-12))
+
+    def rows(node):
+        out, open_ = [], [node]
+        while open_:
+            k = open_.pop()
+            if k < n:
+                out.append(k)
+            else:
+                open_ += sides[k - n]
+        return out
+
+    birth, above, mass, member = [0.0], [-1], [0.0], np.zeros(n, int)
+    open_ = [(2 * n - 2, 0)] if n > 1 else []
+    while open_:
+        node, c = open_.pop()
+        at, large = density[node - n], [s for s in sides[node - n] if size[s] >= smallest]
+        for s in sides[node - n]:
+            if len(large) == 2:
+                birth.append(at)
+                above.append(c)
+                mass.append(0.0)
+                mass[c] += size[s] * (at - birth[c])
+                if s >= n:
+                    open_.append((s, len(birth) - 1))
+                else:
+                    member[s] = len(birth) - 1
+            elif s in large and s >= n:
+                open_.append((s, c))
+            else:
+                fallen = rows(s)
+                mass[c] += len(fallen) * (at - birth[c])
+                member[fallen] = c
+    below = [0.0] * len(mass)
+    chosen = [False] * len(mass)
+    for c in range(len(mass) - 1, 0, -1):
+        chosen[c] = mass[c] >= below[c]
+        below[above[c]] += max(mass[c], below[c])
+    final = [-1] * len(mass)
+    for c in range(1, len(mass)):
+        final[c] = final[above[c]] if final[above[c]] >= 0 else c if chosen[c] else -1
+    found = np.array(final)[member]
+    names = {c: k for k, c in enumerate(dict.fromkeys(found[found >= 0]))}
+    return np.array([names.get(c, -1) for c in found])
+
+
+def density_clusters(points: DataFrame, columns: list[str], ident: str, smallest: int = 5, neighbours: int | None = None, most: int = 2_000_000) -> DataFrame:
+    """(ident, cluster): hierarchical density clusters, -1 for noise; numbers follow the clusters' least ids.
+
+    ``neighbours`` (by default ``smallest``) sets the core distance. Rows with a null among ``columns`` are left out; ids
+    must be unique. The tree has an edge for each row; ordering and cutting it is one task, so more than ``most`` rows are refused.
+    """
+    rows = cut(points.select(F.col(ident).alias("id"), *[F.col(c).cast("double").alias(c) for c in columns]).dropna())
+    n = rows.count()
+    if n > most:
+        raise ValueError(f"{n} rows; the tree of more than {most} does not go through one task")
+    kind = dict(rows.dtypes)["id"]
+    if n < 2:
+        return rows.select(F.col("id").alias(ident), F.lit(-1).cast("bigint").alias("cluster"))
+    tree = spanning_tree(cut(rows.join(core_distances(rows, columns, neighbours or smallest), "id")), columns)
+
+    def label(pdf):
+        ids = np.unique(np.concatenate([pdf["a"], pdf["b"]]))
+        found = condensed_labels(np.searchsorted(ids, pdf["a"]), np.searchsorted(ids, pdf["b"]), pdf["w"].to_numpy(), smallest)
+        return pd.DataFrame({ident: ids, "cluster": found})
+
+    return tree.withColumn("tree", F.lit(0)).groupBy("tree").applyInPandas(label, f"{ident} {kind}, cluster bigint")

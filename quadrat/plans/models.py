@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.transforms import rclr, relative
-from ..operators import denoise, forest, inference, stats
+from ..operators import denoise, density, forest, inference, stats
 from ..sources.study import counts, counts_sql, load
 from ..streaming.checkpoints import cut
 from .ecology import _rounded
@@ -90,3 +90,10 @@ def out1_isolation_forest(spark, d):
     p = load(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size")
     both = forest.isolation_scores(p, ["p_retailprice", "p_size"], "p_partkey", "p_brand").unionByName(forest.isolation_scores(p, ["p_retailprice", "p_size"], "p_partkey"))
     return _rounded(both)
+
+
+@query()
+def clu1_density_clusters(spark, d):
+    """Clusters of customers by the mean and the spread of their orders' prices; tested against brute force."""
+    o = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(F.log(F.avg("o_totalprice")).alias("level"), F.log(F.stddev_samp("o_totalprice") + 1).alias("spread"))
+    return density.density_clusters(o, ["level", "spread"], "customer", 10)

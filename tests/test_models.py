@@ -321,3 +321,67 @@ def test_gml_headers_and_read_statistics(spark, tmp_path):
     (tmp_path / "stats.tsv").write_text("file\treads\ns1_R1.fq\t1,200\ns1_R2.fq\t300\ns2_R1.fq\tx\n")
     got = {r["sample"]: r["reads"] for r in results.read_stats(spark, str(tmp_path / "stats.tsv"), "file", "reads", r"_R[12]\.fq$").collect()}
     assert got == {"s1": 1500, "s2": 0}
+
+
+# --- density -----------------------------------------------------------------------------------------------------
+
+
+def plain_clusters(x, k, smallest):
+    """All distances, Prim's tree, and clusters as sets of rows split at their longest edge, by recursion."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = np.sort(d, axis=1)[:, k - 1]
+    m = np.maximum(d, np.maximum(core[:, None], core))
+    inside, edges = {0}, []
+    while len(inside) < len(x):
+        w, a, b = min((m[i, j], i, j) for i in inside for j in range(len(x)) if j not in inside)
+        inside.add(b)
+        edges.append((w, a, b))
+
+    def reach(start, own):
+        seen, open_ = {start}, [start]
+        while open_:
+            p = open_.pop()
+            for _, a, b in own:
+                for u, v in ((a, b), (b, a)):
+                    if u == p and v not in seen:
+                        seen.add(v)
+                        open_.append(v)
+        return seen
+
+    def outer(rows, own, birth, whole=False):
+        mass, now, left_edges = 0.0, set(rows), list(own)
+        while left_edges:
+            w, a, b = max(left_edges)
+            left_edges.remove((w, a, b))
+            left = reach(a, left_edges) & now
+            right = now - left
+            if len(left) >= smallest and len(right) >= smallest:
+                mass += len(now) * (1 / w - birth)
+                parts = [outer(s, [e for e in left_edges if e[1] in s], 1 / w) for s in (left, right)]
+                below = sum(p[0] for p in parts)
+                return (below, parts[0][1] + parts[1][1]) if whole or below > mass else (mass, [set(rows)])
+            gone = right if len(left) >= smallest else left if len(right) >= smallest else now
+            mass += len(gone) * (1 / w - birth)
+            now = now - gone
+            left_edges = [e for e in left_edges if e[1] in now and e[2] in now]
+        return mass, [] if whole else [set(rows)]
+
+    return outer(set(range(len(x))), edges, 0.0, True)[1]
+
+
+def test_density_clusters_equal_brute_force(spark, monkeypatch):
+    from quadrat.operators import density
+
+    monkeypatch.setattr(density, "BLOCK", 40)
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(c, s, (30, 2)) for c, s in (((0, 0), 0.3), ((3, 0), 0.5), ((3, 2.2), 0.2))] + [rng.uniform(-3, 6, (15, 2))])
+    rows = frame(spark, id=np.arange(len(x)), x=x[:, 0], y=x[:, 1])
+    got = {r["id"]: r["cluster"] for r in density.density_clusters(rows, ["x", "y"], "id", 6).collect()}
+    want = {k: -1 for k in range(len(x))} | {k: min(c) for c in plain_clusters(x, 6, 6) for k in c}
+    first = {}
+    for k in sorted(got):
+        if got[k] >= 0:
+            first.setdefault(got[k], k)
+    assert {k: first.get(c, -1) for k, c in got.items()} == want and len(first) >= 3
+    assert density.density_clusters(rows.limit(0), ["x", "y"], "id").count() == 0
+    assert [r["cluster"] for r in density.density_clusters(rows.limit(1), ["x", "y"], "id").collect()] == [-1]
