@@ -87,3 +87,47 @@ def sizes_of(draws: DataFrame, sizes: list[int]) -> DataFrame:
     """The draws of the largest size as draws of every size: the first ``size`` slots."""
     grid = draws.sparkSession.createDataFrame([(s,) for s in sizes], "size int")
     return draws.join(F.broadcast(grid), F.col("slot") < F.col("size"))
+
+
+def bray_curtis_within(profiles: DataFrame, keys: list[str], unit: str, value: str = "p") -> DataFrame:
+    """(keys, id1, id2, dist) for all pairs of units of one key: the output itself is quadratic in a key's units."""
+    totals = profiles.groupBy(*keys, unit).agg(F.sum(value).alias("t"))
+    side = lambda df, i, v: df.select(*keys, *([] if v == "t" else ["feature"]), F.col(unit).alias(f"id{i}"), F.col(v).alias(f"v{i}"))
+    common = side(profiles, 1, value).join(side(profiles, 2, value), [*keys, "feature"]).where("id1 < id2").groupBy(*keys, "id1", "id2").agg(F.sum(F.least("v1", "v2")).alias("c"))
+    pairs = side(totals, 1, "t").join(side(totals, 2, "t"), keys).where("id1 < id2").join(common, [*keys, "id1", "id2"], "left")
+    return pairs.select(*keys, "id1", "id2", F.coalesce(1 - F.try_divide(2.0 * F.coalesce("c", F.lit(0.0)), F.col("v1") + F.col("v2")), F.lit(0.0)).alias("dist"))
+
+
+def permanova_grid(profiles: DataFrame, units: DataFrame, spikes: DataFrame, spiked: str, sizes: list[int], reps: int, perms: int, alpha: float = 0.05, stop: float = 0.995) -> DataFrame:
+    """(kind, scenario, size, controls, power, reps, mean_r2, low, high) over kinds of samples, scenarios and sizes of the spiked group.
+
+    ``profiles`` (kind, unit, feature, p) are relative abundances, ``units`` (unit, grp), ``spikes`` (scenario, feature, fold) multiply
+    features of the group ``spiked``; a scenario whose feature is null changes nothing. A simulation draws ``size`` units of that group
+    and, while no more than there are are asked for, all the others' number, else as many. Kinds, scenarios and
+    repetitions are one plan for each size; from the size on whose power reaches ``stop`` a kind and scenario are left out.
+    """
+    from ..streaming.checkpoints import cut
+
+    held = cut(profiles.join(units, "unit"))
+    every = held.join(F.broadcast(spikes.select("scenario").distinct()))  # a row for each scenario
+    raised = every.join(spikes.where("feature is not null"), ["scenario", "feature"], "left").withColumn("x", F.col("p") * F.when(F.col("grp") == spiked, F.coalesce("fold", F.lit(1.0))).otherwise(1.0))
+    shares = raised.withColumn("p", F.try_divide("x", F.sum("x").over(Window.partitionBy("kind", "scenario", "unit"))))
+    pairs = cut(bray_curtis_within(shares.select("kind", "scenario", "unit", "feature", "p"), ["kind", "scenario"], "unit"))
+    members = held.select("kind", "unit", "grp").distinct().withColumn("g", F.concat_ws("|", "kind", "grp"))
+    others = members.where(F.col("grp") != spiked).groupBy("kind").agg(F.count(F.lit(1)).cast("int").alias("others"))
+    most = max(max(sizes), others.agg(F.max("others")).first()[0] or 0)
+    drawn = bootstrap(members, "unit", reps, most, "g").join(members.select("g", "kind", "grp").distinct(), "g").join(others, "kind")
+    drawn = cut(drawn.select("kind", "rep", "slot", "unit", "grp", "others"))
+    open_ = cut(pairs.select("kind", "scenario").distinct())
+    found = None
+    for size in sorted(sizes):
+        controls = hybrid_control_size(F.lit(size), F.col("others"))
+        here = drawn.where(F.col("slot") < F.when(F.col("grp") == spiked, F.lit(size)).otherwise(controls)).join(open_, "kind")
+        draws = cut(here.select("kind", "scenario", F.lit(size).alias("size"), "rep", F.concat_ws("#", "grp", "slot").alias("uid"), F.col("unit").alias("item"), "grp"))
+        tests = cut(permanova_p(draws, pairs, ["kind", "scenario", "size", "rep"], perms, None, ["kind", "scenario"]))
+        rows = cut(permanova_power(tests, ["kind", "scenario", "size"], alpha))
+        found = rows if found is None else found.unionByName(rows)
+        open_ = open_.join(rows.where(F.col("power") >= stop), ["kind", "scenario"], "left_anti")
+        if open_.isEmpty():
+            break
+    return found.join(others, "kind").withColumn("controls", hybrid_control_size(F.col("size"), F.col("others"))).drop("others")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.transforms import rclr, relative
-from ..operators import denoise, density, forest, inference, stats
+from ..operators import compositions, denoise, density, forest, inference, stats
 from ..sources.study import counts, counts_sql, load
 from ..streaming.checkpoints import cut
 from .ecology import _rounded
@@ -97,3 +97,13 @@ def clu1_density_clusters(spark, d):
     """Clusters of customers by the mean and the spread of their orders' prices; tested against brute force."""
     o = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(F.log(F.avg("o_totalprice")).alias("level"), F.log(F.stddev_samp("o_totalprice") + 1).alias("spread"))
     return density.density_clusters(o, ["level", "spread"], "customer", 10)
+
+
+@query()
+def net4_patient_networks(spark, d):
+    """For each patient the strong correlations of its features' compositions over its samples, strongest pairs left out in turn; tested on the whole system."""
+    c = counts(spark, d, "type").where("count > 0")
+    units = c.groupBy("patient").agg(F.countDistinct("sample").alias("whole"))
+    held = c.groupBy("patient", "feature").agg(F.countDistinct("sample").alias("m")).join(units, "patient").where("m = whole").select("patient", "feature")
+    logs = cut(c.join(held, ["patient", "feature"]).select("patient", F.col("sample").alias("unit"), F.col("feature").alias("id"), F.log("count").alias("value")))
+    return _rounded(compositions.strong_edges(compositions.excluding_correlations(logs, ["patient"], 39, 3), ["patient"], 39))

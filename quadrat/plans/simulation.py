@@ -244,3 +244,25 @@ def pwr7_indicator_power(spark, d):
     """Indicator tests inside every repetition: power, sensitivity and false discoveries of spiked features; tested on a planted one."""
     spiked = spark.createDataFrame([("Brand#1",), ("Brand#7",), ("Brand#13",)], "feature string")
     return _rounded(isa.indicator_power(_boot(spark, d, SIMS, 8), _spiked(spark, d, 3.0), spiked, "patient", ["Cancer", "Control"], 199))
+
+
+_GRID = [5, 9, 16]
+_GRID_KEYS = ["kind", "scenario", "size", "rep"]
+_GRID_SQL = f"""WITH {PATIENTS_SQL}, {counts_sql('brand')}, sc AS (SELECT unnest(['none', 'moderate', 'strong']) AS scenario, unnest([1.0::DOUBLE, 1.6, 4.0]) AS fold), un AS (SELECT sample_type AS kind, c.patient, feature, "case" AS grp, count / sum(count) OVER (PARTITION BY sample)::DOUBLE AS p FROM c JOIN pt USING (patient)),
+ xx AS (SELECT kind, scenario, patient, feature, p * CASE WHEN grp = 'Cancer' AND feature IN {_SPIKED} THEN fold ELSE 1 END AS x FROM un, sc), pp AS (SELECT kind, scenario, patient, feature, x / sum(x) OVER (PARTITION BY kind, scenario, patient) AS p FROM xx),
+ cm AS (SELECT a.kind, a.scenario, a.patient AS id1, b.patient AS id2, sum(least(a.p, b.p)) AS c FROM pp a JOIN pp b ON a.kind = b.kind AND a.scenario = b.scenario AND a.feature = b.feature AND a.patient < b.patient GROUP BY ALL), tt AS (SELECT kind, scenario, patient, sum(p) AS t FROM pp GROUP BY ALL),
+ bc AS (SELECT x.kind, x.scenario, x.patient AS id1, y.patient AS id2, 1 - 2 * coalesce(c, 0) / (x.t + y.t) AS dist FROM tt x JOIN tt y ON x.kind = y.kind AND x.scenario = y.scenario AND x.patient < y.patient LEFT JOIN cm ON cm.kind = x.kind AND cm.scenario = x.scenario AND id1 = x.patient AND id2 = y.patient),
+ me AS (SELECT DISTINCT kind, patient, grp, kind || '|' || grp AS g FROM un), ot AS (SELECT kind, count(*)::INTEGER AS others FROM me WHERE grp <> 'Cancer' GROUP BY 1), ls AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY patient) - 1 AS k, count(*) OVER (PARTITION BY g) AS m FROM me),
+ sl AS (SELECT rep, slot FROM (SELECT unnest(range({SIMS}))::INTEGER AS rep), (SELECT unnest(range(25))::INTEGER AS slot)), dr AS (SELECT rep, slot, g, CAST(floor({_U.format(parts="'1|' || rep || '|' || slot || '|' || g")} * m) AS INTEGER) AS k FROM sl, (SELECT DISTINCT g, m FROM ls)),
+ bt AS (SELECT rep, slot, kind, grp, patient, others FROM dr JOIN ls USING (g, k) JOIN ot USING (kind)), dw AS (SELECT kind, scenario, size, rep, grp || '#' || slot AS uid, patient AS item, grp FROM bt, (SELECT unnest({_GRID})::INTEGER AS size), sc WHERE slot < CASE WHEN grp = 'Cancer' THEN size ELSE greatest(size, others) END)"""
+
+
+@query(f"""{_GRID_SQL}, {permanova_sql('dw', 'bc', _GRID_KEYS, PERMS, None, ' AND q.kind = x.kind AND q.scenario = x.scenario')}, pw AS ({power_sql('kind, scenario, size')})
+ SELECT kind, scenario, size, greatest(size, others) AS controls, power, reps, mean_r2, low, high FROM pw x JOIN ot USING (kind) WHERE NOT EXISTS (SELECT 1 FROM pw y WHERE y.kind = x.kind AND y.scenario = x.scenario AND y.size < x.size AND y.power >= 0.995)""")
+def pwr1_power_grid(spark, d):
+    """Every sample type, scenario and size; where the power reaches 0.995 larger sizes are left out."""
+    c = counts(spark, d, "brand")
+    profiles = relative(c).select(F.col("sample_type").alias("kind"), F.col("patient").alias("unit"), "feature", "p")
+    units = patients(spark, d).select(F.col("patient").alias("unit"), F.col("case").alias("grp"))
+    spikes = spark.createDataFrame([("none", None, 1.0)] + [(s, f"Brand#{b}", x) for s, x in (("moderate", 1.6), ("strong", 4.0)) for b in (1, 7, 13)], "scenario string, feature string, fold double")
+    return _rounded(power.permanova_grid(profiles, units, spikes, "Cancer", _GRID, SIMS, PERMS))

@@ -385,3 +385,49 @@ def test_density_clusters_equal_brute_force(spark, monkeypatch):
     assert {k: first.get(c, -1) for k, c in got.items()} == want and len(first) >= 3
     assert density.density_clusters(rows.limit(0), ["x", "y"], "id").count() == 0
     assert [r["cluster"] for r in density.density_clusters(rows.limit(1), ["x", "y"], "id").collect()] == [-1]
+
+
+# --- compositions ------------------------------------------------------------------------------------------------
+
+
+def plain_sparcc(logs, rounds, threshold):
+    """The whole system solved anew in every round."""
+    d = logs.shape[1]
+    t = np.var(logs[:, :, None] - logs[:, None, :], axis=0, ddof=1)
+    out = np.zeros((d, d), bool)
+    for turn in range(rounds + 1):
+        keep = ~out & ~np.eye(d, dtype=bool)
+        m = np.diag(keep.sum(1)).astype(float) + keep
+        w = np.maximum(np.linalg.solve(m, (t * keep).sum(1)), 1e-4)
+        rho = np.clip((w[:, None] + w - t) / (2 * np.sqrt(np.outer(w, w))), -1, 1)
+        if turn == rounds:
+            return rho
+        best = [(-round(abs(rho[i, j]), 9), i, j) for i in range(d) for j in range(i + 1, d) if keep[i, j] and round(abs(rho[i, j]), 9) > threshold and min(keep[i].sum(), keep[j].sum()) > 3]
+        if best:
+            _, i, j = min(best)
+            out[i, j] = out[j, i] = True
+
+
+def test_excluding_correlations_equal_the_whole_system(spark):
+    from quadrat.operators import compositions
+
+    rng = np.random.default_rng(12)
+    groups, rows = {}, []
+    for g in ("p", "q"):
+        basis = rng.normal(0, 1, (60, 8))
+        basis[:, 1] = basis[:, 0] + rng.normal(0, 0.2, 60)
+        basis[:, 2] = basis[:, 0] + rng.normal(0, 0.3, 60)
+        x = np.exp(basis)
+        groups[g] = np.log(x / x.sum(1, keepdims=True))
+        rows += [(g, u, k, float(groups[g][u, k])) for u in range(60) for k in range(8)]
+    rows += [("r", 0, k, 0.0) for k in range(8)]
+    df = spark.createDataFrame(rows, "g string, unit int, id int, value double")
+    for rounds in (0, 3):
+        got = {(r["g"], r["id1"], r["id2"]): r["rho"] for r in compositions.excluding_correlations(df, ["g"], 0, rounds).collect()}
+        assert {g for g, _, _ in got} == {"p", "q"}
+        for g, logs in groups.items():
+            want = plain_sparcc(logs, rounds, 0.1)
+            assert all(math.isclose(got[g, i, j], want[i, j], abs_tol=1e-9) for i in range(8) for j in range(i + 1, 8))
+    found = compositions.excluding_correlations(df.where("g = 'p'"), ["g"], 19, 3)
+    edges = compositions.strong_edges(found, ["g"], 19, 0.06)
+    assert {(0, 1), (0, 2)} <= {(r["a"], r["b"]) for r in edges.collect()}
