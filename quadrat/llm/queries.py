@@ -88,6 +88,12 @@ def _crc32(text: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295::BIGINT)"
 
 
+def _crc32_bytes(text: str) -> str:
+    """The same for any text's UTF-8 bytes."""
+    steps = f"flatten(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: [('0x' || h)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295::BIGINT)"
+
+
 def _edit(cost: str, letter: str, then: str) -> str:
     return f"{{'c': {then}.c + {cost}, 'a': '{letter}' || {then}.a}}"
 
@@ -117,6 +123,8 @@ SQL: dict[str, str] = {
  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN pos USING (r) LEFT JOIN ids USING (r)""",
     "op2_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), m AS (SELECT html, max(page_id) AS top FROM p WHERE strlen(html) >= 1000 GROUP BY 1)
  SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest, CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to FROM p LEFT JOIN m ON p.html = m.html""",
+    "op7_sharding": f"""WITH b AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 16 AS BIGINT) AS size, {_crc32_bytes("coalesce(text, '')")} AS text_crc32 FROM documents), o AS (SELECT *, sum(size) OVER w - size AS off, sum(size) OVER () AS total FROM b WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)),
+ s AS (SELECT *, least(CAST(off * 40 AS HUGEINT) // CAST(total AS HUGEINT), 39)::INTEGER AS shard FROM o) SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY off) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s""",
     "op12_merkle_manifest": f"""WITH RECURSIVE l AS (SELECT row_number() OVER () AS r, doc_id, source, {_leaf("text")} AS leaf, {_leaf("CASE WHEN " + _crc32("doc_id::VARCHAR") + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS false_leaf FROM documents),
  o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l),
  t AS (SELECT source, 0 AS lvl, pos, leaf AS node, n FROM o UNION ALL SELECT source, lvl + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY source, lvl, pos // 3, n),

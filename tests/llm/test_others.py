@@ -221,6 +221,42 @@ def toxic_corpus(n, seed):
     return out
 
 
+def test_the_fit_follows_the_numeric_gradient():
+    """The same steps with the slope of the plain likelihood by central differences, and the score of a text by plain sums."""
+    rows = toxic_corpus(300, 3)
+    corpus = toxicity.numbered(toxicity.text_words(t) for _, t, _ in rows)
+    grades = toxicity.draw_grades(corpus, np.array([y for _, _, y in rows]))
+    chosen = toxicity.choose_features(corpus, grades)[:6]
+    features = [{f for w in toxicity.text_words(t) for f in toxicity.word_features(w)} for _, t, _ in rows]
+    names = [corpus.names[k] for k in chosen]
+    x = np.array([[f in own for f in names] for own in features], float)
+    top = int(grades.max())
+
+    def loss(at):
+        w, free = at[: len(names)], at[len(names) :]
+        theta = np.concatenate(([-np.inf], np.cumsum(np.concatenate((free[:1], np.exp(free[1:])))), [np.inf]))
+        below = lambda k: 1 / (1 + np.exp(-(theta[k] - x @ w)))
+        return -np.mean(np.log(below(grades + 1) - below(grades))) + 1e-4 / 2 * w @ w
+
+    at, one, two = np.concatenate((np.zeros(len(names)), [2.0], np.zeros(top - 1))), 0.0, 0.0
+    for t in range(1, 41):
+        g = np.array([(loss(at + e) - loss(at - e)) / 2e-6 for e in 1e-6 * np.eye(len(at))])
+        one, two = 0.9 * one + 0.1 * g, 0.999 * two + 0.001 * g * g
+        at = at - 0.05 * (one / (1 - 0.9**t)) / (np.sqrt(two / (1 - 0.999**t)) + 1e-8)
+    picked = toxicity.choose_features
+    toxicity.choose_features = lambda *_: chosen
+    try:
+        model = toxicity.fit_grades(corpus, grades, 40)
+    finally:
+        toxicity.choose_features = picked
+    theta = np.cumsum(np.concatenate((at[len(names) : len(names) + 1], np.exp(at[len(names) + 1 :]))))
+    want = x @ at[: len(names)]
+    got = model.scorer()([t for _, t, _ in rows])
+    assert np.abs(got - want).max() < 1e-3
+    plain = 1 - 1 / (1 + np.exp(-(theta[None] - want[:, None])))
+    assert np.abs(model.probabilities(got) - plain).max() < 1e-3
+
+
 def test_toxicity_on_held_out_rows(spark):
     rows = toxic_corpus(1200, 1)
     docs = spark.createDataFrame([(i, t, 0.5) for i, t, _ in rows], "doc_id bigint, text string, severity double")
