@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.transforms import rclr, relative
-from ..operators import compositions, denoise, density, forest, inference, stats
+from ..operators import compositions, denoise, density, distance, forest, inference, stats, tidy
 from ..sources.study import counts, counts_sql, load
 from ..streaming.checkpoints import cut
-from .ecology import _rounded
+from .ecology import _rounded, _units, bray_sql
 from .registry import Registry
+from .relational import _STAGES_SQL, STAGES, TYPES, _stage_reads
 
 query = Registry()
 
@@ -107,3 +108,48 @@ def net4_patient_networks(spark, d):
     held = c.groupBy("patient", "feature").agg(F.countDistinct("sample").alias("m")).join(units, "patient").where("m = whole").select("patient", "feature")
     logs = cut(c.join(held, ["patient", "feature"]).select("patient", F.col("sample").alias("unit"), F.col("feature").alias("id"), F.log("count").alias("value")))
     return _rounded(compositions.strong_edges(compositions.excluding_correlations(logs, ["patient"], 39, 3), ["patient"], 39))
+
+
+_CHAIN = " UNION ALL ".join(f"SELECT 'stage::{a}', 'stage::{b}', {b} FROM tt UNION ALL SELECT 'stage::{a}', 'loss::after_{a}', {a} - {b} FROM tt" for a, b in zip(STAGES, STAGES[1:], strict=False))
+
+
+@query(f"WITH {_STAGES_SQL}, bt AS (SELECT sample_type, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in STAGES)} FROM st GROUP BY 1), tt AS (SELECT {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in STAGES)} FROM bt), lk AS (SELECT 'raw_type::' || sample_type AS source, 'stage::{STAGES[0]}' AS target, {STAGES[0]} AS value FROM bt UNION ALL {_CHAIN} UNION ALL SELECT 'stage::{STAGES[-1]}', 'fin_type::' || sample_type, {STAGES[-1]} FROM bt) SELECT * FROM lk WHERE value > 0")
+def tidy_stage_links(spark, d):
+    """Links of the flow of reads from sample types through the stages and back."""
+    return tidy.stage_links(_stage_reads(spark, d), "sample_type", STAGES)
+
+
+_PAIR_SHARES = f"WITH {counts_sql('brand')}, us AS (SELECT DISTINCT sample, patient, sample_type FROM c), {bray_sql('c', 'sample', 'count')}"
+
+
+@query(f"""{_PAIR_SHARES}, lb AS (SELECT id1, id2, dist, a.patient = b.patient AS same, least(a.sample_type, b.sample_type) AS low, greatest(a.sample_type, b.sample_type) AS high FROM bc JOIN us a ON a.sample = id1 JOIN us b ON b.sample = id2)
+ SELECT CASE WHEN same THEN 'A: urgent and high' WHEN low = '1-URGENT' THEN 'C: urgent and medium' ELSE 'B: high and medium' END AS contrast, id1, id2, round(dist, 6) AS dist FROM lb WHERE (same AND low = '1-URGENT' AND high = '2-HIGH') OR (NOT same AND low IN ('1-URGENT', '2-HIGH') AND high = '3-MEDIUM')""")
+def tidy_contrast_distances(spark, d):
+    """Distances by contrast: two types of one patient, and each of them against a third type of other patients."""
+    c = counts(spark, d, "brand")
+    pairs = tidy.contrast_distances(distance.bray_curtis(c), _units(c), "sample", "patient", "sample_type", {"A: urgent and high": ("1-URGENT", "2-HIGH")}, {"B: high and medium": ("2-HIGH", "3-MEDIUM"), "C: urgent and medium": ("1-URGENT", "3-MEDIUM")})
+    return _rounded(pairs)
+
+
+@query(f"""{_PAIR_SHARES}, lb AS (SELECT a.sample_type AS g1, b.sample_type AS g2, dist FROM bc JOIN us a ON a.sample = id1 JOIN us b ON b.sample = id2 AND a.sample_type <> b.sample_type), mn AS (SELECT least(g1, g2) AS group1, greatest(g1, g2) AS group2, round(avg(dist), 6) AS mean FROM lb GROUP BY ALL)
+ SELECT group1, group2, mean FROM mn UNION SELECT group2, group1, mean FROM mn""")
+def tidy_pair_matrix(spark, d):
+    """Mean distances between sample types as a symmetric matrix in long form."""
+    c = counts(spark, d, "brand")
+    types = _units(c).select("sample", "sample_type")
+    far = distance.bray_curtis(c).join(types.toDF("id1", "g1"), "id1").join(types.toDF("id2", "g2"), "id2").where("g1 <> g2")
+    means = far.groupBy(F.least("g1", "g2").alias("group1"), F.greatest("g1", "g2").alias("group2")).agg(F.round(F.avg("dist"), 6).alias("mean"))
+    return tidy.pair_matrix(means, "group1", "group2", "mean")
+
+
+@query(f"""WITH {counts_sql('brand')}, v AS (SELECT sample_type, feature, sample, count / sum(count) OVER (PARTITION BY sample)::DOUBLE AS p FROM c), mo AS (SELECT feature, sample_type, avg(p) AS m, var_samp(p) AS s, count(*) AS n FROM v GROUP BY ALL), al AS (SELECT feature, avg(p) AS m, stddev_samp(p) AS s FROM v GROUP BY 1),
+ ef AS (SELECT feature, sample_type, round((mo.m - al.m) / al.s, 6) AS effect, round(exp(-abs(mo.m - al.m) / al.s), 9) AS score FROM mo JOIN al USING (feature)), rk AS (SELECT feature, min(score) AS min_q FROM ef GROUP BY 1 ORDER BY 2, 1 LIMIT 10)
+ SELECT feature, round(min_q, 6) AS min_q, {', '.join(f"max(effect) FILTER (WHERE sample_type = '{t}') AS " + chr(34) + t + chr(34) for t in TYPES)} FROM ef JOIN rk USING (feature) GROUP BY ALL""")
+def tidy_effect_matrix(spark, d):
+    """The ten brands whose share departs most from its mean in any sample type, with their departures in all of them."""
+    v = relative(counts(spark, d, "brand"))
+    whole = v.groupBy("feature").agg(F.avg("p").alias("mean"), F.stddev_samp("p").alias("sd"))
+    each = v.groupBy("feature", "sample_type").agg(F.avg("p").alias("m")).join(whole, "feature")
+    away = (F.col("m") - F.col("mean")) / F.col("sd")
+    results = each.select("feature", "sample_type", F.round(away, 6).alias("effect"), F.round(F.exp(-F.abs(away)), 9).alias("score"))
+    return tidy.effect_matrix(results, "feature", "sample_type", "score", "effect", TYPES, 10).withColumn("min_q", F.round("min_q", 6))
