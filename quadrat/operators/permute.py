@@ -76,9 +76,35 @@ def centre_distances(pairs: DataFrame, units: DataFrame, unit: str, label: str)
     return rows.join(size, label).join(whole, label, "left").join(own, unit, "left").select(unit, label, F.sqrt(F.abs(square)).alias("r"))
 
 
-def dispersion_test(pairs: DataFrame, units: DataFrame, unit: str, label: str, reps: int, seed: str = "1") -> DataFrame:
-    """(n, k, f, p): do groups spread alike? F of the distances to the centroids, against F of their residuals under permuted labels."""
-    far = centre_distances(pairs, units, unit, label)
+def median_distances(pairs: DataFrame, units: DataFrame, unit: str, label: str, rounds: int = 12) -> DataFrame:
+    """(unit, label, r): distance of each unit to the spatial median of its group in the space of the distances.
+
+    The median is a weighted mean of the units, whose weights follow their inverse distances to it (Weiszfeld's steps, ``rounds`` of
+    them from the centroid on). The squared distance to a weighted mean is the weighted mean of squared distances less
+    the weighted sum over the group's pairs, so each round is a join of the group's pairs with the weights. Its absolute
+    value counts, as with centroids.
+    """
+    from ..streaming.checkpoints import cut
+
+    rows = units.select(unit, label)
+    a, b = rows.toDF("id1", "g1"), rows.toDF("id2", "g2")
+    inside = pairs.join(a, "id1").join(b, "id2").where("g1 = g2").select("id1", "id2", (F.col("dist") * F.col("dist")).alias("d2"))
+    both = cut(inside.select(F.col("id1").alias(unit), F.col("id2").alias("other"), "d2").unionByName(inside.select(F.col("id2").alias(unit), F.col("id1").alias("other"), "d2")))
+    weights = rows.join(rows.groupBy(label).agg(F.count(F.lit(1)).alias("m")), label).select(unit, label, (1.0 / F.col("m")).alias("a"))
+    for turn in range(rounds + 1):
+        own = both.join(weights.select(F.col(unit).alias("other"), "a"), "other").groupBy(unit).agg(F.sum(F.col("a") * F.col("d2")).alias("s"))
+        far = weights.join(own, unit, "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+        whole = far.groupBy(label).agg((F.sum(F.col("a") * F.col("s")) / 2).alias("w"))
+        far = cut(far.join(whole, label).select(unit, label, F.sqrt(F.abs(F.col("s") - F.col("w"))).alias("r")))
+        if turn < rounds:
+            near = far.withColumn("i", 1 / F.greatest("r", F.lit(1e-9)))
+            weights = near.join(near.groupBy(label).agg(F.sum("i").alias("t")), label).select(unit, label, (F.col("i") / F.col("t")).alias("a"))
+    return far
+
+
+def dispersion_test(pairs: DataFrame, units: DataFrame, unit: str, label: str, reps: int, seed: str = "1", median: bool = False) -> DataFrame:
+    """(n, k, f, p): do groups spread alike? F of the distances to the centroids (or medians), against F of their residuals under permuted labels."""
+    far = (median_distances if median else centre_distances)(pairs, units, unit, label)
     mean = far.groupBy(label).agg(F.avg("r").alias("mean"))
     values = far.join(mean, label).select(unit, "r", (F.col("r") - F.col("mean")).alias("e"))
     rows = permuted_labels(units.select(unit, label), unit, label, reps, None, seed).join(values, unit)

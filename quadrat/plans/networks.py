@@ -438,6 +438,31 @@ def prm7_dispersion_test(spark, d):
     return _rounded(permute.dispersion_test(cut(distance.bray_curtis(c)), _units(c), "sample", "sample_type", REPS)).withColumn("f", F.round("f", 4))
 
 
+_MEDIAN_ROUNDS = 12
+_TO_MEDIAN = f"""{_UNITS}, {permuted_sql('us', 'sample', 'sample_type', REPS)}, ib AS (SELECT id1 AS sample, id2 AS other, dist * dist AS d2 FROM bc JOIN us a ON id1 = a.sample JOIN us b ON id2 = b.sample AND a.sample_type = b.sample_type UNION ALL SELECT id2, id1, dist * dist FROM bc JOIN us a ON id1 = a.sample JOIN us b ON id2 = b.sample AND a.sample_type = b.sample_type),
+ w0 AS (SELECT sample, sample_type, 1.0::DOUBLE / count(*) OVER (PARTITION BY sample_type) AS a FROM us), """ + ", ".join(
+    f"f{i} AS MATERIALIZED (SELECT sample, sample_type, sqrt(abs(s - sum(a * s) OVER (PARTITION BY sample_type) / 2)) AS r FROM (SELECT w.sample, any_value(w.sample_type) AS sample_type, any_value(w.a) AS a, coalesce(sum(o.a * d2), 0) AS s FROM w{i} w LEFT JOIN ib ON ib.sample = w.sample LEFT JOIN w{i} o ON o.sample = ib.other GROUP BY 1)), w{i + 1} AS (SELECT sample, sample_type, (1 / greatest(r, 1e-9)) / sum(1 / greatest(r, 1e-9)) OVER (PARTITION BY sample_type) AS a FROM f{i})"
+    for i in range(_MEDIAN_ROUNDS + 1)
+) + f", fr AS (SELECT * FROM f{_MEDIAN_ROUNDS})"
+
+
+@query(f"{_TO_MEDIAN} SELECT sample_type, count(*) AS n, round(avg(r), 6) AS mean_distance FROM fr GROUP BY 1")
+def prm7_median_dispersion(spark, d):
+    """Mean distance of samples to their type's spatial median."""
+    c = counts(spark, d, "brand")
+    far = permute.median_distances(cut(distance.bray_curtis(c)), _units(c), "sample", "sample_type", _MEDIAN_ROUNDS)
+    return _rounded(far.groupBy("sample_type").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_distance")))
+
+
+@query(f"""{_TO_MEDIAN}, ce AS (SELECT sample, r, r - avg(r) OVER (PARTITION BY sample_type) AS e FROM fr), yy AS (SELECT rep, pl.sample_type, CASE WHEN rep = 0 THEN r ELSE e END AS y FROM pl JOIN ce USING (sample)),
+ pg AS (SELECT rep, sample_type, count(*) AS m, sum(y) AS s, sum(y * y) AS q FROM yy GROUP BY ALL), ft AS (SELECT rep, count(*) AS k, CAST(sum(m) AS BIGINT) AS n, sum(s) AS s1, sum(q) AS q1, sum(s * s / m) AS b FROM pg GROUP BY 1),
+ fv AS (SELECT rep, n, k, round(((b - s1 * s1 / n) / (k - 1)) / ((q1 - b) / (n - k)), 9) AS f FROM ft) SELECT n, k, round(f, 4) AS f, round((1 + (SELECT count(*) FROM fv x WHERE x.rep > 0 AND x.f >= fv.f)) / {REPS + 1}.0::DOUBLE, 6) AS p FROM fv WHERE rep = 0""")
+def prm7_median_dispersion_test(spark, d):
+    """Whether types spread alike around their spatial medians."""
+    c = counts(spark, d, "brand")
+    return _rounded(permute.dispersion_test(cut(distance.bray_curtis(c)), _units(c), "sample", "sample_type", REPS, median=True)).withColumn("f", F.round("f", 4))
+
+
 @query(f"""{CB}, us AS (SELECT DISTINCT sample, patient, sample_type FROM c), {permuted_sql('us', 'sample', 'sample_type', REPS)}, hl AS (SELECT sample, feature, sqrt(count / sum(count) OVER (PARTITION BY sample)::DOUBLE) AS h FROM c WHERE count > 0),
  rs AS (SELECT sample, sum(h) AS hr FROM hl GROUP BY 1), cl AS (SELECT feature, sum(h) AS hc FROM hl GROUP BY 1), tt AS (SELECT sum(h * h / (hr * hc)) - 1 AS total FROM hl JOIN rs USING (sample) JOIN cl USING (feature)),
  gs AS (SELECT rep, sample_type, feature, sum(h) AS s FROM pl JOIN hl USING (sample) GROUP BY ALL), gr AS (SELECT rep, sample_type, sum(s) AS sr FROM gs GROUP BY ALL), co AS (SELECT rep, sum(s * s / (sr * hc)) - 1 AS constrained FROM gs JOIN gr USING (rep, sample_type) JOIN cl USING (feature) GROUP BY 1),
