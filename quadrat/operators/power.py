@@ -131,3 +131,30 @@ def permanova_grid(profiles: DataFrame, units: DataFrame, spikes: DataFrame, spi
         if open_.isEmpty():
             break
     return found.join(others, "kind").withColumn("controls", hybrid_control_size(F.col("size"), F.col("others"))).drop("others")
+
+
+def effect_intervals(profiles: DataFrame, values: DataFrame, units: DataFrame, first: str, reps: int) -> DataFrame:
+    """(kind, metric, value, low, high): effects of group ``first`` against the other in every kind of samples, with the middle 95 per cent of bootstrap draws.
+
+    ``profiles`` (kind, unit, feature, p) give the community R-squared, ``values`` (kind, unit, v), one diversity for each unit, Cohen's d
+    (pooled deviation) and the difference of medians. A draw takes as many units of each group, with replacement, as there
+    are in the kind. Kinds, draws and metrics are one plan. A metric without variance is null.
+    """
+    from ..streaming.checkpoints import cut
+
+    members = profiles.select("kind", "unit").distinct().join(units, "unit").withColumn("g", F.concat_ws("|", "kind", "grp"))
+    sizes = members.groupBy("g").agg(F.count(F.lit(1)).cast("int").alias("m"))
+    most = sizes.agg(F.max("m")).first()[0] or 1
+    drawn = bootstrap(members, "unit", reps, most, "g").join(sizes, "g").where("slot < m").join(members.select("g", "kind", "grp").distinct(), "g")
+    draws = drawn.select("kind", (F.col("rep") + 1).cast("int").alias("rep"), F.concat_ws("#", "grp", "slot").alias("uid"), F.col("unit").alias("item"), "grp")
+    own = members.select("kind", F.lit(0).alias("rep"), F.concat_ws("#", F.lit("own"), F.col("unit").cast("string")).alias("uid"), F.col("unit").alias("item"), "grp")
+    draws = cut(own.unionByName(draws))
+    r2 = permanova_p(draws, cut(bray_curtis_within(profiles, ["kind"], "unit")), ["kind", "rep"], 0, None, ["kind"]).select("kind", "rep", F.lit("permanova_r2").alias("metric"), F.col("r2").alias("value"))
+    v = draws.join(values.withColumnRenamed("unit", "item"), ["kind", "item"])
+    one, two = F.when(F.col("grp") == first, F.col("v")), F.when(F.col("grp") != first, F.col("v"))
+    m = v.groupBy("kind", "rep").agg(*[f(x).alias(f"{n}{k}") for k, x in ((1, one), (2, two)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp), ("d", F.median))])
+    pooled = F.sqrt(F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2"), F.col("n1") + F.col("n2") - 2))
+    both = m.select("kind", "rep", F.inline(F.array(F.struct(F.lit("shannon_d").alias("metric"), F.try_divide(F.col("m1") - F.col("m2"), pooled).alias("value")), F.struct(F.lit("shannon_median_difference").alias("metric"), (F.col("d1") - F.col("d2")).alias("value")))))
+    found = cut(r2.unionByName(both))
+    spread = found.where("rep > 0").groupBy("kind", "metric").agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))
+    return found.where("rep = 0").drop("rep").join(spread, ["kind", "metric"], "left")

@@ -266,3 +266,24 @@ def pwr1_power_grid(spark, d):
     units = patients(spark, d).select(F.col("patient").alias("unit"), F.col("case").alias("grp"))
     spikes = spark.createDataFrame([("none", None, 1.0)] + [(s, f"Brand#{b}", x) for s, x in (("moderate", 1.6), ("strong", 4.0)) for b in (1, 7, 13)], "scenario string, feature string, fold double")
     return _rounded(power.permanova_grid(profiles, units, spikes, "Cancer", _GRID, SIMS, PERMS))
+
+
+_EFFECT_REPS = 40
+_EFFECT_SQL = f"""WITH {PATIENTS_SQL}, {counts_sql('brand')}, un AS (SELECT sample_type AS kind, c.patient, feature, "case" AS grp, count, count / sum(count) OVER (PARTITION BY sample)::DOUBLE AS p FROM c JOIN pt USING (patient)), tt AS (SELECT kind, patient, sum(p) AS t FROM un GROUP BY ALL),
+ cm AS (SELECT a.kind, a.patient AS id1, b.patient AS id2, sum(least(a.p, b.p)) AS c FROM un a JOIN un b ON a.kind = b.kind AND a.feature = b.feature AND a.patient < b.patient GROUP BY ALL), bc AS (SELECT x.kind, x.patient AS id1, y.patient AS id2, 1 - 2 * coalesce(c, 0) / (x.t + y.t) AS dist FROM tt x JOIN tt y ON x.kind = y.kind AND x.patient < y.patient LEFT JOIN cm ON cm.kind = x.kind AND id1 = x.patient AND id2 = y.patient),
+ me AS (SELECT DISTINCT kind, patient, grp, kind || '|' || grp AS g FROM un), ls AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY patient) - 1 AS k, count(*) OVER (PARTITION BY g) AS m FROM me), sl AS (SELECT rep, slot FROM (SELECT unnest(range({_EFFECT_REPS}))::INTEGER AS rep), (SELECT unnest(range(25))::INTEGER AS slot)),
+ dr AS (SELECT rep, slot, g, CAST(floor({_U.format(parts="'1|' || rep || '|' || slot || '|' || g")} * m) AS INTEGER) AS k FROM sl, (SELECT DISTINCT g, m FROM ls) WHERE slot < m),
+ dw AS (SELECT kind, 0 AS rep, 'own#' || patient AS uid, patient AS item, grp FROM me UNION ALL SELECT kind, rep + 1, grp || '#' || slot, patient, grp FROM dr JOIN ls USING (g, k))"""
+
+
+@query(f"""{_EFFECT_SQL}, {permanova_sql('dw', 'bc', ['kind', 'rep'], 0, None, ' AND q.kind = x.kind')}, sh AS (SELECT kind, patient AS item, -sum(p * ln(p)) AS v FROM un WHERE p > 0 GROUP BY ALL),
+ mo AS (SELECT kind, rep, count(*) FILTER (WHERE grp = 'Cancer') AS n1, count(*) FILTER (WHERE grp <> 'Cancer') AS n2, avg(v) FILTER (WHERE grp = 'Cancer') - avg(v) FILTER (WHERE grp <> 'Cancer') AS d, var_samp(v) FILTER (WHERE grp = 'Cancer') AS v1, var_samp(v) FILTER (WHERE grp <> 'Cancer') AS v2, median(v) FILTER (WHERE grp = 'Cancer') - median(v) FILTER (WHERE grp <> 'Cancer') AS dm FROM dw JOIN sh USING (kind, item) GROUP BY ALL),
+ al AS (SELECT kind, rep, 'permanova_r2' AS metric, r2 AS value FROM pt2 UNION ALL SELECT kind, rep, 'shannon_d', d / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) FROM mo UNION ALL SELECT kind, rep, 'shannon_median_difference', dm FROM mo)
+ SELECT kind, metric, round(max(value) FILTER (WHERE rep = 0), 5) AS value, round(quantile_cont(value, 0.025) FILTER (WHERE rep > 0), 5) AS low, round(quantile_cont(value, 0.975) FILTER (WHERE rep > 0), 5) AS high FROM al GROUP BY ALL""")
+def pwr9_effect_intervals(spark, d):
+    """Effects of case against control in every sample type, with bootstrap intervals."""
+    c = counts(spark, d, "brand")
+    profiles = relative(c).select(F.col("sample_type").alias("kind"), F.col("patient").alias("unit"), "feature", "p")
+    values = shannon(c, ["sample_type", "patient"]).select(F.col("sample_type").alias("kind"), F.col("patient").alias("unit"), F.col("shannon").alias("v"))
+    units = patients(spark, d).select(F.col("patient").alias("unit"), F.col("case").alias("grp"))
+    return _rounded(power.effect_intervals(profiles, values, units, "Cancer", _EFFECT_REPS), 5)
