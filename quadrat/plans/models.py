@@ -80,9 +80,11 @@ def sta14_combat(spark, d):
 
 @query()
 def net1_neighbourhoods(spark, d):
-    """Neighbours of every brand in log-ratios of counts, by lassos at the penalty that subsamples find stable; iterative, so without SQL."""
-    r = rclr(relative(counts(spark, d, "brand"))).select(F.col("sample").alias("unit"), F.col("feature").alias("id"), F.col("rclr").alias("value"))
-    return _rounded(inference.neighbourhoods(r)[0])
+    """Neighbours of every brand in log-ratios of counts (null if it has none), by lassos at the penalty that subsamples find stable; iterative, so without SQL."""
+    r = cut(rclr(relative(counts(spark, d, "brand"))).select(F.col("sample").alias("unit"), F.col("feature").alias("id"), F.col("rclr").alias("value")))
+    edges = cut(inference.neighbourhoods(r)[0])
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight", "stability"))
+    return _rounded(r.select(F.col("id").alias("a")).distinct().join(both, "a", "left"))
 
 
 @query()
@@ -102,12 +104,13 @@ def clu1_density_clusters(spark, d):
 
 @query()
 def net4_patient_networks(spark, d):
-    """For each patient the strong correlations of its features' compositions over its samples, strongest pairs left out in turn; tested on the whole system."""
+    """For each patient the strong correlations of its features' compositions over its samples (null if there are none), strongest pairs left out in turn; tested on the whole system."""
     c = counts(spark, d, "type").where("count > 0")
     units = c.groupBy("patient").agg(F.countDistinct("sample").alias("whole"))
     held = c.groupBy("patient", "feature").agg(F.countDistinct("sample").alias("m")).join(units, "patient").where("m = whole").select("patient", "feature")
     logs = cut(c.join(held, ["patient", "feature"]).select("patient", F.col("sample").alias("unit"), F.col("feature").alias("id"), F.log("count").alias("value")))
-    return _rounded(compositions.strong_edges(compositions.excluding_correlations(logs, ["patient"], 39, 3), ["patient"], 39))
+    edges = compositions.strong_edges(compositions.excluding_correlations(logs, ["patient"], 39, 3), ["patient"], 39)
+    return _rounded(units.select("patient").join(edges, "patient", "left"))
 
 
 _CHAIN = " UNION ALL ".join(f"SELECT 'stage::{a}', 'stage::{b}', {b} FROM tt UNION ALL SELECT 'stage::{a}', 'loss::after_{a}', {a} - {b} FROM tt" for a, b in zip(STAGES, STAGES[1:], strict=False))
