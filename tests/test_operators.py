@@ -177,8 +177,8 @@ def test_graph_measures(spark):
 def test_pcoa_recovers_distances(spark):
     x = np.random.default_rng(1).normal(size=(6, 2))
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    pairs = frame(spark, [("g", f"p{i}", f"p{j}", float(d[i, j])) for i in range(6) for j in range(i + 1, 6)], "g string, id1 string, id2 string, dist double")
-    got = {(r["id"], r["axis"]): r["value"] for r in ordination.pcoa(pairs, "g").collect()}
+    pairs = frame(spark, [(f"p{i}", f"p{j}", float(d[i, j])) for i in range(6) for j in range(i + 1, 6)], "id1 string, id2 string, dist double")
+    got = {(r["id"], r["axis"]): r["value"] for r in ordination.pcoa(pairs).collect()}
     y = np.array([[got[f"p{i}", a] for a in (1, 2)] for i in range(6)])
     assert np.allclose(np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1)), d)
 
