@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,9 +63,18 @@ def relabelled(reads: DataFrame, sample: str = "sample") -> DataFrame:
 
 
 def chunked(seqs: DataFrame, size: int) -> DataFrame:
-    """Adds ``chunk``: stable pieces of about ``size`` records, by hash of the id; every record is in one."""
-    pieces = max(1, -(-seqs.count() // size))
-    return seqs.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(pieces)).cast("int"))
+    """Adds ``chunk`` (long): pieces of exactly ``size`` records in the order of their ids, the last one shorter; repeated ids stand in the order of their sequences.
+
+    Records are ranged by id and sequence and numbered part by part; a row for each part holds how many come before it.
+    """
+    from ..streaming.checkpoints import cut
+
+    parts = int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = seqs.repartitionByRange(parts, "id", "seq").sortWithinPartitions("id", "seq")
+    placed = cut(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_k")))
+    totals = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = totals.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(starts), "_part").select(*seqs.columns, F.floor((F.col("_before") + F.col("_k")) / size).alias("chunk"))
 
 
 def consensus_taxonomy(hits: DataFrame, least: float = 0.51) -> DataFrame:

@@ -286,9 +286,18 @@ def _blocked_isa(spark, d):
     return isa.indicator_test(relative(c).select("sample", "feature", "p"), _units(c), "sample", "sample_type", TYPES, REPS, "patient", True)
 
 
-@query()
+_STRATIFIED = f"""{CB}, {_PROFILE}, {PATIENTS_SQL}, us AS (SELECT DISTINCT sample, sample_type, "case" AS status FROM c JOIN pt USING (patient)), own AS (SELECT sample_type, status, row_number() OVER (PARTITION BY sample_type ORDER BY sample) AS k FROM us),
+ pc AS (SELECT rep, sample, sample_type, row_number() OVER (PARTITION BY rep, sample_type ORDER BY md5('1|' || rep || '|' || sample_type || '|' || sample), sample) AS k FROM us, (SELECT unnest(range(1, {REPS + 1}))::INTEGER AS rep)),
+ pl AS (SELECT 0 AS rep, sample, sample_type, status FROM us UNION ALL SELECT rep, sample, sample_type, status FROM pc JOIN own USING (sample_type, k)), sz AS (SELECT rep, sample_type, status, count(*) AS size FROM pl GROUP BY ALL),
+ mn AS (SELECT pl.rep, pl.sample_type, feature, pl.status, any_value(size) AS size, sum(p) / any_value(size) AS mean, count(*) AS n FROM rl JOIN pl USING (sample) JOIN sz ON sz.rep = pl.rep AND sz.sample_type = pl.sample_type AND sz.status = pl.status GROUP BY ALL),
+ sc AS (SELECT *, CASE status WHEN 'Cancer' THEN 1 ELSE 2 END AS mask, mean / sum(mean) OVER (PARTITION BY rep, sample_type, feature) AS a, n / size::DOUBLE AS b FROM mn), iv AS (SELECT *, round(sqrt(a * b), 9) AS stat FROM sc QUALIFY row_number() OVER (PARTITION BY rep, sample_type, feature ORDER BY round(sqrt(a * b), 9) DESC, mask) = 1),
+ it AS (SELECT o.sample_type, o.feature, o.mask, o.a, o.b, o.stat, (1 + count(*) FILTER (WHERE x.stat >= o.stat)) / {REPS + 1}.0::DOUBLE AS p FROM iv o LEFT JOIN iv x ON x.feature = o.feature AND x.sample_type = o.sample_type AND x.rep > 0 WHERE o.rep = 0 GROUP BY ALL),
+ rk AS (SELECT *, row_number() OVER (ORDER BY p, sample_type, feature) AS k, count(*) OVER () AS m FROM it)"""
+
+
+@query(f"{_STRATIFIED} SELECT sample_type, feature, mask, round(a, 6) AS a, round(b, 6) AS b, round(stat, 6) AS stat, round(p, 6) AS p, round(least(min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1), 6) AS q FROM rk")
 def isa3_stratified_status(spark, d):
-    """Case against control within each sample type, bound together; compared with tests of single strata."""
+    """Case against control within each sample type, bound together."""
     c = counts(spark, d, "brand")
     units = c.select("sample", "patient", "sample_type").distinct().join(patients(spark, d).select("patient", F.col("case").alias("status")), "patient")
     return _rounded(isa.stratified_test(relative(c).select("sample", "feature", "p"), units, "sample", "status", "sample_type", ["Cancer", "Control"], REPS))

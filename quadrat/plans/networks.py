@@ -505,7 +505,12 @@ def ext_windowed_totals(spark, d):
     return windowed_totals(load(spark, d, "events")).withColumn("total", F.round("total", 4))
 
 
-@query("SELECT unnest(['total', 'twice']) AS aliased")
+#: Of two columns and two made of them: a column is aliased where its multiple R-squared on the ones before it is one.
+_R2 = "({0} * {0} + {1} * {1} - 2 * {0} * {1} * own) / (1 - own * own) > 1 - 1e-9"
+
+
+@query(f"""WITH p AS (SELECT p_size AS x, p_retailprice AS y, p_size + p_retailprice AS total, 2 * p_size + 3 AS twice FROM part), r AS (SELECT corr(x, y) AS own, corr(total, x) AS a, corr(total, y) AS b, corr(twice, x) AS c, corr(twice, y) AS e FROM p)
+ SELECT 'p_retailprice' AS aliased FROM r WHERE own * own > 1 - 1e-9 UNION ALL SELECT 'total' FROM r WHERE {_R2.format('a', 'b')} UNION ALL SELECT 'twice' FROM r WHERE {_R2.format('c', 'e')}""")
 def sta12_aliased_columns(spark, d):
     p = load(spark, d, "part").select("p_size", "p_retailprice", (F.col("p_size") + F.col("p_retailprice")).alias("total"), (2 * F.col("p_size") + 3).alias("twice"))
     return spark.createDataFrame([(c,) for c in stats.aliased_columns(p, p.columns)], "aliased string")

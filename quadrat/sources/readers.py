@@ -89,7 +89,9 @@ def read_named_files(spark: SparkSession, path: str, pattern: str, names: list[s
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).option("sep", separator(path)).csv(path)
+    """A headed text table; the suffix of ``path`` decides separator and compression, as in read_table."""
+    packed = {"gz": "gzip", "bz2": "bzip2"}.get(path.lower().rsplit(".", 1)[-1], "none")
+    df.write.mode(mode).option("compression", packed).option("header", True).option("sep", separator(path)).csv(path)
 
 
 def write_square(pairs: DataFrame, path: str, diagonal: float = 0.0, mode: str = "errorifexists") -> None:
