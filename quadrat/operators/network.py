@@ -188,10 +188,10 @@ def rewired(edges: DataFrame, reps: int, swaps_per_edge: int = 10, seed: int = 1
     now = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().join(F.broadcast(graphs)).select("rep", "a", "b"))
     places = max(edges.count() // 2, 1)
     for turn in range(4 * swaps_per_edge):
-        dealt = now.withColumn("h", F.xxhash64(F.lit(seed), F.lit(turn), "rep", "a", "b"))
-        pair = dealt.groupBy("rep", F.pmod(F.xxhash64("h"), F.lit(places)).alias("place")).agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "a", "b"))), 1, 2).alias("e")).where(F.size("e") == 2)
+        dealt = now.withColumn("h", F.md5(F.concat_ws("|", F.lit(seed), F.lit(turn), "rep", "a", "b").cast("binary")))
+        pair = dealt.groupBy("rep", (F.conv(F.left("h", F.lit(12)), 16, 10).cast("bigint") % places).alias("place")).agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "a", "b"))), 1, 2).alias("e")).where(F.size("e") == 2)
         one, two = F.col("e")[0], F.col("e")[1]
-        crossed = one["h"] % 2 == 0
+        crossed = F.right(one["h"], F.lit(1)) < "8"
         c, d = F.when(crossed, two["a"]).otherwise(two["b"]), F.when(crossed, two["b"]).otherwise(two["a"])
         offer = pair.select("rep", "place", one["a"].alias("a"), one["b"].alias("b"), c.alias("c"), d.alias("d")).where("a <> d and b <> c")
         made = offer.select("rep", "place", F.explode(F.array(F.struct(F.least("a", "d").alias("a"), F.greatest("a", "d").alias("b")), F.struct(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")))).alias("x")).select("rep", "place", "x.*")

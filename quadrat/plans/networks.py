@@ -153,11 +153,34 @@ def net12_assortativity(spark, d):
     return _rounded(network.assortativity(shared_orders(spark, d)))
 
 
-@query()
+def rewired_sql(reps: int, swaps: int) -> str:
+    """SQL of network.rewired of ``ed`` as the expression ``rw`` (rep, a, b): a step for each round."""
+    steps = [f"pc AS (SELECT greatest(count(*) // 2, 1) AS places FROM ed), w0 AS MATERIALIZED (SELECT rep, a, b FROM ed, (SELECT unnest(range(1, {reps + 1}))::INTEGER AS rep))"]
+    for t in range(4 * swaps):
+        steps.append(f"""p{t} AS MATERIALIZED (SELECT * FROM (SELECT rep, a, b, md5('1|{t}|' || rep || '|' || a || '|' || b) AS h, ('0x' || left(h, 12))::BIGINT % places AS place FROM w{t}, pc) QUALIFY row_number() OVER (PARTITION BY rep, place ORDER BY h) <= 2),
+ o{t} AS MATERIALIZED (SELECT * FROM (SELECT x.rep, x.place, x.a, x.b, CASE WHEN right(x.h, 1) < '8' THEN y.a ELSE y.b END AS c, CASE WHEN right(x.h, 1) < '8' THEN y.b ELSE y.a END AS d FROM p{t} x JOIN p{t} y ON x.rep = y.rep AND x.place = y.place AND x.h < y.h) WHERE a <> d AND b <> c),
+ n{t} AS (SELECT rep, place, least(a, d) AS a, greatest(a, d) AS b FROM o{t} UNION ALL SELECT rep, place, least(b, c), greatest(b, c) FROM o{t}),
+ g{t} AS (SELECT rep, place FROM (SELECT n.rep, n.place, w.a IS NULL AND count(*) OVER (PARTITION BY n.rep, n.a, n.b) = 1 AS free FROM n{t} n LEFT JOIN w{t} w ON w.rep = n.rep AND w.a = n.a AND w.b = n.b) GROUP BY ALL HAVING bool_and(free)),
+ k{t} AS MATERIALIZED (SELECT o.* FROM o{t} o JOIN g{t} USING (rep, place)),
+ w{t + 1} AS MATERIALIZED (SELECT w.* FROM w{t} w ANTI JOIN (SELECT rep, a, b FROM k{t} UNION ALL SELECT rep, least(c, d), greatest(c, d) FROM k{t}) z USING (rep, a, b) UNION ALL SELECT rep, least(a, d), greatest(a, d) FROM k{t} UNION ALL SELECT rep, least(b, c), greatest(b, c) FROM k{t})""")
+    return ", ".join(steps) + f", rw AS (SELECT * FROM w{4 * swaps})"
+
+
+#: Null graphs and swaps for each edge of them.
+GRAPHS, SWAPS = 100, 3
+_NULL = f"""{E1}, {rewired_sql(GRAPHS, SWAPS)}, gr AS MATERIALIZED (SELECT 0 AS rep, a, b FROM ed UNION ALL SELECT * FROM rw), en AS (SELECT rep, a, b FROM gr UNION ALL SELECT rep, b, a FROM gr), dn AS MATERIALIZED (SELECT rep, a AS node, count(*) AS degree FROM en GROUP BY ALL),
+ ta AS MATERIALIZED (SELECT x.rep, x.a AS s, x.b AS t, y.b AS u FROM gr x JOIN gr y ON x.rep = y.rep AND x.b = y.a JOIN gr z ON z.rep = x.rep AND z.a = x.a AND z.b = y.b), tc AS (SELECT rep, node, count(*) AS t FROM (SELECT rep, s AS node FROM ta UNION ALL SELECT rep, t FROM ta UNION ALL SELECT rep, u FROM ta) GROUP BY ALL),
+ nc AS (SELECT dn.rep, degree, coalesce(t, 0) AS t FROM dn LEFT JOIN tc ON tc.rep = dn.rep AND tc.node = dn.node),
+ nm AS (SELECT rep, 'transitivity' AS metric, sum(t) / sum(degree * (degree - 1) / 2.0::DOUBLE) AS value FROM nc GROUP BY 1 UNION ALL SELECT rep, 'average_clustering', avg(CASE WHEN degree > 1 THEN 2.0::DOUBLE * t / (degree * (degree - 1)) ELSE 0 END) FROM nc GROUP BY 1
+ UNION ALL SELECT en.rep, 'assortativity', corr(x.degree, y.degree) FROM en JOIN dn x ON x.rep = en.rep AND x.node = en.a JOIN dn y ON y.rep = en.rep AND y.node = en.b GROUP BY 1)"""
+
+
+@query(f"""{_NULL}, sm AS (SELECT metric, any_value(value) FILTER (WHERE rep = 0) AS observed, avg(value) FILTER (WHERE rep > 0) AS null_mean, stddev_samp(value) FILTER (WHERE rep > 0) AS null_sd, quantile_cont(value, 0.025) FILTER (WHERE rep > 0) AS low, quantile_cont(value, 0.975) FILTER (WHERE rep > 0) AS high FROM nm GROUP BY 1)
+ SELECT metric, round(observed, 6) AS observed, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, round(low, 6) AS low, round(high, 6) AS high, round((SELECT avg(CASE WHEN nm.value >= sm.observed THEN 1.0 ELSE 0 END) FROM nm WHERE nm.metric = sm.metric AND nm.rep > 0), 6) AS p, round(observed / nullif(null_mean, 0), 6) AS ratio FROM sm""")
 def net14_against_null(spark, d):
-    """Clustering and assortativity of the graph against those of graphs with the same degrees; the swaps are beyond SQL."""
+    """Clustering and assortativity of the graph against those of graphs with the same degrees."""
     e = cut(shared_orders(spark, d))
-    null = network.null_metrics(cut(network.rewired(e, 5, 3)))
+    null = network.null_metrics(cut(network.rewired(e, GRAPHS, SWAPS)))
     return _rounded(network.against_null(network.null_metrics(e.withColumn("rep", F.lit(0))).select("metric", F.col("value").alias("observed")), null, ["metric"]))
 
 
@@ -168,10 +191,16 @@ def net13_rewired_degrees(spark, d):
     return null.select("rep", F.explode(F.array("a", "b")).alias("node")).groupBy("rep", "node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-@query()
+@query(f"{E1}, {rewired_sql(3, 3)} SELECT * FROM rw")
+def net13_rewired_edges(spark, d):
+    """The swapped graphs themselves."""
+    return network.rewired(cut(shared_orders(spark, d)), 3, 3)
+
+
+@query(f"{_NULL} SELECT metric, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM nm WHERE rep > 0 GROUP BY 1")
 def net13_null_summary(spark, d):
     """Mean, deviation and interval of each metric over the null graphs."""
-    return _rounded(network.null_metrics(cut(network.rewired(cut(shared_orders(spark, d)), 5, 3))).groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high")))
+    return _rounded(network.null_metrics(cut(network.rewired(cut(shared_orders(spark, d)), GRAPHS, SWAPS))).groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high")))
 
 
 @query(f"{E1}, cr AS (SELECT node, p_name AS name, p_brand AS label, degree, strength FROM dg LEFT JOIN part ON p_partkey = node) SELECT node, name, label, degree, strength, degree >= 5 AS hub FROM cr")
