@@ -20,10 +20,22 @@ _EDGES = """WITH li AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS k FROM lin
 E1 = _EDGES.format(t=2)
 
 
+#: Lines that a task pairs within their orders; there are about two pairs of parts for each line.
+LINES = 200_000
+
+
+def _pair_parts(lines) -> int:
+    """Partitions in proportion to the lines, so that what a task sorts and counts does not grow with the table."""
+    return max(1, -(-lines.count() // LINES))
+
+
 def shared_orders(spark, d, least: int = 2):
-    li = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("k")).distinct()
+    lines = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("k"))
+    parts = _pair_parts(lines)
+    li = lines.repartition(parts, "o").distinct()
     x, y = li.toDF("o", "a"), li.toDF("o", "b")  # an order has a handful of lines
-    return x.join(y, "o").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("weight")).where(F.col("weight") >= least)
+    pairs = x.join(y, "o").where("a < b").repartition(2 * parts, "a", "b")
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("weight")).where(F.col("weight") >= least)
 
 
 @query(f"{E1} SELECT * FROM ed")
@@ -228,9 +240,13 @@ URGENT = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
 
 def _by_priority(spark, d):
     """(graph, a, b, weight): parts in one order, a graph for each priority."""
-    li = load(spark, d, "lineitem").join(load(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderpriority").alias("graph"), F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("k")).distinct()
+    lines = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("k"))
+    parts = _pair_parts(lines)
+    graphs = load(spark, d, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_orderpriority").alias("graph"))
+    li = lines.repartition(parts, "o").join(graphs.repartition(parts, "o"), "o").select("graph", "o", "k").repartition(parts, "graph", "o").distinct()
     x, y = li.toDF("graph", "o", "a"), li.toDF("graph", "o", "b")
-    return x.join(y, ["graph", "o"]).where("a < b").groupBy("graph", "a", "b").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    pairs = x.join(y, ["graph", "o"]).where("a < b").repartition(2 * parts, "graph", "a", "b")
+    return pairs.groupBy("graph", "a", "b").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 @query(f"{_BY_PRIORITY} SELECT a, b, sum(weight) AS weight FROM pe WHERE graph IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY ALL")

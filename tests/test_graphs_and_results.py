@@ -166,3 +166,12 @@ def test_metadata_taxonomy_and_lists(spark, tmp_path):
     assert sorted((r["id"], r["seq"]) for r in readers.read_fasta(spark, f"{tmp_path}/f.fa").collect()) == [("x", "ACGT"), ("y", "TT")]
     results.write_group_fasta(spark.createDataFrame([("x", "AC", "g1")], "id string, seq string, grp string"), f"{tmp_path}/fa", "grp")
     assert [r[0] for r in spark.read.text(f"{tmp_path}/fa/grp=g1").collect()] == [">x", "AC"]
+
+
+def test_pairs_of_parts_get_partitions_in_proportion_to_the_lines(spark, monkeypatch):
+    from quadrat.plans import networks
+
+    monkeypatch.setattr(networks, "LINES", 500)
+    data = "/root/testdata/sf0.001"
+    parts = -(-spark.read.parquet(f"{data}/lineitem.parquet").count() // 500)
+    assert networks.shared_orders(spark, data).rdd.getNumPartitions() == networks._by_priority(spark, data).rdd.getNumPartitions() == 2 * parts > 4
