@@ -1,91 +1,158 @@
-"""Density clustering: core distances and a minimum spanning tree of mutual reachability by blocks of rows, then the condensed tree.
+"""Density clustering: core distances and a minimum spanning tree of mutual reachability by blocks of near rows, then the condensed tree.
 
-Distances are computed block against block, each task holding one pair of blocks; what leaves it are the few nearest
-of each row, or the cheapest edge of each component to another. Work is quadratic in rows, as the definition is.
+Rows are dealt to blocks by place, and only rows go to another block whose box is near enough to hold something for them:
+a nearer neighbour, or an edge no dearer than one that their component is known to have. What leaves a task are the few
+nearest of each row, or the cheapest edge of each component to another.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming.checkpoints import cut
 from .network import components
 
 BLOCK = 1_000
+#: Distances that a task holds at once.
+CELLS = 2_000_000
 
 
-def _packed(points: DataFrame, blocks: int, columns: list[str]) -> DataFrame:
-    """(block, rows): about as many rows in each block, dealt by a hash of the id."""
-    return points.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", *columns)).alias("rows"))
+def _placed(points: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with ``block``: slabs of the first column, cut by the second, about BLOCK rows in each; larger blocks, of many equal rows, are split by hash."""
+    slabs = max(1, int(np.ceil((points.count() / BLOCK) ** (0.5 if len(columns) > 1 else 1))))
+    shares = F.array(*[F.lit(k / slabs) for k in range(1, slabs)])
+    at = lambda cuts, c: F.size(F.filter(cuts, lambda x: x <= F.col(c)))
+    if slabs == 1:
+        return points.withColumn("block", F.lit("0"))
+    first = points.agg(F.percentile_approx(columns[0], shares, 10_000).alias("_cuts"))  # one row
+    dealt = points.crossJoin(F.broadcast(first)).withColumn("_slab", at(F.col("_cuts"), columns[0])).drop("_cuts")
+    if len(columns) > 1:
+        second = dealt.groupBy("_slab").agg(F.percentile_approx(columns[1], shares, 10_000).alias("_cuts"))
+        dealt = dealt.join(F.broadcast(second), "_slab").withColumn("_cell", at(F.col("_cuts"), columns[1])).drop("_cuts")  # a row for each slab
+    else:
+        dealt = dealt.withColumn("_cell", F.lit(0))
+    parts = dealt.groupBy("_slab", "_cell").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).alias("_m"))
+    part = F.pmod(F.xxhash64("id"), F.col("_m"))
+    return dealt.join(F.broadcast(parts), ["_slab", "_cell"]).withColumn("block", F.concat_ws("|", "_slab", "_cell", part)).drop("_slab", "_cell", "_m")  # a row for each block
 
 
-def _block_pairs(packed: DataFrame, pairs_per_task: int = 8) -> DataFrame:
-    """Every block beside every block, a row for each pair."""
-    left, right = packed.toDF("b1", "r1"), packed.toDF("b2", "r2")
-    n = packed.count()
-    return left.crossJoin(right).repartition(max(1, n * n // pairs_per_task), "b1", "b2")
+def _boxes(rows: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    return rows.groupBy("block").agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))], *more)
+
+
+def _length(gaps: list[Column]) -> Column:
+    """The steps of _distances in the same order, so rounding never makes a bound larger than the distance it bounds."""
+    return F.sqrt(sum((g * g for g in gaps), F.lit(0.0)))
+
+
+def _apart(columns: list[str], low: str, high: str) -> Column:
+    """The least distance from a box or point to the box b: ``low`` and ``high`` are the prefixes of its ends."""
+    return _length([F.greatest(F.col(f"b.lo_{c}") - F.col(f"{high}{c}"), F.col(f"{low}{c}") - F.col(f"b.hi_{c}"), F.lit(0.0)) for c in columns])
+
+
+def _sent(rows: DataFrame, boxes: DataFrame, columns: list[str], within: str, also: Column | None = None, also_row: Column | None = None) -> DataFrame:
+    """The rows once for each other block whose box lies ``within`` (a column) of them, ``block`` being that one's.
+
+    Blocks meet first, by the boxes of these rows: there is a row for each block. ``also`` and ``also_row`` are conditions on blocks a and b, on rows r and blocks b.
+    """
+    own = _boxes(rows, columns, F.max(within).alias("reach")).alias("a")
+    near = (F.col("a.block") != F.col("b.block")) & (_apart(columns, "a.lo_", "a.hi_") <= F.col("a.reach"))
+    pairs = own.join(F.broadcast(boxes.alias("b")), near if also is None else near & also).select(F.col("a.block").alias("block"), F.struct("b.*").alias("b"))
+    met = rows.alias("r").join(pairs.alias("p"), "block").select(*[F.col(f"r.{c}").alias(c) for c in rows.columns if c != "block"], "b")
+    met = met.where(_apart(columns, "", "") <= F.col(within))
+    return (met if also_row is None else met.where(also_row)).withColumn("block", F.col("b.block")).drop("b")
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(sum((x[:, [k]] - y[:, k]) ** 2 for k in range(x.shape[1])))
 
 
+def _slices(n: int, beside: int):
+    step = max(1, CELLS // max(1, beside))
+    return (slice(k, k + step) for k in range(0, n, step))
+
+
 def core_distances(points: DataFrame, columns: list[str], neighbours: int) -> DataFrame:
     """(id, core): the distance to the nearest row for which ``neighbours`` rows, the row itself among them, are as near."""
-    blocks = max(1, -(-points.count() // BLOCK))
+    rows = cut(_placed(points.select("id", *columns), columns))
     kind = dict(points.dtypes)["id"]
+    out = f"id {kind}, d array<double>"
 
-    def near(batches):
-        for pdf in batches:
-            for r1, r2 in zip(pdf["r1"], pdf["r2"], strict=True):
-                x, y = (np.array([[r[c] for c in columns] for r in rows], float) for rows in (r1, r2))
-                d = np.sort(_distances(x, y), axis=1)[:, :neighbours]
-                yield pd.DataFrame({"id": [r["id"] for r in r1], "d": list(d)})
+    def near(left, right):
+        x, y = left[columns].to_numpy(float), right[columns].to_numpy(float)
+        m = min(neighbours, len(y))
+        found = [np.partition(_distances(x[s], y), m - 1, axis=1)[:, :m] for s in _slices(len(x), len(y))]
+        return pd.DataFrame({"id": left["id"], "d": [list(d) for f in found for d in f]})
 
-    found = _block_pairs(_packed(points, blocks, columns)).mapInPandas(near, f"id {kind}, d array<double>")
-    return found.groupBy("id").agg(F.get(F.array_sort(F.flatten(F.collect_list("d"))), F.lit(neighbours - 1)).alias("core"), F.max(F.array_max("d")).alias("far")).select("id", F.coalesce("core", "far").alias("core"))
+    own = cut(rows.groupBy("block").applyInPandas(lambda pdf: near(pdf, pdf), out))
+    # A row's neighbours in its own block bound how far others can be.
+    reach = F.when(F.size("d") >= neighbours, F.array_max("d")).otherwise(float("inf"))
+    sent = _sent(rows.join(own.select("id", reach.alias("reach")), "id"), _boxes(rows, columns), columns, "reach").drop("reach")
+    other = sent.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(lambda left, right: near(left, right) if len(left) else pd.DataFrame({"id": [], "d": []}), out)
+    found = own.union(other).groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("d"))).alias("d"))
+    return found.select("id", F.coalesce(F.get("d", F.lit(neighbours - 1)), F.array_max("d")).alias("core"))
 
 
 def spanning_tree(points: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, w) with a < b: a minimum spanning tree of the largest of distance and both core distances. ``points``: (id, columns, core).
 
     Each round joins every component to another by its cheapest edge; equal weights are told apart by the ids at the ends, so no
-    round closes a circle. Components at least halve in number.
+    round closes a circle. Components at least halve in number. A component's edges within blocks, or else the boxes of the
+    blocks it fills and of others, bound its cheapest edge, so only rows whose core distance is no larger look further, and no farther.
     """
-    n = points.count()
-    blocks = max(1, -(-n // BLOCK))
+    placed = cut(_placed(points.select("id", *columns, "core"), columns))
     kind = dict(points.dtypes)["id"]
     labels = points.select("id", F.col("id").alias("component"))
     tree = None
-
-    def cheapest(batches):
-        for pdf in batches:
-            for r1, r2 in zip(pdf["r1"], pdf["r2"], strict=True):
-                x, y = (np.array([[r[c] for c in columns] for r in rows], float) for rows in (r1, r2))
-                i, j = (np.array([r["id"] for r in rows]) for rows in (r1, r2))
-                p, q = (np.array([r["component"] for r in rows]) for rows in (r1, r2))
-                w = np.maximum(_distances(x, y), np.maximum(np.array([r["core"] for r in r1])[:, None], np.array([r["core"] for r in r2])))
-                w[p[:, None] == q] = np.inf
-                low = w.min(axis=1)
-                out = {}
-                for k in np.flatnonzero(np.isfinite(low)):
-                    ends = j[w[k] == low[k]]
-                    best = min((low[k], min(i[k], e), max(i[k], e)) for e in ends)
-                    out[p[k]] = min(out.get(p[k], best), best)
-                yield pd.DataFrame([(c, *e) for c, e in out.items()], columns=["component", "w", "a", "b"])
-
+    out = f"component {kind}, w double, a {kind}, b {kind}"
+
+    def cheapest(left, right):
+        if not len(left) or (left["component"].nunique() == 1 and (right["component"] == left["component"].iloc[0]).all()):
+            return pd.DataFrame({"component": [], "w": [], "a": [], "b": []})
+        ids, ends = np.unique(np.concatenate([left["id"], right["id"]]), return_inverse=True)
+        groups, of = np.unique(np.concatenate([left["component"], right["component"]]), return_inverse=True)
+        x, y = left[columns].to_numpy(float), right[columns].to_numpy(float)
+        i, j, p, q = ends[: len(x)], ends[len(x) :], of[: len(x)], of[len(x) :]
+        near, far = left["core"].to_numpy(), right["core"].to_numpy()
+        best, found = np.full(len(groups), np.inf), []
+        for s in _slices(len(x), len(y)):
+            w = np.maximum(_distances(x[s], y), np.maximum(near[s, None], far))
+            w[p[s, None] == q] = np.inf
+            low = w.min(axis=1)
+            np.minimum.at(best, p[s], low)
+            good = np.flatnonzero(np.isfinite(low) & (low == best[p[s]]))
+            k, e = np.nonzero(w[good] == low[good, None])
+            k = good[k]
+            found.append(np.array([p[s][k], low[k], np.minimum(i[s][k], j[e]), np.maximum(i[s][k], j[e])]))
+        c, w, a, b = np.hstack(found)
+        order = np.lexsort((b, a, w, c))
+        order = order[np.flatnonzero(np.diff(c[order], prepend=-1))]
+        at = lambda names, k: names[k[order].astype(int)]
+        return pd.DataFrame({"component": at(groups, c), "w": w[order], "a": at(ids, a), "b": at(ids, b)})
+
+    pure = F.col("a.one") & F.col("b.one") & (F.col("a.component") == F.col("b.component"))
     while True:
-        packed = _packed(points.join(labels, "id"), blocks, [*columns, "core", "component"])
-        found = _block_pairs(packed).mapInPandas(cheapest, f"component {kind}, w double, a {kind}, b {kind}")
-        chosen = cut(found.groupBy("component").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.*").distinct().select("a", "b", "w"))
+        rows = cut(placed.join(labels, "id"))
+        boxes = cut(_boxes(rows, columns, (F.min("component") == F.max("component")).alias("one"), F.min("component").alias("component"), F.max("core").alias("core")))
+        own = cut(rows.groupBy("block").applyInPandas(lambda pdf: cheapest(pdf, pdf), out))
+        known = own.groupBy("component").agg(F.min("w").alias("bound"))
+        across = _length([F.greatest(F.col(f"b.hi_{c}") - F.col(f"a.lo_{c}"), F.col(f"a.hi_{c}") - F.col(f"b.lo_{c}")) for c in columns])
+        # Components that fill all their blocks: any of their rows and any of a block that holds others.
+        filled = boxes.where("one").join(known, "component", "left_anti").alias("a").join(F.broadcast(boxes.alias("b")), ~pure)
+        known = cut(known.union(filled.groupBy("a.component").agg(F.min(F.greatest(across, "a.core", "b.core")))))
+        seeking = rows.join(known, "component").where("core <= bound").select("block", "id", *columns, "core", "component", "bound")
+        seeking = cut(seeking.join(boxes.select("block", "one"), "block"))
+        sent = _sent(seeking, boxes, columns, "bound", also_row=~(F.col("b.one") & (F.col("b.component") == F.col("component")))).drop("bound", "one")
+        other = sent.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(cheapest, out)
+        chosen = cut(own.union(other).groupBy("component").agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.*").distinct().select("a", "b", "w"))
         if chosen.isEmpty():
             return tree if tree is not None else chosen
         tree = chosen if tree is None else tree.unionByName(chosen)
-        own = labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        joined = components(chosen.join(own[0], "a").join(own[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"), F.lit(1.0).alias("weight")))
+        ends = labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+        joined = components(chosen.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"), F.lit(1.0).alias("weight")))
         labels = cut(labels.join(joined.toDF("component", "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
 
 

@@ -431,3 +431,18 @@ def test_excluding_correlations_equal_the_whole_system(spark):
     found = compositions.excluding_correlations(df.where("g = 'p'"), ["g"], 19, 3)
     edges = compositions.strong_edges(found, ["g"], 19, 0.06)
     assert {(0, 1), (0, 2)} <= {(r["a"], r["b"]) for r in edges.collect()}
+
+
+def test_density_rows_go_to_near_blocks_only(spark, monkeypatch):
+    """A core distance needs the blocks beside a row's own, not all 36."""
+    from quadrat.operators import density
+
+    monkeypatch.setattr(density, "BLOCK", 20)
+    sent = []
+    plain = density._sent
+    monkeypatch.setattr(density, "_sent", lambda *a, **k: sent.append(plain(*a, **k)) or sent[-1])
+    x = np.random.default_rng(3).uniform(size=(720, 2))
+    found = density.core_distances(frame(spark, id=np.arange(720), x=x[:, 0], y=x[:, 1]), ["x", "y"], 3)
+    got = {r["id"]: r["core"] for r in found.collect()}
+    want = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), axis=1)[:, 2]
+    assert np.allclose([got[k] for k in range(720)], want) and sent[0].count() < 9 * 720
