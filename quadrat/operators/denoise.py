@@ -82,9 +82,13 @@ def assigned(reads: DataFrame, centroids: DataFrame, identity: float = 0.999) ->
 
 
 def kmers(seqs: DataFrame, k: int, *keys: str) -> DataFrame:
-    """(keys, kmer, n): how often each string of ``k`` letters occurs in ``seq``; shorter sequences have none."""
-    place = F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)).alias("i")
-    return seqs.where(F.length("seq") >= k).select(*keys, "seq", place).groupBy(*keys, F.substring("seq", F.col("i"), F.lit(k)).alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
+    """(keys, kmer, n): how often each string of ``k`` letters occurs in ``seq``; shorter sequences have none.
+
+    One pass over a sequence, each match a letter with those after it ahead: a substring for each place would walk there from the
+    beginning, and a row for each place would hold the sequence again.
+    """
+    found = F.regexp_extract_all("seq", F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
+    return seqs.where(F.length("seq") >= k).select(*keys, F.explode(found).alias("kmer")).groupBy(*keys, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bayes_model(reference: DataFrame, k: int = 7, alpha: float = 0.001) -> tuple[DataFrame, DataFrame]:

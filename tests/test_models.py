@@ -446,3 +446,17 @@ def test_density_rows_go_to_near_blocks_only(spark, monkeypatch):
     got = {r["id"]: r["core"] for r in found.collect()}
     want = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), axis=1)[:, 2]
     assert np.allclose([got[k] for k in range(720)], want) and sent[0].count() < 9 * 720
+
+
+def test_kmers_are_cut_in_one_pass(spark):
+    """No row for each place with the whole sequence beside it; letters beyond the basic plane and line feeds count as one."""
+    from quadrat.operators import denoise
+
+    texts = ["abcabcab", "a\n\U0001f600b\r\U0001f600cd", "abc", "", None, "é" * 9]
+    found = denoise.kmers(frame(spark, id=list(range(6)), seq=texts), 4, "id")
+    want = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t or "") - 3):
+            want[i, t[k : k + 4]] = want.get((i, t[k : k + 4]), 0) + 1
+    assert {(r["id"], r["kmer"]): r["n"] for r in found.collect()} == want
+    assert "sequence(" not in found._jdf.queryExecution().optimizedPlan().toString()
