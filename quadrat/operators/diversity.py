@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.transforms import relative
+from ..streaming.checkpoints import cut
+
+#: Orders whose places are side by side in one row.
+ORDERS = 20
+#: Rows of places up to which they are broadcast.
+PLACES = 200_000
+
+
+def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def shannon(counts: DataFrame, keys: list[str], base: float | None = None, value: str = "count") -> DataFrame:
@@ -77,10 +87,16 @@ def accumulation(counts: DataFrame, group: str, reps: int, seed: str = "1") -> D
     """(group, k, mean, low, high): distinct features after k samples in random order.
 
     A feature counts from the first sample of an order that has it, so each repetition
-    needs one minimum per feature and one running sum over the positions.
+    needs one minimum per feature and one running sum over the positions. The orders go to the cells
+    by broadcast while they are few: a sample may have a large share of all cells.
     """
-    orders = shuffled(counts.select(group, "sample").distinct(), reps, "sample", [group], seed)
-    first = counts.select(group, "sample", "feature").distinct().join(orders, [group, "sample"]).groupBy(group, "rep", "feature").agg(F.min("k").alias("k"))
+    orders = cut(shuffled(counts.select(group, "sample").distinct(), reps, "sample", [group], seed))
+    # A cell takes its sample's places in a block of orders as one row, so cells are not repeated for each order.
+    block = F.floor((F.col("rep") - 1) / ORDERS)
+    places = orders.groupBy(group, "sample", block.alias("_b")).agg(*[F.min(F.when((F.col("rep") - 1) % ORDERS == i, F.col("k"))).alias(f"k{i}") for i in range(min(ORDERS, reps))])
+    least = counts.select(group, "sample", "feature").join(maybe_broadcast(places, PLACES), [group, "sample"]).groupBy(group, "feature", "_b").agg(*[F.min(f"k{i}").alias(f"k{i}") for i in range(min(ORDERS, reps))])
+    each = least.select(group, "_b", F.posexplode(F.array(*[f"k{i}" for i in range(min(ORDERS, reps))])).alias("_i", "k")).where("k is not null")
+    first = each.select(group, (F.col("_b") * ORDERS + F.col("_i") + 1).cast("int").alias("rep"), "k")
     new = first.groupBy(group, "rep", "k").agg(F.count(F.lit(1)).alias("new"))
     full = orders.select(group, "rep", "k").join(new, [group, "rep", "k"], "left")
     run = F.sum(F.coalesce("new", F.lit(0))).over(Window.partitionBy(group, "rep").orderBy("k"))

@@ -460,3 +460,25 @@ def test_kmers_are_cut_in_one_pass(spark):
             want[i, t[k : k + 4]] = want.get((i, t[k : k + 4]), 0) + 1
     assert {(r["id"], r["kmer"]): r["n"] for r in found.collect()} == want
     assert "sequence(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_accumulation_takes_orders_in_blocks(spark, monkeypatch, most):
+    """A row for each cell and block of orders, by broadcast and without; 17 orders in blocks of 7."""
+    from hashlib import md5
+
+    from quadrat.operators import diversity
+
+    monkeypatch.setattr(diversity, "ORDERS", 7)
+    monkeypatch.setattr(diversity, "PLACES", most)
+    cells = [(g, f"{g}{s}", f) for g in "xy" for s in range(5) for f in range(9) if (s * 7 + f * 5 + (g == "x")) % 3 == 0]
+    g, s, f = zip(*cells, strict=True)
+    found = diversity.accumulation(frame(spark, grp=list(g), sample=list(s), feature=list(f)), "grp", 17).collect()
+    got = {(r["grp"], r["k"]): r["mean"] for r in found}
+    want = {}
+    for name in "xy":
+        for rep in range(1, 18):
+            order = sorted({b for a, b, _ in cells if a == name}, key=lambda b: md5(f"1|{rep}|{b}".encode()).hexdigest())
+            for k in range(1, len(order) + 1):
+                want[name, k] = want.get((name, k), 0) + len({c for a, b, c in cells if b in order[:k]}) / 17
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
