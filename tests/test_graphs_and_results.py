@@ -175,3 +175,12 @@ def test_pairs_of_parts_get_partitions_in_proportion_to_the_lines(spark, monkeyp
     data = "/root/testdata/sf0.001"
     parts = -(-spark.read.parquet(f"{data}/lineitem.parquet").count() // 500)
     assert networks.shared_orders(spark, data).rdd.getNumPartitions() == networks._by_priority(spark, data).rdd.getNumPartitions() == 2 * parts > 4
+
+
+def test_merged_metric_takes_every_value_of_the_summary(spark):
+    from quadrat.plans import ecology
+
+    data = "/root/testdata/sf0.001"
+    got = {r["feature"]: r["metric"] for r in ecology.isa6_merged_metric(spark, data).collect()}
+    blocked = {r["feature"]: round(r["p"], 6) for r in ecology._blocked_isa(spark, data).collect()}
+    assert any(p > 0.05 for p in blocked.values()) and {f: got[f] for f in blocked} == blocked
