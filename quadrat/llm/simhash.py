@@ -20,7 +20,7 @@ members that meet by such a shingle are compared further.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast, small_batches, text_key
+from .common import materialize, maybe_broadcast, shuffles_dropped, small_batches, text_key
 from .components import connected_components
 from .units import in_blocks
 
@@ -45,6 +45,8 @@ GROUP = 64
 LEVELS = 6
 #: Words of a fingerprint that table rows carry to sift chance matches.
 SIFTED = 4
+#: Table entries and probes of a fingerprint that are shuffled at once; further tables are joined after.
+TOGETHER = 50
 #: Shingles of the leaders that a broadcast may hold: 16 MB.
 BROADCAST_SHINGLES = 2_000_000
 
@@ -64,6 +66,12 @@ class Scheme:
     distance: int
     similarity: tuple[int, int] | None = None
 
+    @property
+    def batches(self) -> list[range]:
+        """The tables, in runs that are joined one after another: what lies on disk follows the fingerprints, not the number of tables."""
+        tables, step = len(self.segments), max(1, TOGETHER // (2 + self.segment_bits // 2))
+        return [range(k, min(k + step, tables)) for k in range(0, tables, step)]
+
     @property
     def segments(self) -> list[tuple[int, int]]:
         return [(w, k * self.segment_bits) for w in range(self.words) for k in range(64 // self.segment_bits)]
@@ -212,14 +220,15 @@ def _key(table: int, value: Column, bits: int) -> Column:
     return value.bitwiseOR(F.lit(table << bits))
 
 
-def table_rows(prints: DataFrame, scheme: Scheme, ball: bool, *carried: Column) -> DataFrame:
-    """(key, carried...) for each table: the own value, or with ``ball`` also those with one more bit set.
+def table_rows(prints: DataFrame, scheme: Scheme, ball: bool, *carried: Column, tables: range | None = None) -> DataFrame:
+    """(key, carried...) for each of ``tables`` (all, if none are named): the own value, or with ``ball`` also those with one more bit set.
 
-    Of two values that differ in one bit, one has that bit clear, so flipping clear bits finds every such pair.
+    Of two values that differ in one bit, one has that bit clear, so flipping clear bits finds every such pair. Shingles
+    of short sets go with the first table.
     """
-    bits = scheme.segment_bits
-    own = [_key(t, _segment(F.col(f"w{w}"), shift, bits), bits) for t, (w, shift) in enumerate(scheme.segments)]
-    keys = F.concat(F.array(*own), F.col("short")) if scheme.similarity else F.array(*own)
+    bits, tables = scheme.segment_bits, range(len(scheme.segments)) if tables is None else tables
+    own = [_key(t, _segment(F.col(f"w{w}"), shift, bits), bits) for t in tables for w, shift in [scheme.segments[t]]]
+    keys = F.concat(F.array(*own), F.col("short")) if scheme.similarity and 0 in tables else F.array(*own)
     rows = prints.select(*carried, F.explode(keys).alias("key"))
     if not ball:
         return rows
@@ -271,10 +280,21 @@ def _renamed(rows: DataFrame) -> DataFrame:
     return rows.select("key", *[F.col(c).alias("to_id" if c == "fp_id" else f"to_{c}") for c in rows.columns if c != "key"])
 
 
+def _by_batches(scheme: Scheme, found: Callable[[range], DataFrame], name: str) -> DataFrame:
+    """(a, b): the pairs of all tables, each once; those of each batch of tables are written before the next begins."""
+    if len(scheme.batches) == 1:
+        return found(scheme.batches[0])
+    return reduce(DataFrame.union, [materialize(found(tables), name) for tables in scheme.batches]).distinct()
+
+
 def _star(prints: DataFrame, scheme: Scheme) -> DataFrame:
     """(a, b): the fingerprints of each table entry against the entry's smallest one, sifted. As many as there are entries at most."""
+    return _by_batches(scheme, lambda tables: _star_of(prints, scheme, tables), "met-leaders")
+
+
+def _star_of(prints: DataFrame, scheme: Scheme, tables: range) -> DataFrame:
     carried, near = _sketch(scheme)
-    entries = table_rows(prints, scheme, False, "fp_id", *carried)
+    entries = table_rows(prints, scheme, False, "fp_id", *carried, tables=tables)
     kept = [c for c in entries.columns if c != "key"]
     leaders = entries.groupBy("key").agg(F.min(F.struct(*kept)).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1")
     leaders = leaders.select("key", *[F.col(f"l.{c}").alias("to_id" if c == "fp_id" else f"to_{c}") for c in kept])
@@ -289,9 +309,13 @@ def _across(labelled: DataFrame, scheme: Scheme) -> DataFrame:
     equal where at most two bits differ. With a similarity, sets whose sizes rule it out do not meet. The component of
     a fingerprint that stands alone is left null, which costs the shuffle nothing.
     """
+    return _by_batches(scheme, lambda tables: _across_in(labelled, scheme, tables), "met-others")
+
+
+def _across_in(labelled: DataFrame, scheme: Scheme, tables: range) -> DataFrame:
     carried, near = _sketch(scheme)
     carried = [F.col("fp_id"), F.nullif("component", "fp_id").alias("component"), *carried, *([F.col("n").cast("int").alias("n")] if scheme.similarity else [])]
-    probes, table = table_rows(labelled, scheme, True, *carried), table_rows(labelled, scheme, False, *carried)
+    probes, table = table_rows(labelled, scheme, True, *carried, tables=tables), table_rows(labelled, scheme, False, *carried, tables=tables)
     own = F.coalesce("component", "fp_id")
     apart = near & (own != F.coalesce("to_component", "to_id"))
     if scheme.similarity:
@@ -441,15 +465,20 @@ def drop_near_copies(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame
     Rows that repeat id and text count once. All columns stay as they are. A group whose
     ids are all null keeps one row. Texts without words are copies of each other.
     """
-    scheme = scheme or near_copies_scheme(docs.count())
-    found = near_copies(docs, scheme)
-    group = F.when(F.col("component_id").isNull(), F.xxhash64(*[f"w{k}" for k in range(scheme.words)]))
-    kept = found.groupBy("component_id", group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_key")).alias("k"))
-    keep = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies")).join(kept.select(F.col("k.doc_id").alias("id_"), F.col("k.text_key").alias("key_")), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_")))
-    keep = materialize(keep.select("id_", "key_", "copies"), "kept")
+    with shuffles_dropped(docs.sparkSession):
+        keep = _kept(docs, scheme or near_copies_scheme(docs.count()))
 
     def having(side: DataFrame) -> DataFrame:
         side = side.select("id_", "key_")
         return docs.join(side, docs["doc_id"].eqNullSafe(side["id_"]) & (text_key() == side["key_"]), "left_semi")
 
     return having(keep.where("copies = 1")).unionByName(having(keep.where("copies > 1")).dropDuplicates(["doc_id", "text"]))
+
+
+def _kept(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """(id_, key_, copies) of the rows that stay, written."""
+    found = near_copies(docs, scheme)
+    group = F.when(F.col("component_id").isNull(), F.xxhash64(*[f"w{k}" for k in range(scheme.words)]))
+    kept = found.groupBy("component_id", group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_key")).alias("k"))
+    keep = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies")).join(kept.select(F.col("k.doc_id").alias("id_"), F.col("k.text_key").alias("key_")), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_")))
+    return materialize(keep.select("id_", "key_", "copies"), "kept")

@@ -3,13 +3,14 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
 
-from quadrat.llm import bpe, decontaminate, longrepeats, sharding, simhash, tokenstore, units
+from quadrat.llm import bpe, common, decontaminate, longrepeats, sharding, simhash, tokenstore, units
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, words string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -339,6 +340,27 @@ def test_wider_tables_for_more_rows():
     assert many.segment_bits == 25 and len(many.segments) > 60
 
 
+@pytest.mark.parametrize("rows", [1000, 10**7, 10**9])
+def test_tables_are_joined_in_batches_of_bounded_rows(rows):
+    scheme = simhash.near_copies_scheme(rows)
+    assert [t for batch in scheme.batches for t in batch] == list(range(len(scheme.segments)))
+    assert all(len(batch) * (2 + scheme.segment_bits // 2) <= simhash.TOGETHER for batch in scheme.batches)
+    assert len(simhash.CONTRACT.batches) == 1
+
+
+def test_near_copies_leave_no_shuffle_files(spark):
+    """What the stage shuffles is off the disk once it has ended, whether or not the driver collects its garbage."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {str(b) for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllBlocks()) if "shuffle" in str(b)}
+    before, own = held(), spark.conf.get(common.SHUFFLES_GO, None)
+    simhash.drop_near_copies(spark.createDataFrame([(i, phrase(i % 7 * 50, 60)) for i in range(20)], "doc_id bigint, text string"))
+    for _ in range(50):
+        if not (left := held() - before):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(common.SHUFFLES_GO, None) == own
+
+
 def test_repeated_shingles_count_once(spark):
     """A line repeated in one of two texts changes neither's set of shingles by much."""
     text = phrase(0, 200)
