@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..streaming.checkpoints import cut
+from .diversity import maybe_broadcast
 
 #: Rows that are scored together.
 CHUNK = 20_000
+#: Rows of a task that draws them for every tree.
+DRAWN = 10_000
+#: Groups whose sizes are broadcast; a join by shuffle would deal a large group's rows to one task.
+GROUPS = 100_000
 
 
 def uniform(*parts) -> float:
@@ -54,14 +59,19 @@ def forest(points: DataFrame, columns: list[str], group: str, ident: str, trees:
     """(group, tree, sample, nodes): the splits of every tree of every group as one array each.
 
     A tree gets the ``sample`` rows of its group that come first by a hash of the tree and the row. Before rows are ranked,
-    those whose hash is too large to be among them by ten deviations are left out, so a group's size costs no sort.
+    those whose hash is too large to be among them by ten deviations are left out, so a group's size costs no sort. Hashes
+    are as many as rows times trees, so rows are dealt to tasks by their number, however few files they lie in.
     """
     sizes = points.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    each = points.join(sizes, group).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    digest = F.md5(F.concat_ws("|", F.lit(seed), "tree", F.col(ident).cast("string")))
-    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
-    likely = each.where(u * F.col("_n") <= sample + 10 * sample**0.5 + 20)
-    rank = F.row_number().over(Window.partitionBy(group, "tree").orderBy(digest, ident))
+    share = F.least(F.lit(1.0), (sample + 10 * sample**0.5 + 20) / F.col("_n"))
+    # The last admitted hash as the eight hex digits that a digest begins with; "g" is above them all.
+    bound = F.when(share < 1, F.lower(F.lpad(F.hex(F.floor(share * 4294967296.0).cast("bigint")), 8, "0"))).otherwise("g")
+    spread = points.repartition(max(1, -(-points.count() // DRAWN)))
+    most = sizes.select(group, bound.alias("_most"))
+    each = spread.join(maybe_broadcast(most, GROUPS), group)
+    each = each.withColumn("_id", F.col(ident).cast("string")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    likely = each.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("tree").cast("string"), "_id"))).where(F.substring("_h", 1, 8) <= F.col("_most"))
+    rank = F.row_number().over(Window.partitionBy(group, "tree").orderBy("_h", ident))
     drawn = likely.withColumn("_k", rank).where(F.col("_k") <= sample)
     deepest = max(1, int(np.ceil(np.log2(max(2, sample)))))
     kind = dict(points.dtypes)[group]

@@ -158,6 +158,14 @@ def test_isolation_scores_equal_plain_trees(spark):
     assert forest.isolation_scores(rows.limit(0), ["a", "b"], "id").count() == 0
 
 
+def test_draws_of_trees_are_dealt_by_rows(spark, monkeypatch):
+    """Rows of one file and one group are hashed in as many tasks as their number asks for."""
+    monkeypatch.setattr(forest, "DRAWN", 50)
+    rows = frame(spark, id=np.arange(500), g=["u"] * 500, a=np.arange(500.0), b=np.arange(500.0) % 7).coalesce(1)
+    plan = forest.forest(rows, ["a", "b"], "g", "id", trees=3, sample=16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 10, true" in plan
+
+
 # --- sequences ---------------------------------------------------------------------------------------------------
 
 
