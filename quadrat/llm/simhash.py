@@ -309,10 +309,29 @@ def _across(labelled: DataFrame, scheme: Scheme) -> DataFrame:
     equal where at most two bits differ. With a similarity, sets whose sizes rule it out do not meet. The component of
     a fingerprint that stands alone is left null, which costs the shuffle nothing.
     """
-    return _by_batches(scheme, lambda tables: _across_in(labelled, scheme, tables), "met-others")
+    hot = _crowded(labelled, scheme)
+    side = None if hot.isEmpty() else maybe_broadcast(hot, BROADCAST_TEXTS)
+    return _by_batches(scheme, lambda tables: _across_in(labelled, scheme, tables, side), "met-others")
 
 
-def _across_in(labelled: DataFrame, scheme: Scheme, tables: range) -> DataFrame:
+def _crowded(labelled: DataFrame, scheme: Scheme) -> DataFrame:
+    """(key, main): the keys of many entries, of all tables, with their largest component; written, batch by batch."""
+
+    def of(tables: range) -> DataFrame:
+        table = table_rows(labelled, scheme, False, "component", tables=tables)
+        hot = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("key")
+        share = table.join(hot, "key").groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+        return materialize(share.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "hot-keys")
+
+    return reduce(DataFrame.union, [of(tables) for tables in scheme.batches])
+
+
+def _across_in(labelled: DataFrame, scheme: Scheme, tables: range, side: DataFrame | None) -> DataFrame:
+    """The pairs of ``_across`` from some of the tables; ``side`` holds the crowded keys, if there are any.
+
+    Of several words every probe meets the entries outside its key's largest component; those inside it are met by the
+    probes of other components alone. So only entries are told apart by key, never the many more probes.
+    """
     carried, near = _sketch(scheme)
     carried = [F.col("fp_id"), F.nullif("component", "fp_id").alias("component"), *carried, *([F.col("n").cast("int").alias("n")] if scheme.similarity else [])]
     probes, table = table_rows(labelled, scheme, True, *carried, tables=tables), table_rows(labelled, scheme, False, *carried, tables=tables)
@@ -320,24 +339,20 @@ def _across_in(labelled: DataFrame, scheme: Scheme, tables: range) -> DataFrame:
     apart = near & (own != F.coalesce("to_component", "to_id"))
     if scheme.similarity:
         apart = apart & _fits(scheme, F.col("n"), F.col("to_n"))
-    hot = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("key")
-    share = table.join(hot, "key").groupBy("key", own.alias("component")).agg(F.count(F.lit(1)).alias("n"))
-    hot = materialize(share.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "hot-keys")
-    found = lambda x, y, *on: x.join(_renamed(y).withColumnsRenamed({f"to_{c}": c for c in on}), ["key", *on]).where(apart)
-    if hot.isEmpty():
+    found = lambda x, y, *on: x.join(_renamed(y).withColumnsRenamed({f"to_{c}": c for c in on}), ["key", *on]).where(apart).select("fp_id", "to_id")
+    if side is None:
         met = found(probes, table)
-    else:
-        side = maybe_broadcast(hot, BROADCAST_TEXTS)
+    elif scheme.words == 1 and scheme.distance <= 2:
         held, kept = probes.join(side, "key", "left"), table.join(side, "key", "left")
-        minor, major = F.col("main").isNull() | (own != F.col("main")), own == F.col("main")
-        if scheme.words == 1 and scheme.distance <= 2:
-            met = found(held.where("main is null").drop("main"), kept.where("main is null").drop("main"))
-            part = F.explode(F.array(*[F.shiftright("other", 11 * j).bitwiseAND(F.lit(2047)).bitwiseOR(F.lit(j << 11)) for j in range(3)]))
-            other = F.when(F.shiftrightunsigned("key", scheme.segment_bits) == 0, F.shiftrightunsigned("s0", 32)).otherwise(F.col("s0").bitwiseAND(F.lit((1 << 32) - 1)))
-            cut = lambda x: x.where("main is not null").drop("main").withColumn("other", other).withColumn("part", part).drop("other")
-            met = met.select("fp_id", "to_id").unionByName(found(cut(held), cut(kept), "part").select("fp_id", "to_id"))
-        else:
-            met = found(held.where(minor).drop("main"), table).select("fp_id", "to_id").unionByName(found(held.where(major).drop("main"), kept.where(minor & F.col("main").isNotNull()).drop("main")).select("fp_id", "to_id"))
+        met = found(held.where("main is null").drop("main"), kept.where("main is null").drop("main"))
+        part = F.explode(F.array(*[F.shiftright("other", 11 * j).bitwiseAND(F.lit(2047)).bitwiseOR(F.lit(j << 11)) for j in range(3)]))
+        other = F.when(F.shiftrightunsigned("key", scheme.segment_bits) == 0, F.shiftrightunsigned("s0", 32)).otherwise(F.col("s0").bitwiseAND(F.lit((1 << 32) - 1)))
+        cut = lambda x: x.where("main is not null").drop("main").withColumn("other", other).withColumn("part", part).drop("other")
+        met = met.unionByName(found(cut(held), cut(kept), "part"))
+    else:
+        outside = table.join(side, "key", "left").where(F.col("main").isNull() | (own != F.col("main"))).drop("main")
+        inside = table.join(side, "key").where(own == F.col("main")).drop("main")
+        met = found(probes, outside).unionByName(found(probes.join(side, "key").where(own != F.col("main")).drop("main"), inside))
     return met.select(F.least("fp_id", "to_id").alias("a"), F.greatest("fp_id", "to_id").alias("b")).distinct()
 
 

@@ -348,6 +348,43 @@ def test_tables_are_joined_in_batches_of_bounded_rows(rows):
     assert len(simhash.CONTRACT.batches) == 1
 
 
+def _left_join_rows(plan):
+    """Rows that the left joins of an executed plan made."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return _left_join_rows(plan.executedPlan())
+    if "QueryStage" in name:
+        return _left_join_rows(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in name and "LeftOuter" in plan.joinType().toString() else 0
+    return own + sum(_left_join_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_crowded_keys_cost_a_row_for_each_entry_in_every_batch(spark):
+    """One crowded key, in the first table: the pairs are those of brute force, and no batch makes a joined row for each probe."""
+    scheme, rng = simhash.near_copies_scheme(1000), np.random.default_rng(5)
+    tables = len(scheme.segments)
+    bits = rng.integers(0, 2, 64 * scheme.words) ^ (rng.random((150, 64 * scheme.words)) < 0.1)
+    bits[:, :16] = bits[0, :16]
+    prints = [[int.from_bytes(np.packbits(w, bitorder="little").tobytes(), "little", signed=True) for w in row.reshape(scheme.words, 64)] for row in bits]
+    component = [0 if i % 2 else i for i in range(150)]
+    names = [f"w{k}" for k in range(scheme.words)]
+    labelled = common.materialize(spark.createDataFrame([(i, *w, 100 + i % 30, [], component[i]) for i, w in enumerate(prints)], ", ".join(["fp_id bigint", *(f"{w} bigint" for w in names), "n bigint", "short array<bigint>", "component bigint"])), "labelled")
+    want, segments = set(), bits.reshape(150, tables, 16)
+    for a in range(150):
+        for b in range(a + 1, 150):
+            met = ((segments[a] != segments[b]).sum(axis=1) <= 1).any() and (bits[a, :256] != bits[b, :256]).sum() <= simhash._admitted(256)
+            if met and component[a] != component[b] and min(100 + a % 30, 100 + b % 30) * 5 >= max(100 + a % 30, 100 + b % 30) * 4:
+                want.add((a, b))
+    found = simhash._across(labelled, scheme)
+    assert len(want) > 2000 and sorted(map(tuple, found.collect())) == sorted(want)
+    side = simhash._crowded(labelled, scheme)
+    assert [r["key"] >> scheme.segment_bits for r in side.collect()] == [0]
+    for batch in scheme.batches:
+        met = simhash._across_in(labelled, scheme, batch, side)
+        met.collect()
+        assert _left_join_rows(met._jdf.queryExecution().executedPlan()) == 150 * len(batch)
+
+
 def test_near_copies_leave_no_shuffle_files(spark):
     """What the stage shuffles is off the disk once it has ended, whether or not the driver collects its garbage."""
     blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
