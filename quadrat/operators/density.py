@@ -2,7 +2,7 @@
 
 Rows are dealt to blocks by place, and only rows go to another block whose box is near enough to hold something for them:
 a nearer neighbour, or an edge no dearer than one that their component is known to have. What leaves a task are the few
-nearest of each row, or the cheapest edge of each component to another.
+nearest of each row, or the cheapest edge of each component to another. The tree is condensed in joins, to a row for each core.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..streaming.checkpoints import cut
 from .network import components
@@ -91,7 +92,7 @@ def core_distances(points: DataFrame, columns: list[str], neighbours: int) -> Da
     # A row's neighbours in its own block bound how far others can be.
     reach = F.when(F.size("d") >= neighbours, F.array_max("d")).otherwise(float("inf"))
     sent = _sent(rows.join(own.select("id", reach.alias("reach")), "id"), _boxes(rows, columns), columns, "reach").drop("reach")
-    other = sent.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(lambda left, right: near(left, right) if len(left) else pd.DataFrame({"id": [], "d": []}), out)
+    other = sent.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(lambda left, right: near(left, right) if len(left) else pd.DataFrame({"id": [], "d": []}, dtype=object), out)
     found = own.union(other).groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("d"))).alias("d"))
     return found.select("id", F.coalesce(F.get("d", F.lit(neighbours - 1)), F.array_max("d")).alias("core"))
 
@@ -111,7 +112,7 @@ def spanning_tree(points: DataFrame, columns: list[str]) -> DataFrame:
 
     def cheapest(left, right):
         if not len(left) or (left["component"].nunique() == 1 and (right["component"] == left["component"].iloc[0]).all()):
-            return pd.DataFrame({"component": [], "w": [], "a": [], "b": []})
+            return pd.DataFrame({"component": [], "w": [], "a": [], "b": []}, dtype=object)
         ids, ends = np.unique(np.concatenate([left["id"], right["id"]]), return_inverse=True)
         groups, of = np.unique(np.concatenate([left["component"], right["component"]]), return_inverse=True)
         x, y = left[columns].to_numpy(float), right[columns].to_numpy(float)
@@ -156,93 +157,132 @@ def spanning_tree(points: DataFrame, columns: list[str]) -> DataFrame:
         labels = cut(labels.join(joined.toDF("component", "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
 
 
-def condensed_labels(a: np.ndarray, b: np.ndarray, w: np.ndarray, smallest: int) -> np.ndarray:
-    """Clusters of rows 0 to n - 1 by the excess of mass, from the edges of a spanning tree; -1 for noise.
+def fallen_rows(tree: DataFrame, smallest: int) -> DataFrame:
+    """(id, core, at): the edge (w, a, b) by which a row comes to a part of ``smallest`` rows or more, if edges are taken in ascending order, and the core of that part.
+
+    A smaller part waits for its cheapest edge. Two that wait for the same edge become one, so a part made in the k-th round has
+    more than k rows, and after at most ``smallest`` - 1 rounds the parts left wait, maybe one behind the other, for a core: the
+    first part of ``smallest`` rows or more in its place. Cores do not grow here; each holds less than twice ``smallest`` rows.
+    """
+    links = cut(tree.select(F.col("a").alias("x"), F.col("b").alias("y"), F.struct("w", "a", "b").alias("at"), F.lit(True).alias("open_x"), F.lit(True).alias("open_y")))
+    rows = tree.select("a").union(tree.select("b")).distinct().toDF("part")
+    if smallest < 2:
+        return rows.select(F.col("part").alias("id"), F.col("part").alias("core"), F.lit(None).cast(dict(links.dtypes)["at"]).alias("at"))
+    parts = cut(rows.withColumn("members", F.array("part")))
+    born = []
+    while True:
+        ends = [links.where(f"open_{p}").select(F.col(p).alias("part"), F.struct("at", F.col(q).alias("to"), F.col(f"open_{q}").alias("open")).alias("e")) for p, q in ("xy", "yx")]
+        waiting = ends[0].unionByName(ends[1]).groupBy("part").agg(F.min("e").alias("e")).select("part", "e.*")
+        pairs = waiting.where("open").groupBy("at").agg(F.min("part").alias("into"), F.max("part").alias("gone")).where("into <> gone")
+        met = pairs.join(parts.toDF("into", "m"), "into").join(parts.toDF("gone", "g"), "gone").select("at", "into", "gone", F.concat("m", "g").alias("members"))
+        met = cut(met.withColumn("open", F.size("members") < smallest))
+        if met.isEmpty():
+            break
+        born.append(met.where("not open").select(F.explode("members").alias("id"), F.col("into").alias("core"), "at"))
+        names = met.select(F.explode(F.array("into", "gone")).alias("part"), "into", "open")
+        for p in "xy":
+            links = links.join(names.toDF(p, "into", "now"), p, "left").withColumns({p: F.coalesce("into", p), f"open_{p}": F.coalesce("now", f"open_{p}")}).drop("into", "now")
+        links = cut(links.where("x <> y and (open_x or open_y)"))
+        parts = cut(parts.join(names, "part", "left_anti").unionByName(met.where("open").select(F.col("into").alias("part"), "members")))
+    waiting = cut(waiting)
+    ways = waiting.select("part", "to", "open")
+    while not ways.where("open").isEmpty():  # each part looks to where the part before it looks
+        beyond = ways.where("open").join(ways.toDF("to", "then", "still"), "to").select("part", F.col("then").alias("to"), F.col("still").alias("open"))
+        ways = cut(beyond.unionByName(ways.where("not open")))
+    late = parts.join(waiting.select("part", "at"), "part").join(ways.select("part", F.col("to").alias("core")), "part").select(F.explode("members").alias("id"), "core", "at")
+    for early in born:
+        late = late.unionByName(early)
+    return cut(late)
+
+
+def _merged_cores(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Nodes of the hierarchy of cores: these first, then what each edge (w, a, b, x, y) between them makes. Edges stand at the nodes that they end."""
+    pdf = pdf.sort_values(["w", "a", "b"], ignore_index=True)
+    cores, ends = np.unique(np.concatenate([pdf["x"], pdf["y"]]), return_inverse=True)
+    k, n = len(pdf), len(cores)
+    root, up = list(range(n + k)), np.full(n + k, -1)
+
+    def top(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    for e, (x, y) in enumerate(zip(ends[:k].tolist(), ends[k:].tolist(), strict=True)):
+        for c in (top(x), top(y)):
+            root[c] = up[c] = n + e
+    depth = np.zeros(n + k, int)
+    for c in range(n + k - 2, -1, -1):
+        depth[c] = depth[up[c]] + 1
+    ended = {c: np.append(pdf[c].to_numpy(object), None)[np.where(up < 0, k, up - n)] for c in ("w", "a", "b")}
+    return pd.DataFrame({"node": np.arange(n + k), "core": np.append(cores.astype(object), [None] * k), "up": up, "depth": depth, **ended})
+
+
+def _densest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(core, node): the node chosen at or above each core's node, if any. ``n`` and ``mass`` hold the rows that fall from a node and what they add."""
+    pdf = pdf.sort_values("node", ignore_index=True)
+    up, size, mass = pdf["up"].tolist(), pdf["n"].tolist(), pdf["mass"].tolist()
+    birth = pdf["birth"].tolist()
+    below, final = [0.0] * len(up), [-1] * len(up)
+    for c in range(len(up) - 1):  # what is joined stands before what it makes
+        size[up[c]] += size[c]
+        mass[up[c]] += size[c] * (birth[c] - birth[up[c]])
+        below[up[c]] += max(mass[c], below[c])
+    for c in range(len(up) - 2, -1, -1):
+        final[c] = final[up[c]] if final[up[c]] >= 0 else c if mass[c] >= below[c] else -1
+    found = pd.DataFrame({"core": pdf["node"], "node": final})
+    return found[pdf["is_core"] & (found["node"] >= 0)]
+
+
+def condensed_labels(tree: DataFrame, smallest: int) -> DataFrame:
+    """(id, cluster): clusters by the excess of mass, from the edges (a, b, w) of a spanning tree; noise is left out or null.
 
     Of the dendrogram only splits into two parts of ``smallest`` rows or more count; other rows fall out of their cluster. A
     cluster's mass is the sum over its rows of how much denser than its birth they stay; it is chosen if that is at least
     the mass chosen below it. The whole is no cluster. Numbers follow the clusters' first rows.
+
+    Only edges between cores split, so the hierarchy, its masses and the choice are made from a row for each core, at most one
+    for ``smallest`` rows of the input, in a task. Rows find the node they fall from by steps that double, in joins.
     """
-    n = len(a) + 1
-    order = np.lexsort((np.maximum(a, b), np.minimum(a, b), w))
-    parent = list(range(2 * n - 1))
-
-    def top(k):
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    size, sides, density = [1] * n, [], []
-    for e in order:
-        left, right = top(int(a[e])), top(int(b[e]))
-        parent[left] = parent[right] = n + len(sides)
-        sides.append((left, right))
-        size.append(size[left] + size[right])
-        density.append(1 / max(float(w[e]), 1e-12))
-
-    def rows(node):
-        out, open_ = [], [node]
-        while open_:
-            k = open_.pop()
-            if k < n:
-                out.append(k)
-            else:
-                open_ += sides[k - n]
-        return out
-
-    birth, above, mass, member = [0.0], [-1], [0.0], np.zeros(n, int)
-    open_ = [(2 * n - 2, 0)] if n > 1 else []
-    while open_:
-        node, c = open_.pop()
-        at, large = density[node - n], [s for s in sides[node - n] if size[s] >= smallest]
-        for s in sides[node - n]:
-            if len(large) == 2:
-                birth.append(at)
-                above.append(c)
-                mass.append(0.0)
-                mass[c] += size[s] * (at - birth[c])
-                if s >= n:
-                    open_.append((s, len(birth) - 1))
-                else:
-                    member[s] = len(birth) - 1
-            elif s in large and s >= n:
-                open_.append((s, c))
-            else:
-                fallen = rows(s)
-                mass[c] += len(fallen) * (at - birth[c])
-                member[fallen] = c
-    below = [0.0] * len(mass)
-    chosen = [False] * len(mass)
-    for c in range(len(mass) - 1, 0, -1):
-        chosen[c] = mass[c] >= below[c]
-        below[above[c]] += max(mass[c], below[c])
-    final = [-1] * len(mass)
-    for c in range(1, len(mass)):
-        final[c] = final[above[c]] if final[above[c]] >= 0 else c if chosen[c] else -1
-    found = np.array(final)[member]
-    names = {c: k for k, c in enumerate(dict.fromkeys(found[found >= 0]))}
-    return np.array([names.get(c, -1) for c in found])
-
-
-def density_clusters(points: DataFrame, columns: list[str], ident: str, smallest: int = 5, neighbours: int | None = None, most: int = 2_000_000) -> DataFrame:
+    spark, kind = tree.sparkSession, dict(tree.dtypes)["a"]
+    rows = fallen_rows(tree, smallest)
+    density = lambda w: 1 / F.greatest(w, F.lit(1e-12))
+    cores = rows.select("id", "core")
+    splits = tree.join(cores.toDF("a", "x"), "a").join(cores.toDF("b", "y"), "b").where("x <> y").select("w", "a", "b", "x", "y")
+    nodes = splits.withColumn("tree", F.lit(0)).groupBy("tree").applyInPandas(_merged_cores, f"node bigint, core {kind}, up bigint, depth bigint, w double, a {kind}, b {kind}")
+    nodes = cut(nodes.select("node", "core", "up", "depth", F.when(F.col("up") >= 0, F.struct("w", "a", "b")).alias("end"), F.when(F.col("up") >= 0, density(F.col("w"))).otherwise(0.0).alias("birth")))
+    deepest = nodes.agg(F.max("depth")).first()[0]
+    if not deepest:
+        return spark.createDataFrame([], f"id {kind}, cluster bigint")
+    groups = cut(rows.groupBy("core", "at").agg(F.count(F.lit(1)).alias("n")).join(nodes.where("core is not null").select("core", "node", "end"), "core"))
+    steps = [nodes.where("up >= 0").select("node", F.col("up").alias("to"), F.col("end").alias("made"))]
+    for _ in range(int(deepest).bit_length() - 1):
+        steps.append(cut(steps[-1].select("node", F.col("to").alias("via")).join(steps[-1].toDF("via", "to", "made"), "via").select("node", "to", "made")))
+    past = F.coalesce(F.col("at") > F.col("end"), F.lit(False))
+    risen = groups.where(past).select("node", "at", "n")
+    for step in reversed(steps):
+        risen = risen.join(step, "node", "left").select(F.when(F.col("made") < F.col("at"), F.col("to")).otherwise(F.col("node")).alias("node"), "at", "n")
+    placed = groups.where(~past).select("node", "at", "n").unionByName(risen).join(nodes.select("node", "birth"), "node")
+    added = F.when(F.col("at").isNotNull(), F.col("n") * (density(F.col("at.w")) - F.col("birth")))
+    own = placed.groupBy("node").agg(F.sum("n").alias("n"), F.sum(added).alias("mass"))
+    table = nodes.select("node", "up", "birth", F.col("core").isNotNull().alias("is_core")).join(own, "node", "left").fillna({"n": 0, "mass": 0.0})
+    chosen = table.withColumn("tree", F.lit(0)).groupBy("tree").applyInPandas(_densest, "core bigint, node bigint").join(nodes.select("node", "end"), "node")
+    chosen = cut(chosen.join(nodes.select(F.col("node").alias("core"), F.col("core").alias("id")), "core").select(F.col("id").alias("core"), "node", "end"))
+    held = cut(rows.join(chosen, "core").where(~past).select("id", "node"))
+    first = held.groupBy("node").agg(F.min("id").alias("first"))
+    numbers = first.select("node", (F.row_number().over(Window.orderBy("first")) - 1).cast("bigint").alias("cluster"))  # a row for each cluster
+    return held.join(numbers, "node").select("id", "cluster")
+
+
+def density_clusters(points: DataFrame, columns: list[str], ident: str, smallest: int = 5, neighbours: int | None = None) -> DataFrame:
     """(ident, cluster): hierarchical density clusters, -1 for noise; numbers follow the clusters' least ids.
 
     ``neighbours`` (by default ``smallest``) sets the core distance. Rows with a null among ``columns`` are left out; ids
-    must be unique. The tree has an edge for each row; ordering and cutting it is one task, so more than ``most`` rows are refused.
+    must be unique.
     """
     rows = cut(points.select(F.col(ident).alias("id"), *[F.col(c).cast("double").alias(c) for c in columns]).dropna())
-    n = rows.count()
-    if n > most:
-        raise ValueError(f"{n} rows; the tree of more than {most} does not go through one task")
-    kind = dict(rows.dtypes)["id"]
-    if n < 2:
+    if rows.count() < 2:
         return rows.select(F.col("id").alias(ident), F.lit(-1).cast("bigint").alias("cluster"))
-    tree = spanning_tree(cut(rows.join(core_distances(rows, columns, neighbours or smallest), "id")), columns)
-
-    def label(pdf):
-        ids = np.unique(np.concatenate([pdf["a"], pdf["b"]]))
-        found = condensed_labels(np.searchsorted(ids, pdf["a"]), np.searchsorted(ids, pdf["b"]), pdf["w"].to_numpy(), smallest)
-        return pd.DataFrame({ident: ids, "cluster": found})
-
-    return tree.withColumn("tree", F.lit(0)).groupBy("tree").applyInPandas(label, f"{ident} {kind}, cluster bigint")
+    tree = cut(spanning_tree(cut(rows.join(core_distances(rows, columns, neighbours or smallest), "id")), columns))
+    found = rows.select("id").join(condensed_labels(tree, smallest), "id", "left")
+    return found.select(F.col("id").alias(ident), F.coalesce("cluster", F.lit(-1)).cast("bigint").alias("cluster"))

@@ -395,6 +395,48 @@ def test_density_clusters_equal_brute_force(spark, monkeypatch):
     assert [r["cluster"] for r in density.density_clusters(rows.limit(1), ["x", "y"], "id").collect()] == [-1]
 
 
+def test_density_clusters_of_one_block(spark):
+    """No rows go to another block; ids are strings."""
+    from quadrat.operators import density
+
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(c, 0.2, (12, 2)) for c in (0, 3)] + [[[9.0, 9.0]]])
+    names = [f"s{k:02}" for k in range(len(x))]
+    got = {r["id"]: r["cluster"] for r in density.density_clusters(frame(spark, id=names, x=x[:, 0], y=x[:, 1]), ["x", "y"], "id", 5).collect()}
+    assert [got[k] for k in names] == [0] * 12 + [1] * 12 + [-1]
+
+
+def test_trees_are_condensed_to_a_row_for_each_core(spark):
+    """What one task gets are edges between cores, however many rows there are; rows' edges and cores are those of plain unions."""
+    from quadrat.operators import density
+
+    rng = np.random.default_rng(6)
+    n, smallest = 150, 4
+    before = [k - 1 if k < 60 else int(rng.integers(0, k)) for k in range(1, n)]
+    w = np.concatenate([np.arange(59, 0, -1.0), rng.choice([0.0, 0.5, 1.0, 30.0], 31), rng.uniform(0, 60, n - 91)])
+    edges = sorted((float(x), min(a, b), max(a, b)) for x, a, b in zip(w, range(1, n), before, strict=True))
+    part, at = {k: {k} for k in range(n)}, {}
+    for e in edges:
+        joined = part[e[1]] | part[e[2]]
+        for k in joined:
+            part[k] = joined
+            if len(joined) >= smallest:
+                at.setdefault(k, e)
+    tree = frame(spark, a=[e[1] for e in edges], b=[e[2] for e in edges], w=[e[0] for e in edges])
+    found = density.fallen_rows(tree, smallest).collect()
+    assert {r["id"]: tuple(r["at"]) for r in found} == at
+    core = {r["id"]: r["core"] for r in found}
+    assert len(set(core.values())) <= n / smallest
+    big, splits = {k: {k} for k in range(n)}, set()
+    for e in edges:
+        a, b = big[e[1]], big[e[2]]
+        if min(len(a), len(b)) >= smallest:
+            splits.add(e)
+        for k in a | b:
+            big[k] = a | b
+    assert splits == {e for e in edges if core[e[1]] != core[e[2]]} and len(splits) == len(set(core.values())) - 1 > 3
+
+
 # --- compositions ------------------------------------------------------------------------------------------------
 
 
