@@ -163,6 +163,15 @@ def test_indicator_of_one_group(spark):
     assert (got["mark"]["mask"], got["mark"]["a"], got["mark"]["b"], got["rest"]["mask"]) == (1, 1.0, 1.0, 6)
 
 
+def test_combined_indicator_tables_keep_every_feature(spark):
+    kind = "feature string, mask int, stat double, p double"
+    one_ = frame(spark, [("a", 1, 0.9, 0.01), ("b", 2, 0.8, 0.3), ("c", 4, 0.7, 0.01), ("d", 1, 0.6, 0.9), ("e", 1, 0.0, 0.01)], kind)
+    two = frame(spark, [("a", 1, 0.9, 0.04), ("b", 2, 0.03, 0.01), ("c", 4, 0.7, 0.05), ("d", 2, 0.5, 0.4), ("f", 8, 0.4, 0.2)], kind)
+    got = {r["feature"]: r for r in isa.combined(one_, two, ("all", "blocked"), 0.05, 0.0).collect()}
+    assert {k: r["label"] for k, r in got.items()} == {"a": "all+blocked", "b": "blocked", "c": "all", "d": "none", "e": "none", "f": "none"}
+    assert tuple(got["d"]) == ("d", 1, 0.6, 2, 0.5, "none") and tuple(got["f"]) == ("f", None, None, 8, 0.4, "none")
+
+
 def test_graph_measures(spark):
     edges = network.tidy_edges(frame(spark, [(1, 2, 1.0), (2, 1, 1.0), (2, 3, 1.0), (1, 3, 1.0), (3, 4, 1.0), (5, 6, 2.0), (7, 7, 1.0)], "a int, b int, weight double"))
     assert network.triangles(edges).collect()[0][:3] == (1, 2, 3)
