@@ -157,6 +157,22 @@ def spanning_tree(points: DataFrame, columns: list[str]) -> DataFrame:
         labels = cut(labels.join(joined.toDF("component", "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component")))
 
 
+def reachability_tree(points: DataFrame, columns: list[str], neighbours: int) -> DataFrame:
+    """(a, b, w): the spanning tree of all points (id, columns), with equal ones taken together.
+
+    Of equal points ``neighbours`` are enough to tell any core distance. Where there are as many, theirs is zero, so each is
+    joined to the one of least id at no distance, and that one stands for them: its edges come first among equal weights.
+    """
+    few = points.withColumn("_k", F.row_number().over(Window.partitionBy(*columns).orderBy("id"))).where(F.col("_k") <= neighbours).drop("_k")
+    few = cut(few)
+    alike = points.groupBy(*columns).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= neighbours).drop("_n")
+    alike = cut(alike)
+    standing = few.join(alike, columns, "left").where("first is null or id = first").select("id", *columns)
+    tree = spanning_tree(cut(standing.join(core_distances(few, columns, neighbours), "id")), columns)
+    equal = points.join(alike, columns).where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("w"))
+    return cut(tree.unionByName(equal))
+
+
 def fallen_rows(tree: DataFrame, smallest: int) -> DataFrame:
     """(id, core, at): the edge (w, a, b) by which a row comes to a part of ``smallest`` rows or more, if edges are taken in ascending order, and the core of that part.
 
@@ -283,6 +299,5 @@ def density_clusters(points: DataFrame, columns: list[str], ident: str, smallest
     rows = cut(points.select(F.col(ident).alias("id"), *[F.col(c).cast("double").alias(c) for c in columns]).dropna())
     if rows.count() < 2:
         return rows.select(F.col("id").alias(ident), F.lit(-1).cast("bigint").alias("cluster"))
-    tree = cut(spanning_tree(cut(rows.join(core_distances(rows, columns, neighbours or smallest), "id")), columns))
-    found = rows.select("id").join(condensed_labels(tree, smallest), "id", "left")
+    found = rows.select("id").join(condensed_labels(reachability_tree(rows, columns, neighbours or smallest), smallest), "id", "left")
     return found.select(F.col("id").alias(ident), F.coalesce("cluster", F.lit(-1)).cast("bigint").alias("cluster"))

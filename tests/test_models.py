@@ -406,6 +406,22 @@ def test_density_clusters_of_one_block(spark):
     assert [got[k] for k in names] == [0] * 12 + [1] * 12 + [-1]
 
 
+def test_equal_rows_make_the_same_tree_from_one_of_them(spark, monkeypatch):
+    from quadrat.operators import density
+
+    rng = np.random.default_rng(8)
+    x = np.repeat(np.round(rng.normal(size=(25, 2)), 1), [1, 2, 3, 4, 30] * 5, axis=0)
+    rows = frame(spark, id=rng.permutation(len(x)), x=x[:, 0], y=x[:, 1])
+    whole = density.spanning_tree(rows.join(density.core_distances(rows, ["x", "y"], 4), "id"), ["x", "y"])
+    plain, seen = density.spanning_tree, []
+    monkeypatch.setattr(density, "spanning_tree", lambda points, columns: seen.append(points.count()) or plain(points, columns))
+    got = density.reachability_tree(rows, ["x", "y"], 4)
+    edge = lambda df: sorted((r["a"], r["b"], round(r["w"], 12)) for r in df.collect())
+    assert edge(got) == edge(whole) and len(edge(got)) == len(x) - 1 and seen[0] <= 5 * (1 + 2 + 3 + 1 + 1)
+    same = frame(spark, id=np.arange(9), x=np.ones(9))
+    assert edge(density.reachability_tree(same, ["x"], 4)) == [(0, k, 0.0) for k in range(1, 9)]
+
+
 def test_trees_are_condensed_to_a_row_for_each_core(spark):
     """What one task gets are edges between cores, however many rows there are; rows' edges and cores are those of plain unions."""
     from quadrat.operators import density
